@@ -8,6 +8,7 @@ that share a digest but not their bytes are grouped again by digest and text.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
 
@@ -121,6 +122,24 @@ def _regrouped(docs: DataFrame, clashes: DataFrame, n_clashes: int, digest: Call
     )
 
 
+def distinct_rows(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns; of rows repeated whole, one.
+
+    Texts don't move: what goes is a table of ids and digests, broadcast if it is small.
+    """
+    judged = exact_dedup(docs)
+    name = lambda doc_id, sha: F.concat_ws(":", F.coalesce(doc_id.cast("long").cast("string"), F.lit("null")), sha)
+    key, keys = f"dedup_{uuid.uuid4().hex}", judged.withColumn("key", name(F.col("doc_id"), F.col("text_sha256")))
+    gone = written(keys.where("not (doc_id <=> keep_id)").select(F.col("key").alias(key)).distinct(), "dedup-gone")
+    again = written(keys.where("doc_id <=> keep_id and group_size > 1").groupBy(F.col("key").alias(key)).count().where("count > 1").select(key), "dedup-again")
+    n_again = again.count()
+    rows = docs.withColumn(key, name(F.col("doc_id"), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))).join(small(gone, gone.count()), key, "left_anti")
+    if n_again:
+        once = rows.join(small(again, n_again), key, "left_semi").dropDuplicates([key])
+        rows = rows.join(small(again, n_again), key, "left_anti").unionByName(once)
+    return rows.select(*docs.columns)
+
+
 ORACLE_SQL = """
 SELECT doc_id,
        max(doc_id) OVER (PARTITION BY t) AS keep_id,

@@ -7,10 +7,12 @@ place in the source's random order. A source's budget is so many whole epochs an
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import written
+from ._common import small, written
 
 #: Rows of one source that one bucket holds, about; buckets, not sources, are the unit of sorting.
 ROWS_PER_BUCKET = 20_000
@@ -57,6 +59,28 @@ def mix(docs: DataFrame, seed: int = 0, rows_per_bucket: int = ROWS_PER_BUCKET)
     where their place is inside the budget. Rows of one id sort by size; rows alike in both are interchangeable. An
     empty table gives no rows; a table without words takes nothing (targets 0). Other columns are not looked at.
     """
+    return _placed(docs, seed, rows_per_bucket).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
+def mixed(docs: DataFrame, seed: int = 0, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """The rows of ``docs``, all their columns, each as often as the mix takes it.
+
+    The cut of a source is one place in its order, so a row needs its source's cut only and texts don't move. Rows
+    alike in id and size at the very cut are taken together.
+    """
+    placed = _placed(docs, seed, rows_per_bucket)
+    cut = F.max(F.when(F.col("copies") > F.col("epochs"), F.struct("at", "doc_id", "size"))).alias("cut")
+    cuts = written(placed.groupBy("nameless", "name").agg(F.max("epochs").alias("epochs"), cut), "mix-cuts")
+    own = F.struct(random_key(F.col("d.doc_id").cast("long"), seed).alias("at"), F.col("d.doc_id").cast("long").alias("doc_id"), n_words(F.col("d.text")).alias("size"))
+    source = F.col("d.source").cast("string")
+    same = (source.isNull() == F.col("c.nameless")) & (F.coalesce(source, F.lit("")) == F.col("c.name"))
+    joined = docs.alias("d").join(small(cuts, cuts.count()).alias("c"), same)
+    copies = F.col("c.epochs") + F.coalesce(own <= F.col("c.cut"), F.lit(False)).cast("long")
+    again = f"copy_{uuid.uuid4().hex}"
+    return joined.select("d.*", F.explode(F.array_repeat(F.lit(0), copies.cast("int"))).alias(again)).drop(again)
+
+
+def _placed(docs: DataFrame, seed: int, rows_per_bucket: int) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"))
     rows = written(rows.withColumn("at", random_key(F.col("doc_id"), seed)), "mix-rows")
     sources = written(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), "mix-sources")
@@ -84,8 +108,7 @@ def mix(docs: DataFrame, seed: int = 0, rows_per_bucket: int = ROWS_PER_BUCKET)
     rest = F.col("target") - F.col("epochs") * F.col("source_size")
     middle = (F.col("bucket_start") + F.col("run")).cast("double") + F.col("size") / F.lit(2.0)
     more = (F.col("epochs") < MOST_EPOCHS) & (F.col("source_size") > 0) & (middle <= rest)
-    found = found.withColumn("epochs", epochs.cast("long")).withColumn("copies", F.col("epochs") + more.cast("long"))
-    return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    return found.withColumn("epochs", epochs.cast("long")).withColumn("copies", F.col("epochs") + more.cast("long"))
 
 
 #: The same rows from plain windows over whole sources.

@@ -164,6 +164,12 @@ def near_dup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     return found.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def representatives(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns. Texts don't move; the ids that go are broadcast if they are few."""
+    gone = written(near_dup(docs, k, percent).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct(), "near-gone")
+    return docs.join(small(gone, gone.count()), F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
+
+
 def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
 

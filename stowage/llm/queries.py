@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, mixing, near_dup
+from . import bpe, exact_dedup, mixing, near_dup, toxicity
 from ._common import table
 
 
@@ -14,6 +14,10 @@ def byte_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op3_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), byte_vocabulary())
 
@@ -30,7 +34,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_byte_bpe, op8_minmax_near_dup, op9_mix_sources, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op3_toxicity_chain, op4_byte_bpe, op8_minmax_near_dup, op9_mix_sources, op10_exact_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op9_mix_sources": mixing.ORACLE_SQL,
