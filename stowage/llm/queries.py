@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, mixing, near_dup, toxicity
+from . import bpe, exact_dedup, mixing, near_dup, secret_scan, toxicity
 from ._common import table
 
 
@@ -22,6 +22,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), byte_vocabulary())
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_scan(table(spark, sf_dir, "documents"))
+
+
 def op8_minmax_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_dup(table(spark, sf_dir, "documents"), k=4, percent=80)
 
@@ -34,9 +38,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_toxicity_chain, op4_byte_bpe, op8_minmax_near_dup, op9_mix_sources, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op3_toxicity_chain, op4_byte_bpe, op6_secret_scan, op8_minmax_near_dup, op9_mix_sources, op10_exact_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_secret_scan": secret_scan.ORACLE_SQL,
     "op9_mix_sources": mixing.ORACLE_SQL,
     "op10_exact_dedup": exact_dedup.ORACLE_SQL,
 }
