@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, mixing, near_dup, secret_scan, toxicity
+from . import bpe, exact_dedup, language_id, media, mixing, near_dup, quality, secret_scan, toxicity
 from ._common import table
 
 
@@ -14,6 +14,10 @@ def byte_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -22,10 +26,18 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), byte_vocabulary())
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(table(spark, sf_dir, "documents"))
+
+
 def op8_minmax_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_dup(table(spark, sf_dir, "documents"), k=4, percent=80)
 
@@ -38,7 +50,13 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_toxicity_chain, op4_byte_bpe, op6_secret_scan, op8_minmax_near_dup, op9_mix_sources, op10_exact_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_language_id, op3_toxicity_chain, op4_byte_bpe, op5_quality, op6_secret_scan, op7_media_columns, op8_minmax_near_dup, op9_mix_sources,
+        op10_exact_dedup,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {
     "op6_secret_scan": secret_scan.ORACLE_SQL,
