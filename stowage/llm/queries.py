@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, language_id, media, mixing, near_dup, quality, secret_scan, toxicity
+from . import bpe, exact_dedup, kneser_ney, language_id, media, mixing, near_dup, quality, secret_scan, toxicity
 from ._common import table
 
 
@@ -18,6 +18,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
 
 
+def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.score(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -53,7 +57,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_language_id, op3_toxicity_chain, op4_byte_bpe, op5_quality, op6_secret_scan, op7_media_columns, op8_minmax_near_dup, op9_mix_sources,
+        op1_language_id, op2_kneser_ney, op3_toxicity_chain, op4_byte_bpe, op5_quality, op6_secret_scan, op7_media_columns, op8_minmax_near_dup, op9_mix_sources,
         op10_exact_dedup,
     )
 }
