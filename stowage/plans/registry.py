@@ -1,6 +1,396 @@
-"""Registered queries and the SQL they are checked against."""
+"""Registered queries and the SQL they are checked against.
+
+Every query runs an operator over ledger, corpus and queue views that Spark derives from the given tables.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import metrics, scalars
+from ..operators import inventory, ledger, queue
+from .fixtures import AS_OF, TARGETS, oracle, view
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+_NOW = f"timestamp '{AS_OF}'"
+_T = "('a'), ('b'), ('c')"
+SAMPLE_START = "8000000000000000000000000000000000000000000000000000000000000000"
+DOWN = ("b",)
+
+
+def as_of():
+    return F.expr(_NOW)
+
+
+def query(sql: str | None, *views: str):
+    """Registers a function of the views and its SQL over them."""
+
+    def keep(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(*(view(spark, sf_dir, v) for v in views))
+
+        QUERIES[f.__name__] = run
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = oracle(sql, *views)
+        return f
+
+    return keep
+
+
+def _joined(df: DataFrame, *columns: str) -> DataFrame:
+    """Arrays as text, for comparison."""
+    return df.withColumns({c: F.concat_ws(",", c) for c in columns})
+
+
+@query(
+    """SELECT o.external_id, coalesce(string_agg(s.target, ',' ORDER BY s.target), '') AS stored_on
+       FROM led_object o LEFT JOIN led_status s ON o.external_id = s.external_id AND s.state = 'stored'
+       GROUP BY o.external_id HAVING count(s.target) < 3""",
+    "led_object", "led_status",
+)
+def replication_gaps(objects, status):
+    return _joined(ledger.replication_gaps(objects, status, TARGETS), "stored_on")
+
+
+@query(
+    """SELECT count(*) AS objects, count(*) FILTER (n = 3) AS covered, count(*) FILTER (n < 3) AS gaps
+       FROM (SELECT o.external_id, (SELECT count(*) FROM led_status s WHERE s.external_id = o.external_id AND s.state = 'stored') AS n FROM led_object o)""",
+    "led_object", "led_status",
+)
+def coverage_gaps(objects, status):
+    return ledger.coverage(objects, status, TARGETS)
+
+
+@query(
+    f"""SELECT count(*) FILTER (mv IS NULL) AS never_verified, coalesce(max(epoch_us({_NOW}) - epoch_us(mv)) / 1e6, 0.0)::DOUBLE AS stalest_s, count(*) FILTER (mv IS NULL) < 4 AS ok
+        FROM (SELECT t.target, (SELECT max(verified_at) FROM led_status s WHERE s.target = t.target AND state = 'stored') AS mv FROM (VALUES {_T}, ('d')) t(target))""",
+    "led_status",
+)
+def rpo_lag(status):
+    return ledger.rpo_lag(status, (*TARGETS, "d"), as_of())
+
+
+@query(
+    f"SELECT t.target, count(s.external_id) AS stored FROM (VALUES {_T}, ('d')) t(target) LEFT JOIN led_status s ON s.target = t.target AND s.state = 'stored' GROUP BY t.target",
+    "led_status",
+)
+def stored_count_by_target(status):
+    return ledger.stored_count_by_target(status, (*TARGETS, "d"))
+
+
+@query("SELECT id, external_id, coalesce(size, 0) AS size FROM corpus_file WHERE temporary_location IS NOT TRUE AND external_id <> ''", "corpus_file")
+def corpus_scan(files):
+    return ledger.corpus_scan(files)
+
+
+@query("SELECT id, external_id, updated_date FROM corpus_file WHERE id = 42", "corpus_file")
+def file_lookup(files):
+    return ledger.file_by_id(files, 42)
+
+
+@query("SELECT o.external_id, o.size, s.stored_bytes, s.verified_at FROM led_object o JOIN led_status s USING (external_id) WHERE s.target = 'a' AND s.state = 'stored'", "led_object", "led_status")
+def stored_objects(objects, status):
+    return ledger.stored_objects(objects, status, "a")
+
+
+@query("SELECT external_id FROM led_status WHERE target = 'b' AND state = 'stored'", "led_status")
+def stored_ids(status):
+    return ledger.stored_ids(status, "b")
+
+
+@query("SELECT external_id, string_agg(target, ',' ORDER BY target) AS stored_on FROM led_status WHERE state = 'stored' GROUP BY external_id", "led_status")
+def dedup_lookup(status):
+    return _joined(ledger.stored_targets(status), "stored_on")
+
+
+@query(
+    f"""WITH every AS (
+         SELECT o.external_id, o.size, t.target, s.target IS NOT NULL AS held, t.target = 'b' AS down
+         FROM led_object o CROSS JOIN (VALUES {_T}) t(target) LEFT JOIN led_status s ON s.external_id = o.external_id AND s.target = t.target AND s.state = 'stored')
+       SELECT external_id, size, coalesce(string_agg(target, ',' ORDER BY target) FILTER (NOT held AND NOT down), '') AS pending,
+              bool_or(NOT held AND down) AS skipped_down, CAST(count(*) FILTER (held) AS INT) AS deduplicated, true AS ok
+       FROM every GROUP BY external_id, size""",
+    "led_object", "led_status",
+)
+def pending_targets(objects, status):
+    return _joined(ledger.pending_targets(objects, status, TARGETS, DOWN), "pending")
+
+
+@query(
+    """SELECT external_id, bool_and(state = 'stored') AS all_stored, bool_or(state = 'failed' AND target <> 'b') AS healthy_failed,
+              coalesce(string_agg(target || ':' || state, ',' ORDER BY target) FILTER (state = 'stored' OR target <> 'b'), '') AS statuses
+       FROM led_status GROUP BY external_id""",
+    "led_status",
+)
+def fanout_classes(status):
+    results = status.select("external_id", "target", (F.col("state") == "stored").alias("ok"), F.col("target").isin(*DOWN).alias("down"))
+    found = ledger.classify_fanout(results)
+    return found.withColumn("statuses", F.concat_ws(",", F.transform("statuses", lambda s: F.concat_ws(":", s["target"], s["state"]))))
+
+
+@query(
+    """SELECT external_id, target, CASE WHEN bool_or(state = 'stored') THEN 'stored' ELSE 'failed' END AS state,
+              CASE WHEN bool_or(state = 'stored') THEN max_by(stored_bytes, seq) FILTER (state = 'stored') ELSE min_by(stored_bytes, seq) END AS stored_bytes,
+              max_by(happened_at, seq) FILTER (state = 'stored') AS verified_at
+       FROM attempt GROUP BY external_id, target""",
+    "attempt",
+)
+def ledger_fold(attempts):
+    return ledger.fold_status(attempts)
+
+
+@query(
+    """SELECT external_id, coalesce(max_by(stored_bytes, seq) FILTER (size_verified), min_by(stored_bytes, seq)) AS size, min_by(happened_at, seq) AS first_seen
+       FROM attempt GROUP BY external_id""",
+    "attempt",
+)
+def ledger_fold_objects(attempts):
+    return ledger.fold_objects(attempts)
+
+
+@query(
+    f"""SELECT id, external_id, CASE WHEN updated_date IS NULL THEN 'no_date' WHEN updated_date > {_NOW} THEN 'changed_later' ELSE 'ok' END AS verdict FROM corpus_file""",
+    "corpus_file",
+)
+def restore_current_guard(files):
+    return ledger.restore_guard(files, as_of())
+
+
+@query(
+    """SELECT o.external_id, string_agg(s.target, ',' ORDER BY s.target = 'b', s.target) AS sources
+       FROM led_object o JOIN led_status s ON o.external_id = s.external_id AND s.state = 'stored' GROUP BY o.external_id HAVING count(*) < 3""",
+    "led_object", "led_status",
+)
+def repair_sources(objects, status):
+    found = ledger.repair_sources(ledger.replication_gaps(objects, status, TARGETS), DOWN)
+    return _joined(found.where(F.size("sources") > 0), "sources").select("external_id", "sources")
+
+
+_VISIBLE = f"status = 'pending' AND (visible_at IS NULL OR visible_at <= {_NOW})"
+_CLAIM = f"SELECT * FROM outbox WHERE {_VISIBLE} ORDER BY priority DESC NULLS FIRST, created_date ASC NULLS LAST, id LIMIT 100"
+
+
+@query(f"SELECT id, file_id, priority, 'in_progress' AS status, created_date, {_NOW} AS claimed_at FROM ({_CLAIM})", "outbox")
+def claim_top_n(outbox):
+    return queue.claim(outbox, 100, as_of()).select("id", "file_id", "priority", "status", "created_date", "claimed_at")
+
+
+@query(
+    f"""SELECT q.id, CASE WHEN c.id IS NULL THEN q.status ELSE 'in_progress' END AS status, CASE WHEN c.id IS NULL THEN q.claimed_at ELSE {_NOW} END AS claimed_at
+        FROM outbox q LEFT JOIN (SELECT id FROM ({_CLAIM})) c ON q.id = c.id""",
+    "outbox",
+)
+def claim_transition(outbox):
+    return queue.claimed_queue(outbox, 100, as_of()).select("id", "status", "claimed_at")
+
+
+@query(
+    f"""SELECT count(*) AS pending, coalesce((epoch_us({_NOW}) - epoch_us(min(created_date))) / 1e6, 0.0)::DOUBLE AS oldest_s FROM outbox
+        WHERE status = 'pending' AND (visible_at IS NULL OR (visible_at <= {_NOW} AND coalesce(attempts, 0) > 0))""",
+    "outbox",
+)
+def backlog_stats(outbox):
+    return queue.backlog(outbox, as_of())
+
+
+_BACKOFF = "least(5 * pow(2.0, least(coalesce(attempts, 0), 20)), 600.0)"
+
+
+@query(
+    f"""SELECT id, CASE WHEN status <> 'in_progress' THEN status WHEN coalesce(attempts, 0) + 1 >= 10 THEN 'dead_letter' ELSE 'pending' END AS status,
+               CASE WHEN status = 'in_progress' THEN coalesce(attempts, 0) + 1 ELSE attempts END AS attempts,
+               CASE WHEN status = 'in_progress' THEN make_timestamp(epoch_us({_NOW}) + CAST({_BACKOFF} * 1000000 AS BIGINT)) ELSE visible_at END AS visible_at,
+               CASE WHEN status = 'in_progress' THEN 'boom' END AS last_error
+        FROM outbox""",
+    "outbox",
+)
+def fail_transition(outbox):
+    return queue.fail(outbox, as_of(), F.lit("boom")).select("id", "status", "attempts", "visible_at", "last_error")
+
+
+@query(
+    f"""SELECT id, CASE WHEN gone THEN CASE WHEN n >= 50 THEN 'dead_letter' ELSE 'pending' END ELSE status END AS status,
+               CASE WHEN gone THEN n ELSE deliveries END AS deliveries, CASE WHEN gone AND n >= 50 THEN '{queue.CRASH_LOOP}' END AS last_error, gone AS reaped
+        FROM (SELECT *, coalesce(deliveries, 0) + 1 AS n, status = 'in_progress' AND (claimed_at IS NULL OR claimed_at < {_NOW} - INTERVAL '3600' SECOND) AS gone FROM outbox)""",
+    "outbox",
+)
+def reap_stale(outbox):
+    return queue.reap_stale(outbox, as_of()).select("id", "status", "deliveries", "last_error", "reaped")
+
+
+@query(
+    f"""SELECT id, CASE WHEN status = 'in_progress' THEN 'pending' ELSE status END AS status, CASE WHEN status = 'in_progress' THEN 0 ELSE attempts END AS attempts,
+               CASE WHEN status = 'in_progress' THEN {_NOW} + INTERVAL '180' SECOND ELSE visible_at END AS visible_at
+        FROM outbox""",
+    "outbox",
+)
+def defer_transition(outbox):
+    return queue.defer(outbox, as_of(), F.lit(0.5)).select("id", "status", "attempts", "visible_at")
+
+
+@query(
+    """SELECT id, CASE WHEN status = 'in_progress' THEN 'done' ELSE status END AS done, CASE WHEN status = 'in_progress' THEN 'pending' ELSE status END AS released,
+              CASE WHEN status = 'in_progress' THEN NULL ELSE visible_at END AS released_visible_at, CASE WHEN status = 'in_progress' THEN 'skipped' ELSE status END AS skipped
+       FROM outbox""",
+    "outbox",
+)
+def plain_transitions(outbox):
+    # three transitions of one scan, side by side
+    named = lambda df, s, v: df.select("id", F.col("status").alias(s), F.col("visible_at").alias(v))
+    done, released, skipped = named(queue.mark_done(outbox), "done", "v1"), named(queue.release(outbox), "released", "released_visible_at"), named(queue.skip(outbox), "skipped", "v2")
+    return done.join(released, "id").join(skipped, "id").select("id", "done", "released", "released_visible_at", "skipped")
+
+
+_OUTCOME = "CASE WHEN id % 5 = 0 THEN 'done' WHEN id % 7 = 0 THEN 'released' WHEN id % 11 = 0 THEN 'skipped' WHEN id % 3 = 0 THEN 'deferred' ELSE 'failed' END"
+
+
+@query(
+    f"""SELECT id, CASE WHEN status <> 'in_progress' THEN status WHEN o IN ('done', 'skipped') THEN o WHEN o = 'failed' AND coalesce(attempts, 0) + 1 >= 10 THEN 'dead_letter' ELSE 'pending' END AS status,
+               CASE WHEN status <> 'in_progress' THEN attempts WHEN o = 'deferred' THEN 0 WHEN o = 'failed' THEN coalesce(attempts, 0) + 1 ELSE attempts END AS attempts,
+               CASE WHEN status <> 'in_progress' THEN visible_at WHEN o = 'deferred' THEN {_NOW} + INTERVAL '180' SECOND WHEN o = 'released' THEN NULL
+                    WHEN o = 'failed' THEN make_timestamp(epoch_us({_NOW}) + CAST({_BACKOFF} * 1000000 AS BIGINT)) ELSE visible_at END AS visible_at
+        FROM (SELECT *, {_OUTCOME} AS o FROM outbox)""",
+    "outbox",
+)
+def settle_outcomes(outbox):
+    has = lambda n: F.col("id") % n == 0
+    results = outbox.where("status = 'in_progress'").select("id", queue.outcome(has(5), has(7), has(11), has(3)).alias("outcome"), F.lit("boom").alias("reason"))
+    return queue.settle(outbox, results, as_of(), F.lit(0.5)).select("id", "status", "attempts", "visible_at")
+
+
+_DIFF = """
+    SELECT coalesce(m.target, s.target) AS target, CAST(sum(coalesce(m.c, 0)) AS BIGINT) AS manifest_size,
+           CAST(sum(greatest(coalesce(m.c, 0) - CASE WHEN s.external_id IS NULL THEN 0 ELSE 1 END, 0)) AS BIGINT) AS extra,
+           count(*) FILTER (m.external_id IS NULL) AS missing
+    FROM (SELECT target, external_id, count(*) AS c FROM manifest GROUP BY ALL) m
+    FULL JOIN (SELECT target, external_id FROM led_status WHERE state = 'stored') s ON m.target = s.target AND m.external_id = s.external_id GROUP BY 1"""
+
+
+@query(_DIFF, "manifest", "led_status")
+def inventory_diff(manifest, status):
+    return inventory.inventory_diff(manifest, status)
+
+
+@query(f"SELECT target, CASE WHEN extra > 0 THEN 'Drift' ELSE 'Verified' END AS verdict, extra > 0 AS failed FROM ({_DIFF})", "manifest", "led_status")
+def inventory_verdicts(manifest, status):
+    judged = inventory.inventory_diff(manifest, status).select("target", inventory.inventory_verdict().alias("verdict"))
+    return judged.withColumn("failed", inventory.failed(F.col("verdict"), F.lit(False)))
+
+
+@query("SELECT target, external_id FROM led_status s WHERE state = 'stored' AND NOT EXISTS (SELECT 1 FROM manifest m WHERE m.target = s.target AND m.external_id = s.external_id)", "manifest", "led_status")
+def inventory_missing(manifest, status):
+    return inventory.missing_ids(manifest, status)
+
+
+@query("SELECT DISTINCT target, external_id FROM manifest m WHERE NOT EXISTS (SELECT 1 FROM led_status s WHERE s.target = m.target AND s.external_id = m.external_id AND state = 'stored')", "manifest", "led_status")
+def inventory_orphans(manifest, status):
+    return inventory.orphan_ids(manifest, status)
+
+
+_TALLY = "SELECT target, count(*) AS checked, count(*) FILTER (NOT present) AS missing, count(*) FILTER (present IS NULL) AS errored FROM listing GROUP BY target"
+
+
+@query(
+    f"""SELECT *, CASE WHEN missing > 0 THEN 'Drift' WHEN errored > 0 THEN 'Unverifiable' ELSE 'Verified' END AS verdict,
+               missing > 0 OR errored > 0 AND target <> 'c' AS failed,
+               CASE WHEN missing > 0 THEN 0 WHEN errored > 0 THEN NULL ELSE 1 END AS fine, CASE WHEN missing = 0 AND errored > 0 THEN 0 ELSE 1 END AS probe_worked
+        FROM ({_TALLY})""",
+    "listing",
+)
+def audit_verdict(listing):
+    # c is write-once and lets nobody read
+    judged = inventory.existence_tally(listing).withColumn("verdict", inventory.existence_verdict())
+    fine, worked = inventory.gauges(F.col("verdict"))
+    is_c = F.col("target") == "c"
+    return judged.withColumns({"failed": inventory.failed(F.col("verdict"), inventory.exempt(is_c, ~is_c)), "fine": fine, "probe_worked": worked})
+
+
+@query(
+    """SELECT s.target, s.external_id, m.external_id IS NOT NULL AS present
+       FROM led_status s LEFT JOIN (SELECT DISTINCT target, external_id FROM manifest) m ON m.target = s.target AND m.external_id = s.external_id WHERE s.state = 'stored'""",
+    "led_status", "manifest",
+)
+def existence_sweep(status, manifest):
+    return inventory.sweep(status, manifest)
+
+
+@query(
+    """SELECT external_id, target, CASE WHEN size % 5 = 0 THEN 'NoData' WHEN size % 7 = 0 THEN 'Unverifiable' WHEN size % 2 = 0 AND size % 3 <> 0 THEN 'Verified' ELSE 'Drift' END AS verdict
+       FROM (SELECT *, stored_bytes AS size FROM led_status)""",
+    "led_status",
+)
+def immutability_verdicts(status):
+    has = lambda n: F.col("stored_bytes") % n == 0
+    return status.select("external_id", "target", inventory.immutability_verdict(~has(5), ~has(7), has(2), ~has(3)).alias("verdict"))
+
+
+@query(f"SELECT external_id, size FROM led_object WHERE external_id > '{SAMPLE_START}' ORDER BY external_id LIMIT 100", "led_object")
+def keyset_page(objects):
+    return inventory.keyset_page(objects, "external_id", SAMPLE_START, 100)
+
+
+@query(
+    f"SELECT external_id FROM led_status WHERE target = 'a' AND state = 'stored' AND external_id <> '{SAMPLE_START}' ORDER BY external_id < '{SAMPLE_START}', external_id LIMIT 150", "led_status"
+)
+def rotating_sample(status):
+    return inventory.rotating_sample(ledger.stored_ids(status, "a"), "external_id", SAMPLE_START, 150)
+
+
+@query(
+    """SELECT external_id, target, fault FROM (
+         SELECT external_id, target, 'object' AS fault FROM led_status s WHERE NOT EXISTS (SELECT 1 FROM led_object o WHERE o.external_id = s.external_id AND o.size % 3 <> 0)
+         UNION ALL SELECT external_id, target, 'state' FROM led_status WHERE state NOT IN ('stored', 'failed'))""",
+    "led_object", "led_status",
+)
+def ledger_faults(objects, status):
+    return ledger.status_faults(objects.where("size % 3 <> 0"), status)
+
+
+@query(
+    """WITH w AS (SELECT target, seq, sum(CASE WHEN CAST(external_id AS INT) % 3 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY target ORDER BY seq ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS n FROM attempt)
+       SELECT target, min(seq) AS tripped_at FROM w WHERE n >= 4 GROUP BY target""",
+    "attempt",
+)
+def circuit_trips(attempts):
+    return inventory.circuit_trips(attempts.select("target", "seq", (F.col("external_id").cast("int") % 3 != 0).alias("ok")), 4)
+
+
+@query(
+    """SELECT external_id, substr(external_id, 1, 2) || '/' || substr(external_id, 3, 2) || '/' || external_id AS place, regexp_full_match(external_id, '[0-9a-f]{64}') AS valid
+       FROM led_object""",
+    "led_object",
+)
+def object_places(objects):
+    return objects.select("external_id", scalars.shard_key(F.col("external_id")).alias("place"), scalars.is_content_hash(F.col("external_id")).alias("valid"))
+
+
+@query(
+    """SELECT target, count(*) FILTER (state = 'stored') AS stored, count(*) FILTER (state = 'failed') AS failed, CAST(sum(stored_bytes) AS BIGINT) AS bytes FROM attempt GROUP BY target""",
+    "attempt",
+)
+def attempt_metrics(attempts):
+    return metrics.by_target(attempts)
+
+
+@query(
+    """SELECT '{"externalID":"' || o.external_id || '","size":' || o.size || '}' AS value FROM led_object o JOIN led_status s USING (external_id) WHERE s.target = 'a' AND s.state = 'stored'""",
+    "led_object", "led_status",
+)
+def manifest_export(objects, status):
+    from ..sources.manifests import manifest_lines
+
+    return manifest_lines(ledger.stored_objects(objects, status, "a").select("external_id", "size"))
+
+
+def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SHA3-256 of every document; neither engine has it built in."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", scalars.sha3_256_hex(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("external_id"))
+
+
+QUERIES["content_hashes"] = content_hashes
