@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ._common import small, written
 
 #: Rows of one source that one bucket holds, about; buckets, not sources, are the unit of sorting.
-ROWS_PER_BUCKET = 20_000
+ROWS_PER_BUCKET = 4_000
 #: A source's target and a row's repeats stop at so many times its size.
 MOST_EPOCHS = 3
 KEY_BITS = 52
