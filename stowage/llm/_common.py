@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,11 +16,12 @@ BROADCAST_ROWS = 500_000
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors and the driver share, from spark.checkpoint.dir; a temporary one where it is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-stowage-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
+
+
+@cache
+def _own_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="spark-stowage-")
 
 
 def scratch(spark: SparkSession, label: str) -> str:
@@ -40,6 +42,11 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def sized(df: DataFrame, rows: int, per_task: int = 50_000) -> DataFrame:
+    """``df`` of about so many narrow ``rows`` in as many tasks as they need, where shuffles are cut for larger tables."""
+    return df.coalesce(max(1, -(-rows // per_task)))
+
+
 def text_of(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id (long), text (null as empty) and the columns ``more``; whatever else ``docs`` holds is left out."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
