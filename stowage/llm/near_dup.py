@@ -2,9 +2,11 @@
 
 One Arrow pass gives every document the digest of its shingle set and, from 128 permutations, 128 minima and 128
 maxima; these 256 values are banded. Documents with one set are one class, named by its smallest doc_id. Classes
-that share a band are candidates. In each band the smallest class is compared with the others, which joins most
-groups of copies at a linear cost; what is still apart is compared pair by pair, but only across components. Each
-link is confirmed on the full sets of 64-bit shingle hashes.
+that share a band are candidates. Each class is first compared with one other, the smallest class of a band, which
+joins most groups of copies at a linear cost. The classes of a band that are still apart are then compared in blocks
+of bounded size: a block's task compares signatures, across components only, and keeps for every class its likely
+partners; a second task confirms these on the full sets of 64-bit shingle hashes and returns the links that join
+something, so no list of pairs is written or shuffled. A pair is compared in the first band that it shares.
 """
 
 from __future__ import annotations
@@ -13,18 +15,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import small, text_of, written
+from ._common import sized, small, text_of, written
 from ._words import U, buffers, mix, slices, word_hashes
-from .components import components
+from .components import components, forest_roots
 
 #: A pair with Jaccard similarity s shares no band with probability (1 - s**6)**42: 3e-6 at 0.8, 2e-9 at 0.85.
 PERMUTATIONS, ROWS, BANDS = 128, 6, 42
-#: Pairs across components are listed at once if there are at most so many for each candidate row; else by another round of least classes.
-PAIRS_PER_ROW = 8
-ROUNDS = 6
+#: Classes on either side of a block; a band's larger groups become several blocks.
+CHUNK = 800
+VALUES = BANDS * ROWS
+#: Deviations of a signature's agreement that a linked pair may be below its mean.
+DEVIATIONS = 5
 
 _RNG = np.random.default_rng(8)
 _A = _RNG.integers(0, 1 << 31, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -63,10 +67,11 @@ def signature(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return least, most
 
 
-def bands(shingles: np.ndarray) -> np.ndarray:
-    """Hashes of the bands of the minima and maxima, in turn; the band's number is part of its hash."""
-    values = np.stack(signature(shingles), axis=1).reshape(-1)[: BANDS * ROWS].astype(U).reshape(BANDS, ROWS)
-    return mix((values * _BAND_PLACE).sum(axis=1, dtype=U) + np.arange(BANDS, dtype=U)).view(np.int64)
+def bands(shingles: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """Hashes of the bands of the minima and maxima, in turn, the band's number in each; and a byte of every value with four of every band's hash."""
+    values = np.stack(signature(shingles), axis=1).reshape(-1)[: BANDS * ROWS].astype(U)
+    hashes = mix((values.reshape(BANDS, ROWS) * _BAND_PLACE).sum(axis=1, dtype=U) + np.arange(BANDS, dtype=U)).view(np.int64)
+    return hashes, (mix(values) & U(255)).astype(np.uint8).tobytes() + hashes.astype(np.uint32).tobytes()
 
 
 def _list_array(parts: list[np.ndarray]) -> pa.Array:
@@ -76,23 +81,24 @@ def _list_array(parts: list[np.ndarray]) -> pa.Array:
 
 
 def profiles(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, the set's 128-bit digest (hi, lo) and its band hashes (none without words)."""
+    """doc_id, n_shingles, the set's 128-bit digest (hi, lo), its band hashes (none without words) and its signature in short."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = list(shingle_sets(*buffers(part.column("text")), k))
                 mixed = [mix(s ^ U(0xA5A5A5A5A5A5A5A5)) for s in sets]
+                banded = [bands(s) if len(s) else (np.zeros(0, np.int64), b"") for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(np.array([s.sum(dtype=U) for s in sets], U).view(np.int64)), pa.array(np.array([s.sum(dtype=U) for s in mixed], U).view(np.int64)),
-                        _list_array([bands(s) if len(s) else np.zeros(0, np.int64) for s in sets]),
+                        _list_array([b for b, _ in banded]), pa.array([v for _, v in banded], pa.binary()),
                     ],
-                    ["doc_id", "n_shingles", "hi", "lo", "bands"],
+                    ["doc_id", "n_shingles", "hi", "lo", "bands", "bytes"],
                 )
 
-    return text_of(docs).mapInArrow(run, "doc_id long, n_shingles long, hi long, lo long, bands array<long>")
+    return text_of(docs).mapInArrow(run, "doc_id long, n_shingles long, hi long, lo long, bands array<long>, bytes binary")
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -104,8 +110,150 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     return text_of(docs).mapInArrow(run, "cls long, shingles array<long>")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union."""
+def _least(percent: int) -> int:
+    """Of two linked sets' VALUES signature bytes, so many agree at least.
+
+    With similarity s a byte agrees with probability s + (1 - s) / 256; the deviation of the mean is at most
+    sqrt(s * (1 - s) / VALUES), 0.025 at 0.8.
+    """
+    s = percent / 100
+    return int(VALUES * (s - DEVIATIONS * (s * (1 - s) / VALUES) ** 0.5))
+
+
+def _groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
+    """Runs of rows that are alike in the keys, of rows that are sorted by them."""
+    waiting: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        changes = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        edges = [0, *changes.tolist(), batch.num_rows]
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            own = tuple(c[lo] for c in columns)
+            if waiting and own != last:
+                yield pa.Table.from_batches(waiting)
+                waiting = []
+            waiting.append(batch.slice(lo, hi - lo))
+            last = own
+    if waiting:
+        yield pa.Table.from_batches(waiting)
+
+
+def _blocks(state: DataFrame) -> DataFrame:
+    """The rows of state (band, at, cls, n, root), by block: band, l, c, role.
+
+    A group of at most CHUNK classes is one block, role 2: each with each. Of a larger one, all classes are dealt into
+    columns (role 0), and those outside the group's largest component also into lines (role 1); each block is a line
+    against a column. So a component however large costs no more than its rows times what is apart from it.
+    """
+    counts = state.groupBy("band", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("band").agg(F.sum("k").alias("m"), F.max(F.struct("k", "root")).alias("top"))
+    n = state.count()
+    counts = written(sized(counts.select("band", "m", F.col("top.root").alias("top"), (F.col("m") - F.col("top.k")).alias("rest")), n), "near-counts")
+    lines, columns = F.greatest(F.lit(1), F.ceil(F.col("rest") / CHUNK)).cast("int"), F.ceil(F.col("m") / CHUNK).cast("int")
+    place = lambda of, salt: F.pmod(F.xxhash64("cls", F.lit(salt)), of).cast("int")
+    cell = lambda l, c, role: F.struct(l.cast("int").alias("l"), c.cast("int").alias("c"), F.lit(role).alias("role"))
+    right = F.transform(F.sequence(F.lit(0), lines - 1), lambda l: cell(l, place(columns, 1), 0))
+    left = F.when(F.col("root") != F.col("top"), F.transform(F.sequence(F.lit(0), columns - 1), lambda c: cell(place(lines, 2), c, 1))).otherwise(F.array().cast("array<struct<l:int,c:int,role:int>>"))
+    cells = F.when(F.col("m") <= CHUNK, F.array(cell(F.lit(0), F.lit(0), 2))).otherwise(F.concat(right, left))
+    return state.join(counts, "band").where("rest > 0").select("band", "at", "cls", "n", "root", F.explode(cells).alias("x")).select("band", "x.l", "x.c", "x.role", "at", "cls", "n", "root")
+
+
+def _likely(blocks: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+    """band, l, c, cls, partners: of each block the classes with a likely partner there; a pair is listed with one of its two."""
+    least = _least(percent)
+
+    def pairs_of(group: pa.Table) -> pa.RecordBatch | None:
+        get = lambda c: group.column(c).to_numpy()
+        cls, n, root, role, at = get("cls"), get("n"), get("root"), get("role"), int(group.column("at")[0].as_py())
+        raw = np.frombuffer(b"".join(group.column("bytes").to_pylist()), np.uint8).reshape(len(cls), -1)
+        sig, shared = np.ascontiguousarray(raw[:, :VALUES]), np.ascontiguousarray(raw[:, VALUES:]).view(np.uint32)
+        lines, columns = np.flatnonzero(role > 0), np.flatnonzero(role != 1)
+        partners: dict[int, np.ndarray] = {}
+        for lo in range(0, len(lines), 32):
+            x = lines[lo : lo + 32]
+            fits = (root[x][:, None] != root[columns][None]) & (100 * np.minimum(n[x][:, None], n[columns][None]) >= percent * np.maximum(n[x][:, None], n[columns][None]))
+            if role[0] == 2:
+                fits &= cls[x][:, None] < cls[columns][None]
+            i, j = np.nonzero(fits)
+            for part in range(0, len(i), 1 << 14):
+                a, b = x[i[part : part + (1 << 14)]], columns[j[part : part + (1 << 14)]]
+                good = (sig[a] == sig[b]).sum(axis=1) >= least
+                a, b = a[good], b[good]
+                good = (shared[a] == shared[b]).argmax(axis=1) == at
+                a, b = a[good], b[good]
+                for own in np.unique(a).tolist():
+                    partners[own] = np.concatenate([partners.get(own, np.zeros(0, np.int64)), cls[b[a == own]]])
+        if not partners:
+            return None
+        named = {int(cls[k]): v for k, v in partners.items()}
+        every = np.unique(np.concatenate([np.array(list(named), np.int64), *named.values()]))
+        one = lambda c, t: pa.array([group.column(c)[0].as_py()] * len(every), t)
+        lists = pa.array([named[k].tolist() if k in named else [] for k in every.tolist()], pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([one("band", pa.int64()), one("l", pa.int32()), one("c", pa.int32()), pa.array(every), lists], ["band", "l", "c", "cls", "partners"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, "band", "l", "c"):
+            if group.num_rows > 1 and (found := pairs_of(group)) is not None:
+                yield found
+
+    rows = blocks.join(signatures, "cls").repartition("band", "l", "c").sortWithinPartitions("band", "l", "c")
+    return rows.select("band", "l", "c", "role", "at", "cls", "n", "root", "bytes").mapInArrow(run, "band long, l int, c int, cls long, partners array<long>")
+
+
+def _links(likely: DataFrame, docs: DataFrame, k: int, percent: int, n: int) -> DataFrame:
+    """The links (a, b) among likely partners, confirmed on the full sets; of each block as many as join its classes."""
+
+    def links_of(group: pa.Table) -> tuple[list[int], list[int]]:
+        cls = group.column("cls").to_pylist()
+        sets = [np.asarray(x.values).view(U) for x in group.column("shingles")]
+        of: dict[int, list[int]] = {}
+        for i, c in enumerate(cls):
+            of.setdefault(c, []).append(i)
+        sizes = np.array([len(x) for x in sets])
+        terms, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        ends = np.cumsum(sizes)
+        mark, parent, a, b = np.zeros(len(terms), np.int64), {c: c for c in of}, [], []
+
+        def root(c: int) -> int:
+            while parent[c] != c:
+                parent[c] = c = parent[parent[c]]
+            return c
+
+        for i, partners in enumerate(group.column("partners").to_pylist()):
+            others = [j for p in partners or [] for j in of.get(p, ())]
+            if not others:
+                continue
+            mark[flat[ends[i] - sizes[i] : ends[i]]] = 1
+            for j in others:
+                shared = int(mark[flat[ends[j] - sizes[j] : ends[j]]].sum())
+                if 100 * shared >= percent * (sizes[i] + sizes[j] - shared) and (x := root(cls[i])) != (y := root(cls[j])):
+                    parent[max(x, y)] = min(x, y)
+                    a.append(cls[i])
+                    b.append(cls[j])
+            mark[flat[ends[i] - sizes[i] : ends[i]]] = 0
+        return a, b
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, "band", "l", "c"):
+            a, b = links_of(group)
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    rows = likely.join(_wanted_sets(docs, likely.select(F.col("cls").alias("doc_id")), k, n), "cls").repartition("band", "l", "c").sortWithinPartitions("band", "l", "c")
+    return rows.select("band", "l", "c", "cls", "partners", "shingles").mapInArrow(run, "a long, b long")
+
+
+def _wanted_sets(docs: DataFrame, ids: DataFrame, k: int, n: int) -> DataFrame:
+    """cls, shingles of the documents with these ids (doc_id)."""
+    wanted = written(sized(ids.distinct(), n), "near-wanted")
+    return written(_sets(text_of(docs).join(small(wanted, wanted.count()), "doc_id", "left_semi"), k), "near-sets")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of doc_ids with 100 * intersection >= percent * union of the full sets."""
+    sets = _wanted_sets(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), k, pairs.count())
     right = pairs.join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb")), "b")
     both = right.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")), "a")
     shared = F.size(F.array_intersect("sa", "sb"))
@@ -122,41 +270,37 @@ def near_dup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     other. An empty table gives no rows. Columns other than doc_id and text are not looked at.
     """
     rows = written(profiles(docs, k), "near-profiles")
-    classes = written(rows.where("n_shingles > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("cls")), "near-classes")
+    n = rows.count()
+    classes = written(sized(rows.where("n_shingles > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("cls")), n), "near-classes")
     named = rows.where("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "hi", "lo")
-    members = written(named.join(classes, ["hi", "lo"]), "near-members")
+    members = written(sized(named.join(classes, ["hi", "lo"]), n), "near-members")
     heads = members.where("doc_id = cls").select("cls", "hi", "lo").distinct()
     banded = rows.where("doc_id is not null").join(heads.withColumnRenamed("cls", "doc_id"), ["doc_id", "hi", "lo"])
-    banded = written(banded.select(F.col("doc_id").alias("cls"), F.col("n_shingles").alias("n"), F.explode("bands").alias("band")), "near-bands")
-    shared = written(banded.groupBy("band").agg(F.min("cls").alias("a"), F.max("cls").alias("z")).where("a < z").select("band"), "near-shared")
-    live = written(banded.join(shared, "band"), "near-live")
-    wanted = written(live.select(F.col("cls").alias("doc_id")).distinct(), "near-wanted")
-    sets = written(_sets(text_of(docs).join(small(wanted, wanted.count()), "doc_id", "left_semi"), k), "near-sets")
+    banded = written(sized(banded.select(F.col("doc_id").alias("cls"), F.col("n_shingles").alias("n"), F.posexplode("bands").alias("at", "band")), n, 5_000), "near-bands")
+    shared = banded.groupBy("band").agg(F.min("cls").alias("a"), F.max("cls").alias("z")).where("a < z").select("band")
+    shared = written(sized(shared, n, 5_000), "near-shared")
+    live = written(sized(banded.join(shared, "band"), n, 5_000), "near-live")
+    candidates = written(sized(live.select("cls").distinct(), n), "near-candidates")
+    signatures = rows.where("doc_id is not null").join(small(candidates.withColumnRenamed("cls", "doc_id"), candidates.count()), "doc_id", "left_semi")
+    signatures = signatures.join(heads.withColumnRenamed("cls", "doc_id"), ["doc_id", "hi", "lo"]).select(F.col("doc_id").alias("cls"), "bytes")
+    signatures = written(sized(signatures, n, 10_000), "near-signatures")
 
     # a doc_id on several rows joins the classes these are in
     first = members.groupBy("doc_id").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a < b").select("doc_id", "a")
-    edges = written(members.join(first, "doc_id").where("cls <> a").select("a", F.col("cls").alias("b")), "near-links")
+    edges = written(sized(members.join(first, "doc_id").where("cls <> a").select("a", F.col("cls").alias("b")), n), "near-links")
     roots = None if edges.isEmpty() else written(components(edges), "near-roots")
-    for turn in range(ROUNDS + 1):
-        state = live.withColumn("root", F.col("cls")) if roots is None else _rooted(live, roots)
-        tops = state.groupBy("band").agg(F.min("root").alias("r"), F.max("root").alias("q"), F.min("cls").alias("head"), F.min(F.struct("cls", "n", "root")).alias("top"), F.count(F.lit(1)).alias("m"))
-        tops = written(tops.where("r < q").select("band", "m", "head", F.col("top.n").alias("head_n"), F.col("top.root").alias("head_root")), "near-tops")
-        state = written(state.join(tops.drop("m"), "band"), "near-apart")
-        if state.isEmpty():
-            break
-        last = turn == ROUNDS or turn > 0 and _pairs_ahead(state, tops) <= PAIRS_PER_ROW
-        if last:
-            other = state.select("band", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-            pairs = state.select("band", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra")).join(other, "band").where("a < b and ra <> rb")
-        else:
-            pairs = state.where("cls <> head and root <> head_root").select(F.col("head").alias("a"), F.col("cls").alias("b"), F.col("head_n").alias("na"), F.col("n").alias("nb"))
-            live = state.where("cls <> head").select("cls", "n", "band")
-        # a set can't make up the share of one that is larger by more
-        pairs = pairs.where(F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")).select("a", "b").distinct()
-        edges = written(edges.union(_confirmed(written(pairs, "near-pairs"), sets, percent)), "near-links")
-        roots = written(components(edges), "near-roots")
-        if last:
-            break
+    n_live = live.count()
+    if n_live:
+        # each class with one other only: of the heads of its bands the one it meets in most
+        top = written(sized(live.groupBy("band").agg(F.min(F.struct("cls", "n")).alias("top")).select("band", F.col("top.cls").alias("head"), F.col("top.n").alias("head_n")), n_live), "near-heads")
+        below = live.join(top, "band").where("cls <> head").where(_sizes_fit("n", "head_n", percent))
+        met = below.groupBy("cls", "head").agg(F.count(F.lit(1)).alias("k")).groupBy(F.col("cls").alias("b")).agg(F.max(F.struct("k", (-F.col("head")).alias("head"))).alias("most"))
+        pairs = written(sized(met.select((-F.col("most.head")).alias("a"), "b"), n_live), "near-pairs")
+        roots = _joined(roots, written(sized(_confirmed(pairs, docs, k, percent), n_live), "near-links"))
+        # then, by blocks, all that share a band and are apart
+        state = written(sized(_rooted(live, roots), n_live), "near-state")
+        likely = written(sized(_likely(_blocks(state), signatures, percent), n_live, 10_000), "near-likely")
+        roots = _joined(roots, written(sized(_links(likely, docs, k, percent, n_live), n_live), "near-links"))
 
     found = members.withColumn("root", F.col("cls")) if roots is None else _rooted(members, roots)
     found = found.select("doc_id", "n_shingles", F.col("root").alias("component_id"))
@@ -170,12 +314,23 @@ def representatives(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     return docs.join(small(gone, gone.count()), F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
 
 
-def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    return rows.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+def _sizes_fit(a: str, b: str, percent: int) -> Column:
+    """Whether a set can make up the share of the other at all."""
+    return F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
 
 
-def _pairs_ahead(state: DataFrame, tops: DataFrame) -> float:
-    """Pairs across components within bands, for each row of these bands."""
-    within = state.groupBy("band", "root").agg(F.count(F.lit(1)).cast("double").alias("c")).agg(F.sum(F.col("c") * F.col("c")).alias("s"), F.sum("c").alias("n")).first()
-    pairs = tops.agg(F.sum(F.col("m").cast("double") * F.col("m"))).first()[0]
-    return (pairs - within["s"]) / 2 / max(1.0, within["n"])
+def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """node, root after more links: these become links of roots, which are few, and roots move on to theirs."""
+    if roots is None:
+        return written(sized(forest_roots(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), links.count()), "near-roots")
+    named = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    over = links.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    moved = written(sized(components(sized(over.distinct(), links.count())), links.count()), "near-moved").select(F.col("node").alias("root"), F.col("root").alias("over"))
+    n = roots.count() + 1
+    up = roots.join(moved, "root", "left").select("node", F.coalesce("over", "root").alias("root"))
+    fresh = moved.select(F.col("root").alias("node"), F.col("over").alias("root")).join(roots.select("node"), "node", "left_anti")
+    return written(sized(up.union(fresh), n), "near-roots")
+
+
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    return rows.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
