@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import hashlib
 import os
+import urllib.error
+import urllib.request
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
@@ -41,6 +43,10 @@ class Corrupt(Exception):
     """The bytes aren't those of the hash."""
 
 
+class SourceGone(OSError):
+    """The source says that it doesn't have the object and won't."""
+
+
 def verified(blocks: Iterator[bytes], digest: str, most: int = MOST_BYTES) -> Iterator[bytes]:
     """The blocks; raises at the end where they hash to something else, and on the way where they are too many."""
     seen, size = hashlib.sha3_256(), 0
@@ -60,6 +66,24 @@ def blocks_of(path: str) -> Iterator[bytes]:
             yield block
 
 
+def blocks_from(url: str, timeout_s: float = 1800) -> Iterator[bytes]:
+    """Content from a file path or over HTTP; 404 and 410 are final, everything else may be tried again."""
+    if not url.startswith(("http://", "https://")):
+        yield from blocks_of(url)
+        return
+    try:
+        with urllib.request.urlopen(url, timeout=timeout_s) as f:
+            while block := f.read(BLOCK):
+                yield block
+    except urllib.error.HTTPError as e:
+        raise (SourceGone if e.code in (404, 410) else OSError)(f"{url}: {e.code}") from e
+
+
+def circuit_counts(aborted: bool, stream_verified: bool, deadline: bool) -> bool:
+    """Whether a transfer's failures say something about the targets: an aborted one only if the content was right and time ran out."""
+    return not aborted or (stream_verified and deadline)
+
+
 def _decompressed(path: str) -> Iterator[bytes]:
     with open(path, "rb") as f, zstandard.ZstdDecompressor().stream_reader(f, read_across_frames=True) as reader:
         while block := reader.read(BLOCK):
@@ -182,7 +206,7 @@ def backup(items: DataFrame, stores: Sequence[Store]) -> DataFrame:
         for batch in batches:
             rows = []
             for digest, path, pending in zip(batch["external_id"], batch["path"], batch["pending"], strict=True):
-                rows += [(digest, *r) for r in fan_out(digest, blocks_of(path), [by_name[p] for p in pending])]
+                rows += [(digest, *r) for r in fan_out(digest, blocks_from(path), [by_name[p] for p in pending])]
             yield pd.DataFrame(rows, columns=["external_id", "target", "state", "stored_bytes", "error"])
 
     return items.select("external_id", "path", "pending").mapInPandas(run, "external_id string, target string, state string, stored_bytes long, error string")

@@ -70,6 +70,13 @@ def failed(verdict: Column, exempt: Column) -> Column:
     return ~F.coalesce(verdict.isin(VERIFIED, NO_DATA) | ((verdict == UNVERIFIABLE) & exempt), F.lit(False))
 
 
+def report(verdicts: DataFrame) -> DataFrame:
+    """One row over target, verdict, failed: targets, those that failed, by name, and whether the whole run passes (nothing judged doesn't)."""
+    names = F.array_join(F.sort_array(F.collect_list(F.when(F.col("failed"), F.concat_ws(": ", "target", "verdict")))), "; ")
+    bad = F.count(F.when(F.col("failed"), 1))
+    return verdicts.agg(F.count(F.lit(1)).alias("targets"), bad.alias("failed"), names.alias("failures"), ((bad == 0) & (F.count(F.lit(1)) > 0)).alias("passed"))
+
+
 def exempt(worm: Column, readable: Column) -> Column:
     """A write-once target that lets nobody read can't be blamed for that."""
     return worm & ~readable

@@ -102,6 +102,11 @@ def reap_stale(queue: DataFrame, as_of: Column, ttl_s: int = STALE_S, most: int
     )
 
 
+def dead_lettered(reaped: DataFrame) -> DataFrame:
+    """One row: claims that were reaped, and those of them that are given up."""
+    return reaped.where("reaped").agg(F.count(F.lit(1)).alias("reaped"), F.count(F.when(F.col("status") == "dead_letter", 1)).alias("dead_lettered"))
+
+
 def outcome(ok: Column, shutdown: Column, gone: Column, deferred: Column) -> Column:
     """How a claimed row is settled; the first that holds."""
     return F.when(ok, "done").when(shutdown, "released").when(gone, "skipped").when(deferred, "deferred").otherwise("failed")

@@ -223,6 +223,15 @@ def reap_stale(outbox):
     return queue.reap_stale(outbox, as_of()).select("id", "status", "deliveries", "last_error", "reaped")
 
 
+@query(
+    f"""SELECT count(*) AS reaped, count(*) FILTER (coalesce(deliveries, 0) + 1 >= 50) AS dead_lettered
+        FROM outbox WHERE status = 'in_progress' AND (claimed_at IS NULL OR claimed_at < {_NOW} - INTERVAL '3600' SECOND)""",
+    "outbox",
+)
+def reaped_counts(outbox):
+    return queue.dead_lettered(queue.reap_stale(outbox, as_of()))
+
+
 @query(
     f"""SELECT id, CASE WHEN status = 'in_progress' THEN 'pending' ELSE status END AS status, CASE WHEN status = 'in_progress' THEN 0 ELSE attempts END AS attempts,
                CASE WHEN status = 'in_progress' THEN {_NOW} + INTERVAL '180' SECOND ELSE visible_at END AS visible_at
@@ -310,6 +319,17 @@ def audit_verdict(listing):
     return judged.withColumns({"failed": inventory.failed(F.col("verdict"), inventory.exempt(is_c, ~is_c)), "fine": fine, "probe_worked": worked})
 
 
+@query(
+    f"""SELECT count(*) AS targets, count(*) FILTER (extra > 0) AS failed, coalesce(string_agg(target || ': Drift', '; ' ORDER BY target) FILTER (extra > 0), '') AS failures,
+               count(*) FILTER (extra > 0) = 0 AS passed
+        FROM ({_DIFF})""",
+    "manifest", "led_status",
+)
+def inventory_report(manifest, status):
+    judged = inventory.inventory_diff(manifest, status).select("target", inventory.inventory_verdict().alias("verdict"))
+    return inventory.report(judged.withColumn("failed", inventory.failed(F.col("verdict"), F.lit(False))))
+
+
 @query(
     """SELECT s.target, s.external_id, m.external_id IS NOT NULL AS present
        FROM led_status s LEFT JOIN (SELECT DISTINCT target, external_id FROM manifest) m ON m.target = s.target AND m.external_id = s.external_id WHERE s.state = 'stored'""",

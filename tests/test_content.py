@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stowage.operators import content, inventory, ledger
 from stowage.operators.content import Store
-from stowage.sources import manifests, settings
+from stowage.sources import manifests, settings, tables
 from stowage.streaming import circuit, consumer
 
 
@@ -172,3 +172,50 @@ def test_redelivery_timer(spark, tmp_path):
         time.sleep(1)
     q.stop()
     assert [(r.id, r.deliveries, r.status) for r in spark.table("again").collect()] == [(1, 1, "pending")]
+
+
+def test_sources_over_http(spark, stores, tmp_path):
+    import http.server
+    import threading
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            code = {"/x": 200, "/gone": 410}.get(self.path, 503)
+            self.send_response(code)
+            self.end_headers()
+            self.wfile.write(b"x" if code == 200 else b"")
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    items = spark.createDataFrame([(sha3(b"x"), f"{base}/x", ["a"])], "external_id string, path string, pending array<string>")
+    assert [(r.state, r.stored_bytes) for r in content.backup(items, stores).collect()] == [("stored", 1)]
+    with pytest.raises(content.SourceGone):
+        list(content.blocks_from(f"{base}/gone"))
+    with pytest.raises(OSError) as e:
+        list(content.blocks_from(f"{base}/later"))
+    assert not isinstance(e.value, content.SourceGone)
+    server.shutdown()
+
+
+def test_tables_probe_and_listing(spark, stores, tmp_path):
+    folder = str(tmp_path / "ledger")
+    assert set(tables.migrate(spark, folder)) == set(tables.SCHEMAS) and tables.migrate(spark, folder) == []
+    for name in tables.SCHEMAS:
+        df = spark.read.parquet(f"{folder}/{name}")
+        assert tables.drift(df, name) == [] and len(tables.drift(df.drop(df.columns[0]), name)) == 1
+    with pytest.raises(OSError):
+        tables.stored_listing(spark, stores[0])
+    tables.preflight(stores[0])
+    digest = put(stores[0], b"x")
+    listed = tables.stored_listing(spark, stores[0])
+    assert [tuple(r) for r in listed.collect()] == [("a", digest)]
+    status = spark.createDataFrame([(digest, "a", "stored"), ("f" * 64, "a", "stored")], "external_id string, target string, state string")
+    assert {r.external_id: r.present for r in inventory.sweep(status, listed).collect()} == {digest: True, "f" * 64: False}
+
+
+def test_circuit_rule_for_aborted_transfers():
+    assert [content.circuit_counts(*x) for x in ((False, False, False), (True, True, True), (True, True, False), (True, False, True))] == [True, True, False, False]
