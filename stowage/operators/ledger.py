@@ -60,10 +60,11 @@ def replication_gaps(objects: DataFrame, status: DataFrame, targets: Sequence[st
 
 def coverage(objects: DataFrame, status: DataFrame, targets: Sequence[str]) -> DataFrame:
     """One row: objects, those on all targets, and the rest; without targets there are no gaps."""
-    full = status.where(on_targets(targets)).groupBy("external_id").agg(F.count_distinct("target").alias("n")).where(F.col("n") == len(targets))
-    counts = objects.agg(F.count(F.lit(1)).alias("objects")).crossJoin(full.join(objects.select("external_id"), "external_id", "left_semi").agg(F.count(F.lit(1)).alias("covered")))
-    gaps = F.col("objects") - F.col("covered") if targets else F.lit(0).cast("long")
-    return counts.select("objects", "covered", gaps.alias("gaps"))
+    held = status.where(on_targets(targets)).select("external_id", "target").distinct().groupBy("external_id").agg(F.count(F.lit(1)).alias("n"))
+    found = objects.select("external_id").join(held, "external_id", "left")
+    covered = F.count(F.when(F.col("n") == len(targets), 1))
+    gaps = F.count(F.lit(1)) - covered if targets else F.lit(0).cast("long")
+    return found.agg(F.count(F.lit(1)).alias("objects"), covered.alias("covered"), gaps.alias("gaps"))
 
 
 def rpo_lag(status: DataFrame, targets: Sequence[str], as_of: Column) -> DataFrame:
