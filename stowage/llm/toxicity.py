@@ -1,7 +1,7 @@
 """Toxicity by a classifier chain.
 
-Terms (words, and runs of bytes inside words, so that endings and compounds don't hide a stem) that mark toxic
-labelled documents are found by a grouped count over the labelled sample. Logistic models
+Terms (words, beginnings of words and runs of bytes inside words, so that endings and compounds don't hide a stem)
+that mark toxic labelled documents are found by a grouped count over the labelled sample. Logistic models
 then predict the categories one after the other; each later model also gets the probabilities of the earlier
 categories, out of fold in training and from the full models when scoring.
 """
@@ -23,9 +23,10 @@ from ._words import FOLDED, U, buffers, mix, slices, word_hashes
 CATEGORIES = ("insult", "repeated", "toxic")
 #: Labelled rows that the models are fitted on, about; a hash of doc_id chooses them where there are more.
 LABELLED_ROWS = 12_000
-TERMS = 160
-#: Bytes of a run inside a word.
+TERMS = 240
+#: Bytes of a run inside a word, and of beginnings.
 RUN = 6
+BEGINNINGS = (4, 5)
 FOLDS = 5
 RIDGE = 0.3
 REJECT = 0.5
@@ -41,20 +42,29 @@ _LOWER[ord("A") : ord("Z") + 1] += 32
 
 
 def terms_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words and of all runs of RUN bytes inside words, and the row each is in (not in text order)."""
+    """Hashes of all words, their beginnings, and all runs of RUN bytes inside words, and the row each is in (not in text order)."""
     words, rows = word_hashes(data, offsets, BREAKS, FOLDED)
+    at = offsets - offsets[0]
     data = data[offsets[0] : offsets[-1]]
-    n = max(0, len(data) - RUN + 1)
-    low = _LOWER[data]
-    runs, whole = np.zeros(n, U), np.ones(n, bool)
+    apart, low = BREAKS[data], _LOWER[data]
+    new_row = np.zeros(len(data) + 1, bool)
+    new_row[at] = True
+    first = ~apart
+    first[1:] &= apart[:-1] | new_row[1:-1]
+    hashes, places = [words], []
+    value, whole = np.zeros(len(data), U), np.ones(len(data), bool)
     for j in range(RUN):
-        runs |= low[j : j + n].astype(U) << U(8 * j)
-        whole &= ~BREAKS[data[j : j + n]]
-    for edge in np.unique(offsets[1:-1] - offsets[0]).tolist():
-        whole[max(0, edge - RUN + 1) : edge] = False
-    at = np.flatnonzero(whole)
-    row = np.concatenate([np.searchsorted(rows, np.arange(len(words)), side="right"), np.searchsorted(offsets - offsets[0], at, side="right")]) - 1
-    return np.concatenate([words, mix(runs[at] | U(1 << 56))]), row
+        n = max(0, len(data) - j)
+        value, whole = value[:n] | (low[j:].astype(U) << U(8 * j)), whole[:n] & ~apart[j:]
+        if j:
+            whole &= ~new_row[j : j + n]
+        size = j + 1
+        if size == RUN or size in BEGINNINGS:
+            here = np.flatnonzero(whole if size == RUN else whole & first[:n])
+            hashes.append(mix(value[here] | U((1 if size == RUN else size) << 56)))
+            places.append(here)
+    row = [np.searchsorted(rows, np.arange(len(words)), side="right") - 1, *(np.searchsorted(at, p, side="right") - 1 for p in places)]
+    return np.concatenate(hashes), np.concatenate(row)
 
 
 @dataclass
@@ -156,9 +166,13 @@ def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS)
     stats = sample.mapInArrow(words, "term long, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
     totals = sample.agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).first()
     n_toxic, n_clean = totals["t"] or 0, totals["c"] or 0
-    odds = F.log((F.col("t") + 0.5) / (n_toxic - F.col("t") + 0.5)) - F.log((F.col("c") + 0.5) / (n_clean - F.col("c") + 0.5))
-    score = odds / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
-    top = stats.where(F.col("t") + F.col("c") >= MARK_ROWS).withColumn("score", score).orderBy(F.desc("score"), "term").limit(TERMS).collect() if n_toxic and n_clean else []
+    # by how much the term's share of toxic and clean documents tells them apart: the log likelihood ratio
+    t, c, n = F.col("t").cast("double"), F.col("c").cast("double"), float(max(1, n_toxic + n_clean))
+    part = lambda seen, side: seen * F.log(F.greatest(seen, F.lit(1e-9)) / (F.lit(float(max(1, side)) / n) * (t + c)))
+    rest = lambda seen, side: (side - seen) * F.log(F.greatest(side - seen, F.lit(1e-9)) / F.greatest(F.lit(float(max(1, side)) / n) * (n - t - c), F.lit(1e-9)))
+    score = part(t, n_toxic) + part(c, n_clean) + rest(t, n_toxic) + rest(c, n_clean)
+    telling = stats.where((F.col("t") + F.col("c") >= MARK_ROWS) & (t * n_clean > c * n_toxic)).withColumn("score", score)
+    top = telling.orderBy(F.desc("score"), "term").limit(TERMS).collect() if n_toxic and n_clean else []
     terms = np.array([r["term"] for r in top], np.int64).view(np.uint64)
     order = np.argsort(terms)
     terms, top = terms[order], [top[i] for i in order]
@@ -205,10 +219,8 @@ def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch.append_column("judged", batch.column("text")), "judged") if batch.num_rows else ():
-                counts = _term_counts(part, chain.terms)
-                keep = chain.probabilities(counts)[:, -1] < REJECT
-                yield part.drop_columns(["judged"]).filter(pa.array(keep))
+            for part in slices(batch, "text"):
+                yield part.filter(pa.array(chain.probabilities(_term_counts(part, chain.terms))[:, -1] < REJECT))
 
     return docs.mapInArrow(run, docs.schema)
 
