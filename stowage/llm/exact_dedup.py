@@ -27,6 +27,8 @@ STATE_CONF = {
 }
 #: Rows of one group that are compared with one copy of the text that stays.
 ROWS_PER_SALT = 500
+#: Copies of one text at most; beyond, more rows are compared with each.
+MOST_SALTS = 20_000
 #: Bytes of staged rows that one micro-batch takes.
 BATCH_BYTES = 64 << 30
 
@@ -80,7 +82,7 @@ def _run_stream(stream: DataFrame, label: str) -> DataFrame:
 def _mismatched(docs: DataFrame, groups: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
     """Digests under which a text differs from the text of the row that stays; hot groups are dealt over salted copies of it."""
     multi = written(
-        groups.where("group_size > 1").select("digest", F.col("stays.doc_id").alias("keep_id"), F.ceil(F.col("group_size") / ROWS_PER_SALT).cast("int").alias("salts")), "dedup-hits"
+        groups.where("group_size > 1").select("digest", F.col("stays.doc_id").alias("keep_id"), F.least(F.ceil(F.col("group_size") / ROWS_PER_SALT), F.lit(MOST_SALTS)).cast("int").alias("salts")), "dedup-hits"
     )
     hits = text_of(docs).withColumn("digest", digest(F.col("text"))).join(small(multi, multi.count()), "digest")
     stays = hits.where("doc_id <=> keep_id").groupBy("digest", "salts").agg(F.min("text").alias("kept_text"))
