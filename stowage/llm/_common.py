@@ -47,9 +47,21 @@ def sized(df: DataFrame, rows: int, per_task: int = 50_000) -> DataFrame:
     return df.coalesce(max(1, -(-rows // per_task)))
 
 
+#: Rows in one Arrow batch of texts, instead of Spark's 10,000; another setting of the session's own stays.
+BATCH_ROWS = 2_000
+
+
+def short_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, after seeing to it that batches of whole texts stay small in tasks."""
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, str(BATCH_ROWS))
+    return docs
+
+
 def text_of(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id (long), text (null as empty) and the columns ``more``; whatever else ``docs`` holds is left out."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
+    return short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 
 def local_path(uri: str) -> str | None:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import text_of
+from ._common import short_batches, text_of
 from ._words import FOLDED, U, buffers, mix, slices, word_hashes
 
 #: In this order. insult: toxic with a marking term; repeated: toxic with three or more; toxic: the label itself.
@@ -222,7 +222,7 @@ def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
             for part in slices(batch, "text"):
                 yield part.filter(pa.array(chain.probabilities(_term_counts(part, chain.terms))[:, -1] < REJECT))
 
-    return docs.mapInArrow(run, docs.schema)
+    return short_batches(docs).mapInArrow(run, docs.schema)
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
