@@ -80,6 +80,12 @@ def _list_array(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64), pa.int64()))
 
 
+def _digests(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The halves of each set's 128-bit digest."""
+    mixed = [mix(s ^ U(0xA5A5A5A5A5A5A5A5)) for s in sets]
+    return tuple(np.array([s.sum(dtype=U) for s in own], U).view(np.int64) for own in (sets, mixed))
+
+
 def profiles(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n_shingles, the set's 128-bit digest (hi, lo), its band hashes (none without words) and its signature in short."""
 
@@ -87,13 +93,12 @@ def profiles(docs: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = list(shingle_sets(*buffers(part.column("text")), k))
-                mixed = [mix(s ^ U(0xA5A5A5A5A5A5A5A5)) for s in sets]
+                hi, lo = _digests(sets)
                 banded = [bands(s) if len(s) else (np.zeros(0, np.int64), b"") for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array(np.array([s.sum(dtype=U) for s in sets], U).view(np.int64)), pa.array(np.array([s.sum(dtype=U) for s in mixed], U).view(np.int64)),
-                        _list_array([b for b, _ in banded]), pa.array([v for _, v in banded], pa.binary()),
+                        pa.array(hi), pa.array(lo), _list_array([b for b, _ in banded]), pa.array([v for _, v in banded], pa.binary()),
                     ],
                     ["doc_id", "n_shingles", "hi", "lo", "bands", "bytes"],
                 )
@@ -105,9 +110,20 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), _list_array(list(shingle_sets(*buffers(part.column("text")), k)))], ["cls", "shingles"])
+                sets = list(shingle_sets(*buffers(part.column("text")), k))
+                hi, lo = _digests(sets)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(hi), pa.array(lo), _list_array(sets)], ["cls", "hi", "lo", "shingles"])
+
+    return text_of(docs).mapInArrow(run, "cls long, hi long, lo long, shingles array<long>")
+
 
-    return text_of(docs).mapInArrow(run, "cls long, shingles array<long>")
+def _once(rows: DataFrame, *keys: str) -> DataFrame:
+    """One of the written rows of each key; only rows of repeated keys are shuffled with all their columns."""
+    again = written(sized(rows.groupBy(*keys).count().where("count > 1").select(*keys), rows.count()), "near-again")
+    if not (n := again.count()):
+        return rows
+    again = small(again, n)
+    return rows.join(again, [*keys], "left_anti").unionByName(rows.join(again, [*keys], "left_semi").dropDuplicates([*keys]))
 
 
 def _least(percent: int) -> int:
@@ -246,18 +262,19 @@ def _links(likely: DataFrame, docs: DataFrame, k: int, percent: int, n: int) ->
 
 
 def _wanted_sets(docs: DataFrame, ids: DataFrame, k: int, n: int) -> DataFrame:
-    """cls, shingles of the documents with these ids (doc_id)."""
+    """cls, shingles of the documents with these ids (doc_id), each set of an id once."""
     wanted = written(sized(ids.distinct(), n), "near-wanted")
-    return written(_sets(text_of(docs).join(small(wanted, wanted.count()), "doc_id", "left_semi"), k), "near-sets")
+    sets = written(_sets(text_of(docs).join(small(wanted, wanted.count()), "doc_id", "left_semi"), k), "near-sets")
+    return _once(sets, "cls", "hi", "lo").select("cls", "shingles")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of doc_ids with 100 * intersection >= percent * union of the full sets."""
+    """The pairs (a, b) of doc_ids with 100 * intersection >= percent * union of the full sets of any of their rows, each once."""
     sets = _wanted_sets(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), k, pairs.count())
     right = pairs.join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb")), "b")
     both = right.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")), "a")
     shared = F.size(F.array_intersect("sa", "sb"))
-    return both.where(F.lit(100) * shared >= F.lit(percent) * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+    return both.where(F.lit(100) * shared >= F.lit(percent) * (F.size("sa") + F.size("sb") - shared)).select("a", "b").distinct()
 
 
 def near_dup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -275,13 +292,15 @@ def near_dup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     named = rows.where("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "hi", "lo")
     members = written(sized(named.join(classes, ["hi", "lo"]), n), "near-members")
     heads = members.where("doc_id = cls").select("cls", "hi", "lo").distinct()
-    banded = rows.where("doc_id is not null").join(heads.withColumnRenamed("cls", "doc_id"), ["doc_id", "hi", "lo"])
+    # a row repeated whole is one node, so all that follows takes it once
+    once = _once(rows.where("n_shingles > 0 and doc_id is not null"), "doc_id", "hi", "lo")
+    banded = once.join(heads.withColumnRenamed("cls", "doc_id"), ["doc_id", "hi", "lo"])
     banded = written(sized(banded.select(F.col("doc_id").alias("cls"), F.col("n_shingles").alias("n"), F.posexplode("bands").alias("at", "band")), n, 5_000), "near-bands")
     shared = banded.groupBy("band").agg(F.min("cls").alias("a"), F.max("cls").alias("z")).where("a < z").select("band")
     shared = written(sized(shared, n, 5_000), "near-shared")
     live = written(sized(banded.join(shared, "band"), n, 5_000), "near-live")
     candidates = written(sized(live.select("cls").distinct(), n), "near-candidates")
-    signatures = rows.where("doc_id is not null").join(small(candidates.withColumnRenamed("cls", "doc_id"), candidates.count()), "doc_id", "left_semi")
+    signatures = once.join(small(candidates.withColumnRenamed("cls", "doc_id"), candidates.count()), "doc_id", "left_semi")
     signatures = signatures.join(heads.withColumnRenamed("cls", "doc_id"), ["doc_id", "hi", "lo"]).select(F.col("doc_id").alias("cls"), "bytes")
     signatures = written(sized(signatures, n, 10_000), "near-signatures")
 

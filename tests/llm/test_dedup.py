@@ -106,6 +106,18 @@ def test_near_awkward(spark):
     assert near_dup.near_dup(empty(spark)).count() == 0
 
 
+def test_near_repeated_rows_with_near_copies(spark):
+    base = [f"w{i}" for i in range(60)]
+    near, other = " ".join([*base[:-1], "x"]), " ".join(f"v{i}" for i in range(60))
+    chain = [" ".join([*base[:-n], *(f"z{i}" for i in range(n))]) for n in (3, 5)]
+    rows = [(1, " ".join(base))] * 3 + [(2, near)] * 2 + [(3, chain[0])] + [(4, chain[1])] * 2 + [(5, other)] * 2 + [(5, near)] * 2 + [(6, other + " y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = collections.Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dup.near_dup(docs).collect())
+    assert found == collections.Counter((i, len(shingles(t, 5)), 1, i == 1) for i, t in rows)
+    pairs = spark.createDataFrame([(1, 2), (5, 6)], "a long, b long")
+    assert sorted(map(tuple, near_dup._confirmed(pairs, docs, 5, 80).collect())) == [(1, 2), (5, 6)]
+
+
 def test_rows_that_share_an_id_join_their_classes(spark):
     a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
     docs = spark.createDataFrame([(1, a), (5, a), (5, b), (9, b)], "doc_id long, text string")
