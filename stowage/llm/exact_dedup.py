@@ -1,13 +1,15 @@
 """Exact deduplication as a stateful stream over content digests.
 
-A stream of (digest, identifier, locator) rows is folded into keyed RocksDB state that never expires. Each key
-retains its digest, the largest identifier and that row's locator, and the number of rows. Every row of a digest
-with two rows or more is a hit, and its whole text is then compared with the text of the row that stays; texts
-that share a digest but not their bytes are grouped again by digest and text.
+A stream of (digest, identifier, locator) rows is folded, in several micro-batches, into keyed RocksDB state that never
+expires. Each key retains its digest, the largest identifier and that row's locator, the key of its staged row, and
+the number of rows; a later batch finds there what earlier ones left. The staged row of that key is the one that
+stays. Every row of a digest with two rows or more is a hit, and its whole text is then compared with the text of the
+row that stays; texts that share a digest but not their bytes are grouped again by digest and text.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
@@ -29,8 +31,18 @@ STATE_CONF = {
 ROWS_PER_SALT = 500
 #: Copies of one text at most; beyond, more rows are compared with each.
 MOST_SALTS = 20_000
-#: Bytes of staged rows that one micro-batch takes.
-BATCH_BYTES = 64 << 30
+#: Bytes of staged rows that one micro-batch of a small table takes. Micro-batches grow with the root of what is staged,
+#: and so does their number: each opens the state of all partitions once more.
+BATCH_BYTES = 1 << 20
+
+
+def batch_size(staged: int) -> int:
+    """Bytes that one micro-batch takes of so many that are staged."""
+    return max(BATCH_BYTES, math.isqrt(staged * BATCH_BYTES))
+
+
+def _bytes_below(spark: SparkSession, path: str) -> int:
+    return spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
 
 
 @contextmanager
@@ -91,13 +103,14 @@ def _mismatched(docs: DataFrame, groups: DataFrame, digest: Callable[[Column], C
     return rows.join(stays, ["digest", "salt"]).where("text <> kept_text").select("digest").distinct()
 
 
-def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256_of, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256_of, batch_bytes: int | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when their bytes are; null counts as empty. Of equal texts the row with the largest doc_id
     stays, nulls counting as smallest; of rows repeated whole, exactly one. An empty table gives no rows. Columns
     of ``docs`` other than doc_id and text are not looked at. ``digest`` maps text to binary; any function gives
-    the same rows, since the bytes decide. ``batch_bytes`` bounds what a micro-batch reads.
+    the same rows, since the bytes decide. ``batch_bytes`` bounds what a micro-batch reads, in whole files; unset,
+    it follows from how much is staged.
     """
     spark = docs.sparkSession
     # the id of a row is fixed by writing it
@@ -105,7 +118,7 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256_of,
     text_of(docs).select("doc_id", F.monotonically_increasing_id().alias("row_id"), digest(F.col("text")).alias("digest"), sha256_of(F.col("text")).alias("sha")).write.parquet(path)
     schema = "doc_id bigint, row_id bigint, digest binary, sha binary"
     rows = spark.read.schema(schema).parquet(path)
-    stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", batch_bytes).parquet(path)
+    stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", batch_bytes or batch_size(_bytes_below(spark, path))).parquet(path)
     groups = written(_run_stream(stream, "dedup"), "dedup-groups")
     clashes = written(_mismatched(docs, groups, digest), "dedup-clashes")
     n_clashes = clashes.count()

@@ -55,6 +55,16 @@ def test_exact_in_many_batches(spark):
     assert found_exact(exact_dedup.exact_dedup(docs, batch_bytes=1)) == brute_exact(rows)
 
 
+def test_exact_state_is_read_by_later_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "scratch", lambda spark, label: f"{tmp_path}/{label}")
+    docs = spark.range(0, 60_000, 1, 8).selectExpr("id as doc_id", "concat('text ', id % 20000) as text")
+    found = exact_dedup.exact_dedup(docs)
+    assert found.where("group_size = 3 and keep_id = 40000 + doc_id % 20000 and kept = (doc_id = keep_id)").count() == found.count() == 60_000
+    assert len(list((tmp_path / "dedup-updates").glob("batch=*"))) > 1
+    # more batches, and larger ones, the more is staged
+    assert [-(-n // exact_dedup.batch_size(n)) for n in (1 << 18, 16 << 20, 1 << 30)] == [1, 4, 32]
+
+
 def brute_near(rows, k, percent):
     sets = [(i, shingles(t, k)) for i, t in rows]
     parent = {i: i for i, s in sets}
