@@ -5,6 +5,7 @@ import hashlib
 import random
 
 import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
 from stowage.llm import components, exact_dedup, near_dup
@@ -91,6 +92,15 @@ def test_near_equals_brute_force(spark):
         assert all(r.kept == (r.doc_id == r.component_id) for r in found)
 
 
+def test_bands_of_small_sets_agree_as_independent_values_do():
+    rng = np.random.default_rng(2)
+    shared = []
+    for _ in range(1500):
+        five = rng.integers(0, 1 << 63, 5, dtype=np.uint64)
+        shared.append(np.mean(near_dup.bands(five)[0] == near_dup.bands(five[:4])[0]))
+    assert abs(np.mean(shared) - 0.8**6) < 0.02  # 0.6**3 if both values of a permutation are in a band
+
+
 def test_near_chains_and_large_groups(spark):
     rng = random.Random(1)
     base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
