@@ -1,5 +1,6 @@
 """Classifiers on held-out rows and awkward tables, and the pipeline stage by stage."""
 
+import collections
 import hashlib
 
 import numpy as np
@@ -8,6 +9,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from stowage.llm import language_id, quality, toxicity
 from tests.llm.plain import awkward, empty, shingles, words
+from tests.llm.test_dedup import brute_near
+from tests.llm.test_text import restated_targets
 
 DATA = "/root/testdata/sf0.01"
 
@@ -108,3 +111,30 @@ def test_pipeline_by_stage(spark, tmp_path):
     assert abs(sum(len(words(r.text)) for r in after) - size) < 0.05 * size
     before, after = rows["byte_bpe"]
     assert sorted(r.decoded_sha256 for r in after) == sorted(hashlib.sha256((r.text or "").encode()).hexdigest() for r in before)
+
+
+def restated_copies(rows):
+    """How often the mix takes each of the rows (doc_id, text, source), by the order of their keys in each source."""
+    sources = collections.defaultdict(list)
+    for i, t, s in rows:
+        sources[s].append((hashlib.md5(f"0:{i}".encode()).hexdigest()[:13], i, len(words(t))))
+    sizes = {s: sum(n for _, _, n in own) for s, own in sources.items()}
+    copies = {}
+    for s, target in restated_targets(sizes).items():
+        epochs, run = int(target // sizes[s]), 0
+        for _, i, n in sorted(sources[s]):
+            copies[i, s] = epochs + (epochs < 3 and run + n / 2 <= target - epochs * sizes[s])
+            run += n
+    return collections.Counter({k: n for k, n in copies.items() if n})
+
+
+def test_pipeline_keeps_one_of_every_component_and_mixes_by_source(spark, tmp_path):
+    stages, docs = dict(corpus_pipeline.STAGES), table(spark, "documents")
+    before = docs.collect()
+    roots = brute_near([(r.doc_id, r.text) for r in before], 5, 80)
+    stages["near_dup"](spark, docs, DATA).write.parquet(str(tmp_path / "near"))
+    docs = spark.read.parquet(str(tmp_path / "near"))
+    after = docs.collect()
+    assert sorted(r.doc_id for r in after) == sorted(i for i, root in roots.items() if i == root) and len(after) < len(before)
+    mixed = collections.Counter((r.doc_id, r.source) for r in stages["mixing"](spark, docs, DATA).collect())
+    assert mixed == restated_copies([(r.doc_id, r.text, r.source) for r in after])
