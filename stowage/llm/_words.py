@@ -1,20 +1,20 @@
 """Words of whole Arrow batches as 64-bit hashes, without a Python object per word.
 
-A word's hash is a polynomial over random values of its bytes, taken from a running sum, and then mixed.
+A word's hash adds up, modulo 2^64, a spread number for every byte and its place in the word, and is then mixed. Unlike
+a polynomial modulo a power of two it has no family of words that collide for every choice of constants; two given
+words collide with about 2^-64.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-_RNG = np.random.default_rng(20240229)
-_BASE = U(0x9E3779B97F4A7C15)
-_BASE_INVERSE = U(pow(int(_BASE), -1, 1 << 64))
 #: Bytes of text worked on at once; a longer text is cut at a separator.
 PIECE = 1 << 19
 
@@ -22,10 +22,10 @@ PIECE = 1 << 19
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
 
-_VALUES = _RNG.integers(1, 1 << 63, 256, dtype=U) * U(2) + U(1)
-#: A-Z take the values of a-z.
-FOLDED = _VALUES.copy()
-FOLDED[ord("A") : ord("Z") + 1] = _VALUES[ord("a") : ord("z") + 1]
+_PLAIN = np.arange(256, dtype=np.int64)
+#: A-Z count as a-z.
+FOLDED = _PLAIN.copy()
+FOLDED[ord("A") : ord("Z") + 1] += 32
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,19 +35,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-class _Powers:
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, U)
+#: Places in a word whose numbers are looked up; those of later places are worked out.
+_PLACES = 64
+_NUMBERS = mix(np.arange(1, _PLACES * 256 + 1, dtype=U))
 
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 2 * len(self.up), PIECE + 4096)
-            self.up = np.concatenate([[U(1)], np.cumprod(np.full(size - 1, _BASE))])
-            self.down = np.concatenate([[U(1)], np.cumprod(np.full(size - 1, _BASE_INVERSE))])
-        return self.up[:n], self.down[:n]
 
+def _numbers(codes: np.ndarray) -> np.ndarray:
+    """The spread numbers of codes place * 256 + byte."""
+    found = np.take(_NUMBERS, codes, mode="clip")
+    late = np.flatnonzero(codes >= len(_NUMBERS))
+    found[late] = mix(codes[late].astype(U) + U(1))
+    return found
 
-powers = _Powers().to
+
+def places(lengths: np.ndarray) -> np.ndarray:
+    """0, 1, ... of every run of these lengths, concatenated."""
+    ends = np.cumsum(lengths)
+    return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - lengths, lengths)
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -58,7 +62,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, seps: np.ndarray = SPACES, values: np.ndarray = FOLDED) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, seps: np.ndarray = SPACES, folded: np.ndarray = FOLDED) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in text order, and the row offsets into them."""
     at, end = int(offsets[0]), int(offsets[-1])
     hashes, starts_at = [np.zeros(0, U)], [np.zeros(0, np.int64)]
@@ -79,16 +83,16 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, seps: np.ndarray = SPACES
         follows[:-1] = ~inner[1:] | fresh[1:-1]
         follows[-1] = True
         ends = np.flatnonzero(inner & follows)
-        up, down = powers(len(piece))
-        sums = np.zeros(len(piece) + 1, U)
-        np.cumsum(values[piece] * up, out=sums[1:])
-        hashes.append(mix((sums[ends + 1] - sums[starts]) * down[starts]))
+        if len(starts):
+            lengths = ends - starts + 1
+            numbers = _numbers(folded[piece[inner]] + 256 * places(lengths))
+            hashes.append(mix(np.add.reduceat(numbers, np.cumsum(lengths) - lengths) + lengths.astype(U)))
         starts_at.append(starts + at)
         at = cut
     return np.concatenate(hashes), np.searchsorted(np.concatenate(starts_at), offsets).astype(np.int64)
 
 
-def slices(batch: pa.RecordBatch, column: str, size: int = 8 * PIECE) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, size: int = 2 * PIECE) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows with about ``size`` bytes of text at most; a longer text stands alone."""
     _, offsets = buffers(batch.column(column))
     at = 0
@@ -96,3 +100,23 @@ def slices(batch: pa.RecordBatch, column: str, size: int = 8 * PIECE) -> Iterato
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1)
         yield batch.slice(at, to - at)
         at = to
+
+
+_C = ctypes.CDLL(None)
+
+
+def give_back() -> None:
+    """Returns to the system what this process has allocated and freed again."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_C, "malloc_trim"):
+        _C.malloc_trim(0)
+
+
+def lean(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``task``, after which the worker, which Spark keeps for the next one, gives back the memory it no longer uses."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from task(batches)
+        give_back()
+
+    return run

@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding.
 
 Texts are cut into pieces by the public pattern, by array operations on code points. A distinct piece is encoded
-once a batch: a segment tree over its byte positions keeps, at every node, the leftmost of the smallest ranks of
+once a batch and remembered by its characters: a segment tree over its byte positions keeps, at every node, the leftmost of the smallest ranks of
 adjacent pairs; a merge reads the root, joins two live neighbours and updates the points whose pair changed, each at
 a logarithmic cost. Trees of many short pieces are kept in one array and step together.
 """
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ._common import text_of
-from ._words import U, mix, powers, slices
+from ._words import U, lean, mix, places, slices
 
 NONE = np.int64(1 << 30)
 #: Pieces up to so many bytes step together; longer ones have a tree each.
@@ -266,8 +266,7 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.strings: list[bytes] = []
+        self.known: dict[str, int] = {}
         self.ids, self.offsets = np.zeros(0, np.int64), np.zeros(1, np.int64)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -279,19 +278,18 @@ class Encoder:
             return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
         starts = piece_starts(points, np.unique(row_at[:-1][row_at[:-1] < len(points)]))
         ends = np.append(starts[1:], len(points))
-        keys = _run_hashes(points, starts, ends)
-        keys, first, which = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.strings) > REMEMBERED:
+        first, which = _kinds(points, starts, ends)
+        if len(self.known) > REMEMBERED:
             self.forget()
-        slots, fresh = np.zeros(len(keys), np.int64), []
-        for n, (key, lo, hi) in enumerate(zip(keys.tolist(), starts[first].tolist(), ends[first].tolist(), strict=True)):
-            if (slot := self.known.get(key)) is None:
-                slot = self.known[key] = len(self.strings) + len(fresh)
-                fresh.append(joined[lo:hi].encode())
+        slots, fresh = np.zeros(len(first), np.int64), []
+        for n, (lo, hi) in enumerate(zip(starts[first].tolist(), ends[first].tolist(), strict=True)):
+            piece = joined[lo:hi]
+            if (slot := self.known.get(piece)) is None:
+                slot = self.known[piece] = len(self.known)
+                fresh.append(piece.encode())
             slots[n] = slot
         if fresh:
             ids, offsets = encode_pieces(fresh, self.vocab)
-            self.strings += fresh
             self.offsets = np.concatenate([self.offsets, self.offsets[-1] + offsets[1:]])
             self.ids = np.concatenate([self.ids, ids])
         slot = slots[which]
@@ -315,10 +313,23 @@ def _looked_up(ids: np.ndarray, at: np.ndarray, flat: np.ndarray) -> tuple[np.nd
 
 
 def _run_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    up, down = powers(len(points))
-    sums = np.zeros(len(points) + 1, U)
-    np.cumsum(mix(points.astype(U) + U(1)) * up, out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts])
+    """A hash of every piece; the pieces follow each other without a gap."""
+    spread_numbers = mix((points | places(ends - starts) << 21).astype(U) + U(1))
+    return mix(np.add.reduceat(spread_numbers, starts))
+
+
+def _kinds(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the distinct pieces the first place of each, and which of them every piece is; equal hashes are told apart by the code points."""
+    keys, first, which = np.unique(_run_hashes(points, starts, ends), return_index=True, return_inverse=True)
+    lengths, like = ends - starts, starts[first][which]
+    same = lengths == lengths[first][which]
+    at = np.flatnonzero(same)
+    differ = points[spread(starts[at], lengths[at])] != points[spread(like[at], lengths[at])]
+    if differ.any():
+        same[np.repeat(at, lengths[at])[differ]] = False
+    own = np.flatnonzero(~same)
+    which[own] = len(keys) + np.arange(len(own))
+    return np.concatenate([first, own]), which
 
 
 def encode(docs: DataFrame, vocabulary_path: str) -> DataFrame:
@@ -331,7 +342,7 @@ def encode(docs: DataFrame, vocabulary_path: str) -> DataFrame:
                 ids, at = encoder.encode(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids))], ["doc_id", "ids"])
 
-    return text_of(docs).mapInArrow(run, "doc_id long, ids array<long>")
+    return text_of(docs).mapInArrow(lean(run), "doc_id long, ids array<long>")
 
 
 def decode(encoded: DataFrame, vocabulary_path: str) -> DataFrame:
@@ -345,7 +356,7 @@ def decode(encoded: DataFrame, vocabulary_path: str) -> DataFrame:
                 rows.append(encoder.decode(np.array(ids or [], np.int64))[0].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.binary())], ["doc_id", "bytes"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, bytes binary")
+    return encoded.select("doc_id", "ids").mapInArrow(lean(run), "doc_id long, bytes binary")
 
 
 def round_trip(docs: DataFrame, vocabulary_path: str) -> DataFrame:
@@ -371,4 +382,4 @@ def round_trip(docs: DataFrame, vocabulary_path: str) -> DataFrame:
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes"],
                 )
 
-    return text_of(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long")
+    return text_of(docs).mapInArrow(lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long")

@@ -12,12 +12,11 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Callable
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import scratch, small, text_of, written
+from ._common import scratch, settings, small, text_of, written
 
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -45,21 +44,6 @@ def _bytes_below(spark: SparkSession, path: str) -> int:
     return spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
 
 
-@contextmanager
-def _settings(spark: SparkSession, conf: dict[str, str]):
-    before = {k: spark.conf.get(k, None) for k in conf}
-    for k, v in conf.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            if v is None:
-                spark.conf.unset(k)
-            else:
-                spark.conf.set(k, v)
-
-
 def sha256_of(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
@@ -78,7 +62,7 @@ def _run_stream(stream: DataFrame, label: str) -> DataFrame:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     state = fold_stream(stream)
-    with _settings(spark, STATE_CONF):
+    with settings(spark, STATE_CONF):
         query = state.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(keep).trigger(availableNow=True).start()
         query.awaitTermination()
     updates = spark.read.schema("digest binary, stays struct<doc_id: bigint, row_id: bigint>, group_size bigint")

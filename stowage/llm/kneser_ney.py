@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import local_path, scratch, text_of
-from ._words import U, buffers, mix, slices, word_hashes
+from ._words import U, buffers, lean, mix, slices, word_hashes
 
 #: Tokens that a task counts or scores at once.
 TOKENS = 1_500_000
@@ -194,7 +194,7 @@ def count_words(texts: DataFrame, folder: str, ranges: int) -> Words:
         )
 
     schema = "range long, name string, size long, tokens long, top array<long>, top_n array<long>"
-    found = sorted(texts.mapInArrow(count, "range long, packed binary").groupBy("range").applyInArrow(merge, schema).collect(), key=lambda r: r["range"])
+    found = sorted(texts.mapInArrow(lean(count), "range long, packed binary").groupBy("range").applyInArrow(merge, schema).collect(), key=lambda r: r["range"])
     sizes = np.zeros(ranges, np.int64)
     for r in found:
         sizes[r["range"]] = r["size"]
@@ -309,7 +309,7 @@ def fit(texts: DataFrame, folder: str | None = None) -> Model:
                 rows.append((r * 2 + which, _pack(numbers[own] - words.begins[r], *(v[own] for v in values)), None))
         return pa.table({"range": pa.array([table.column("range")[0].as_py()] * len(rows)), "to": pa.array([r for r, _, _ in rows]), "packed": pa.array([p for _, p, _ in rows], pa.binary()), "name": pa.array([n for _, _, n in rows], pa.string())})
 
-    parts = texts.mapInArrow(count, "range long, packed binary").groupBy("range").applyInArrow(merge, "range long, to long, packed binary, name string")
+    parts = texts.mapInArrow(lean(count), "range long, packed binary").groupBy("range").applyInArrow(merge, "range long, to long, packed binary, name string")
     # written, so that the names in it are those of the attempts that succeeded
     path = scratch(spark, "kneser-ney-parts")
     parts.write.option("compression", "none").parquet(path)
@@ -358,4 +358,4 @@ def score(docs: DataFrame, folder: str | None = None) -> DataFrame:
                 ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"],
             )
 
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+    return rows.mapInArrow(lean(run), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")

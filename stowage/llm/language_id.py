@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import short_batches, written
-from ._words import U, buffers, mix, slices
+from ._common import written
+from ._words import U, buffers, lean, mix, slices
 
 #: Buckets of the byte runs; the model has so many numbers a language.
 BUCKETS = 1 << 15
@@ -70,8 +70,8 @@ def count_runs(docs: DataFrame) -> DataFrame:
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(own[at])], ["lang", "bucket", "n"])
 
-    known = short_batches(docs).where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    return known.mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    known = docs.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    return known.mapInArrow(lean(run), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
 def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
@@ -87,7 +87,7 @@ def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
 def text_evidence(pages: DataFrame, logs: np.ndarray) -> DataFrame:
     """page_id, host, domain, suffix, declared, and the text's log likelihood by language, its largest 0."""
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1))
-    source = short_batches(pages).select(
+    source = pages.select(
         F.col("page_id").cast("long").alias("page_id"), host.alias("host"), F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), DECLARED, 1)).alias("declared"), F.coalesce("html", F.lit("")).alias("html")
     )
 
@@ -101,7 +101,7 @@ def text_evidence(pages: DataFrame, logs: np.ndarray) -> DataFrame:
                 at = pa.array(np.arange(0, found.size + 1, len(logs)), pa.int32())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("page_id", "host", "declared")), pa.ListArray.from_arrays(at, pa.array(found.ravel()))], ["page_id", "host", "declared", "said"])
 
-    rows = source.mapInArrow(run, "page_id long, host string, declared string, said array<double>")
+    rows = source.mapInArrow(lean(run), "page_id long, host string, declared string, said array<double>")
     return rows.withColumn("domain", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)).withColumn("suffix", F.regexp_extract("host", r"([^.]+)$", 1))
 
 

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import scratch, text_of, written
+from ._words import lean
 
 WIDTH = 64
 #: A shard is closed at this size; a payload is never split.
@@ -125,7 +126,7 @@ def store(docs: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES) -> DataF
             if shard is not None:
                 shard.close()
 
-    return text_of(docs).mapInArrow(run, "doc_id long, n_bytes long, digest string, shard string, offset long, length long")
+    return text_of(docs).mapInArrow(lean(run), "doc_id long, n_bytes long, digest string, shard string, offset long, length long")
 
 
 def _ranges(places: DataFrame, folder: str, fields: str, row: callable) -> DataFrame:
@@ -153,7 +154,7 @@ def _ranges(places: DataFrame, folder: str, fields: str, row: callable) -> DataF
             yield pa.RecordBatch.from_arrays([batch.column("digest"), *(pa.array(c, types[f.split()[1]]) for c, f in zip(columns, fields.split(", "), strict=True))], ["digest", *names])
 
     dealt = places.select("digest", "shard", "offset", "length").repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset")
-    return dealt.mapInArrow(run, f"digest string, {fields}")
+    return dealt.mapInArrow(lean(run), f"digest string, {fields}")
 
 
 def metadata(places: DataFrame, folder: str) -> DataFrame:

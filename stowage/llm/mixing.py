@@ -1,8 +1,9 @@
 """Mixing sources to target weights by hash-random keys and exact budgets.
 
 Every row gets a hash-random key. Each source is range-split over its keys into buckets of about equal size, the
-buckets' word counts become prefix sums per source, and a running sum inside a bucket then gives every row its
-place in the source's random order. A source's budget is so many whole epochs and a cut in that order.
+buckets' word counts become prefix sums per source, over runs of buckets and then inside each run, and a running sum
+inside a bucket gives every row its place in the source's random order. A source's budget is so many whole epochs and
+a cut in that order.
 """
 
 from __future__ import annotations
@@ -12,13 +13,17 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import small, written
+from ._common import keyed, written
 
 #: Rows of one source that one bucket holds, about; buckets, not sources, are the unit of sorting.
 ROWS_PER_BUCKET = 4_000
 #: A source's target and a row's repeats stop at so many times its size.
 MOST_EPOCHS = 3
 KEY_BITS = 52
+#: Buckets of one source that are summed up in one task; their sums are summed up in another.
+BUCKETS_PER_RUN = 2_000
+#: Sources up to which one task orders them; beyond, ranges of them are ordered apart and joined by prefix sums.
+SOURCES_AT_ONCE = 100_000
 
 
 def n_words(text: Column) -> Column:
@@ -31,23 +36,46 @@ def random_key(doc_id: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")))), 1, KEY_BITS // 4), 16, 10).cast("long")
 
 
-def source_targets(sources: DataFrame) -> DataFrame:
-    """Targets of sources (source, source_size): weights 1, 2, 3, repeating, by code point, null last.
+def _earlier(rows: DataFrame, order: list[Column], sums: dict[str, Column], at_once: int) -> DataFrame:
+    """``rows`` with, for each of ``sums``, its sum over the rows before in this order, as a long.
+
+    Up to ``at_once`` rows are one window. More are dealt into ranges of the order and written, so that a range stays
+    what it is; the ranges' totals, one row a range, are summed up before the rows of each.
+    """
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    running = lambda c, w: F.coalesce(F.sum(c).over(before(w)), F.lit(0))
+    n = rows.count()
+    if n <= at_once:
+        return rows.withColumns({k: running(c, Window.partitionBy(F.lit(0)).orderBy(*order)) for k, c in sums.items()})
+    part = f"part_{uuid.uuid4().hex}"
+    dealt = written(rows.repartitionByRange(-(-n // at_once), *order).withColumn(part, F.spark_partition_id()), "mix-ranges")
+    ranges = dealt.groupBy(part).agg(*(F.sum(c).alias(k) for k, c in sums.items()))
+    ranges = ranges.select(part, *(running(F.col(k), Window.partitionBy(F.lit(0)).orderBy(part)).alias(f"{k}_{part}") for k in sums))
+    within = Window.partitionBy(part).orderBy(*order)
+    placed = dealt.withColumns({k: running(c, within) for k, c in sums.items()}).join(ranges, part)
+    return placed.select(*rows.columns, *((F.col(k) + F.col(f"{k}_{part}")).alias(k) for k in sums))
+
+
+def source_targets(sources: DataFrame, at_once: int = SOURCES_AT_ONCE) -> DataFrame:
+    """Targets of sources (source, source_size, and further columns, which stay): weights 1, 2, 3, repeating, by code point, null last.
 
     Together they are all sizes. A target above three times its source's size stops there and the excess is dealt
     again by weight; with sources in order of 3 * size / weight, those that stop come first, so one pass over
-    running sums finds the share a unit of weight gets. One row per source is sorted here, never rows of documents.
+    running sums finds the share a unit of weight gets. An empty table gives no rows; without words all targets are 0.
     """
-    by_name = Window.orderBy(F.col("source").isNull(), "source")
-    every = Window.partitionBy(F.lit(0))
-    before = every.orderBy("room", F.col("source").isNull(), "source").rowsBetween(Window.unboundedPreceding, -1)
+    named = [F.col("source").isNull(), F.col("source")]
     cap = F.lit(MOST_EPOCHS) * F.col("source_size")
-    ranked = sources.withColumn("weight", (F.row_number().over(by_name) - 1) % 3 + 1).withColumn("room", cap.cast("double") / F.col("weight"))
-    left = F.sum("source_size").over(every) - F.coalesce(F.sum(cap).over(before), F.lit(0))
-    weights = F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0))
-    ranked = ranked.withColumn("share", left.cast("double") / weights.cast("double"))
-    level = F.min(F.when(F.col("share") <= F.col("room"), F.struct("room", "share"))).over(every)
-    return ranked.select("source", "source_size", F.least(cap.cast("double"), F.coalesce(level["share"] * F.col("weight"), cap.cast("double"))).alias("target"))
+    ranked = _earlier(sources, named, {"rank": F.lit(1)}, at_once)
+    ranked = ranked.withColumn("weight", (F.col("rank") % 3 + 1).cast("long")).withColumn("room", cap.cast("double") / F.col("weight"))
+    ranked = written(ranked, "mix-ranked")
+    totals = ranked.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    placed = _earlier(ranked, [F.col("room"), *named], {"cap_before": cap, "weight_before": F.col("weight")}, at_once)
+    share = (F.lit(totals["size"] or 0) - F.col("cap_before")).cast("double") / (F.lit(totals["weight"] or 0) - F.col("weight_before")).cast("double")
+    # the first that doesn't stop, in the very order of the sums: rooms may tie
+    first = F.min(F.struct("room", F.col("source").isNull().alias("nameless"), "source", "share")).alias("level")
+    level = placed.withColumn("share", share).where("share <= room").agg(first).first()["level"]
+    target = cap.cast("double") if level is None else F.least(cap.cast("double"), F.lit(level["share"]) * F.col("weight"))
+    return ranked.select(*sources.columns, target.alias("target"))
 
 
 def mix(docs: DataFrame, seed: int = 0, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
@@ -70,43 +98,48 @@ def mixed(docs: DataFrame, seed: int = 0, rows_per_bucket: int = ROWS_PER_BUCKET
     """
     placed = _placed(docs, seed, rows_per_bucket)
     cut = F.max(F.when(F.col("copies") > F.col("epochs"), F.struct("at", "doc_id", "size"))).alias("cut")
-    cuts = written(placed.groupBy("nameless", "name").agg(F.max("epochs").alias("epochs"), cut), "mix-cuts")
+    cuts = written(placed.groupBy(*_NAMED).agg(F.max("epochs").alias("epochs"), cut, F.count(F.lit(1)).alias("n")), "mix-cuts")
+    total = cuts.agg(F.sum("n")).first()[0] or 0
+    # the row itself is one column, so that no name of its columns can clash
     own = F.struct(random_key(F.col("d.doc_id").cast("long"), seed).alias("at"), F.col("d.doc_id").cast("long").alias("doc_id"), n_words(F.col("d.text")).alias("size"))
-    source = F.col("d.source").cast("string")
-    same = (source.isNull() == F.col("c.nameless")) & (F.coalesce(source, F.lit("")) == F.col("c.name"))
-    joined = docs.alias("d").join(small(cuts, cuts.count()).alias("c"), same)
-    copies = F.col("c.epochs") + F.coalesce(own <= F.col("c.cut"), F.lit(False)).cast("long")
-    again = f"copy_{uuid.uuid4().hex}"
-    return joined.select("d.*", F.explode(F.array_repeat(F.lit(0), copies.cast("int"))).alias(again)).drop(again)
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("d")).select("d", *_named(F.col("d.source")))
+    joined = keyed(rows, cuts, _NAMED, "n", total)
+    copies = F.col("epochs") + F.coalesce(own <= F.col("cut"), F.lit(False)).cast("long")
+    return joined.select("d", F.explode(F.array_repeat(F.lit(0), copies.cast("int"))).alias("copy")).select("d.*")
+
+
+_NAMED = ["nameless", "name"]
+
+
+def _named(source: Column) -> list[Column]:
+    """A source as two columns without nulls."""
+    return [source.isNull().alias("nameless"), F.coalesce(source.cast("string"), F.lit("")).alias("name")]
 
 
 def _placed(docs: DataFrame, seed: int, rows_per_bucket: int) -> DataFrame:
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_named(F.col("source")), n_words(F.col("text")).alias("size"))
     rows = written(rows.withColumn("at", random_key(F.col("doc_id"), seed)), "mix-rows")
-    sources = written(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), "mix-sources")
-    plan = source_targets(sources.drop("n")).withColumnRenamed("source", "plan_source")
-    plan = plan.join(sources.select("source", "n"), F.col("plan_source").eqNullSafe(F.col("source")))
-    plan = written(
-        plan.select("plan_source", "source_size", "target", F.greatest(F.lit(1), F.ceil(F.col("n") / rows_per_bucket)).cast("long").alias("buckets")), "mix-plan"
-    )
-    placed = rows.join(plan.select("plan_source", "buckets"), F.col("source").eqNullSafe(F.col("plan_source")))
-    placed = placed.select(
-        "doc_id", "size", "at", F.col("source").isNull().alias("nameless"), F.coalesce("source", F.lit("")).alias("name"),
-        F.floor(F.col("at") * F.col("buckets") / F.lit(float(1 << KEY_BITS))).cast("long").alias("bucket"),
-    )
-    where = ["nameless", "name", "bucket"]
-    earlier = Window.partitionBy("nameless", "name").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = placed.groupBy(*where).agg(F.sum("size").alias("bucket_size"))
-    sums = sums.select(*where, F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0)).alias("bucket_start"))
-    sums = sums.join(
-        plan.select(F.col("plan_source").isNull().alias("nameless"), F.coalesce("plan_source", F.lit("")).alias("name"), "source_size", "target"), ["nameless", "name"]
-    )
+    sources = rows.groupBy(*_NAMED).agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
+    sources = written(sources.withColumn("source", F.when(~F.col("nameless"), F.col("name"))), "mix-sources")
+    total = sources.agg(F.sum("n")).first()[0] or 0
+    buckets = F.greatest(F.lit(1), F.ceil(F.col("n") / rows_per_bucket)).cast("long").alias("buckets")
+    plan = written(source_targets(sources).select(*_NAMED, "source_size", "target", "n", buckets), "mix-plan")
+    # by a double, since the product of key and buckets may be more than a long holds; it keeps the order of keys
+    bucket = F.least(F.floor(F.col("at").cast("double") * F.col("buckets").cast("double") / F.lit(float(1 << KEY_BITS))).cast("long"), F.col("buckets") - 1)
+    placed = keyed(rows, plan, _NAMED, "n", total).withColumn("bucket", bucket)
+    where = [*_NAMED, "bucket"]
+    sums = placed.groupBy(*where).agg(F.sum("size").alias("bucket_size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
+    sums = written(sums.withColumn("run", F.floor(F.col("bucket") / BUCKETS_PER_RUN)), "mix-buckets")
+    earlier = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    runs = sums.groupBy(*_NAMED, "run").agg(F.sum("bucket_size").alias("run_size"))
+    runs = runs.select(*_NAMED, "run", F.coalesce(F.sum("run_size").over(earlier(*_NAMED, "run")), F.lit(0)).alias("run_start"))
+    sums = sums.withColumn("inside", F.coalesce(F.sum("bucket_size").over(earlier(*_NAMED, "run", "bucket")), F.lit(0))).join(runs, [*_NAMED, "run"])
+    sums = sums.select(*where, "source_size", "target", (F.col("run_start") + F.col("inside")).alias("bucket_start"))
     within = Window.partitionBy(*where).orderBy("at", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    runs = placed.withColumn("run", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    found = runs.join(sums, where)
+    found = placed.select("doc_id", "size", "at", *where).withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0))).join(sums, where)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     rest = F.col("target") - F.col("epochs") * F.col("source_size")
-    middle = (F.col("bucket_start") + F.col("run")).cast("double") + F.col("size") / F.lit(2.0)
+    middle = (F.col("bucket_start") + F.col("before")).cast("double") + F.col("size") / F.lit(2.0)
     more = (F.col("epochs") < MOST_EPOCHS) & (F.col("source_size") > 0) & (middle <= rest)
     return found.withColumn("epochs", epochs.cast("long")).withColumn("copies", F.col("epochs") + more.cast("long"))
 
@@ -126,7 +159,7 @@ shares AS (
             / CAST(sum(weight) OVER () - coalesce(sum(weight) OVER b, 0) AS DOUBLE) AS share
   FROM roomy
   WINDOW b AS (ORDER BY room, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-level AS (SELECT min_by(share, room) AS share FROM shares WHERE share <= room),
+level AS (SELECT share FROM shares WHERE share <= room ORDER BY room, source IS NULL, source LIMIT 1),
 plan AS (
   SELECT source, source_size,
          least(CAST(3 * source_size AS DOUBLE), coalesce((SELECT share FROM level) * weight, CAST(3 * source_size AS DOUBLE))) AS target

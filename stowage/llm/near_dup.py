@@ -11,6 +11,7 @@ something, so no list of pairs is written or shuffled. A pair is compared in the
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import sized, small, text_of, written
-from ._words import U, buffers, mix, slices, word_hashes
+from ._words import U, buffers, lean, mix, slices, word_hashes
 from .components import components, forest_roots
 
 #: A pair with Jaccard similarity s shares no band with probability (1 - s**6)**42: 3e-6 at 0.8, 2e-9 at 0.85. In small
@@ -104,7 +105,7 @@ def profiles(docs: DataFrame, k: int) -> DataFrame:
                     ["doc_id", "n_shingles", "hi", "lo", "bands", "bytes"],
                 )
 
-    return text_of(docs).mapInArrow(run, "doc_id long, n_shingles long, hi long, lo long, bands array<long>, bytes binary")
+    return text_of(docs).mapInArrow(lean(run), "doc_id long, n_shingles long, hi long, lo long, bands array<long>, bytes binary")
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -115,7 +116,7 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
                 hi, lo = _digests(sets)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(hi), pa.array(lo), _list_array(sets)], ["cls", "hi", "lo", "shingles"])
 
-    return text_of(docs).mapInArrow(run, "cls long, hi long, lo long, shingles array<long>")
+    return text_of(docs).mapInArrow(lean(run), "cls long, hi long, lo long, shingles array<long>")
 
 
 def _once(rows: DataFrame, *keys: str) -> DataFrame:
@@ -216,7 +217,16 @@ def _likely(blocks: DataFrame, signatures: DataFrame, percent: int) -> DataFrame
                 yield found
 
     rows = blocks.join(signatures, "cls").repartition("band", "l", "c").sortWithinPartitions("band", "l", "c")
-    return rows.select("band", "l", "c", "role", "at", "cls", "n", "root", "bytes").mapInArrow(run, "band long, l int, c int, cls long, partners array<long>")
+    return rows.select("band", "l", "c", "role", "at", "cls", "n", "root", "bytes").mapInArrow(lean(run), "band long, l int, c int, cls long, partners array<long>")
+
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have 100 * intersection >= percent * union."""
+    x, y = (x, y) if len(x) <= len(y) else (y, x)
+    if not len(x) or 100 * len(x) < percent * len(y):
+        return False
+    shared = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
 
 
 def _links(likely: DataFrame, docs: DataFrame, k: int, percent: int, n: int) -> DataFrame:
@@ -224,14 +234,11 @@ def _links(likely: DataFrame, docs: DataFrame, k: int, percent: int, n: int) ->
 
     def links_of(group: pa.Table) -> tuple[list[int], list[int]]:
         cls = group.column("cls").to_pylist()
-        sets = [np.asarray(x.values).view(U) for x in group.column("shingles")]
+        sets = [np.sort(np.asarray(x.values).view(U)) for x in group.column("shingles")]
         of: dict[int, list[int]] = {}
         for i, c in enumerate(cls):
             of.setdefault(c, []).append(i)
-        sizes = np.array([len(x) for x in sets])
-        terms, flat = np.unique(np.concatenate(sets), return_inverse=True)
-        ends = np.cumsum(sizes)
-        mark, parent, a, b = np.zeros(len(terms), np.int64), {c: c for c in of}, [], []
+        parent, a, b = {c: c for c in of}, [], []
 
         def root(c: int) -> int:
             while parent[c] != c:
@@ -239,17 +246,12 @@ def _links(likely: DataFrame, docs: DataFrame, k: int, percent: int, n: int) ->
             return c
 
         for i, partners in enumerate(group.column("partners").to_pylist()):
-            others = [j for p in partners or [] for j in of.get(p, ())]
-            if not others:
-                continue
-            mark[flat[ends[i] - sizes[i] : ends[i]]] = 1
-            for j in others:
-                shared = int(mark[flat[ends[j] - sizes[j] : ends[j]]].sum())
-                if 100 * shared >= percent * (sizes[i] + sizes[j] - shared) and (x := root(cls[i])) != (y := root(cls[j])):
+            for j in (j for p in partners or [] for j in of.get(p, ())):
+                # what is joined already needs no more links
+                if (x := root(cls[i])) != (y := root(cls[j])) and _linked(sets[i], sets[j], percent):
                     parent[max(x, y)] = min(x, y)
                     a.append(cls[i])
                     b.append(cls[j])
-            mark[flat[ends[i] - sizes[i] : ends[i]]] = 0
         return a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,7 +261,7 @@ def _links(likely: DataFrame, docs: DataFrame, k: int, percent: int, n: int) ->
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     rows = likely.join(_wanted_sets(docs, likely.select(F.col("cls").alias("doc_id")), k, n), "cls").repartition("band", "l", "c").sortWithinPartitions("band", "l", "c")
-    return rows.select("band", "l", "c", "cls", "partners", "shingles").mapInArrow(run, "a long, b long")
+    return rows.select("band", "l", "c", "cls", "partners", "shingles").mapInArrow(lean(run), "a long, b long")
 
 
 def _wanted_sets(docs: DataFrame, ids: DataFrame, k: int, n: int) -> DataFrame:
@@ -329,9 +331,15 @@ def near_dup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 
 def representatives(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns. Texts don't move; the ids that go are broadcast if they are few."""
-    gone = written(near_dup(docs, k, percent).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct(), "near-gone")
-    return docs.join(small(gone, gone.count()), F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
+    """The rows of ``docs`` that are kept, with all their columns, whatever their names.
+
+    A row goes if its id is not the least of its component; so of a repeated id all rows stay or all go, and rows with
+    a null id, null or empty text stay. An empty table gives no rows. Texts don't move; the ids that go are broadcast
+    if they are few.
+    """
+    gone_id = f"gone_{uuid.uuid4().hex}"
+    gone = written(near_dup(docs, k, percent).where("not kept").select(F.col("doc_id").alias(gone_id)).distinct(), "near-gone")
+    return docs.join(small(gone, gone.count()), docs["doc_id"].cast("long") == F.col(gone_id), "left_anti")
 
 
 def _sizes_fit(a: str, b: str, percent: int) -> Column:

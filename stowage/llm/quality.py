@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import small, text_of, written
-from ._words import buffers, mix, slices, word_hashes
+from ._words import buffers, lean, mix, slices, word_hashes
 
 #: Shares of the pooled covariance in a class's, and of the pooled diagonal in the result.
 POOLED, DIAGONAL = 0.1, 0.05
@@ -124,7 +124,7 @@ def vectors(docs: DataFrame) -> DataFrame:
                 at = pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(at, pa.array(x.ravel()))], ["doc_id", "x"])
 
-    return text_of(docs).mapInArrow(run, "doc_id long, x array<double>")
+    return text_of(docs).mapInArrow(lean(run), "doc_id long, x array<double>")
 
 
 def fit(rows: DataFrame, labels: DataFrame) -> Discriminant:
@@ -143,7 +143,7 @@ def fit(rows: DataFrame, labels: DataFrame) -> Discriminant:
                 total[c] += np.concatenate([[len(own)], own.sum(axis=0), (own.T @ own).ravel()])
         yield pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array([t.tolist() for t in total])], ["y", "sums"])
 
-    parts = rows.join(small(known, known.count()), "doc_id").select("x", "y").mapInArrow(sums, "y long, sums array<double>")
+    parts = rows.join(small(known, known.count()), "doc_id").select("x", "y").mapInArrow(lean(sums), "y long, sums array<double>")
     found = np.zeros((2, 1 + d + d * d))
     for r in parts.select("y", F.posexplode("sums")).groupBy("y", "pos").agg(F.sum("col").alias("s")).collect():
         found[r["y"], r["pos"]] = r["s"]
@@ -166,5 +166,5 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
             scores = model.scores(batch.column("x").flatten().to_numpy().reshape(-1, len(FEATURES)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores)], ["doc_id", "score"])
 
-    scored = rows.mapInArrow(run, "doc_id long, score double")
+    scored = rows.mapInArrow(lean(run), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))

@@ -1,13 +1,16 @@
 """Toxicity by a classifier chain.
 
 Terms (words, beginnings of words and runs of bytes inside words, so that endings and compounds don't hide a stem)
-that mark toxic labelled documents are found by a grouped count over the labelled sample. Logistic models
-then predict the categories one after the other; each later model also gets the probabilities of the earlier
-categories, out of fold in training and from the full models when scoring.
+that tell toxic labelled documents are found by a grouped count over the labelled sample, and dealt into as many
+groups as there are links. Logistic models then predict the categories one after the other, each from the terms of
+its own group and the probabilities of the earlier categories, so that what an earlier link knows reaches a later one
+by its probability alone. These are out of fold in training: for the rows of a fold, terms and models come from the
+other folds. Scoring takes the models of all folds.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,14 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import short_batches, text_of
-from ._words import FOLDED, U, buffers, mix, slices, word_hashes
+from ._common import dropped, row_key, small, text_of, written
+from ._words import FOLDED, U, buffers, lean, mix, slices, word_hashes
 
-#: In this order. insult: toxic with a marking term; repeated: toxic with three or more; toxic: the label itself.
-CATEGORIES = ("insult", "repeated", "toxic")
+#: In this order. The labels hold one flag, so the earlier categories are toxic documents with a term of the first
+#: group, and of the second; the last is the flag itself. No link is given the terms of another.
+CATEGORIES = ("insult", "slur", "toxic")
 #: Labelled rows that the models are fitted on, about; a hash of doc_id chooses them where there are more.
 LABELLED_ROWS = 12_000
-TERMS = 240
+TERMS = 300
 #: Bytes of a run inside a word, and of beginnings.
 RUN = 6
 BEGINNINGS = (4, 5)
@@ -67,24 +71,39 @@ def terms_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate(hashes), np.concatenate(row)
 
 
+@dataclass
+class Links:
+    """The terms of each link of a chain, by places in an array of term hashes, and which of them mark."""
+
+    groups: list[np.ndarray]
+    marking: list[np.ndarray]
+
+    def inputs(self, counts: np.ndarray, k: int) -> np.ndarray:
+        """What link k sees of documents by terms: its own terms, their marks, and whether there is any."""
+        own = counts[:, self.groups[k]]
+        marks = own[:, self.marking[k]].sum(axis=1)
+        return np.column_stack([np.log1p(own), np.log1p(marks), marks > 0])
+
+    def targets(self, counts: np.ndarray, toxic: np.ndarray) -> list[np.ndarray]:
+        return [*(toxic & (counts[:, g].sum(axis=1) > 0) for g in self.groups[:-1]), toxic]
+
+
 @dataclass
 class Chain:
     terms: np.ndarray  #: sorted term hashes
-    marking: np.ndarray  #: which of them mark
-    weights: list[np.ndarray]  #: one per category: terms, marks, earlier categories, constant
+    links: Links
+    weights: list[np.ndarray]  #: one per category: its terms, its marks, earlier categories, constant
 
     def probabilities(self, counts: np.ndarray) -> np.ndarray:
         """counts: documents by terms; returns documents by categories."""
-        x = _inputs(counts, self.marking)
-        done = np.zeros((len(x), 0))
-        for w in self.weights:
-            done = np.column_stack([done, _sigmoid(np.column_stack([x, done]) @ w[:-1] + w[-1])])
+        done = np.zeros((len(counts), 0))
+        for k, w in enumerate(self.weights):
+            done = np.column_stack([done, _predicted(np.column_stack([self.links.inputs(counts, k), done]), w)])
         return done
 
 
-def _inputs(counts: np.ndarray, marking: np.ndarray) -> np.ndarray:
-    marks = counts[:, marking].sum(axis=1)
-    return np.column_stack([np.log1p(counts), np.log1p(marks), marks > 0])
+def _predicted(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return _sigmoid(x @ w[:-1] + w[-1])
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -105,22 +124,21 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def fit_chain(counts: np.ndarray, toxic: np.ndarray, fold: np.ndarray, terms: np.ndarray, marking: np.ndarray) -> Chain:
-    """A chain over a sample: term counts by document, labels and folds; the terms, and which of them mark."""
-    marks = counts[:, marking].sum(axis=1)
-    targets = [toxic & (marks >= 1), toxic & (marks >= 3), toxic]
-    x, earlier, weights = _inputs(counts, marking), np.zeros((len(counts), 0)), []
-    for y in targets:
-        own = np.column_stack([x, earlier])
-        weights.append(_logistic(own, y.astype(float)))
-        unseen = np.zeros(len(x))
-        for k in range(FOLDS):
-            out = fold == k
+def fit_chain(counts: np.ndarray, toxic: np.ndarray, fold: np.ndarray, terms: np.ndarray, links: Links, links_without: list[Links]) -> Chain:
+    """A chain over a sample: term counts by document, labels and folds; the links' terms, and those found without each fold."""
+    targets = links.targets(counts, toxic)
+    targets_without = [own.targets(counts, toxic) for own in links_without]
+    earlier, weights = np.zeros((len(counts), 0)), []
+    for k, y in enumerate(targets):
+        weights.append(_logistic(np.column_stack([links.inputs(counts, k), earlier]), y.astype(float)))
+        unseen = np.zeros(len(counts))
+        for f, own in enumerate(links_without):
+            out = fold == f
             if out.any() and not out.all():
-                w = _logistic(own[~out], y[~out].astype(float))
-                unseen[out] = _sigmoid(own[out] @ w[:-1] + w[-1])
+                x = np.column_stack([own.inputs(counts, k), earlier])
+                unseen[out] = _predicted(x[out], _logistic(x[~out], targets_without[f][k][~out].astype(float)))
         earlier = np.column_stack([earlier, unseen])
-    return Chain(terms, marking, weights)
+    return Chain(terms, links, weights)
 
 
 def _term_counts(part: pa.RecordBatch, terms: np.ndarray) -> np.ndarray:
@@ -145,6 +163,28 @@ def _label_rows(labels: DataFrame, most: int) -> DataFrame:
     return known.where(at < most / n).withColumn("fold", F.crc32(F.concat(F.lit("fold"), F.col("doc_id").cast("string"))) % FOLDS)
 
 
+def _telling(stats: DataFrame, totals: list[tuple[int, int]], variant: int) -> DataFrame:
+    """The TERMS terms that tell toxic documents best, by the rows of all folds (variant FOLDS) or of all but one: variant, place, term, marks."""
+    folds = [k for k in range(FOLDS) if k != variant]
+    n_toxic, n_clean = (sum(totals[k][i] for k in folds) for i in (0, 1))
+    sums = stats.select("term", *(sum((F.col(f"{c}{k}") for k in folds), F.lit(0)).cast("double").alias(c) for c in ("t", "c")))
+    # by how much the term's share of toxic and clean documents tells them apart: the log likelihood ratio
+    t, c, n = F.col("t"), F.col("c"), float(max(1, n_toxic + n_clean))
+    part = lambda seen, side: seen * F.log(F.greatest(seen, F.lit(1e-9)) / (F.lit(float(max(1, side)) / n) * (t + c)))
+    rest = lambda seen, side: (side - seen) * F.log(F.greatest(side - seen, F.lit(1e-9)) / F.greatest(F.lit(float(max(1, side)) / n) * (n - t - c), F.lit(1e-9)))
+    score = part(t, n_toxic) + part(c, n_clean) + rest(t, n_toxic) + rest(c, n_clean)
+    best = sums.where((t + c >= MARK_ROWS) & (t * n_clean > c * n_toxic)).withColumn("score", score).orderBy(F.desc("score"), "term").limit(TERMS)
+    return best.select(F.lit(variant).alias("variant"), "score", "term", ((t >= MARK_ROWS) & (t >= MARK_SHARE * (t + c))).alias("marks"))
+
+
+def _links_of(found: list, terms: np.ndarray) -> Links:
+    """The terms that one variant chose, dealt in turn over the links."""
+    found = sorted(found, key=lambda r: (-r["score"], r["term"]))
+    at = np.searchsorted(terms, np.array([r["term"] for r in found], np.int64).view(U))
+    marks, n = np.array([r["marks"] for r in found], bool), len(CATEGORIES)
+    return Links([at[k::n] for k in range(n)], [marks[k::n] for k in range(n)])
+
+
 def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS) -> Chain:
     """Fits the chain on labelled rows; the sample's size, not that of ``docs``, bounds what reaches the driver."""
 
@@ -156,40 +196,52 @@ def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS)
                 found, row = found[order], row[order]
                 once = np.ones(len(found), bool)
                 once[1:] = (found[1:] != found[:-1]) | (row[1:] != row[:-1])
-                found, toxic = found[once], part.column("toxic").to_numpy()[row[once]].astype(np.int64)
+                found, row = found[once], row[once]
                 keys, at = np.unique(found, return_index=True)
                 if len(keys):
-                    total, bad = np.diff(np.append(at, len(found))), np.add.reduceat(toxic, at)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(bad), pa.array(total - bad)], ["term", "toxic", "clean"])
-
-    sample = text_of(docs).join(F.broadcast(_label_rows(labels, labelled_rows)), "doc_id")
-    stats = sample.mapInArrow(words, "term long, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
-    totals = sample.agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).first()
-    n_toxic, n_clean = totals["t"] or 0, totals["c"] or 0
-    # by how much the term's share of toxic and clean documents tells them apart: the log likelihood ratio
-    t, c, n = F.col("t").cast("double"), F.col("c").cast("double"), float(max(1, n_toxic + n_clean))
-    part = lambda seen, side: seen * F.log(F.greatest(seen, F.lit(1e-9)) / (F.lit(float(max(1, side)) / n) * (t + c)))
-    rest = lambda seen, side: (side - seen) * F.log(F.greatest(side - seen, F.lit(1e-9)) / F.greatest(F.lit(float(max(1, side)) / n) * (n - t - c), F.lit(1e-9)))
-    score = part(t, n_toxic) + part(c, n_clean) + rest(t, n_toxic) + rest(c, n_clean)
-    telling = stats.where((F.col("t") + F.col("c") >= MARK_ROWS) & (t * n_clean > c * n_toxic)).withColumn("score", score)
-    top = telling.orderBy(F.desc("score"), "term").limit(TERMS).collect() if n_toxic and n_clean else []
-    terms = np.array([r["term"] for r in top], np.int64).view(np.uint64)
-    order = np.argsort(terms)
-    terms, top = terms[order], [top[i] for i in order]
-    marking = np.array([r["t"] >= MARK_ROWS and r["t"] >= MARK_SHARE * (r["t"] + r["c"]) for r in top], bool)
+                    toxic, fold = part.column("toxic").to_numpy()[row], part.column("fold").to_numpy()[row]
+                    n = [np.add.reduceat(((toxic == y) & (fold == k)).astype(np.int64), at) for y in (1, 0) for k in range(FOLDS)]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *map(pa.array, n)], ["term", *names])
+
+    names = [f"{c}{k}" for c in "tc" for k in range(FOLDS)]
+    known = _label_rows(labels, labelled_rows)
+    sample = written(text_of(docs).join(F.broadcast(known), "doc_id"), "toxic-sample")
+    counted = {(r["fold"], r["toxic"]): r["n"] for r in sample.groupBy("fold", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    totals = [(counted.get((k, 1), 0), counted.get((k, 0), 0)) for k in range(FOLDS)]
+    top = []
+    if all(any(t[i] for t in totals) for i in (0, 1)):
+        stats = sample.mapInArrow(lean(words), f"term long, {', '.join(f'{n} long' for n in names)}").groupBy("term").agg(*(F.sum(n).alias(n) for n in names))
+        stats = written(stats.where(sum((F.col(n) for n in names), F.lit(0)) >= MARK_ROWS), "toxic-terms")
+        variants = [_telling(stats, totals, v) for v in range(FOLDS + 1)]
+        best = variants[0]
+        for other in variants[1:]:
+            best = best.union(other)
+        top = best.collect()
+        dropped(stats)
+    terms = np.unique(np.array([r["term"] for r in top], np.int64).view(U))
+    n_toxic, n_clean = (sum(t[i] for t in totals) for i in (0, 1))
     if not len(terms):
+        # nothing to tell by but the share of toxic rows
+        dropped(sample)
         share = n_toxic / max(1, n_toxic + n_clean)
-        return Chain(terms, marking, [np.array([*[0.0] * (2 + k), np.log((share + 1e-6) / (1 - share + 1e-6))]) for k in range(len(CATEGORIES))])
+        return Chain(terms, _links_of([], terms), [np.array([*[0.0] * (2 + k), np.log((share + 1e-6) / (1 - share + 1e-6))]) for k in range(len(CATEGORIES))])
+    every, *without = [_links_of([r for r in top if r["variant"] == v], terms) for v in (FOLDS, *range(FOLDS))]
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                counts = np.minimum(_term_counts(part, terms), 65535).astype(np.uint16)
-                yield pa.RecordBatch.from_arrays([part.column("toxic"), part.column("fold"), pa.array([row.tobytes() for row in counts], pa.binary())], ["toxic", "fold", "counts"])
+                counts = _term_counts(part, terms)
+                rows = [np.flatnonzero(row) for row in counts]
+                at = pa.array([r.tolist() for r in rows], pa.list_(pa.int32()))
+                n = pa.array([row[r].astype(np.int64).tolist() for r, row in zip(rows, counts, strict=True)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column("toxic"), part.column("fold"), at, n], ["toxic", "fold", "at", "n"])
 
-    rows = sample.mapInArrow(vectors, "toxic int, fold long, counts binary").toPandas()
-    counts = np.frombuffer(b"".join(map(bytes, rows["counts"])), np.uint16).reshape(len(rows), len(terms)).astype(float)
-    return fit_chain(counts, rows["toxic"].to_numpy() == 1, rows["fold"].to_numpy(), terms, marking)
+    rows = sample.mapInArrow(lean(vectors), "toxic int, fold long, at array<int>, n array<long>").toPandas()
+    dropped(sample)
+    counts = np.zeros((len(rows), len(terms)))
+    for own, at, n in zip(counts, rows["at"], rows["n"], strict=True):
+        own[at] = n
+    return fit_chain(counts, rows["toxic"].to_numpy(int) == 1, rows["fold"].to_numpy(int), terms, every, without)
 
 
 def score(docs: DataFrame, chain: Chain, reject: float = REJECT, *more: str) -> DataFrame:
@@ -197,7 +249,7 @@ def score(docs: DataFrame, chain: Chain, reject: float = REJECT, *more: str) ->
 
     Null and empty texts have no terms and get the constant's probabilities; rows are independent of each other, so
     ties, repeated rows and null ids come out as they are. Without labels of both classes no row is toxic unless
-    all are. Columns other than doc_id, text and ``more`` are not looked at.
+    all are, since the share of toxic rows is all a chain without terms knows. Columns other than doc_id, text and ``more`` are not looked at.
     """
     names = [f"p_{c}" for c in CATEGORIES]
     source = text_of(docs, *(F.col(c).alias(f"more_{i}") for i, c in enumerate(more)))
@@ -210,19 +262,21 @@ def score(docs: DataFrame, chain: Chain, reject: float = REJECT, *more: str) ->
                 kept = [part.column(f"more_{i}") for i in range(len(more))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(p[:, k]) for k in range(p.shape[1])), pa.array(p[:, -1] >= reject), *kept], ["doc_id", *names, "toxic", *(f"more_{i}" for i in range(len(more)))])
 
-    return source.mapInArrow(run, fields).select("doc_id", *names, "toxic", *(F.col(f"more_{i}").alias(c) for i, c in enumerate(more)))
+    return source.mapInArrow(lean(run), fields).select("doc_id", *names, "toxic", *(F.col(f"more_{i}").alias(c) for i, c in enumerate(more)))
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all their columns, that are not toxic."""
-    chain = fit(docs, labels)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                yield part.filter(pa.array(chain.probabilities(_term_counts(part, chain.terms))[:, -1] < REJECT))
+    """The rows of ``docs``, all their columns, that are not toxic.
 
-    return short_batches(docs).mapInArrow(run, docs.schema)
+    What goes is a table of ids and digests, broadcast if it is small, so texts don't come back from Python. Rows with
+    null or empty texts stay, as their probabilities are the constant's; repeated rows stay or go together; two rows
+    of one id are told apart by their texts; an empty table gives no rows.
+    """
+    key = f"toxic_{uuid.uuid4().hex}"
+    judged = score(docs.select("doc_id", "text", row_key(F.col("doc_id"), F.col("text")).alias(key)), fit(docs, labels), REJECT, key)
+    gone = written(judged.where("toxic").select(key).distinct(), "toxic-gone")
+    kept = docs.withColumn(key, row_key(F.col("doc_id"), F.col("text"))).join(small(gone, gone.count()), key, "left_anti")
+    return kept.select(*docs.columns)
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -25,3 +25,12 @@ def words(text):
 def shingles(text, k):
     w = words(text)
     return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
+
+
+def thue_morse(n):
+    """A word and its complement, which no polynomial modulo a power of two tells apart from some length on."""
+    word = "".join("ab"[i.bit_count() & 1] for i in range(n))
+    return [word, word.translate(str.maketrans("ab", "ba"))]
+
+
+HARD = [w for n in (1024, 4096) for w in thue_morse(n)]

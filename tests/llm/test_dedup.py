@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from stowage.llm import components, exact_dedup, near_dup
-from tests.llm.plain import awkward, empty, shingles
+from tests.llm.plain import HARD, awkward, empty, shingles
 
 DATA = "/root/testdata/sf0.001"
 
@@ -123,6 +123,9 @@ def test_near_awkward(spark):
     found = collections.Counter((r.doc_id, r.component_id, r.kept) for r in near_dup.near_dup(docs).collect())
     assert found == {(1, 1, True): 1, (2, 1, False): 2, (3, 3, True): 1, (4, 4, True): 1, (None, None, True): 2, (5, 5, True): 1, (6, 6, True): 1, (7, 7, True): 2}
     assert near_dup.representatives(docs).count() == docs.count() - 2
+    clashing = docs.withColumn("gone_id", F.lit(1)).withColumn("cls", F.lit(1))
+    assert near_dup.representatives(clashing).columns == clashing.columns and near_dup.representatives(clashing).count() == docs.count() - 2
+    assert near_dup.representatives(empty(spark)).count() == 0
     assert near_dup.near_dup(empty(spark)).count() == 0
 
 
@@ -138,6 +141,11 @@ def test_near_repeated_rows_with_near_copies(spark):
     assert sorted(map(tuple, near_dup._confirmed(pairs, docs, 5, 80).collect())) == [(1, 2), (5, 6)]
 
 
+def test_words_that_hash_badly_are_not_linked(spark):
+    rows = list(enumerate(HARD))
+    assert {r.doc_id: r.component_id for r in near_dup.near_dup(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {i: i for i, _ in rows}
+
+
 def test_rows_that_share_an_id_join_their_classes(spark):
     a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
     docs = spark.createDataFrame([(1, a), (5, a), (5, b), (9, b)], "doc_id long, text string")

@@ -2,12 +2,19 @@
 
 import collections
 import hashlib
+import math
+import random
+import re
+import zlib
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from stowage.llm import language_id, quality, toxicity
+from stowage.llm._words import buffers
 from tests.llm.plain import awkward, empty, shingles, words
 from tests.llm.test_dedup import brute_near
 from tests.llm.test_text import restated_targets
@@ -52,13 +59,98 @@ def test_toxicity_finds_labelled_rows(spark):
     assert kept.columns == docs.columns and kept.count() == toxicity.judge(docs, labels).where("not toxic").count()
 
 
-def test_later_models_take_earlier_probabilities():
-    rng = np.random.default_rng(1)
-    counts = rng.poisson(0.5, (500, 4)).astype(float)
-    toxic = counts[:, 0] > 0
-    chain = toxicity.fit_chain(counts, toxic, np.arange(500) % 5, np.arange(4, dtype=np.uint64), np.array([True, False, False, False]))
-    assert [len(w) for w in chain.weights] == [7, 8, 9]
-    assert np.mean((chain.probabilities(counts)[:, -1] >= 0.5) == toxic) > 0.98
+def test_toxicity_on_held_out_rows(spark):
+    # a third of sf0.1's labels; sf0.01 has too few toxic ones to learn from
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    chain = toxicity.fit(docs, labels.where("crc32(cast(doc_id as string)) % 3 <> 0"))
+    rows = toxicity.score(docs, chain).withColumnRenamed("toxic", "said").join(labels.where("crc32(cast(doc_id as string)) % 3 = 0"), "doc_id").collect()
+    assert len(rows) > 1000 and np.mean([r.said for r in rows if r.toxic]) > 0.85 and np.mean([not r.said for r in rows if not r.toxic]) > 0.99
+
+
+def plain_terms(text):
+    """Words, then their beginnings of 4 and 5 bytes, then runs of 6 bytes inside words, each in text order."""
+    found = [bytes(w) for w in re.findall(rb"[0-9a-z\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), text.encode()))]
+    starts = [("begin", w[:n]) for n in (4, 5) for w in found if len(w) >= n]
+    return [*(("word", w) for w in found), *starts, *(("run", w[i : i + 6]) for w in found for i in range(len(w) - 5))]
+
+
+def restated_logistic(x, y):
+    x = np.array([[*row, 1.0] for row in x])
+    w, shrink = np.zeros(x.shape[1]), np.array([0.3] * (x.shape[1] - 1) + [1e-6])
+    for _ in range(12):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        w = w + np.linalg.solve(x.T @ np.diag(p * (1 - p) + 1e-6) @ x + np.diag(shrink), x.T @ (y - p) - shrink * w)
+    return w
+
+
+def restated_chain(rows, names):
+    """p of each category for rows (doc_id, text, label or None), by dictionaries; names: the number of each term, which breaks ties."""
+    terms = {i: collections.Counter(plain_terms(t)) for i, t, _ in rows}
+    known = [(i, y, zlib.crc32(f"fold{i}".encode()) % 5) for i, _, y in rows if y is not None]
+
+    def groups(without):
+        own = [(i, y) for i, y, f in known if f != without]
+        n = [sum(y == 1 for _, y in own), sum(y == 0 for _, y in own)]
+        seen = collections.defaultdict(lambda: [0, 0])
+        for i, y in own:
+            for t in terms[i]:
+                seen[t][1 - y] += 1
+        scores = []
+        for t, (bad, good) in seen.items():
+            if bad + good >= 5 and bad * n[1] > good * n[0]:
+                cells = [(bad, n[0], bad + good), (good, n[1], bad + good), (n[0] - bad, n[0], sum(n) - bad - good), (n[1] - good, n[1], sum(n) - bad - good)]
+                scores.append((-sum(a * math.log(a / (b * c / sum(n))) for a, b, c in cells if a), names[t], t, bad >= 5 and bad >= 0.9 * (bad + good)))
+        best = sorted(scores)[:300]
+        return [[(t, m) for _, _, t, m in best[k::3]] for k in range(3)]
+
+    def see(i, group):
+        marks = sum(terms[i][t] for t, m in group if m)
+        return [*(math.log1p(terms[i][t]) for t, _ in group), math.log1p(marks), float(marks > 0)]
+
+    every, without = groups(None), [groups(f) for f in range(5)]
+    wanted = lambda gs, k, i, y: float(y == 1 and (k == 2 or any(terms[i][t] for t, _ in gs[k])))
+    unseen, said = {i: [] for i, _, _ in known}, {i: [] for i in terms}
+    for k in range(3):
+        w = restated_logistic([see(i, every[k]) + unseen[i] for i, _, _ in known], [wanted(every, k, i, y) for i, y, _ in known])
+        out = {}
+        for f in range(5):
+            v = restated_logistic([see(i, without[f][k]) + unseen[i] for i, _, g in known if g != f], [wanted(without[f], k, i, y) for i, y, g in known if g != f])
+            out |= {i: 1 / (1 + math.exp(-(np.dot(see(i, without[f][k]) + unseen[i], v[:-1]) + v[-1]))) for i, _, g in known if g == f}
+        for i in out:
+            unseen[i] = unseen[i] + [out[i]]
+        for i in said:
+            said[i] = said[i] + [1 / (1 + math.exp(-(np.dot(see(i, every[k]) + said[i], w[:-1]) + w[-1])))]
+    return said
+
+
+def test_toxicity_equals_a_chain_of_dictionaries(spark):
+    rng = random.Random(6)
+    bad, good = ["grobian", "scumbag", "vermin", "Dummkopf", "idiotic", "trash"], ["harbour", "Ünïcode", "meadow", "letter", "x1", "candle", "of", "river-bank"]
+    rows = []
+    for i in range(150):
+        toxic = i % 3 == 0
+        text = " ".join(rng.choice(bad if toxic and rng.random() < 0.25 or rng.random() < 0.01 else good) for _ in range(rng.randrange(1, 30)))
+        rows.append((i, text, int(toxic) if i % 10 else None))
+    hashes, row = toxicity.terms_of(*buffers(pa.array([" ".join(sorted({w for _, t, _ in rows for w in t.split()}))])))
+    plain = plain_terms(" ".join(sorted({w for _, t, _ in rows for w in t.split()})))
+    names = dict(zip(plain, hashes.view(np.int64).tolist(), strict=True))
+    assert len(set(names.values())) == len(names) and not row.any()
+    want = restated_chain(rows, names)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    found = toxicity.judge(docs, spark.createDataFrame([(i, y) for i, _, y in rows if y is not None], "doc_id long, toxic int")).collect()
+    for r in found:
+        assert [r.p_insult, r.p_slur, r.p_toxic] == pytest.approx(want[r.doc_id], abs=1e-4)
+        assert r.toxic == (r.p_toxic >= 0.5)
+    assert sum(r.toxic for r in found) > 30
+
+
+def test_rows_of_one_id_are_told_apart(spark):
+    docs, labels = table(spark, "documents").select("doc_id", "text"), table(spark, "labels")
+    marked = toxicity.judge(docs, labels)
+    bad, fine = docs.join(marked.where("toxic"), "doc_id").first(), docs.join(marked.where("not toxic"), "doc_id").first()
+    odd = docs.union(spark.createDataFrame([(bad.doc_id, fine.text), (None, bad.text), (None, None)], "doc_id long, text string")).withColumn("key", F.lit(1)).withColumn("toxic", F.lit(True))
+    kept = toxicity.clean(odd, labels)
+    assert kept.columns == odd.columns and kept.where(F.col("doc_id") == bad.doc_id).count() == 1 and kept.where("doc_id is null").count() == 1
 
 
 def test_toxicity_awkward(spark):

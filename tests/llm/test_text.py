@@ -11,15 +11,16 @@ import tarfile
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.fs
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from stowage.llm import bpe, kneser_ney, media, mixing, secret_scan
+from stowage.llm import _common, _words, bpe, kneser_ney, media, mixing, secret_scan
 from stowage.llm._common import local_path, scratch
 from stowage.llm.queries import byte_vocabulary
-from tests.llm.plain import LONG, awkward, empty, words
+from tests.llm.plain import HARD, LONG, awkward, empty, words
 
 DATA = "/root/testdata/sf0.001"
 
@@ -46,6 +47,22 @@ def test_bpe_equals_the_library(library, texts):
     assert encoder.decode(ids)[0].tobytes() == "".join(texts).encode()
 
 
+def test_hashes_tell_words_apart():
+    hashes, at = _words.word_hashes(*_words.buffers(pa.array([*HARD, "Ab ab " + "z" * 70 + " " + "z" * 71, "", "AB\0 b"])))
+    assert len(set(hashes.tolist())) == 9 and at.tolist() == [0, 1, 2, 3, 4, 8, 8, 10] and hashes[4] == hashes[5]
+
+
+def test_bpe_of_words_that_hash_badly(spark, library, monkeypatch):
+    docs = spark.createDataFrame(list(enumerate(HARD)), "doc_id long, text string")
+    found = {r.doc_id: r.decoded_sha256 for r in bpe.round_trip(docs, byte_vocabulary()).collect()}
+    assert found == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in enumerate(HARD)}
+    # pieces of one hash are told apart by what they are
+    texts = ["hello world, foo bar baz", "the  quick 12345 brown", *HARD]
+    monkeypatch.setattr(bpe, "_run_hashes", lambda points, starts, ends: ((ends - starts) % 3).astype(np.uint64))
+    ids, at = bpe.Encoder(byte_vocabulary()).encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [library.encode_ordinary(t) for t in texts]
+
+
 def test_bpe_long_pieces(library):
     vocab = bpe.vocabulary(byte_vocabulary())
     rng = random.Random(2)
@@ -230,6 +247,30 @@ def test_mixing(spark):
     assert copies == collections.Counter({i: n for i, n in again.items() if n})
 
 
+def test_mixing_in_many_buckets(spark, monkeypatch):
+    docs = spark.range(6000).selectExpr("id as doc_id", "repeat('w ', int(id % 7)) as text", "case when id < 5990 then 'hot' else concat('s', id) end as source")
+    want = sorted(map(tuple, mixing.mix(docs).collect()))
+    assert sorted(map(tuple, mixing.mix(docs, rows_per_bucket=1).collect())) == want  # over 2,048 buckets: keys of 52 bits times these pass 2^63
+    monkeypatch.setattr(mixing, "BUCKETS_PER_RUN", 7)
+    monkeypatch.setattr(mixing, "keyed", lambda rows, side, keys, n, total: _common.keyed(rows, side, keys, n, 10**12))
+    monkeypatch.setattr(_common, "HOT_ROWS", 100)
+    monkeypatch.setattr(_common, "MOST_HOT", 10**12)
+    assert sorted(map(tuple, mixing.mix(docs, rows_per_bucket=3).collect())) == want
+    copies = collections.Counter(r.doc_id for r in mixing.mixed(docs).collect())
+    assert copies == collections.Counter({r[0]: r[5] for r in want if r[5]})
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 40])
+def test_targets_of_many_sources(spark, n):
+    rng = random.Random(n)
+    sizes = {f"s{i:03d}": rng.choice([0, 1, 5, 1000]) for i in range(n)} | ({None: 7} if n > 1 else {})
+    sources = spark.createDataFrame([(s, z, "kept") for s, z in sizes.items()], "source string, source_size long, more string")
+    found = {r.source: r for r in mixing.source_targets(sources, at_once=3).collect()}
+    want = restated_targets(sizes)
+    assert {s: r.target for s, r in found.items()} == pytest.approx(want) and all(r.more == "kept" for r in found.values())
+    assert {r.source: r.target for r in mixing.source_targets(sources).collect()} == pytest.approx(want)
+
+
 def test_mixing_awkward(spark):
     docs = awkward(spark)
     found = mixing.mix(docs).collect()
