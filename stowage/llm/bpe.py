@@ -24,7 +24,9 @@ NONE = np.int64(1 << 30)
 #: Pieces up to so many bytes step together; longer ones have a tree each.
 LONGEST_TOGETHER = 64
 #: Distinct pieces that a task remembers; beyond, it forgets all and goes on.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
+#: Bytes of text that a task works on at once.
+AT_ONCE = 1 << 18
 
 
 class Vocabulary:
@@ -338,7 +340,7 @@ def encode(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary_path)
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text", AT_ONCE):
                 ids, at = encoder.encode(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids))], ["doc_id", "ids"])
 
@@ -370,7 +372,7 @@ def round_trip(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary_path)
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text", AT_ONCE):
                 ids, at = encoder.encode(part.column("text").to_pylist())
                 (plain, plain_at), (digits, digits_at) = encoder.decode(ids), encoder.digits(ids)
                 own, text = [], []
