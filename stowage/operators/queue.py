@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.scalars import age_s, backoff_s, defer_s, later
 
 MAX_ATTEMPTS, MAX_DELIVERIES, STALE_S = 10, 50, 3600
-CRASH_LOOP = "delivered too often without an outcome"
+# Fixed value: the reason that a claim which is reaped too often is given up for.
+CRASH_LOOP = "crash-loop: exceeded max deliveries"
 OUTCOMES = ("done", "released", "skipped", "deferred", "failed")
 
 
@@ -48,58 +49,58 @@ def stale(as_of: Column, ttl_s: int = STALE_S) -> Column:
     return (F.col("status") == "in_progress") & (F.col("claimed_at").isNull() | (age_s(as_of, F.col("claimed_at")) > ttl_s))
 
 
+def _has(queue: DataFrame, name: str, kind: str) -> Column:
+    return F.col(name) if name in queue.columns else F.lit(None).cast(kind)
+
+
 def _move(queue: DataFrame, rows: Column, changes: dict[str, Column]) -> DataFrame:
-    return queue.withColumns({c: F.when(rows, v).otherwise(F.col(c) if c in queue.columns else F.lit(None)) for c, v in changes.items()})
+    """``queue`` with changes in these rows; every value is worked out from the row as it was, and all other rows stay as they are."""
+    old = {c: _has(queue, c, "timestamp" if c in ("claimed_at", "visible_at") else "string") for c in changes}
+    moved = F.coalesce(rows, F.lit(False))
+    return queue.withColumns({c: F.when(moved, v).otherwise(old[c]) for c, v in changes.items()})
 
 
 def _held() -> Column:
     return F.col("status") == "in_progress"
 
 
+def _never() -> Column:
+    return F.lit(None).cast("timestamp")
+
+
 def mark_done(queue: DataFrame) -> DataFrame:
+    """Done; the time of the claim stays, as the row's last."""
     return _move(queue, _held(), {"status": F.lit("done")})
 
 
 def release(queue: DataFrame) -> DataFrame:
     """Back to pending at once, without an attempt."""
-    return _move(queue, _held(), {"status": F.lit("pending"), "visible_at": F.lit(None).cast("timestamp")})
+    return _move(queue, _held(), {"status": F.lit("pending"), "claimed_at": _never(), "visible_at": _never()})
 
 
 def skip(queue: DataFrame) -> DataFrame:
-    return _move(queue, _held(), {"status": F.lit("skipped")})
+    return _move(queue, _held(), {"status": F.lit("skipped"), "claimed_at": _never()})
 
 
 def defer(queue: DataFrame, as_of: Column, jitter: Column | None = None) -> DataFrame:
     """Back to pending in two to four minutes, attempts at 0, so that it is told from a retry."""
     jitter = F.rand() if jitter is None else jitter
-    return _move(queue, _held(), {"status": F.lit("pending"), "attempts": F.lit(0), "visible_at": later(as_of, defer_s(jitter))})
+    return _move(queue, _held(), {"status": F.lit("pending"), "claimed_at": _never(), "attempts": F.lit(0), "visible_at": later(as_of, defer_s(jitter))})
 
 
 def fail(queue: DataFrame, as_of: Column, reason: Column, most: int = MAX_ATTEMPTS) -> DataFrame:
     """One attempt more: back to pending after the backoff, or to dead_letter at ``most``."""
-    held, n = _held(), F.coalesce("attempts", F.lit(0)) + 1
-    changed = queue.withColumns({"visible_at": F.when(held, later(as_of, backoff_s(F.col("attempts")))).otherwise(F.col("visible_at"))})
-    return changed.withColumns(
-        {
-            "status": F.when(held, F.when(n >= most, "dead_letter").otherwise("pending")).otherwise(F.col("status")),
-            "attempts": F.when(held, n).otherwise(F.col("attempts")),
-            "last_error": F.when(held, reason),
-        }
-    )
+    n = F.coalesce("attempts", F.lit(0)) + 1
+    status = F.when(n >= most, "dead_letter").otherwise("pending")
+    return _move(queue, _held(), {"status": status, "attempts": n, "last_error": reason, "claimed_at": _never(), "visible_at": later(as_of, backoff_s(F.col("attempts")))})
 
 
 def reap_stale(queue: DataFrame, as_of: Column, ttl_s: int = STALE_S, most: int = MAX_DELIVERIES) -> DataFrame:
-    """Claims without an outcome for longer than the limit: one delivery more, and pending again or dead_letter."""
-    gone, n = stale(as_of, ttl_s), F.coalesce("deliveries", F.lit(0)) + 1
-    dead = n >= most
-    return queue.withColumns(
-        {
-            "status": F.when(gone, F.when(dead, "dead_letter").otherwise("pending")).otherwise(F.col("status")),
-            "deliveries": F.when(gone, n).otherwise(F.col("deliveries")),
-            "last_error": F.when(gone & dead, CRASH_LOOP),
-            "reaped": gone,
-        }
-    )
+    """Claims without an outcome for longer than the limit: one delivery more, and pending again or dead_letter. An earlier error stays unless the row is given up."""
+    gone, n = F.coalesce(stale(as_of, ttl_s), F.lit(False)), F.coalesce("deliveries", F.lit(0)) + 1
+    error = F.when(n >= most, CRASH_LOOP).otherwise(_has(queue, "last_error", "string"))
+    marked = queue.withColumn("reaped", gone)
+    return _move(marked, F.col("reaped"), {"status": F.when(n >= most, "dead_letter").otherwise("pending"), "deliveries": n, "last_error": error, "claimed_at": _never()})
 
 
 def dead_lettered(reaped: DataFrame) -> DataFrame:
@@ -113,16 +114,19 @@ def outcome(ok: Column, shutdown: Column, gone: Column, deferred: Column) -> Col
 
 
 def settle(queue: DataFrame, results: DataFrame, as_of: Column, jitter: Column | None = None, most: int = MAX_ATTEMPTS) -> DataFrame:
-    """The queue after the outcomes of results (id, outcome, reason); rows without one come out as they were."""
-    held = F.coalesce((F.col("status") == "in_progress") & F.col("outcome").isNotNull(), F.lit(False))
-    jitter = F.rand() if jitter is None else jitter
-    n = F.coalesce("attempts", F.lit(0)) + 1
-    status = F.when(F.col("outcome") == "done", "done").when(F.col("outcome") == "skipped", "skipped").when((F.col("outcome") == "failed") & (n >= most), "dead_letter").otherwise("pending")
-    due = F.when(F.col("outcome") == "deferred", later(as_of, defer_s(jitter))).when(F.col("outcome") == "failed", later(as_of, backoff_s(F.col("attempts")))).when(F.col("outcome") == "released", F.lit(None)).otherwise(F.col("visible_at"))
-    tries = F.when(F.col("outcome") == "deferred", 0).when(F.col("outcome") == "failed", n).otherwise(F.col("attempts"))
-    joined = queue.join(results.select("id", "outcome", "reason"), "id", "left")
-    return joined.select(
-        *(c for c in queue.columns if c not in ("status", "visible_at", "attempts", "last_error")),
-        F.when(held, status).otherwise(F.col("status")).alias("status"), F.when(held, due).otherwise(F.col("visible_at")).alias("visible_at"),
-        F.when(held, tries).otherwise(F.col("attempts")).alias("attempts"), F.when(held & (F.col("outcome") == "failed"), F.col("reason")).alias("last_error"),
-    )
+    """The queue after the outcomes of results (id, outcome, reason); rows without one come out as they were.
+
+    A claim is settled once: of several results for one id the first of OUTCOMES counts, with the least of its reasons.
+    """
+    rank = F.array_position(F.array(*map(F.lit, OUTCOMES)), F.col("outcome"))
+    first = results.where(F.col("outcome").isin(*OUTCOMES)).groupBy("id").agg(F.min(F.struct(rank.alias("rank"), "outcome", "reason")).alias("settled"))
+    joined = queue.join(first, "id", "left")
+    said, n = F.col("settled.outcome"), F.coalesce("attempts", F.lit(0)) + 1
+    jitter, failed = F.rand() if jitter is None else jitter, said == "failed"
+    status = F.when(said.isin("done", "skipped"), said).when(failed & (n >= most), "dead_letter").otherwise("pending")
+    due = F.when(said == "deferred", later(as_of, defer_s(jitter))).when(failed, later(as_of, backoff_s(F.col("attempts")))).when(said != "released", F.col("visible_at"))
+    changes = {
+        "status": status, "visible_at": due, "attempts": F.when(said == "deferred", 0).when(failed, n).otherwise(F.col("attempts")),
+        "last_error": F.when(failed, F.col("settled.reason")).otherwise(_has(queue, "last_error", "string")), "claimed_at": F.when(said == "done", _has(queue, "claimed_at", "timestamp")),
+    }
+    return _move(joined, _held() & said.isNotNull(), changes).drop("settled")

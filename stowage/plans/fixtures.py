@@ -29,6 +29,7 @@ VIEWS = {
                CASE WHEN event_id % 10 < 6 THEN 'pending' WHEN event_id % 10 = 6 THEN 'in_progress' WHEN event_id % 10 = 7 THEN 'done' WHEN event_id % 10 = 8 THEN 'skipped' ELSE 'dead_letter' END AS status,
                CASE WHEN event_id % 5 = 0 THEN NULL ELSE CAST(event_id % 12 AS int) END AS attempts,
                CASE WHEN event_id % 6 = 0 THEN NULL ELSE CAST(event_id % 52 AS int) END AS deliveries,
+               CASE WHEN event_id % 9 < 4 THEN 'error ' || (event_id % 7) END AS last_error,
                CASE WHEN event_id % 31 = 0 THEN NULL ELSE ts END AS created_date,
                CASE WHEN event_id % 4 = 0 THEN NULL ELSE ts + INTERVAL '1' HOUR END AS claimed_at,
                CASE WHEN event_id % 3 = 0 THEN NULL ELSE ts + INTERVAL '2' HOUR END AS visible_at

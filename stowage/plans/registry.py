@@ -199,77 +199,100 @@ def backlog_stats(outbox):
 
 
 _BACKOFF = "least(5 * pow(2.0, least(coalesce(attempts, 0), 20)), 600.0)"
+_TRIED_AGAIN = f"make_timestamp(epoch_us({_NOW}) + CAST({_BACKOFF} * 1000000 AS BIGINT))"
+_QUEUE = "id, status, attempts, deliveries, last_error, claimed_at, visible_at"
+
+
+def _updated(sets: dict[str, str], where: str) -> str:
+    """The queue after an UPDATE of the rows that meet a condition."""
+    columns = (f"CASE WHEN {where} THEN {sets[c]} ELSE {c} END AS {c}" if c in sets else c for c in _QUEUE.split(", "))
+    return f"SELECT {', '.join(columns)} FROM outbox"
+
+
+def _shown(queue_after):
+    return queue_after.select(*_QUEUE.split(", "))
+
+
+_HELD = "status = 'in_progress'"
 
 
 @query(
-    f"""SELECT id, CASE WHEN status <> 'in_progress' THEN status WHEN coalesce(attempts, 0) + 1 >= 10 THEN 'dead_letter' ELSE 'pending' END AS status,
-               CASE WHEN status = 'in_progress' THEN coalesce(attempts, 0) + 1 ELSE attempts END AS attempts,
-               CASE WHEN status = 'in_progress' THEN make_timestamp(epoch_us({_NOW}) + CAST({_BACKOFF} * 1000000 AS BIGINT)) ELSE visible_at END AS visible_at,
-               CASE WHEN status = 'in_progress' THEN 'boom' END AS last_error
-        FROM outbox""",
+    _updated(
+        {
+            "status": "CASE WHEN coalesce(attempts, 0) + 1 >= 10 THEN 'dead_letter' ELSE 'pending' END", "attempts": "coalesce(attempts, 0) + 1", "last_error": "'boom'", "claimed_at": "NULL",
+            "visible_at": _TRIED_AGAIN,
+        },
+        _HELD,
+    ),
     "outbox",
-)
+)
 def fail_transition(outbox):
-    return queue.fail(outbox, as_of(), F.lit("boom")).select("id", "status", "attempts", "visible_at", "last_error")
+    return _shown(queue.fail(outbox, as_of(), F.lit("boom")))
+
+
+_STALE = f"status = 'in_progress' AND (claimed_at IS NULL OR claimed_at < {_NOW} - INTERVAL '3600' SECOND)"
 
 
 @query(
-    f"""SELECT id, CASE WHEN gone THEN CASE WHEN n >= 50 THEN 'dead_letter' ELSE 'pending' END ELSE status END AS status,
-               CASE WHEN gone THEN n ELSE deliveries END AS deliveries, CASE WHEN gone AND n >= 50 THEN '{queue.CRASH_LOOP}' END AS last_error, gone AS reaped
-        FROM (SELECT *, coalesce(deliveries, 0) + 1 AS n, status = 'in_progress' AND (claimed_at IS NULL OR claimed_at < {_NOW} - INTERVAL '3600' SECOND) AS gone FROM outbox)""",
+    _updated(
+        {
+            "status": "CASE WHEN coalesce(deliveries, 0) + 1 >= 50 THEN 'dead_letter' ELSE 'pending' END", "deliveries": "coalesce(deliveries, 0) + 1", "claimed_at": "NULL",
+            "last_error": "CASE WHEN coalesce(deliveries, 0) + 1 >= 50 THEN 'crash-loop: exceeded max deliveries' ELSE last_error END",
+        },
+        _STALE,
+    ),
     "outbox",
-)
+)
 def reap_stale(outbox):
-    return queue.reap_stale(outbox, as_of()).select("id", "status", "deliveries", "last_error", "reaped")
+    return _shown(queue.reap_stale(outbox, as_of()))
 
 
-@query(
-    f"""SELECT count(*) AS reaped, count(*) FILTER (coalesce(deliveries, 0) + 1 >= 50) AS dead_lettered
-        FROM outbox WHERE status = 'in_progress' AND (claimed_at IS NULL OR claimed_at < {_NOW} - INTERVAL '3600' SECOND)""",
-    "outbox",
-)
+@query(f"SELECT count(*) AS reaped, count(*) FILTER (coalesce(deliveries, 0) + 1 >= 50) AS dead_lettered FROM outbox WHERE {_STALE}", "outbox")
 def reaped_counts(outbox):
     return queue.dead_lettered(queue.reap_stale(outbox, as_of()))
 
 
-@query(
-    f"""SELECT id, CASE WHEN status = 'in_progress' THEN 'pending' ELSE status END AS status, CASE WHEN status = 'in_progress' THEN 0 ELSE attempts END AS attempts,
-               CASE WHEN status = 'in_progress' THEN {_NOW} + INTERVAL '180' SECOND ELSE visible_at END AS visible_at
-        FROM outbox""",
-    "outbox",
-)
+@query(_updated({"status": "'pending'", "claimed_at": "NULL", "attempts": "0", "visible_at": f"{_NOW} + INTERVAL '180' SECOND"}, _HELD), "outbox")
 def defer_transition(outbox):
-    return queue.defer(outbox, as_of(), F.lit(0.5)).select("id", "status", "attempts", "visible_at")
+    return _shown(queue.defer(outbox, as_of(), F.lit(0.5)))
 
 
-@query(
-    """SELECT id, CASE WHEN status = 'in_progress' THEN 'done' ELSE status END AS done, CASE WHEN status = 'in_progress' THEN 'pending' ELSE status END AS released,
-              CASE WHEN status = 'in_progress' THEN NULL ELSE visible_at END AS released_visible_at, CASE WHEN status = 'in_progress' THEN 'skipped' ELSE status END AS skipped
-       FROM outbox""",
-    "outbox",
-)
-def plain_transitions(outbox):
-    # three transitions of one scan, side by side
-    named = lambda df, s, v: df.select("id", F.col("status").alias(s), F.col("visible_at").alias(v))
-    done, released, skipped = named(queue.mark_done(outbox), "done", "v1"), named(queue.release(outbox), "released", "released_visible_at"), named(queue.skip(outbox), "skipped", "v2")
-    return done.join(released, "id").join(skipped, "id").select("id", "done", "released", "released_visible_at", "skipped")
+@query(_updated({"status": "'done'"}, _HELD), "outbox")
+def done_transition(outbox):
+    return _shown(queue.mark_done(outbox))
+
+
+@query(_updated({"status": "'pending'", "claimed_at": "NULL", "visible_at": "NULL"}, _HELD), "outbox")
+def release_transition(outbox):
+    return _shown(queue.release(outbox))
+
+
+@query(_updated({"status": "'skipped'", "claimed_at": "NULL"}, _HELD), "outbox")
+def skip_transition(outbox):
+    return _shown(queue.skip(outbox))
 
 
 _OUTCOME = "CASE WHEN id % 5 = 0 THEN 'done' WHEN id % 7 = 0 THEN 'released' WHEN id % 11 = 0 THEN 'skipped' WHEN id % 3 = 0 THEN 'deferred' ELSE 'failed' END"
 
 
 @query(
-    f"""SELECT id, CASE WHEN status <> 'in_progress' THEN status WHEN o IN ('done', 'skipped') THEN o WHEN o = 'failed' AND coalesce(attempts, 0) + 1 >= 10 THEN 'dead_letter' ELSE 'pending' END AS status,
-               CASE WHEN status <> 'in_progress' THEN attempts WHEN o = 'deferred' THEN 0 WHEN o = 'failed' THEN coalesce(attempts, 0) + 1 ELSE attempts END AS attempts,
-               CASE WHEN status <> 'in_progress' THEN visible_at WHEN o = 'deferred' THEN {_NOW} + INTERVAL '180' SECOND WHEN o = 'released' THEN NULL
-                    WHEN o = 'failed' THEN make_timestamp(epoch_us({_NOW}) + CAST({_BACKOFF} * 1000000 AS BIGINT)) ELSE visible_at END AS visible_at
-        FROM (SELECT *, {_OUTCOME} AS o FROM outbox)""",
+    _updated(
+        {
+            "status": f"CASE {_OUTCOME} WHEN 'done' THEN 'done' WHEN 'skipped' THEN 'skipped' WHEN 'failed' THEN CASE WHEN coalesce(attempts, 0) + 1 >= 10 THEN 'dead_letter' ELSE 'pending' END ELSE 'pending' END",
+            "attempts": f"CASE {_OUTCOME} WHEN 'deferred' THEN 0 WHEN 'failed' THEN coalesce(attempts, 0) + 1 ELSE attempts END",
+            "last_error": f"CASE {_OUTCOME} WHEN 'failed' THEN 'boom' ELSE last_error END", "claimed_at": f"CASE {_OUTCOME} WHEN 'done' THEN claimed_at END",
+            "visible_at": f"CASE {_OUTCOME} WHEN 'deferred' THEN {_NOW} + INTERVAL '180' SECOND WHEN 'released' THEN NULL WHEN 'failed' THEN {_TRIED_AGAIN} ELSE visible_at END",
+        },
+        _HELD,
+    ),
     "outbox",
-)
+)
 def settle_outcomes(outbox):
     has = lambda n: F.col("id") % n == 0
-    results = outbox.where("status = 'in_progress'").select("id", queue.outcome(has(5), has(7), has(11), has(3)).alias("outcome"), F.lit("boom").alias("reason"))
-    return queue.settle(outbox, results, as_of(), F.lit(0.5)).select("id", "status", "attempts", "visible_at")
+    claimed = outbox.where("status = 'in_progress'").select("id", queue.outcome(has(5), has(7), has(11), has(3)).alias("outcome"))
+    # a late second result of some rows, which must not count
+    results = claimed.union(claimed.where(has(5)).select("id", F.lit("failed"))).withColumn("reason", F.lit("boom"))
+    return _shown(queue.settle(outbox, results, as_of(), F.lit(0.5)))
 
 
 _DIFF = """

@@ -109,6 +109,47 @@ def test_lost_claims_change_nothing(spark):
         assert (r.status, r.attempts, r.visible_at) == ("done", 2, None)
 
 
+def full_outbox(spark, rows):
+    names = "id long, status string, attempts int, deliveries int, last_error string, claimed_at timestamp, visible_at timestamp, more string"
+    return spark.createDataFrame(rows, names)
+
+
+HELD = (1, "in_progress", 3, 7, "earlier", AT, AT, "x")
+REST = [(n, s, 3, 7, "earlier", AT, AT, "x") for n, s in enumerate(("pending", "done", "skipped", "dead_letter"), 2)]
+
+
+def test_transitions_change_claimed_rows_only(spark):
+    late = AT + datetime.timedelta(days=1)
+    rows = full_outbox(spark, [HELD, *REST])
+    due = lambda s: late + datetime.timedelta(seconds=s)
+    results = lambda *pairs: spark.createDataFrame([(1, o, r) for o, r in pairs], "id long, outcome string, reason string")
+    done, released, skipped = (1, "done", 3, 7, "earlier", AT, AT, "x"), (1, "pending", 3, 7, "earlier", None, None, "x"), (1, "skipped", 3, 7, "earlier", None, AT, "x")
+    deferred, failed = (1, "pending", 0, 7, "earlier", None, due(180), "x"), (1, "pending", 4, 7, "boom", None, due(40), "x")
+    now, half = F.lit(late), F.lit(0.5)
+    settled = lambda *pairs: queue.settle(rows, results(*pairs), now, half)
+    for after, want in (
+        (queue.mark_done(rows), done), (queue.release(rows), released), (queue.skip(rows), skipped), (queue.defer(rows, now, half), deferred), (queue.fail(rows, now, F.lit("boom")), failed),
+        (settled(("done", None)), done), (settled(("released", None)), released), (settled(("skipped", None)), skipped), (settled(("deferred", None)), deferred), (settled(("failed", "boom")), failed),
+        (settled(("failed", "boom"), ("done", None), ("done", "again")), done), (settled(("failed", "zz"), ("failed", "boom")), failed), (settled((None, "boom"), ("unheard of", "x")), HELD),
+    ):
+        assert sorted(tuple(r) for r in after.select(*rows.columns).collect()) == [want, *REST]
+
+
+def test_reaped_rows_keep_an_earlier_error_until_they_are_given_up(spark):
+    late = F.lit(AT + datetime.timedelta(days=1))
+    rows = full_outbox(spark, [HELD, (9, "in_progress", 3, 49, "earlier", None, None, "x"), (10, "in_progress", None, None, None, AT + datetime.timedelta(days=1), None, "x"), *REST])
+    found = sorted(tuple(r) for r in queue.reap_stale(rows, late).select(*rows.columns).collect())
+    assert found[0] == (1, "pending", 3, 8, "earlier", None, AT, "x") and found[1:5] == REST
+    assert found[5] == (9, "dead_letter", 3, 50, "crash-loop: exceeded max deliveries", None, None, "x")
+    assert found[6] == (10, "in_progress", None, None, None, AT + datetime.timedelta(days=1), None, "x")
+
+
+def test_failures_end_in_dead_letter(spark):
+    for attempts, want in ((None, "pending"), (8, "pending"), (9, "dead_letter"), (30, "dead_letter")):
+        r = queue.fail(full_outbox(spark, [(1, "in_progress", attempts, None, "earlier", AT, None, "x")]), F.lit(AT), F.lit("boom")).first()
+        assert (r.status, r.attempts, r.last_error, r.claimed_at) == (want, (attempts or 0) + 1, "boom", None)
+
+
 def test_deferred_rows_are_not_backlog(spark):
     now = F.lit(AT)
     later = AT - datetime.timedelta(seconds=1)
