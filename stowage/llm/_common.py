@@ -76,6 +76,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return found
 
 
+def written_path(table: DataFrame) -> str:
+    """The folder of a table that ``written`` returned."""
+    return _PATHS[table]
+
+
 def dropped(*tables: DataFrame | None) -> None:
     """Removes the files of tables that ``written`` returned, once nothing will read them any more."""
     for df in tables:

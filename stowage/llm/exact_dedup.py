@@ -3,8 +3,8 @@
 A stream of (digest, identifier, locator) rows is folded, in several micro-batches, into keyed RocksDB state that never
 expires. Each key retains its digest, the largest identifier and that row's locator, the key of its staged row, and
 the number of rows; a later batch finds there what earlier ones left. The staged row of that key is the one that
-stays. Every row of a digest with two rows or more is a hit, and its whole text is then compared with the text of the
-row that stays; texts that share a digest but not their bytes are grouped again by digest and text.
+stays. Every row of a digest with two rows or more is a hit, and its whole text is then compared with the text that
+lies at the locator; texts that share a digest but not their bytes are grouped again by digest and text.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import scratch, settings, small, text_of, written
+from ._common import BROADCAST_ROWS, dropped, keyed, row_key, scratch, settings, small, text_of, written, written_path
 
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -75,15 +75,14 @@ def _run_stream(stream: DataFrame, label: str) -> DataFrame:
     return found.groupBy("digest").agg(F.max("stays").alias("stays"), F.max("group_size").alias("group_size"))
 
 
-def _mismatched(docs: DataFrame, groups: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
-    """Digests under which a text differs from the text of the row that stays; hot groups are dealt over salted copies of it."""
-    multi = written(
-        groups.where("group_size > 1").select("digest", F.col("stays.doc_id").alias("keep_id"), F.least(F.ceil(F.col("group_size") / ROWS_PER_SALT), F.lit(MOST_SALTS)).cast("int").alias("salts")), "dedup-hits"
-    )
-    hits = text_of(docs).withColumn("digest", digest(F.col("text"))).join(small(multi, multi.count()), "digest")
-    stays = hits.where("doc_id <=> keep_id").groupBy("digest", "salts").agg(F.min("text").alias("kept_text"))
-    stays = stays.select("digest", "kept_text", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    rows = hits.select("digest", "text", F.pmod(F.xxhash64("doc_id", F.length("text")), F.col("salts")).cast("int").alias("salt"))
+def _mismatched(staged: DataFrame, groups: DataFrame, total: int) -> DataFrame:
+    """Digests under which a text differs from the text at the locator; hot groups are dealt over salted copies of it."""
+    salts = F.least(F.ceil(F.col("group_size") / ROWS_PER_SALT), F.lit(MOST_SALTS)).cast("int").alias("salts")
+    multi = written(groups.where("group_size > 1").select("digest", "group_size", F.col("stays.row_id").alias("locator"), salts), "dedup-hits")
+    texts, n = staged.select("digest", "row_id", "text"), multi.count()
+    hits = texts.join(F.broadcast(multi), "digest") if n <= BROADCAST_ROWS else keyed(texts, multi, ["digest"], "group_size", total)
+    stays = hits.where("row_id = locator").select("digest", F.col("text").alias("kept_text"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    rows = hits.where("row_id <> locator").select("digest", "text", F.pmod(F.xxhash64("row_id"), F.col("salts")).cast("int").alias("salt"))
     return rows.join(stays, ["digest", "salt"]).where("text <> kept_text").select("digest").distinct()
 
 
@@ -97,26 +96,28 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256_of,
     it follows from how much is staged.
     """
     spark = docs.sparkSession
-    # the id of a row is fixed by writing it
-    path = scratch(spark, "dedup-rows")
-    text_of(docs).select("doc_id", F.monotonically_increasing_id().alias("row_id"), digest(F.col("text")).alias("digest"), sha256_of(F.col("text")).alias("sha")).write.parquet(path)
-    schema = "doc_id bigint, row_id bigint, digest binary, sha binary"
-    rows = spark.read.schema(schema).parquet(path)
-    stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", batch_bytes or batch_size(_bytes_below(spark, path))).parquet(path)
+    # the id of a row is fixed by writing it, with its text; the stream reads a narrow copy
+    text = F.col("text")
+    staged = written(text_of(docs).select("doc_id", F.monotonically_increasing_id().alias("row_id"), digest(text).alias("digest"), sha256_of(text).alias("sha"), "text"), "dedup-staged")
+    rows = written(staged.drop("text"), "dedup-rows")
+    path = written_path(rows)
+    stream = spark.readStream.schema(rows.schema).option("maxBytesPerTrigger", batch_bytes or batch_size(_bytes_below(spark, path))).parquet(path)
     groups = written(_run_stream(stream, "dedup"), "dedup-groups")
-    clashes = written(_mismatched(docs, groups, digest), "dedup-clashes")
+    total = rows.count()
+    clashes = written(_mismatched(staged, groups, total), "dedup-clashes")
     n_clashes = clashes.count()
-    found = rows.join(groups, "digest")
+    found = keyed(rows, groups, ["digest"], "group_size", total)
     if n_clashes:
         found = found.join(small(clashes, n_clashes), "digest", "left_anti")
+    else:
+        dropped(staged)
     found = found.select("doc_id", F.col("stays.doc_id").alias("keep_id"), "group_size", (F.col("row_id") == F.col("stays.row_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
-    return found.unionByName(_regrouped(docs, clashes, n_clashes, digest)) if n_clashes else found
+    return found.unionByName(_regrouped(staged, clashes, n_clashes)) if n_clashes else found
 
 
-def _regrouped(docs: DataFrame, clashes: DataFrame, n_clashes: int, digest: Callable[[Column], Column]) -> DataFrame:
+def _regrouped(staged: DataFrame, clashes: DataFrame, n_clashes: int) -> DataFrame:
     """The rows under clashing digests, grouped by the whole text."""
-    rows = text_of(docs).withColumn("digest", digest(F.col("text"))).join(small(clashes, n_clashes), "digest", "left_semi")
-    rows = written(rows.withColumn("row_id", F.monotonically_increasing_id()), "dedup-regrouped")
+    rows = written(staged.join(small(clashes, n_clashes), "digest", "left_semi").select("doc_id", "row_id", "text"), "dedup-regrouped")
     groups = rows.groupBy("text").agg(F.max(F.struct("doc_id", "row_id")).alias("stays"), F.count(F.lit(1)).alias("group_size"))
     return rows.join(groups, "text").select(
         "doc_id", F.col("stays.doc_id").alias("keep_id"), "group_size", (F.col("row_id") == F.col("stays.row_id")).alias("kept"), F.sha2("text", 256).alias("text_sha256")
@@ -129,12 +130,12 @@ def distinct_rows(docs: DataFrame) -> DataFrame:
     Texts don't move: what goes is a table of ids and digests, broadcast if it is small.
     """
     judged = exact_dedup(docs)
-    name = lambda doc_id, sha: F.concat_ws(":", F.coalesce(doc_id.cast("long").cast("string"), F.lit("null")), sha)
-    key, keys = f"dedup_{uuid.uuid4().hex}", judged.withColumn("key", name(F.col("doc_id"), F.col("text_sha256")))
+    key, digits = f"dedup_{uuid.uuid4().hex}", F.col("text_sha256")
+    keys = judged.withColumn("key", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), digits))
     gone = written(keys.where("not (doc_id <=> keep_id)").select(F.col("key").alias(key)).distinct(), "dedup-gone")
     again = written(keys.where("doc_id <=> keep_id and group_size > 1").groupBy(F.col("key").alias(key)).count().where("count > 1").select(key), "dedup-again")
     n_again = again.count()
-    rows = docs.withColumn(key, name(F.col("doc_id"), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))).join(small(gone, gone.count()), key, "left_anti")
+    rows = docs.withColumn(key, row_key(F.col("doc_id"), F.col("text"))).join(small(gone, gone.count()), key, "left_anti")
     if n_again:
         once = rows.join(small(again, n_again), key, "left_semi").dropDuplicates([key])
         rows = rows.join(small(again, n_again), key, "left_anti").unionByName(once)
