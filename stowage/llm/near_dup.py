@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import sized, small, text_of, written
+from ._common import keyed, sized, small, text_of, written
 from ._words import U, buffers, lean, mix, slices, word_hashes
 from .components import components, forest_roots
 
@@ -28,6 +28,10 @@ from .components import components, forest_roots
 PERMUTATIONS, ROWS, BANDS = 128, 6, 42
 #: Classes on either side of a block; a band's larger groups become several blocks.
 CHUNK = 800
+#: Shingles on either side, all sets together; blocks of long texts have fewer classes.
+CHUNK_SHINGLES = 1 << 20
+#: Pairs that one copy of a head's set is compared in.
+PAIRS_PER_SALT = 500
 VALUES = BANDS * ROWS
 #: Deviations of a signature's agreement that a linked pair may be below its mean.
 DEVIATIONS = 5
@@ -162,19 +166,23 @@ def _groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]
 def _blocks(state: DataFrame) -> DataFrame:
     """The rows of state (band, at, cls, n, root), by block: band, l, c, role.
 
-    A group of at most CHUNK classes is one block, role 2: each with each. Of a larger one, all classes are dealt into
+    A group of at most CHUNK classes and CHUNK_SHINGLES is one block, role 2: each with each. Of a larger one, all classes are dealt into
     columns (role 0), and those outside the group's largest component also into lines (role 1); each block is a line
     against a column. So a component however large costs no more than its rows times what is apart from it.
     """
-    counts = state.groupBy("band", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("band").agg(F.sum("k").alias("m"), F.max(F.struct("k", "root")).alias("top"))
+    by_root = state.groupBy("band", "root").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("s"))
+    counts = by_root.groupBy("band").agg(F.sum("k").alias("m"), F.sum("s").alias("s"), F.max(F.struct("k", "root", "s")).alias("top"))
     n = state.count()
-    counts = written(sized(counts.select("band", "m", F.col("top.root").alias("top"), (F.col("m") - F.col("top.k")).alias("rest")), n), "near-counts")
-    lines, columns = F.greatest(F.lit(1), F.ceil(F.col("rest") / CHUNK)).cast("int"), F.ceil(F.col("m") / CHUNK).cast("int")
+    blocks_of = lambda k, s: F.greatest(F.lit(1), F.ceil(k / CHUNK), F.ceil(s / CHUNK_SHINGLES)).cast("int")
+    rest = F.col("m") - F.col("top.k")
+    counts = counts.select("band", F.col("top.root").alias("top"), rest.alias("rest"), blocks_of(rest, F.col("s") - F.col("top.s")).alias("lines"), blocks_of(F.col("m"), F.col("s")).alias("columns"))
+    counts = written(sized(counts, n), "near-counts")
+    lines, columns = F.col("lines"), F.col("columns")
     place = lambda of, salt: F.pmod(F.xxhash64("cls", F.lit(salt)), of).cast("int")
     cell = lambda l, c, role: F.struct(l.cast("int").alias("l"), c.cast("int").alias("c"), F.lit(role).alias("role"))
     right = F.transform(F.sequence(F.lit(0), lines - 1), lambda l: cell(l, place(columns, 1), 0))
     left = F.when(F.col("root") != F.col("top"), F.transform(F.sequence(F.lit(0), columns - 1), lambda c: cell(place(lines, 2), c, 1))).otherwise(F.array().cast("array<struct<l:int,c:int,role:int>>"))
-    cells = F.when(F.col("m") <= CHUNK, F.array(cell(F.lit(0), F.lit(0), 2))).otherwise(F.concat(right, left))
+    cells = F.when(columns == 1, F.array(cell(F.lit(0), F.lit(0), 2))).otherwise(F.concat(right, left))
     return state.join(counts, "band").where("rest > 0").select("band", "at", "cls", "n", "root", F.explode(cells).alias("x")).select("band", "x.l", "x.c", "x.role", "at", "cls", "n", "root")
 
 
@@ -199,7 +207,8 @@ def _likely(blocks: DataFrame, signatures: DataFrame, percent: int) -> DataFrame
                 a, b = x[i[part : part + (1 << 14)]], columns[j[part : part + (1 << 14)]]
                 good = (sig[a] == sig[b]).sum(axis=1) >= least
                 a, b = a[good], b[good]
-                good = (shared[a] == shared[b]).argmax(axis=1) == at
+                # a band is shared if its hashes agree in 32 bits and all its values in a byte each
+                good = ((shared[a] == shared[b]) & (sig[a] == sig[b]).reshape(-1, BANDS, ROWS).all(axis=2)).argmax(axis=1) == at
                 a, b = a[good], b[good]
                 for own in np.unique(a).tolist():
                     partners[own] = np.concatenate([partners.get(own, np.zeros(0, np.int64)), cls[b[a == own]]])
@@ -274,8 +283,14 @@ def _wanted_sets(docs: DataFrame, ids: DataFrame, k: int, n: int) -> DataFrame:
 def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) of doc_ids with 100 * intersection >= percent * union of the full sets of any of their rows, each once."""
     sets = _wanted_sets(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), k, pairs.count())
-    right = pairs.join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb")), "b")
-    both = right.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")), "a")
+    # a head with many partners is as many keys as they need, each with a copy of its set
+    n = pairs.count()
+    heads = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).withColumn("salts", F.ceil(F.col("n") / PAIRS_PER_SALT).cast("int"))
+    heads = written(sized(heads, n), "near-salts")
+    salted = keyed(pairs, heads, ["a"], "n", n).withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int")).select("a", "b", "salt")
+    right = salted.join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb")), "b")
+    left = heads.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")), "a").select("a", "sa", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    both = right.join(left, ["a", "salt"])
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.where(F.lit(100) * shared >= F.lit(percent) * (F.size("sa") + F.size("sb") - shared)).select("a", "b").distinct()
 
@@ -291,9 +306,9 @@ def near_dup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """
     rows = written(profiles(docs, k), "near-profiles")
     n = rows.count()
-    classes = written(sized(rows.where("n_shingles > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("cls")), n), "near-classes")
+    classes = written(sized(rows.where("n_shingles > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("cls"), F.count(F.lit(1)).alias("rows")), n), "near-classes")
     named = rows.where("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "hi", "lo")
-    members = written(sized(named.join(classes, ["hi", "lo"]), n), "near-members")
+    members = written(sized(keyed(named, classes, ["hi", "lo"], "rows", n).drop("rows"), n), "near-members")
     heads = members.where("doc_id = cls").select("cls", "hi", "lo").distinct()
     # a row repeated whole is one node, so all that follows takes it once
     once = _once(rows.where("n_shingles > 0 and doc_id is not null"), "doc_id", "hi", "lo")
