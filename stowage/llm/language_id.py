@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import written
+from ._common import keyed, written
 from ._words import U, buffers, lean, mix, slices
 
 #: Buckets of the byte runs; the model has so many numbers a language.
@@ -33,12 +33,35 @@ SUFFIX_WEIGHT = 0.5
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _LOWER[[b for b in range(0x80) if not chr(b).isalpha()]] = 0x20
-_HIDDEN = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>", re.DOTALL | re.IGNORECASE)
-DECLARED = r"(?i)<html[^>]*\blang\s*=\s*[\"']?([a-z]+)"
+_HIDING = re.compile(r"<(script|style)\b", re.IGNORECASE)
+_ENDS = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in ("script", "style")}
+DECLARED = r"(?i)<html[^<>]*\blang\s*=\s*[\"']?([a-z]+)"
 
 
 def visible(page: str) -> str:
-    return html.unescape(_HIDDEN.sub(" ", page))
+    """The page without comments, scripts, styles and tags, each a blank, and with its character references resolved.
+
+    What isn't closed counts as a tag, or as text where no tag ends after it. One pass: what was not found once is not
+    looked for again, so a page takes time in proportion to its length.
+    """
+    found, at, open_ended = [], 0, set()
+    while (start := page.find("<", at)) >= 0:
+        end = 0
+        if page.startswith("<!--", start) and "comment" not in open_ended:
+            end = page.find("-->", start + 4) + 3
+            if end < 3:
+                end = 0
+                open_ended.add("comment")
+        elif (hiding := _HIDING.match(page, start)) and (name := hiding[1].lower()) not in open_ended:
+            if closing := _ENDS[name].search(page, hiding.end()):
+                end = closing.end()
+            else:
+                open_ended.add(name)
+        if not end and not (end := page.find(">", start) + 1):
+            break
+        found += [page[at:start], " "]
+        at = end
+    return html.unescape("".join([*found, page[at:]]))
 
 
 def _runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,8 +135,8 @@ def _normal(logs: Column) -> Column:
 
 
 def _sums(rows: DataFrame, keys: list[str], n: int, name: str) -> DataFrame:
-    """Sums of the posteriors p by keys, as one array."""
-    return rows.groupBy(*keys).agg(F.array(*(F.sum(F.col("p")[i]) for i in range(n))).alias(name))
+    """Sums of the posteriors p by keys, as one array, and the rows of each."""
+    return rows.groupBy(*keys).agg(F.array(*(F.sum(F.col("p")[i]) for i in range(n))).alias(name), F.count(F.lit(1)).alias(f"{name}_rows"))
 
 
 def _smoothed(counts: Column, prior: Column, rows: float) -> Column:
@@ -137,16 +160,17 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     rows = written(rows.withColumn("p", _normal(F.col("said"))), "lang-text")
     # one row a host, domain, suffix, declaration
     hosts = written(_sums(rows, ["host", "domain", "suffix"], n, "host_n"), "lang-hosts")
-    summed = lambda keys, name: hosts.groupBy(*keys).agg(F.array(*(F.sum(F.col("host_n")[i]) for i in range(n))).alias(name))
+    summed = lambda keys, name: hosts.groupBy(*keys).agg(F.array(*(F.sum(F.col("host_n")[i]) for i in range(n))).alias(name), F.count(F.lit(1)).alias(f"{name}_rows"))
     suffixes, domains = summed(["suffix"], "suffix_n"), summed(["domain"], "domain_n")
-    totals = hosts.agg(F.array(*(F.coalesce(F.sum(F.col("host_n")[i]), F.lit(0.0)) for i in range(n))).alias("t")).first()["t"]
+    first = hosts.agg(F.array(*(F.coalesce(F.sum(F.col("host_n")[i]), F.lit(0.0)) for i in range(n))).alias("t"), F.count(F.lit(1)).alias("hosts"), F.sum("host_n_rows").alias("pages")).first()
+    totals, n_hosts, n_pages = first["t"], first["hosts"], first["pages"] or 0
     overall = (np.array(totals) + 1) / (sum(totals) + n)
     base, size = F.array(*(F.lit(float(x)) for x in overall)), F.array(*(F.lit(float(x) + 1) for x in totals))
     declared = written(_sums(rows, ["declared"], n, "declared_n"), "lang-declared")
-    hosts = hosts.join(domains, "domain").join(suffixes, "suffix").select("host", "host_n", "domain_n", "suffix_n")
-    hosts = written(hosts, "lang-priors")
+    hosts = keyed(keyed(hosts, domains, ["domain"], "domain_n_rows", n_hosts), suffixes, ["suffix"], "suffix_n_rows", n_hosts)
+    hosts = written(hosts.select("host", "host_n", "host_n_rows", "domain_n", "suffix_n"), "lang-priors")
 
-    found = rows.join(hosts, "host").join(declared, "declared")
+    found = keyed(keyed(rows.drop("domain", "suffix"), hosts, ["host"], "host_n_rows", n_pages), declared, ["declared"], "declared_n_rows", n_pages)
     less = lambda c: F.zip_with(F.col(c), F.col("p"), lambda a, b: a - b)
     prior = _smoothed(less("host_n"), _smoothed(less("domain_n"), base, DOMAIN_ROWS), HOST_ROWS)
     # P(value | language), smoothed by the value's share of all pages
