@@ -21,7 +21,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import scratch, text_of, written
+from ._common import keyed, scratch, text_of, written
 from ._words import lean
 
 WIDTH = 64
@@ -158,7 +158,7 @@ def _ranges(places: DataFrame, folder: str, fields: str, row: callable) -> DataF
 
 
 def metadata(places: DataFrame, folder: str) -> DataFrame:
-    """digest, width, height, depth from header ranges alone."""
+    """digest, width, height, depth from ranges of HEADER_BYTES alone; no payload is read."""
     return _ranges(places, folder, "width long, height long, depth long", lambda read, length: header_of(read(HEADER_BYTES)))
 
 
@@ -168,27 +168,30 @@ def _read_back(read, length: int) -> tuple:
     payload = from_png(media)
     samples = np.frombuffer(payload, np.uint8)
     feature = f"{width}x{height}x{depth} min={samples.min()} max={samples.max()} sum={int(samples.sum(dtype=np.int64))} changes={int(np.count_nonzero(samples[1:] != samples[:-1]))}"
-    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), width, height, depth, feature
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), feature
 
 
-_BACK = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, width long, height long, depth long, feature string"
+_BACK = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def first_places(stored: DataFrame) -> DataFrame:
-    """digest and the first shard, offset and length at which it is stored."""
-    first = stored.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("p"))
-    return first.select("digest", "p.shard", "p.offset", "p.length")
+    """digest, the first shard, offset and length at which it is stored, and its rows."""
+    first = stored.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("p"), F.count(F.lit(1)).alias("rows"))
+    return first.select("digest", "p.shard", "p.offset", "p.length", "rows")
 
 
 def media_columns(docs: DataFrame, folder: str | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, width, height, depth, digest.
 
-    All but doc_id and n_bytes come from the stored bytes. Null and empty texts are one row of zeros; equal texts, and
+    All but doc_id and n_bytes come from the stored bytes; width, height and depth from the header's range alone. Null and empty texts are one row of zeros; equal texts, and
     texts that differ in zeros at their end only, share a payload; repeated rows and null ids come out as they are; an
     empty table gives no rows and no shards. Columns other than doc_id and text are not looked at.
     """
     folder = folder or scratch(docs.sparkSession, "media")
     stored = written(store(docs, folder, shard_bytes), "media-rows")
-    back = written(_ranges(first_places(stored), folder, _BACK, _read_back), "media-back")
-    found = stored.select("doc_id", "n_bytes", "digest").join(back, "digest")
+    places = written(first_places(stored), "media-places")
+    headers = written(metadata(places, folder), "media-headers")
+    back = written(_ranges(places, folder, _BACK, _read_back), "media-back")
+    described = places.select("digest", "rows").join(back, "digest").join(headers, "digest")
+    found = keyed(stored.select("doc_id", "n_bytes", "digest"), described, ["digest"], "rows", stored.count())
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "depth", "digest")
