@@ -4,7 +4,8 @@ Words are 64-bit hashes. A first shuffle adds up the words by ranges of hashes:
 with counts, and a word's number is its place among all ranges. A second shuffle adds up pairs of numbers; a third
 brings what pairs say about their two words (followers and their counts of counts, distinct predecessors) to the
 words' ranges. Tasks pack and merge arrays; every array lies in the shared folder as a file of its own, under a name
-that only the attempt that succeeded reports, and scoring tasks map it, so that a host holds one copy.
+that only the attempt that succeeded reports, and scoring tasks map it, so that a host holds one copy where the folder is
+mounted; from another store a worker fetches the arrays it needs, once.
 
 Pairs are dealt by their first word; the pairs of a word with more than half a range's share of all tokens are dealt
 by their second word, over all ranges.
@@ -30,11 +31,13 @@ from ._words import U, buffers, lean, mix, slices, word_hashes
 
 #: Tokens that a task counts or scores at once.
 TOKENS = 1_500_000
-#: Ranges for each shuffle partition.
-RANGES = 2
+#: Ranges for each shuffle partition, at least, and bytes of text for each range, at most: a range is one task's group.
+RANGES, RANGE_BYTES = 2, 16 << 20
 HELD_OUT = 10
 END, START = U(1), U(2)
 ADDED = 0.1
+#: A pair's key is two numbers of words; with more words than these fitting stops with an error.
+MOST_WORDS = 1 << 32
 
 
 def held_out(doc_id: Column) -> Column:
@@ -86,6 +89,11 @@ def _save(folder: str, *arrays: np.ndarray) -> str:
     return name
 
 
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts in as few bytes as the largest needs."""
+    return counts.astype(np.min_scalar_type(int(counts.max()) if len(counts) else 0))
+
+
 def _mapped(folder: str, name: str, i: int, dtype: type) -> np.ndarray:
     """A saved array, mapped; from a store that can't be mapped it is fetched to a local file first, which goes at once."""
     local = local_path(folder)
@@ -199,6 +207,8 @@ def count_words(texts: DataFrame, folder: str, ranges: int) -> Words:
     for r in found:
         sizes[r["range"]] = r["size"]
     begins, tokens = np.concatenate([[0], np.cumsum(sizes)]), sum(r["tokens"] for r in found)
+    if begins[-1] > MOST_WORDS:
+        raise OverflowError(f"{begins[-1]} distinct words; a pair's key has room for {MOST_WORDS}")
     # at most 2 * ranges words have such a share
     frequent = sorted(begins[r["range"]] + at for r in found for at, n in zip(r["top"], r["top_n"], strict=True) if n * 2 * ranges > tokens)
     return Words(folder, {r["range"]: r["name"] for r in found}, begins, max(0, int(begins[-1]) - 1), tokens, np.array(frequent, np.int64))
@@ -270,7 +280,8 @@ class Model:
         order = np.argsort(ranges, kind="stable")
         for r, own in _by_range(ranges[order]):
             if r in self.pairs:
-                known, n = _cached(self.words.folder, self.pairs[r], 0, U), _cached(self.words.folder, self.pairs[r], 1, np.uint32)
+                known, raw = _cached(self.words.folder, self.pairs[r], 0, U), _cached(self.words.folder, self.pairs[r], 1, np.uint8)
+                n = raw.view(f"u{len(raw) // len(known)}")
                 mine = order[own]
                 at = np.minimum(np.searchsorted(known, keys[mine]), len(known) - 1)
                 counts[mine] = np.where(known[at] == keys[mine], n[at], 0)
@@ -281,7 +292,8 @@ def fit(texts: DataFrame, folder: str | None = None) -> Model:
     """Counts the model over the texts (column text), all of them. Only names, sizes and counts of counts reach the driver."""
     spark = texts.sparkSession
     folder = folder or scratch(spark, "kneser-ney")
-    ranges = RANGES * max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(RANGES * max(4, int(spark.conf.get("spark.sql.shuffle.partitions"))), -(-size // RANGE_BYTES))
     words = count_words(texts, folder, ranges)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,7 +311,7 @@ def fit(texts: DataFrame, folder: str | None = None) -> Model:
     def merge(table: pa.Table) -> pa.Table:
         parts = [_unpack(p.as_py(), 2) for p in table.column("packed")]
         keys, counts = _totals(np.concatenate([p[0] for p in parts]).view(U), np.concatenate([p[1] for p in parts]))
-        name = _save(folder, keys, np.minimum(counts, 0xFFFFFFFF).astype(np.uint32))
+        name = _save(folder, keys, _narrow(counts))
         first, second = (keys >> U(32)).astype(np.int64), (keys & U(0xFFFFFFFF)).astype(np.int64)
         rows = [(-1, _pack(*(np.array([(counts == k).sum()]) for k in (1, 2, 3, 4)), np.array([len(keys)])), name)]
         u = _totals(first, counts, (counts == 1).astype(np.int64), (counts == 2).astype(np.int64), (counts >= 3).astype(np.int64))
