@@ -5,7 +5,7 @@ All targets are judged in one plan. A verdict's name is a string; a row without
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The verdicts.
@@ -37,10 +37,29 @@ def orphan_ids(manifest: DataFrame, status: DataFrame) -> DataFrame:
 
 
 def existence_tally(listing: DataFrame) -> DataFrame:
-    """Of every target, from target, external_id, present (null: couldn't be asked): rows checked, missing and errored."""
-    return listing.groupBy("target").agg(
-        F.count(F.lit(1)).alias("checked"), F.count(F.when(~F.col("present"), 1)).alias("missing"), F.count(F.when(F.col("present").isNull(), 1)).alias("errored")
-    )
+    """Of every target, from target, external_id, present (null: couldn't be asked) and denied (null: no): rows checked, missing, errored and read-denied.
+
+    all_denied: every probe was refused by a definite denial, so the credential may only write.
+    """
+    errored = F.col("present").isNull()
+    denied = F.count(F.when(errored & F.coalesce("denied", F.lit(False)), 1)) if "denied" in listing.columns else F.lit(0).cast("long")
+    tally = listing.groupBy("target").agg(F.count(F.lit(1)).alias("checked"), F.count(F.when(~F.col("present"), 1)).alias("missing"), F.count(F.when(errored, 1)).alias("errored"), denied.alias("read_denied"))
+    return tally.withColumn("all_denied", (F.col("checked") > 0) & (F.col("read_denied") == F.col("checked")))
+
+
+def ascending(lines: DataFrame, block: int = 10_000) -> DataFrame:
+    """Of every target, from target, line (a number), external_id: whether its ids ascend strictly in byte order, so that a merge can read them.
+
+    Lines are cut into blocks; inside each, neighbours are compared, and then the ends of blocks that follow each
+    other, so that a long manifest is many tasks. Lines without an id are left out.
+    """
+    rows = lines.where("external_id is not null and external_id <> ''").select("target", "line", "external_id", F.floor(F.col("line") / block).alias("block"))
+    before = F.lag("external_id").over(Window.partitionBy("target", "block").orderBy("line"))
+    inside = rows.withColumn("good", F.coalesce(before < F.col("external_id"), F.lit(True)))
+    ends = inside.groupBy("target", "block").agg(F.bool_and("good").alias("good"), F.min_by("external_id", "line").alias("first"), F.max_by("external_id", "line").alias("last"))
+    last = F.lag("last").over(Window.partitionBy("target").orderBy("block"))
+    joined = ends.withColumn("good", F.col("good") & F.coalesce(last < F.col("first"), F.lit(True)))
+    return joined.groupBy("target").agg(F.bool_and("good").alias("ascending"))
 
 
 def sweep(status: DataFrame, stored: DataFrame) -> DataFrame:
@@ -104,8 +123,6 @@ def circuit_trips(outcomes: DataFrame, threshold: int) -> DataFrame:
     Frames need a target's outcomes in one order. They are cut into runs of seq; a run carries the end of the one
     before, so that a target with most of the outcomes is many tasks.
     """
-    from pyspark.sql import Window
-
     span, back = 10_000, 2 * threshold
     # seq is dense within a target here: row numbers by run and the number of rows before the run
     runs = outcomes.withColumn("run", F.floor(F.col("seq") / span))

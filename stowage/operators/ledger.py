@@ -155,6 +155,12 @@ def restore_guard(files: DataFrame, at: Column) -> DataFrame:
     return files.select("id", "external_id", verdict.alias("verdict"))
 
 
+def restore_requests(requests: DataFrame, files: DataFrame, at: Column) -> DataFrame:
+    """The guard for asked-for ids (column id): not_found where there is no file, or one without a content hash; else as ``restore_guard``."""
+    guarded = restore_guard(files.where(F.coalesce(F.col("external_id"), F.lit("")) != ""), at)
+    return requests.select("id").distinct().join(guarded, "id", "left").select("id", "external_id", F.coalesce("verdict", F.lit("not_found")).alias("verdict"))
+
+
 def repair_sources(gaps: DataFrame, down: Sequence[str] = ()) -> DataFrame:
     """Holders of every gap in the order of trying: healthy ones first, each part by name."""
     is_down = F.array(*map(F.lit, down)).cast("array<string>")

@@ -39,10 +39,17 @@ VIEWS = {
         SELECT target, external_id, stored_bytes AS size FROM led_status WHERE state = 'stored' AND stored_bytes % 7 <> 0
         UNION ALL SELECT target, external_id, stored_bytes FROM led_status WHERE state = 'stored' AND stored_bytes % 11 = 1
         UNION ALL SELECT target, external_id, 0 FROM led_status WHERE state = 'failed' AND target <> 'b'""",
-    # what each store lists, with what could not be asked (NULL)
+    # what each store lists, with what could not be asked (NULL) and whether that was a definite denial; c may only be written to
     "listing": """
-        SELECT target, external_id, CASE WHEN stored_bytes % 41 = 3 THEN NULL ELSE stored_bytes % 9 <> 4 OR target = 'c' END AS present
+        SELECT target, external_id, CASE WHEN target = 'c' OR stored_bytes % 41 = 3 THEN NULL ELSE stored_bytes % 9 <> 4 END AS present, target = 'c' OR stored_bytes % 2 = 0 AS denied
         FROM led_status WHERE state = 'stored'""",
+    # manifests line by line: a's and c's ids ascend, but for one repeated line of c; b's are in the order of their sizes
+    "manifest_file": """
+        SELECT target, row_number() OVER (PARTITION BY target ORDER BY CASE WHEN target = 'b' THEN size ELSE 0 END, external_id) AS line, external_id
+        FROM manifest WHERE target <> 'a' OR size > 0 AND size % 11 <> 1""",
+    # claims and outcomes of queue rows, in the order of seq
+    "claim_event": """
+        SELECT user_id AS id, event_id AS seq, CASE WHEN event_id % 5 < 3 THEN 'claimed' ELSE 'settled' END AS event, ts AS at FROM events""",
     # results of backup attempts in the order of seq
     "attempt": """
         SELECT event_id AS seq, CAST(user_id % 250 AS varchar(20)) AS external_id, CASE WHEN event_id % 3 = 0 THEN 'a' WHEN event_id % 3 = 1 THEN 'b' ELSE 'c' END AS target,
@@ -50,8 +57,8 @@ VIEWS = {
                event_id % 5 < 3 AS size_verified, ts AS happened_at
         FROM events""",
 }
-NEEDS = {"led_object": ["corpus_file"], "led_status": ["led_object", "tgt"], "manifest": ["led_status"], "listing": ["led_status"]}
-_TABLES = {"corpus_file": "documents", "outbox": "events", "attempt": "events"}
+NEEDS = {"led_object": ["corpus_file"], "led_status": ["led_object", "tgt"], "manifest": ["led_status"], "listing": ["led_status"], "manifest_file": ["manifest"]}
+_TABLES = {"corpus_file": "documents", "outbox": "events", "attempt": "events", "claim_event": "events"}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

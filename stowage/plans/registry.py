@@ -324,22 +324,24 @@ def inventory_orphans(manifest, status):
     return inventory.orphan_ids(manifest, status)
 
 
-_TALLY = "SELECT target, count(*) AS checked, count(*) FILTER (NOT present) AS missing, count(*) FILTER (present IS NULL) AS errored FROM listing GROUP BY target"
+_TALLY = """SELECT *, checked > 0 AND read_denied = checked AS all_denied FROM (
+       SELECT target, count(*) AS checked, count(*) FILTER (NOT present) AS missing, count(*) FILTER (present IS NULL) AS errored, count(*) FILTER (present IS NULL AND denied) AS read_denied
+       FROM listing GROUP BY target)"""
 
 
 @query(
     f"""SELECT *, CASE WHEN missing > 0 THEN 'Drift' WHEN errored > 0 THEN 'Unverifiable' ELSE 'Verified' END AS verdict,
-               missing > 0 OR errored > 0 AND target <> 'c' AS failed,
+               missing > 0 OR errored > 0 AND NOT (target = 'c' AND all_denied) AS failed,
                CASE WHEN missing > 0 THEN 0 WHEN errored > 0 THEN NULL ELSE 1 END AS fine, CASE WHEN missing = 0 AND errored > 0 THEN 0 ELSE 1 END AS probe_worked
         FROM ({_TALLY})""",
     "listing",
 )
 def audit_verdict(listing):
-    # c is write-once and lets nobody read
+    # c is write-once, and exempt if it lets nobody read
     judged = inventory.existence_tally(listing).withColumn("verdict", inventory.existence_verdict())
     fine, worked = inventory.gauges(F.col("verdict"))
     is_c = F.col("target") == "c"
-    return judged.withColumns({"failed": inventory.failed(F.col("verdict"), inventory.exempt(is_c, ~is_c)), "fine": fine, "probe_worked": worked})
+    return judged.withColumns({"failed": inventory.failed(F.col("verdict"), inventory.exempt(is_c, ~F.col("all_denied"))), "fine": fine, "probe_worked": worked})
 
 
 @query(
@@ -430,6 +432,64 @@ def manifest_export(objects, status):
     return manifest_lines(ledger.stored_objects(objects, status, "a").select("external_id", "size"))
 
 
+@query(
+    f"""SELECT id, external_id, coalesce(verdict, 'not_found') AS verdict
+        FROM (SELECT DISTINCT 2 * id AS id FROM corpus_file) r
+        LEFT JOIN (SELECT id, external_id, CASE WHEN updated_date IS NULL THEN 'no_date' WHEN updated_date > {_NOW} THEN 'changed_later' ELSE 'ok' END AS verdict
+                   FROM corpus_file WHERE external_id <> '') f USING (id)""",
+    "corpus_file",
+)
+def restore_requests(files):
+    return ledger.restore_requests(files.select((2 * F.col("id")).alias("id")), files, as_of())
+
+
+@query(
+    """SELECT target, bool_and(good) AS ascending
+       FROM (SELECT target, coalesce(lag(external_id) OVER (PARTITION BY target ORDER BY line) < external_id, true) AS good FROM manifest_file) GROUP BY target""",
+    "manifest_file",
+)
+def manifest_order(lines):
+    return inventory.ascending(lines, block=100)
+
+
+@query(
+    """SELECT time_bucket(INTERVAL '15' MINUTE, created_date) AS starts, status, count(*) AS rows, CAST(sum(coalesce(attempts, 0)) AS BIGINT) AS attempts
+       FROM outbox WHERE created_date IS NOT NULL AND time_bucket(INTERVAL '15' MINUTE, created_date) + INTERVAL '15' MINUTE <= (SELECT max(created_date) - INTERVAL '1' HOUR FROM outbox)
+       GROUP BY ALL""",
+    "outbox",
+)
+def stream_backlog(outbox):
+    from ..streaming import consumer, run
+
+    windows = run.finished(outbox, lambda s: consumer.backlog_by_window(s).select(F.col("window.start").alias("starts"), "status", "rows", "attempts"))
+    return windows
+
+
+@query(
+    """WITH placed AS (
+         SELECT id, seq, event, "at", lead("at") OVER (PARTITION BY id ORDER BY seq) AS next_at, lag(event) OVER (PARTITION BY id ORDER BY seq) AS before, (SELECT max("at") FROM claim_event) AS ended
+         FROM claim_event)
+       SELECT id, seq FROM placed WHERE event = 'claimed' AND epoch_us(coalesce(next_at, ended)) - epoch_us("at") > 3600000000""",
+    "claim_event",
+)
+def stream_redelivery(events):
+    from ..streaming import consumer, run
+
+    return run.finished(events, consumer.redeliver).select("id", "seq")
+
+
+@query(
+    """WITH w AS (SELECT target, seq, sum(CASE WHEN CAST(external_id AS INT) % 3 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY target ORDER BY seq ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS n FROM attempt)
+       SELECT target, min(seq) AS tripped_at FROM w WHERE n >= 4 GROUP BY target""",
+    "attempt",
+)
+def stream_circuit(attempts):
+    from ..streaming import circuit, run
+
+    outcomes = attempts.select("target", "seq", F.col("happened_at").alias("at"), (F.col("external_id").cast("int") % 3 != 0).alias("ok"))
+    return run.finished(outcomes, lambda s: circuit.circuits(s, threshold=4)).where("open").groupBy("target").agg(F.min("seq").alias("tripped_at"))
+
+
 def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SHA3-256 of every document; neither engine has it built in."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -47,7 +47,8 @@ class Circuit:
 def circuits(outcomes: DataFrame, threshold: int = 5, cooldown_s: float = 60.0) -> DataFrame:
     """From a stream of target, seq, at (timestamp), ok: after every outcome whether the target's circuit is open, and its trips so far.
 
-    Within a micro-batch a target's outcomes are taken in the order of seq.
+    Within a micro-batch a target's outcomes are taken in the order of seq. A circuit is one sequence of states, so a
+    target's part of a micro-batch is one group: bound it by what a trigger reads (maxFilesPerTrigger, maxBytesPerTrigger).
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

@@ -45,29 +45,51 @@ def backlog_by_window(stream: DataFrame, late: str = "1 hour", width: str = "15
     )
 
 
-def redeliver(stream: DataFrame, ttl_ms: int = queue.STALE_S * 1000, most: int = queue.MAX_DELIVERIES) -> DataFrame:
-    """From a stream of id, event ('claimed' or 'settled'): rows whose claim had no outcome for ``ttl_ms``, by processing-time timers.
+def redeliver(stream: DataFrame, ttl_s: int = queue.STALE_S, most: int = queue.MAX_DELIVERIES) -> DataFrame:
+    """From a stream of id, seq, event ('claimed' or 'settled') and at: every claim that had no outcome within ``ttl_s`` of its own time.
 
-    id, deliveries, status: pending to be delivered again, or dead_letter.
+    id, seq (of the claim), deliveries, status: pending to be delivered again, or dead_letter. Events of one id count
+    in the order of seq, whatever micro-batch they come in together; an outcome that comes after the time is up, or a
+    new claim, doesn't undo that it was. A claim that nothing follows is up when the watermark has passed its time.
+    After an outcome in time, and after dead_letter, deliveries start from 0.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        deliveries = state.get[0] if state.exists else 0
+        deliveries, claim, since = state.get if state.exists else (0, -1, -1)
+        up = []
+
+        def expire() -> None:
+            nonlocal deliveries, claim
+            deliveries += 1
+            up.append((key[0], claim, deliveries, "dead_letter" if deliveries >= most else "pending"))
+            deliveries, claim = (0 if deliveries >= most else deliveries), -1
+
         if state.hasTimedOut:
-            state.update((deliveries + 1,))
-            yield pd.DataFrame({"id": [key[0]], "deliveries": [deliveries + 1], "status": ["dead_letter" if deliveries + 1 >= most else "pending"]})
-            if deliveries + 1 >= most:
-                state.remove()
-            return
-        events = set(pd.concat(list(batches))["event"])
-        if "settled" in events:
-            if state.exists:
-                state.remove()
-            return
-        state.update((deliveries,))
-        state.setTimeoutDuration(ttl_ms)
-
-    return stream.select("id", "event").groupBy("id").applyInPandasWithState(step, "id long, deliveries long, status string", "deliveries long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+            if claim >= 0:
+                expire()
+        else:
+            events = pd.concat(list(batches)).sort_values("seq")
+            for seq, event, at in zip(events["seq"].tolist(), events["event"].tolist(), events["at_us"].tolist(), strict=True):
+                late = claim >= 0 and at - since > ttl_s * 1_000_000
+                if late:
+                    expire()
+                if event == "claimed":
+                    claim, since = seq, at
+                elif claim >= 0:
+                    deliveries, claim = 0, -1
+        if claim >= 0:
+            state.update((deliveries, claim, since))
+            state.setTimeoutTimestamp(max(since // 1000 + ttl_s * 1000, state.getCurrentWatermarkMs()) + 1)
+        elif deliveries:
+            state.update((deliveries, -1, -1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(up, columns=["id", "seq", "deliveries", "status"])
+
+    events = stream.withWatermark("at", "0 seconds").select("id", "seq", "event", F.unix_micros("at").alias("at_us"), "at")
+    return events.groupBy("id").applyInPandasWithState(
+        step, "id long, seq long, deliveries long, status string", "deliveries long, claim long, since long", "append", GroupStateTimeout.EventTimeTimeout
+    )
 
 
 def due(as_of: Column) -> Column:
