@@ -2,6 +2,10 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next
 stage's docs. All but the last return the columns of documents.
+
+Null columns, empty and very long texts, ties, repeated rows and empty tables are handled as the operators say: null
+counts as empty text, which is neither toxic nor a near duplicate; of empty texts, as of all equal ones, one row stays;
+a null id is the smallest. Columns that documents has besides are carried to the last stage but one.
 """
 
 from __future__ import annotations

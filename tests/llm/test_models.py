@@ -2,9 +2,11 @@
 
 import collections
 import hashlib
+import html
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from stowage.llm import language_id, quality, toxicity
-from stowage.llm._words import buffers
+from stowage.llm._words import buffers, mix
 from tests.llm.plain import awkward, empty, shingles, words
 from tests.llm.test_dedup import brute_near
 from tests.llm.test_text import restated_targets
@@ -42,6 +44,46 @@ def test_discriminant_equals_densities():
     assert np.allclose(model.scores(at), 1 / (1 + np.exp(logs[0] - logs[1])))
 
 
+def plain_features(text):
+    """The 13 statistics by plain Python."""
+    data = (text or "").encode()
+    own = re.findall(rb"[^\x20\x09-\x0D]+", data)
+    n, lengths = len(own), [len(w) for w in own]
+    share = lambda part, whole: math.log((part + 0.5) / (max(whole - part, 0) + 0.5))
+    kind = lambda chars: sum(b in chars for b in data)
+    upper, digit, space, stop = set(range(65, 91)), set(range(48, 58)), {32, *range(9, 14)}, set(b".,")
+    letter = upper | set(range(97, 123)) | set(range(128, 256))
+    mark = set(range(256)) - letter - digit - space - stop
+    mean = sum(lengths) / max(n, 1)
+    spread = math.sqrt(max(sum(x * x for x in lengths) / max(n, 1) - mean**2, 0))
+    low = [re.sub(rb"[A-Z]", lambda m: m[0].lower(), w) for w in own]
+    counts = collections.Counter(low)
+    return [
+        math.log1p(n), math.log1p(mean), math.log1p(spread), share(kind(upper), kind(letter)), share(kind(stop), len(data)), share(kind(mark), len(data)), share(kind(digit), len(data)), share(data.count(b"\n"), n),
+        share(len(counts), n), share(max(0, n - 1) - len(set(zip(low, low[1:]))), n), share(max(counts.values(), default=0), n), share(sum(w[0] in upper for w in own), n), share(sum(w[-1] in mark for w in own), n),
+    ]
+
+
+def test_quality_equals_plain_features_and_densities(spark):
+    docs, labels = table(spark, "documents").limit(300).union(awkward(spark).select("doc_id", "text", "lang", "source", "n_chars").where("doc_id > 6 or doc_id is null or text is null")), table(spark, "labels")
+    rows = [(r.doc_id, plain_features(r.text)) for r in docs.collect()]
+    found = sorted((r.doc_id or -1, r.x) for r in quality.vectors(docs).collect())
+    assert np.allclose([x for _, x in found], [x for _, x in sorted((i or -1, x) for i, x in rows)])
+    known = {r.doc_id: r.quality for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
+    x = [np.array([v for i, v in rows if known.get(i) == c]) for c in (0, 1)]
+    n, d = [len(a) for a in x], 13
+    own = [np.cov(a.T, bias=True) for a in x]
+    pooled = sum(k * c for k, c in zip(n, own)) / sum(n)
+    logs = []
+    for a, k, cov in zip(x, n, own):
+        w = k / (k + 10 * d)
+        cov = 0.95 * (w * (0.9 * cov + 0.1 * pooled) + (1 - w) * pooled) + 0.05 * np.diag(np.maximum(np.diag(pooled), 1e-3))
+        logs.append(lambda v, m=a.mean(axis=0), c=cov, k=k: math.log((k + 1) / (sum(n) + 2)) - 0.5 * np.linalg.slogdet(c)[1] - 0.5 * (v - m) @ np.linalg.solve(c, v - m))
+    want = sorted((i or -1, 1 / (1 + math.exp(np.clip(logs[0](np.array(v)) - logs[1](np.array(v)), -60, 60)))) for i, v in rows)
+    scored = sorted((r.doc_id or -1, r.score) for r in quality.judge(docs, labels).collect())
+    assert [i for i, _ in scored] == [i for i, _ in want] and np.allclose([s for _, s in scored], [s for _, s in want], atol=1e-6)
+
+
 def test_quality_awkward(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (3, None)], "doc_id long, quality int")
     docs = awkward(spark)
@@ -179,6 +221,87 @@ def test_other_evidence_decides_short_pages(spark):
     assert language_id.identify(pages, docs.limit(0)).where("lang = 'und'").count() == pages.count()
 
 
+def plain_visible(page):
+    return html.unescape(re.sub(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>", " ", page, flags=re.DOTALL | re.IGNORECASE))
+
+
+def test_markup_goes_in_one_pass():
+    rng = random.Random(9)
+    parts = ["<", ">", "<!--", "-->", "<script>", "</script>", "</SCRIPT  >", "<style a=1>", "</style>", "<b class=x>", "text", " ", "&amp;", "\n", "<scripts>", "<Script"]
+    for _ in range(3000):
+        page = "".join(rng.choice(parts) for _ in range(rng.randrange(14)))
+        assert language_id.visible(page) == plain_visible(page), page
+    for part in ("<script ", "<!-- ", "<style>", "</script ", "<", "<html ", "<a>"):
+        began = time.perf_counter()
+        language_id.visible(part * (4_000_000 // len(part)))
+        assert time.perf_counter() - began < 10
+
+
+def restated_languages(pages, docs):
+    """lang and confidence of (page_id, url, html) by dictionaries, from documents (text, lang)."""
+    def runs(text):
+        low = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in text.encode())
+        return [low[i : i + 3] for i in range(len(low) - 2) if low[i : i + 3] != b"   "]
+
+    bucket = lambda run: int(mix(np.array([int.from_bytes(run, "little")], np.uint64))[0]) % (1 << 15)
+    langs = sorted({lang for _, lang in docs})
+    counts = {lang: collections.Counter(bucket(r) for t, own in docs if own == lang for r in runs(t)) for lang in langs}
+    sizes = {lang: sum(counts[lang].values()) + 0.5 * (1 << 15) for lang in langs}
+    normal = lambda logs: [math.exp(x - max(logs)) / sum(math.exp(y - max(logs)) for y in logs) for x in logs]
+    rows = []
+    for i, url, page in pages:
+        said = [0.3 * sum(math.log((counts[lang][bucket(r)] + 0.5) / sizes[lang]) for r in runs(plain_visible(page or ""))) for lang in langs]
+        said = [max(x - max(said), -40.0) for x in said]
+        host = (re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", url or "") or ["", ""])[1].lower()
+        declared = (re.search(r"(?i)<html[^<>]*\blang\s*=\s*[\"']?([a-z]+)", page or "") or ["", ""])[1].lower()
+        keys = {"host": host, "domain": (re.search(r"([^.]+\.[^.]+)$", host) or ["", ""])[1], "suffix": (re.search(r"([^.]+)$", host) or ["", ""])[1], "declared": declared}
+        rows.append((i, said, normal(said), keys))
+    total = [sum(p[k] for _, _, p, _ in rows) for k in range(len(langs))]
+    overall = [(t + 1) / (sum(total) + len(langs)) for t in total]
+    found = []
+    for i, said, p, keys in rows:
+        others = {key: [sum(q[k] for _, _, q, other in rows if other[key] == keys[key]) - p[k] for k in range(len(langs))] for key in keys}
+        smooth = lambda own, prior, n: [(max(c, 0) + n * q) / (max(sum(own), 0) + n) for c, q in zip(own, prior)]
+        prior = smooth(others["host"], smooth(others["domain"], overall, 20), 10)
+        given = lambda key: [(max(c, 0) + 2 * max(sum(others[key]) / (sum(total) + 1), 1e-6)) / (t + 1 + 2) for c, t in zip(others[key], total)]
+        post = [s + math.log(q) for s, q in zip(said, prior)]
+        if keys["declared"]:
+            post = [x + math.log(g) for x, g in zip(post, given("declared"))]
+        if keys["host"]:
+            post = [x + 0.5 * math.log(g) for x, g in zip(post, given("suffix"))]
+        post = normal(post)
+        found.append((i, langs[post.index(max(post))], max(post)))
+    return found
+
+
+def test_languages_equal_fused_dictionaries(spark):
+    rng = random.Random(4)
+    vocabulary = {"de": "der die und zu den das ist ein über".split(), "en": "the of and to in that is was from".split(), "fr": "le la les et un une dans été sur".split()}
+    docs = [(" ".join(rng.choices(w, k=60)), lang) for lang, w in vocabulary.items() for _ in range(3)]
+    pages = []
+    for i in range(60):
+        lang = rng.choice(list(vocabulary))
+        text = " ".join(rng.choices(vocabulary[lang], k=rng.choice([0, 1, 3, 12])))
+        html_ = rng.choice([f'<html lang="{rng.choice([lang, "en"])}"><!-- x --><b>{text}</b></html>', f"<p>{text}", text])
+        pages.append((i, rng.choice([f"https://{rng.choice('ab')}.{lang}-site.{rng.choice([lang, 'com'])}/x", f"http://u:p@h.org:80/{i}", "nonsense", None]), html_))
+    found = language_id.identify(spark.createDataFrame(pages, "page_id long, url string, html string"), spark.createDataFrame(docs, "text string, lang string")).collect()
+    want = {i: (lang, c) for i, lang, c in restated_languages(pages, docs)}
+    for r in found:
+        assert r.lang == want[r.page_id][0] and r.confidence == pytest.approx(want[r.page_id][1])
+
+
+def test_pipeline_awkward_and_empty(spark, tmp_path):
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    labels = spark.createDataFrame([(1, 0), (2, 1), (None, 1)], "doc_id long, toxic int")
+    for name, docs in (("awkward", awkward(spark)), ("empty", empty(spark))):
+        folder = str(tmp_path / name)
+        docs.select(*columns).write.parquet(f"{folder}/documents.parquet")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        rows = corpus_pipeline.run(spark, folder).collect()
+        plain = {hashlib.sha256((r.text or "").encode()).hexdigest() for r in docs.collect()}
+        assert {r.decoded_sha256 for r in rows} <= plain and (len(rows) > 0) == (name == "awkward")
+
+
 def test_pipeline_by_stage(spark, tmp_path):
     docs = table(spark, "documents")
     columns, rows = docs.columns, {}
