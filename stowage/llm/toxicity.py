@@ -219,12 +219,10 @@ def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS)
         top = best.collect()
         dropped(stats)
     terms = np.unique(np.array([r["term"] for r in top], np.int64).view(U))
-    n_toxic, n_clean = (sum(t[i] for t in totals) for i in (0, 1))
     if not len(terms):
-        # nothing to tell by but the share of toxic rows
+        # nothing tells toxic rows, so none is taken for toxic
         dropped(sample)
-        share = n_toxic / max(1, n_toxic + n_clean)
-        return Chain(terms, _links_of([], terms), [np.array([*[0.0] * (2 + k), np.log((share + 1e-6) / (1 - share + 1e-6))]) for k in range(len(CATEGORIES))])
+        return Chain(terms, _links_of([], terms), [np.array([*[0.0] * (2 + k), np.log(1e-6)]) for k in range(len(CATEGORIES))])
     every, *without = [_links_of([r for r in top if r["variant"] == v], terms) for v in (FOLDS, *range(FOLDS))]
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,8 +246,8 @@ def score(docs: DataFrame, chain: Chain, reject: float = REJECT, *more: str) ->
     """doc_id, p_<category> for each category and toxic (the last probability is at least ``reject``), for every row, and the columns ``more``.
 
     Null and empty texts have no terms and get the constant's probabilities; rows are independent of each other, so
-    ties, repeated rows and null ids come out as they are. Without labels of both classes no row is toxic unless
-    all are, since the share of toxic rows is all a chain without terms knows. Columns other than doc_id, text and ``more`` are not looked at.
+    ties, repeated rows and null ids come out as they are. Without labels of both classes, or terms that tell them
+    apart, no row is toxic. Columns other than doc_id, text and ``more`` are not looked at.
     """
     names = [f"p_{c}" for c in CATEGORIES]
     source = text_of(docs, *(F.col(c).alias(f"more_{i}") for i, c in enumerate(more)))
