@@ -161,10 +161,13 @@ def test_drain_and_replay(spark, tmp_path):
 
 
 def test_redelivery_timer(spark, tmp_path):
-    schema = "id long, event string"
-    spark.createDataFrame([(1, "claimed"), (2, "claimed"), (2, "settled")], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    # timers go by the events' own time: the last event moves it on
+    schema = "id long, seq long, event string, at timestamp"
+    at = lambda s: datetime.datetime(2024, 1, 15) + datetime.timedelta(seconds=s)
+    rows = [(1, 1, "claimed", at(0)), (2, 2, "claimed", at(0)), (2, 3, "settled", at(1)), (3, 4, "claimed", at(100))]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    q = consumer.redeliver(stream, ttl_ms=1).writeStream.format("memory").queryName("again").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
+    q = consumer.redeliver(stream, ttl_s=60).writeStream.format("memory").queryName("again").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
     import time
 
     end = time.time() + 60
