@@ -129,8 +129,15 @@ def store(docs: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES) -> DataF
     return text_of(docs).mapInArrow(lean(run), "doc_id long, n_bytes long, digest string, shard string, offset long, length long")
 
 
+def _dealt(places: DataFrame) -> DataFrame:
+    """Places in the order of shards, so that a task opens each of its shards once."""
+    return places.repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset")
+
+
 def _ranges(places: DataFrame, folder: str, fields: str, row: callable) -> DataFrame:
-    """``row(read, length)`` of every place, shards in order; read(n) gives the first n bytes there."""
+    """The columns of places, in their order, and ``row(read, length)`` of each; read(n) gives the first n bytes there."""
+    names = [f.split()[0] for f in fields.split(", ")]
+    kept = [c for c in places.columns if c not in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = pa.fs.FileSystem.from_uri(folder)
@@ -148,17 +155,16 @@ def _ranges(places: DataFrame, folder: str, fields: str, row: callable) -> DataF
                     return shard.read(n)
 
                 rows.append(row(read, length))
-            names = [f.split()[0] for f in fields.split(", ")]
             types = {"long": pa.int64(), "string": pa.string()}
             columns = list(zip(*rows, strict=True)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([batch.column("digest"), *(pa.array(c, types[f.split()[1]]) for c, f in zip(columns, fields.split(", "), strict=True))], ["digest", *names])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(c, types[f.split()[1]]) for c, f in zip(columns, fields.split(", "), strict=True))], [*kept, *names])
 
-    dealt = places.select("digest", "shard", "offset", "length").repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset")
-    return dealt.mapInArrow(lean(run), f"digest string, {fields}")
+    schema = ", ".join([*(f"{c} {places.schema[c].dataType.simpleString()}" for c in kept), fields])
+    return places.select(*kept).mapInArrow(lean(run), schema)
 
 
 def metadata(places: DataFrame, folder: str) -> DataFrame:
-    """digest, width, height, depth from ranges of HEADER_BYTES alone; no payload is read."""
+    """``places`` with width, height, depth from ranges of HEADER_BYTES alone; no payload is read."""
     return _ranges(places, folder, "width long, height long, depth long", lambda read, length: header_of(read(HEADER_BYTES)))
 
 
@@ -189,9 +195,8 @@ def media_columns(docs: DataFrame, folder: str | None = None, shard_bytes: int =
     """
     folder = folder or scratch(docs.sparkSession, "media")
     stored = written(store(docs, folder, shard_bytes), "media-rows")
-    places = written(first_places(stored), "media-places")
-    headers = written(metadata(places, folder), "media-headers")
-    back = written(_ranges(places, folder, _BACK, _read_back), "media-back")
-    described = places.select("digest", "rows").join(back, "digest").join(headers, "digest")
+    # headers and payloads are read by the same tasks, one after the other, so that places are shuffled once
+    headers = metadata(_dealt(first_places(stored)), folder)
+    described = written(_ranges(headers, folder, _BACK, _read_back).drop("shard", "offset", "length"), "media-back")
     found = keyed(stored.select("doc_id", "n_bytes", "digest"), described, ["digest"], "rows", stored.count())
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "depth", "digest")
