@@ -1,19 +1,26 @@
-"""An interpolated modified Kneser-Ney bigram model, counted in Spark and scored from memory-mapped arrays.
+"""An interpolated modified Kneser-Ney model of any order, counted in Spark and scored from memory-mapped arrays.
 
 Words are 64-bit hashes. A first shuffle adds up the words by ranges of hashes: each range becomes a sorted hash array
-with counts, and a word's number is its place among all ranges. A second shuffle adds up pairs of numbers; a third
-brings what pairs say about their two words (followers and their counts of counts, distinct predecessors) to the
-words' ranges. Tasks pack and merge arrays; every array lies in the shared folder as a file of its own, under a name
-that only the attempt that succeeded reports, and scoring tasks map it, so that a host holds one copy where the folder is
-mounted; from another store a worker fetches the arrays it needs, once.
-
-Pairs are dealt by their first word; the pairs of a word with more than half a range's share of all tokens are dealt
-by their second word, over all ranges.
+with counts, and a word's number is its place among all ranges. A second shuffle adds up the n-grams of the highest
+order, as numbers of words. Whoever adds up the n-grams of an order knows how many different words come before each
+n-gram one shorter, which is what the next shuffle adds up, down to single words; n-grams that begin a text have no word
+before them and keep their counts. All of this is one job; only names and counts of counts reach the driver.
+
+N-grams are dealt by the last word of their context, so that those of one context, and most that share all but the first
+word, meet in one task. Words with more than half a range's share of all tokens have theirs dealt by the whole context,
+over as many ranges as their share asks for, and a context of none but such words is dealt by its followers too; what its
+parts say about it is added up by the next shuffle.
+
+A range of an order is one file in the shared folder: hashes in order, cut into buckets by their high bits of which the
+next 32 are kept (an n-gram that doesn't occur is taken for one that does with about 2e-9 a look-up, at any size), counts,
+and the same for contexts with what follows them. A file's name is one that an attempt which succeeded reports. Scoring
+tasks map the files, so that a host holds one copy where the folder is mounted; from another store a worker fetches those
+it needs, once.
 """
 
 from __future__ import annotations
 
-import os
+import mmap
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -35,9 +42,15 @@ TOKENS = 1_500_000
 RANGES, RANGE_BYTES = 2, 16 << 20
 HELD_OUT = 10
 END, START = U(1), U(2)
+#: Numbers of words, and the low half of a hash.
+N, LOW = np.uint32, U(0xFFFFFFFF)
 ADDED = 0.1
-#: A pair's key is two numbers of words; with more words than these fitting stops with an error.
-MOST_WORDS = 1 << 32
+#: A word's number has 32 bits, of which the highest stands for unknown words; with more words fitting stops with an error.
+MOST_WORDS = (1 << 32) - 1
+#: Words of an n-gram of the highest order.
+ORDER = 3
+#: Files that a worker keeps mapped.
+MOST_MAPPED = 20_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -45,16 +58,21 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of equal length; bytes of equal place together, since the high ones hardly vary."""
-    n = len(arrays[0])
-    body = b"".join(np.ascontiguousarray(a.astype(np.int64, copy=False).view(np.uint8).reshape(n, 8).T).tobytes() for a in arrays)
-    return n.to_bytes(8, "little") + zstandard.compress(body, 1)
+    """Arrays of equal length of 4 or 8 bytes a value; bytes of equal place together, since the high ones hardly vary."""
+    n, widths = len(arrays[0]), bytes(a.dtype.itemsize for a in arrays)
+    body = b"".join(np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(n, w).T).tobytes() for a, w in zip(arrays, widths, strict=True))
+    return n.to_bytes(8, "little") + bytes([len(widths)]) + widths + zstandard.compress(body, 1)
 
 
-def _unpack(packed: bytes, count: int) -> list[np.ndarray]:
-    n = int.from_bytes(packed[:8], "little")
-    body = np.frombuffer(zstandard.decompress(packed[8:]), np.uint8).reshape(count, 8, n)
-    return [np.ascontiguousarray(body[i].T).view(np.int64).reshape(n) for i in range(count)]
+def _unpack(packed: bytes) -> list[np.ndarray]:
+    """The arrays, those of 4 bytes as numbers of words, those of 8 as counts."""
+    n, k = int.from_bytes(packed[:8], "little"), packed[8]
+    body, at, found = np.frombuffer(zstandard.decompress(packed[9 + k :]), np.uint8), 0, []
+    for w in packed[9 : 9 + k]:
+        own = np.ascontiguousarray(body[at : at + n * w].reshape(w, n).T)
+        found.append(own.view(N if w == 4 else np.int64).reshape(n))
+        at += n * w
+    return found
 
 
 def _totals(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -78,34 +96,66 @@ def _by_range(ranges: np.ndarray) -> Iterator[tuple[int, slice]]:
         yield int(ranges[lo]), slice(int(lo), int(hi))
 
 
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts in as few bytes as the largest needs."""
+    return counts.astype(np.min_scalar_type(int(counts.max()) if len(counts) else 0))
+
+
 def _save(folder: str, *arrays: np.ndarray) -> str:
-    """Writes arrays as files of one new name in the shared folder; returns the name."""
+    """Writes unsigned arrays as a file of a new name in the shared folder; returns the name."""
     fs, path = pa.fs.FileSystem.from_uri(folder)
     fs.create_dir(path, recursive=True)
     name = uuid.uuid4().hex
-    for i, a in enumerate(arrays):
-        with fs.open_output_stream(f"{path}/{name}.{i}") as out:
-            out.write(np.ascontiguousarray(a).tobytes())
+    with fs.open_output_stream(f"{path}/{name}") as out:
+        out.write(np.array([len(arrays), *(x for a in arrays for x in (a.dtype.itemsize, len(a)))], np.int64).tobytes())
+        for a in arrays:
+            out.write(np.ascontiguousarray(a).tobytes() + bytes(-a.nbytes % 8))
     return name
 
 
-def _narrow(counts: np.ndarray) -> np.ndarray:
-    """Counts in as few bytes as the largest needs."""
-    return counts.astype(np.min_scalar_type(int(counts.max()) if len(counts) else 0))
-
-
-def _mapped(folder: str, name: str, i: int, dtype: type) -> np.ndarray:
-    """A saved array, mapped; from a store that can't be mapped it is fetched to a local file first, which goes at once."""
+def _mapped(folder: str, name: str) -> list[np.ndarray]:
+    """Saved arrays, mapped; from a store that can't be mapped they are fetched to a local file first, which goes at once."""
     local = local_path(folder)
     if local is not None:
-        path = f"{local}/{name}.{i}"
-        return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.zeros(0, dtype)
-    fs, path = pa.fs.FileSystem.from_uri(folder)
-    with fs.open_input_stream(f"{path}/{name}.{i}") as f, tempfile.NamedTemporaryFile() as own:
-        while block := f.read(1 << 24):
-            own.write(block)
-        own.flush()
-        return np.memmap(own.name, dtype, "r") if os.path.getsize(own.name) else np.zeros(0, dtype)
+        with open(f"{local}/{name}", "rb") as f:
+            body = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False)
+    else:
+        fs, path = pa.fs.FileSystem.from_uri(folder)
+        with fs.open_input_stream(f"{path}/{name}") as f, tempfile.TemporaryFile() as own:
+            while block := f.read(1 << 24):
+                own.write(block)
+            own.flush()
+            body = mmap.mmap(own.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False)
+    k = int(np.frombuffer(body, np.int64, 1)[0])
+    at, found = 8 + 16 * k, []
+    for width, n in np.frombuffer(body, np.int64, 2 * k, 8).reshape(k, 2).tolist():
+        found.append(np.frombuffer(body, f"u{width}", n, at))
+        at += -(-n * width // 8) * 8
+    return found
+
+
+def _table(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of distinct hashes, where each bucket of their high bits begins, and the 32 bits after these."""
+    bits = max(0, len(hashes).bit_length() - 3)
+    kept = hashes >> U(32 - bits)
+    order = np.argsort(kept)
+    kept = kept[order]
+    return order, np.searchsorted(kept >> U(32), np.arange((1 << bits) + 1, dtype=U)).astype(N), (kept & LOW).astype(N)
+
+
+def _find(begins: np.ndarray, low: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Places of hashes in a table, -1 where they aren't in it."""
+    if not len(low):
+        return np.full(len(hashes), -1, np.int64)
+    kept = hashes >> U(32 - ((len(begins) - 1).bit_length() - 1))
+    bucket, own = (kept >> U(32)).astype(np.int64), (kept & LOW).astype(N)
+    lo, end = begins[bucket].astype(np.int64), begins[bucket + 1].astype(np.int64)
+    hi = end
+    while (open_ := lo < hi).any():
+        mid = (lo + hi) >> 1
+        less = low[np.minimum(mid, len(low) - 1)] < own
+        lo, hi = np.where(open_ & less, mid + 1, lo), np.where(open_ & ~less, mid, hi)
+    return np.where((lo < end) & (low[np.minimum(lo, len(low) - 1)] == own), lo, -1)
 
 
 class _Chunk:
@@ -148,38 +198,54 @@ class Words:
     begins: np.ndarray  #: by range, and the end
     size: int  #: distinct tokens, START aside
     tokens: int
-    frequent: np.ndarray  #: numbers of words whose pairs are dealt by the second word
+    frequent: np.ndarray  #: numbers of words with a large share of all tokens, ascending
+    over: np.ndarray  #: of each, the ranges over which its n-grams are dealt
 
-    def numbers(self, hashes: np.ndarray, more: Callable[[int, np.ndarray], None] | None = None) -> np.ndarray:
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """Numbers of ascending hashes, -1 where unknown."""
         found = np.full(len(hashes), -1, np.int64)
         for r, own in _by_range(_range_of(hashes, len(self.begins) - 1).astype(np.int64)):
             if r in self.names:
-                known = _cached(self.folder, self.names[r], 0, U)
+                known = _cached(self.folder, self.names[r])[0]
                 at = np.minimum(np.searchsorted(known, hashes[own]), len(known) - 1)
                 found[own] = np.where(known[at] == hashes[own], at + self.begins[r], -1)
         return found
 
+    def ranges_of(self, numbers: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.begins, numbers, side="right") - 1
+
     def of_numbers(self, names: dict[int, str], i: int, numbers: np.ndarray) -> np.ndarray:
         """Values saved for ranges, of numbers in ascending order; 0 for -1."""
         values = np.zeros(len(numbers), np.int64)
-        ranges = np.searchsorted(self.begins, numbers, side="right") - 1
-        for r, own in _by_range(ranges):
+        for r, own in _by_range(self.ranges_of(numbers)):
             if r >= 0 and r in names:
-                values[own] = _cached(self.folder, names[r], i, np.int64)[numbers[own] - self.begins[r]]
+                values[own] = _cached(self.folder, names[r])[i][numbers[own] - self.begins[r]]
         return values
 
+    def dealt_over(self, numbers: np.ndarray) -> np.ndarray:
+        """Over how many ranges the n-grams of words are dealt: 1 but for frequent ones."""
+        if not len(self.frequent):
+            return np.ones(len(numbers), U)
+        at = np.minimum(np.searchsorted(self.frequent, numbers), len(self.frequent) - 1)
+        return np.where(self.frequent[at] == numbers, self.over[at], U(1))
+
+    def deal(self, gram: list[np.ndarray], about: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ranges of n-grams, and over how many their whole context is dealt; ``about`` is the context's hash."""
+        over = [self.dealt_over(c) for c in gram[:-1]]
+        whole = np.minimum.reduce(over)
+        return (_hash([gram[0], about % over[0], mix(gram[-1].astype(U)) % whole]) % U(ranges)).astype(np.int64), whole
 
-_OPEN: dict[tuple, np.ndarray] = {}
 
+_OPEN: dict[tuple[str, str], list[np.ndarray]] = {}
 
-def _cached(folder: str, name: str, i: int, dtype: type) -> np.ndarray:
-    """Maps stay open for the worker's model; another model's are let go."""
-    if _OPEN and next(iter(_OPEN))[0] != folder:
+
+def _cached(folder: str, name: str) -> list[np.ndarray]:
+    """Maps stay open for the worker's model, up to a number; another model's are let go."""
+    if _OPEN and (len(_OPEN) >= MOST_MAPPED or next(iter(_OPEN))[0] != folder):
         _OPEN.clear()
-    if (array := _OPEN.get((folder, name, i))) is None:
-        array = _OPEN[folder, name, i] = _mapped(folder, name, i, dtype)
-    return array
+    if (arrays := _OPEN.get((folder, name))) is None:
+        arrays = _OPEN[folder, name] = _mapped(folder, name)
+    return arrays
 
 
 def count_words(texts: DataFrame, folder: str, ranges: int) -> Words:
@@ -191,12 +257,12 @@ def count_words(texts: DataFrame, folder: str, ranges: int) -> Words:
             yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows]), pa.array([p for _, p in rows], pa.binary())], ["range", "packed"])
 
     def merge(table: pa.Table) -> pa.Table:
-        parts = [_unpack(p.as_py(), 2) for p in table.column("packed")]
+        parts = [_unpack(p.as_py()) for p in table.column("packed")]
         words, counts = _totals(np.concatenate([p[0] for p in parts]).view(U), np.concatenate([p[1] for p in parts]))
-        top = np.argsort(-counts)[:8]
+        top = np.argsort(-counts)[:32]
         return pa.table(
             {
-                "range": table.column("range")[:1], "name": [_save(folder, words, counts)], "size": [len(words)], "tokens": [int(counts.sum())],
+                "range": table.column("range")[:1], "name": [_save(folder, words, counts.view(U))], "size": [len(words)], "tokens": [int(counts.sum())],
                 "top": pa.array([top.tolist()], pa.list_(pa.int64())), "top_n": pa.array([counts[top].tolist()], pa.list_(pa.int64())),
             }
         )
@@ -209,15 +275,57 @@ def count_words(texts: DataFrame, folder: str, ranges: int) -> Words:
     begins, tokens = np.concatenate([[0], np.cumsum(sizes)]), sum(r["tokens"] for r in found)
     if begins[-1] > MOST_WORDS:
         raise OverflowError(f"{begins[-1]} distinct words; a pair's key has room for {MOST_WORDS}")
-    # at most 2 * ranges words have such a share
-    frequent = sorted(begins[r["range"]] + at for r in found for at, n in zip(r["top"], r["top_n"], strict=True) if n * 2 * ranges > tokens)
-    return Words(folder, {r["range"]: r["name"] for r in found}, begins, max(0, int(begins[-1]) - 1), tokens, np.array(frequent, np.int64))
-
-
-def _pair_range(words: Words, keys: np.ndarray, ranges: int) -> np.ndarray:
-    first, second = (keys >> U(32)).astype(np.int64), keys & U(0xFFFFFFFF)
-    own = first * ranges // max(1, int(words.begins[-1]))
-    return np.where(np.isin(first, words.frequent), (mix(second) % U(ranges)).astype(np.int64), own)
+    # at most 2 * ranges words have such a share; START stands before as many words as END does
+    top = {int(begins[r["range"]]) + at: n for r in found for at, n in zip(r["top"], r["top_n"], strict=True)}
+    if found:
+        end, start = (int(begins[0]) + at for at in (0, 1))
+        top[start] = top.get(end, 0)
+    frequent = sorted((at, 1 + n * 2 * ranges // tokens) for at, n in top.items() if n * 2 * ranges > tokens)
+    return Words(folder, {r["range"]: r["name"] for r in found}, begins, max(0, int(begins[-1]) - 1), tokens, np.array([a for a, _ in frequent], N), np.array([n for _, n in frequent], U))
+
+
+def _hash(columns: list[np.ndarray], after: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hashes of the rows of columns, or of such hashes followed by more columns."""
+    found = np.zeros(len(columns[0]), U) if after is None else after
+    for c in columns:
+        found = mix(found * U(0x9E3779B97F4A7C15) + c.astype(U) + U(1))
+    return found
+
+
+def _summed(gram: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct n-grams in order of their columns, and the sums of their counts."""
+    if not len(counts):
+        return gram, counts
+    keys = [(gram[i - 1].astype(U) << U(32) | gram[i]) if i else gram[0].astype(U) for i in range(len(gram) - 1, -1, -2)]
+    order = np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys)
+    fresh = np.zeros(len(counts), bool)
+    fresh[0] = True
+    for key in keys:
+        key = key[order]
+        fresh[1:] |= key[1:] != key[:-1]
+    first = np.flatnonzero(fresh)
+    return [c[order[first]] for c in gram], np.add.reduceat(counts[order], first)
+
+
+def _kinds(counts: np.ndarray) -> list[np.ndarray]:
+    """For each count whether it is 1, 2, or 3 or more."""
+    return [(counts == 1).astype(np.int64), (counts == 2).astype(np.int64), (counts >= 3).astype(np.int64)]
+
+
+def _parted(gram: list[np.ndarray], counts: np.ndarray, ranges: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """N-grams packed by range; the nearest word of the context, first in order, as differences."""
+    order = np.argsort(ranges, kind="stable")
+    for r, own in _by_range(ranges[order]):
+        near, *more = (c[order[own]] for c in gram)
+        yield r, _pack(np.diff(near, prepend=N(0)), *more, counts[order[own]])
+
+
+def _whole(packed: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+    """What ``_parted`` packed, of several tasks."""
+    parts = [_unpack(p) for p in packed]
+    near = [np.cumsum(p[0], dtype=N) for p in parts]
+    gram = [np.concatenate(near), *(np.concatenate([p[i] for p in parts]) for i in range(1, len(parts[0]) - 1))]
+    return gram, np.concatenate([p[-1] for p in parts])
 
 
 def _discounts(n: np.ndarray) -> np.ndarray:
@@ -229,16 +337,23 @@ def _discounts(n: np.ndarray) -> np.ndarray:
     return np.clip(own, 0.1, np.array([0.9, 1.9, 2.9]))
 
 
+# what a range reports: 0 for n-grams or 1 for contexts dealt over several ranges; order; range; counts of counts 1, 2, 3, 4; 3 or more; kinds.
+ROW = "own long, packed binary, name string"
+
+
+def _rows(rows: list[tuple[int, bytes, str | None]]) -> pa.Table:
+    return pa.table({"own": pa.array([r for r, _, _ in rows], pa.int64()), "packed": pa.array([p for _, p, _ in rows], pa.binary()), "name": pa.array([n for _, _, n in rows], pa.string())})
+
+
 @dataclass
 class Model:
+    order: int
     words: Words
-    pairs: dict[int, str]
-    about: dict[int, str]  #: of each range of words: predecessors; followers' total and how many come once, twice, more often
+    names: dict[tuple[int, int], dict[int, str]]  #: files by range, of (0 or 1 as reported, order)
     ranges: int
-    discounts: np.ndarray
-    lower: np.ndarray
-    kinds: int  #: distinct pairs
-    spare: float  #: the lower order's mass for the uniform distribution
+    discounts: dict[int, np.ndarray]  #: by order, for counts 0, 1, 2 and 3 or more
+    kinds: int  #: distinct n-grams of two words
+    spare: float  #: the mass of single words for the uniform distribution
 
     def score(self, chunk: _Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each text: log10 probability, log10 of the add-0.1 unigrams, and known tokens."""
@@ -247,49 +362,109 @@ class Model:
         start, at = at[-1], at[:-1]
         numbers = words.numbers(kinds)
         order = np.argsort(numbers, kind="stable")
-        in_order = numbers[order]
 
         def of(names: dict[int, str], i: int) -> np.ndarray:
             values = np.zeros(len(kinds), np.int64)
-            values[order] = words.of_numbers(names, i, in_order)
+            values[order] = words.of_numbers(names, i, numbers[order])
             return values.astype(float)
 
-        counts, before, total = of(words.names, 1), of(self.about, 0), of(self.about, 1)
-        loose = sum(d * of(self.about, i) for d, i in zip(self.discounts, (2, 3, 4), strict=True))
+        counts, before = of(words.names, 1), of(self.names.get((0, 1), {}), 0)
         uniform = 1 / (words.size + 1)
-        step = np.clip(before, 0, 3).astype(np.int64)
-        low = np.maximum(before - np.append(0, self.lower)[step], 0) / max(1, self.kinds) + self.spare * uniform
-        low = low if self.kinds else np.full(len(kinds), uniform)
-        back = np.where(total > 0, loose / np.maximum(total, 1), 1.0)
-        prev = np.empty(len(at), np.int64)
-        prev[1:], prev[chunk.starts] = at[:-1], start
-        u, w = numbers[prev], numbers[at]
-        seen = np.zeros(len(at))
-        both = np.flatnonzero((u >= 0) & (w >= 0))
-        keys, where = np.unique(u[both].astype(U) << U(32) | w[both].astype(U), return_inverse=True)
-        seen[both] = self.pair_counts(keys)[where]
-        taken = np.append(0, self.discounts)[np.clip(seen, 0, 3).astype(np.int64)]
-        p = np.maximum(seen - taken, 0) / np.maximum(total[prev], 1) + back[prev] * low[at]
+        low = np.maximum(before - self.discounts[1][np.clip(before, 0, 3).astype(np.int64)], 0) / max(1, self.kinds) + self.spare * uniform
+        p = (low if self.kinds else np.full(len(kinds), uniform))[at]
+        own, first = numbers.astype(N), np.repeat(chunk.starts, np.diff(np.append(chunk.starts, len(at))))
+        token, place = own[at], np.arange(len(at))
+        near = [np.where(place - j >= first, token[np.maximum(place - j, 0)], own[start]) for j in range(1, self.order)]
+        for k in range(2, self.order + 1):
+            p = self._of_order(k, [*near[: k - 1], token], p)
         base = np.log10((counts + ADDED) / (words.tokens + ADDED * (words.size + 1)))
         sums = lambda x: np.add.reduceat(x, chunk.starts)
         return sums(np.log10(p)), sums(base[at]), sums((counts[at] > 0).astype(np.int64))
 
-    def pair_counts(self, keys: np.ndarray) -> np.ndarray:
-        counts = np.zeros(len(keys))
-        ranges = _pair_range(self.words, keys, self.ranges)
+    def _of_order(self, k: int, gram: list[np.ndarray], lower: np.ndarray) -> np.ndarray:
+        """Probabilities of the last words of n-grams, given those of one order lower."""
+        about = _hash(gram[:-1])
+        hashes, first, at = np.unique(_hash(gram[-1:], about), return_index=True, return_inverse=True)
+        about, gram = about[first], [c[first] for c in gram]
+        ranges, over = self.words.deal(gram, about, self.ranges)
+        counts, total, loose = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64), np.zeros(len(hashes))
+
+        def follow(which: np.ndarray, begins: np.ndarray, low: np.ndarray, row: np.ndarray, known: np.ndarray) -> None:
+            found = _find(begins, low, about[which])
+            which, found = which[found >= 0], known.reshape(-1, 4)[row[found[found >= 0]]]
+            total[which], loose[which] = found[:, 0], found[:, 1:] @ self.discounts[k][1:]
+
+        names, split = (self.names.get((i, k), {}) for i in (0, 1))
         order = np.argsort(ranges, kind="stable")
         for r, own in _by_range(ranges[order]):
-            if r in self.pairs:
-                known, raw = _cached(self.words.folder, self.pairs[r], 0, U), _cached(self.words.folder, self.pairs[r], 1, np.uint8)
-                n = raw.view(f"u{len(raw) // len(known)}")
+            if r in names:
+                begins, low, n, *contexts = _cached(self.words.folder, names[r])
                 mine = order[own]
-                at = np.minimum(np.searchsorted(known, keys[mine]), len(known) - 1)
-                counts[mine] = np.where(known[at] == keys[mine], n[at], 0)
-        return counts
+                found = _find(begins, low, hashes[mine])
+                counts[mine] = np.where(found >= 0, n[np.maximum(found, 0)], 0)
+                follow(mine[over[mine] == 1], *contexts)
+        wide = np.flatnonzero(over > 1)
+        ranges = (about[wide] % U(self.ranges)).astype(np.int64)
+        order = np.argsort(ranges, kind="stable")
+        for r, own in _by_range(ranges[order]):
+            if r in split:
+                follow(wide[order[own]], *_cached(self.words.folder, split[r]))
+        taken = np.maximum(counts - self.discounts[k][np.minimum(counts, 3)], 0) / np.maximum(total, 1)
+        return taken[at] + np.where(total > 0, loose / np.maximum(total, 1), 1.0)[at] * lower
+
 
+def _contexts(hashes: np.ndarray, followers: list[np.ndarray]) -> list[np.ndarray]:
+    """A table of contexts: hashes, for each the row of what follows it, and the distinct rows."""
+    order, begins, low = _table(hashes)
+    rows, at = np.unique(np.stack(followers, 1)[order], axis=0, return_inverse=True) if len(hashes) else (np.zeros((0, 4), np.int64), np.zeros(0, np.int64))
+    return [begins, low, _narrow(at.reshape(-1)), rows.astype(U).reshape(-1)]
 
-def fit(texts: DataFrame, folder: str | None = None) -> Model:
-    """Counts the model over the texts (column text), all of them. Only names, sizes and counts of counts reach the driver."""
+
+def _adder(words: Words, k: int, ranges: int) -> Callable[[pa.Table], pa.Table]:
+    """Adds up one group: n-grams of order k, contexts of order k + 1, or reports, which only pass."""
+
+    def report(which: int, order: int, r: int, name: str, counts: np.ndarray) -> tuple[int, bytes, str]:
+        n = [*(int((counts == c).sum()) for c in (1, 2, 3, 4)), int((counts >= 3).sum()), len(counts)]
+        return 2 * ranges + r, np.array([which, order, r, *n], np.int64).tobytes(), name
+
+    def add(table: pa.Table) -> pa.Table:
+        r = table.column("own")[0].as_py()
+        if r >= 2 * ranges:
+            return table.select(["own", "packed", "name"])
+        packed = [p.as_py() for p in table.column("packed")]
+        if r >= ranges:
+            parts = [_unpack(p) for p in packed]
+            keys, *followers = _totals(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            return _rows([report(1, k + 1, r - ranges, _save(words.folder, *_contexts(keys.view(U), followers)), followers[0][:0])])
+        gram, counts = _summed(*_whole(packed))
+        if k == 1:
+            before = np.zeros(int(words.begins[r + 1] - words.begins[r]), np.int64)
+            before[gram[0] - words.begins[r]] = counts
+            return _rows([report(0, 1, r, _save(words.folder, _narrow(before)), counts)])
+        about = _hash(gram[:-1])
+        edge = np.flatnonzero(np.append(True, about[1:] != about[:-1]))
+        followers = [np.add.reduceat(x, edge) for x in (counts, *_kinds(counts))]
+        contexts, over = about[edge], np.minimum.reduce([words.dealt_over(c[edge]) for c in gram[:-1]])
+        order, begins, low = _table(_hash(gram[-1:], about))
+        own = over == 1
+        rows = [report(0, k, r, _save(words.folder, begins, low, _narrow(counts[order]), *_contexts(contexts[own], [x[own] for x in followers])), counts)]
+        wide = np.flatnonzero(~own)
+        to = (contexts[wide] % U(ranges)).astype(np.int64)
+        by = np.argsort(to, kind="stable")
+        rows += [(ranges + i, _pack(contexts[wide[by[s]]].view(np.int64), *(x[wide[by[s]]] for x in followers)), None) for i, s in _by_range(to[by])]
+        # an n-gram one shorter has a word before it for each of these, or begins a text and keeps its count
+        shorter, begin = [*gram[: k - 2], gram[-1]], words.numbers(np.array([START]))[0]
+        shorter, before = _summed(shorter, np.where(shorter[-2] == begin, counts, 1) if k > 2 else np.ones(len(counts), np.int64))
+        to = words.deal(shorter, _hash(shorter[:-1]), ranges)[0] if k > 2 else words.ranges_of(shorter[0])
+        return _rows(rows + [(i, p, None) for i, p in _parted(shorter, before, to)])
+
+    return add
+
+
+def fit(texts: DataFrame, folder: str | None = None, order: int = ORDER) -> Model:
+    """Counts the model over the texts (column text), all of them; n-grams have up to ``order`` words, 2 at least."""
+    if order < 2:
+        raise ValueError("the order of a model is 2 at least")
     spark = texts.sparkSession
     folder = folder or scratch(spark, "kneser-ney")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -299,57 +474,30 @@ def fit(texts: DataFrame, folder: str | None = None) -> Model:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, chunk in _chunks(batches):
             kinds, at = np.unique(np.append(chunk.tokens, START), return_inverse=True)
-            numbers = words.numbers(kinds)[at].astype(U)
-            second, first = numbers[:-1], np.empty(len(numbers) - 1, U)
-            first[1:], first[chunk.starts] = second[:-1], numbers[-1]
-            keys, counts = np.unique(first << U(32) | second, return_counts=True)
-            own = _pair_range(words, keys, ranges)
-            order = np.argsort(own, kind="stable")
-            rows = [(r, _pack(keys[order[s]].view(np.int64), counts[order[s]])) for r, s in _by_range(own[order])]
-            yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows]), pa.array([p for _, p in rows], pa.binary())], ["range", "packed"])
-
-    def merge(table: pa.Table) -> pa.Table:
-        parts = [_unpack(p.as_py(), 2) for p in table.column("packed")]
-        keys, counts = _totals(np.concatenate([p[0] for p in parts]).view(U), np.concatenate([p[1] for p in parts]))
-        name = _save(folder, keys, _narrow(counts))
-        first, second = (keys >> U(32)).astype(np.int64), (keys & U(0xFFFFFFFF)).astype(np.int64)
-        rows = [(-1, _pack(*(np.array([(counts == k).sum()]) for k in (1, 2, 3, 4)), np.array([len(keys)])), name)]
-        u = _totals(first, counts, (counts == 1).astype(np.int64), (counts == 2).astype(np.int64), (counts >= 3).astype(np.int64))
-        w = _totals(second, np.ones(len(second), np.int64))
-        for which, (numbers, *values) in enumerate((u, w)):
-            for r, own in _by_range(np.searchsorted(words.begins, numbers, side="right") - 1):
-                rows.append((r * 2 + which, _pack(numbers[own] - words.begins[r], *(v[own] for v in values)), None))
-        return pa.table({"range": pa.array([table.column("range")[0].as_py()] * len(rows)), "to": pa.array([r for r, _, _ in rows]), "packed": pa.array([p for _, p, _ in rows], pa.binary()), "name": pa.array([n for _, _, n in rows], pa.string())})
-
-    parts = texts.mapInArrow(lean(count), "range long, packed binary").groupBy("range").applyInArrow(merge, "range long, to long, packed binary, name string")
-    # written, so that the names in it are those of the attempts that succeeded
-    path = scratch(spark, "kneser-ney-parts")
-    parts.write.option("compression", "none").parquet(path)
-    parts = spark.read.schema("range long, to long, packed binary, name string").parquet(path)
-    heads = parts.where("to = -1").select("range", "packed", "name").collect()
-    n = np.zeros(5, np.int64)
-    for r in heads:
-        n += np.concatenate(_unpack(bytes(r["packed"]), 5))
-
-    def gather(table: pa.Table) -> pa.Table:
-        r = table.column("own")[0].as_py()
-        values = np.zeros((5, int(words.begins[r + 1] - words.begins[r])), np.int64)
-        for to, packed in zip(table.column("to").to_pylist(), table.column("packed"), strict=True):
-            at, *own = _unpack(packed.as_py(), 2 if to % 2 else 5)
-            for row, v in zip((0,) if to % 2 else (1, 2, 3, 4), own, strict=True):
-                values[row][at] += v
-        before = values[0]
-        return pa.table({"range": [r], "name": [_save(folder, *values)], "n": pa.array([[int((before == k).sum()) for k in (1, 2, 3, 4)] + [int((before >= 3).sum())]], pa.list_(pa.int64()))})
-
-    about = parts.where("to >= 0").withColumn("own", F.col("to").bitwiseAND(F.lit(-2)) / 2).withColumn("own", F.col("own").cast("long")).select("own", "to", "packed")
-    found = about.groupBy("own").applyInArrow(gather, "range long, name string, n array<long>").collect()
-    m = np.sum([r["n"] for r in found], axis=0) if found else np.zeros(5)
-    lower, kinds = _discounts(m[:4]), int(n[4])
-    spare = float((lower * np.array([m[0], m[1], m[4]])).sum() / max(1, kinds))
-    return Model(words, {r["range"]: r["name"] for r in heads}, {r["range"]: r["name"] for r in found}, ranges, _discounts(n[:4]), lower, kinds, spare)
-
-
-def score(docs: DataFrame, folder: str | None = None) -> DataFrame:
+            numbers = words.numbers(kinds)[at].astype(N)
+            token, place = numbers[:-1], np.arange(len(numbers) - 1)
+            first = np.repeat(chunk.starts, np.diff(np.append(chunk.starts, len(token))))
+            near = [np.where(place - j >= first, token[np.maximum(place - j, 0)], numbers[-1]) for j in range(1, order)]
+            gram, counts = _summed([*near, token], np.ones(len(token), np.int64))
+            rows = list(_parted(gram, counts, words.deal(gram, _hash(gram[:-1]), ranges)[0]))
+            yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.int64()), pa.array([p for _, p in rows], pa.binary()), pa.nulls(len(rows), pa.string())], ["own", "packed", "name"])
+
+    rows = texts.mapInArrow(lean(count), ROW)
+    for k in range(order, 0, -1):
+        rows = rows.groupBy("own").applyInArrow(_adder(words, k, ranges), ROW)
+    names: dict[tuple[int, int], dict[int, str]] = {}
+    n = np.zeros((order + 1, 6), np.int64)
+    for row in rows.collect():
+        which, k, r, *own = np.frombuffer(bytes(row["packed"]), np.int64).tolist()
+        names.setdefault((which, k), {})[r] = row["name"]
+        n[k] += own
+    discounts = {k: np.append(0, _discounts(n[k, :4])) for k in range(1, order + 1)}
+    kinds = int(n[2, 5])
+    spare = float((discounts[1][1:] * n[1, [0, 1, 4]]).sum() / max(1, kinds))
+    return Model(order, words, names, ranges, discounts, kinds, spare)
+
+
+def score(docs: DataFrame, folder: str | None = None, order: int = ORDER) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
     Learns from the rows that aren't held out (a null id isn't). Null and empty texts are one token, the end. Without
@@ -358,7 +506,7 @@ def score(docs: DataFrame, folder: str | None = None) -> DataFrame:
     Columns other than doc_id and text are not looked at.
     """
     rows = text_of(docs).withColumn("held_out", held_out(F.col("doc_id")))
-    model = fit(rows.where(~F.col("held_out")).select("text"), folder)
+    model = fit(rows.where(~F.col("held_out")).select("text"), folder, order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for parts, chunk in _chunks(batches):

@@ -88,18 +88,29 @@ def test_bpe_over_tables(spark, library):
 class Restated:
     """The model with Counters."""
 
-    def __init__(self, texts):
+    def __init__(self, texts, order):
         rows = [[*words(t), "</s>"] for t in texts]
         self.c = collections.Counter(w for r in rows for w in r)
         self.n, self.v = sum(self.c.values()), len(self.c)
-        self.b = collections.Counter(p for r in rows for p in zip(["<s>", *r], r))
-        self.before = collections.Counter(w for _, w in self.b)
-        self.d, self.low = self.discounts(self.b.values()), self.discounts(self.before.values())
+        # of order k: counts of the highest, and below how many words come before, but counts where a text begins
+        self.counts = {order: collections.Counter(g for r in rows for g in self.grams(r, order))}
+        for k in range(order - 1, 0, -1):
+            self.counts[k] = collections.Counter()
+            for g, n in self.counts[k + 1].items():
+                self.counts[k][g[1:]] += n if k > 1 and g[1] == "<s>" else 1
+        self.order, self.pairs = order, len(self.counts[2])
+        self.d = {k: self.discounts(c.values()) for k, c in self.counts.items()}
         self.total, self.loose = collections.Counter(), collections.Counter()
-        for (u, _), n in self.b.items():
-            self.total[u] += n
-            self.loose[u] += self.d[min(n, 3)]
-        self.spare = sum(self.low[min(n, 3)] for n in self.before.values()) / max(1, len(self.b))
+        for k in range(2, order + 1):
+            for g, n in self.counts[k].items():
+                self.total[g[:-1]] += n
+                self.loose[g[:-1]] += self.d[k][min(n, 3)]
+        self.spare = sum(self.d[1][min(n, 3)] for n in self.counts[1].values()) / max(1, self.pairs)
+
+    @staticmethod
+    def grams(r, k):
+        padded = ["<s>"] * (k - 1) + list(r)
+        return [tuple(padded[i : i + k]) for i in range(len(r))]
 
     @staticmethod
     def discounts(counts):
@@ -108,25 +119,30 @@ class Restated:
         y = n[0] / (n[0] + 2 * n[1])
         return [0, *np.clip([1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]], 0.1, [0.9, 1.9, 2.9])]
 
-    def p(self, u, w):
-        low = max(self.before[w] - self.low[min(self.before[w], 3)], 0) / max(1, len(self.b)) + self.spare / (self.v + 1) if self.b else 1 / (self.v + 1)
-        if not self.total[u]:
-            return low
-        return max(self.b[u, w] - self.d[min(self.b[u, w], 3)], 0) / self.total[u] + self.loose[u] / self.total[u] * low
+    def p(self, *gram):
+        k, context = len(gram), gram[:-1]
+        n = self.counts[k][gram]
+        if k == 1:
+            return max(n - self.d[1][min(n, 3)], 0) / max(1, self.pairs) + self.spare / (self.v + 1) if self.pairs else 1 / (self.v + 1)
+        if not self.total[context]:
+            return self.p(*gram[1:])
+        return max(n - self.d[k][min(n, 3)], 0) / self.total[context] + self.loose[context] / self.total[context] * self.p(*gram[1:])
 
     def check(self, row, text):
         t = [*words(text), "</s>"]
         assert (row.n_tokens, row.n_known, row.train_tokens) == (len(t), sum(self.c[w] > 0 for w in t), self.n)
         assert row.base_score == pytest.approx(sum(math.log10((self.c[w] + 0.1) / (self.n + 0.1 * (self.v + 1))) for w in t))
-        assert row.score == pytest.approx(sum(math.log10(self.p(u, w)) for u, w in zip(["<s>", *t], t)))
+        assert row.score == pytest.approx(sum(math.log10(self.p(*g)) for g in self.grams(t, self.order)))
 
 
-def test_language_model(spark):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_language_model(spark, order):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
-    model = Restated([t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 10])
-    assert sum(model.p("the", w) for w in model.c) + model.p("the", "never seen") == pytest.approx(1)
-    rows = kneser_ney.score(docs).collect()
+    model = Restated([t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 10], order)
+    context = ["of", "and", "the"][1 - order :]
+    assert sum(model.p(*context, w) for w in model.c) + model.p(*context, "never seen") == pytest.approx(1)
+    rows = kneser_ney.score(docs, order=order).collect()
     for r in rows:
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 10 == 0)
         model.check(r, texts[r.doc_id])
@@ -134,12 +150,13 @@ def test_language_model(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_language_model_awkward(spark):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_language_model_awkward(spark, order):
     docs = awkward(spark)
     texts = [(r.doc_id, r.text) for r in docs.collect()]
     out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
-    model = Restated([t for i, t in texts if not out(i)])
-    rows = kneser_ney.score(docs).collect()
+    model = Restated([t for i, t in texts if not out(i)], order)
+    rows = kneser_ney.score(docs, order=order).collect()
     for r, (_, t) in zip(sorted(rows, key=lambda r: (r.doc_id or -1, r.n_tokens)), sorted(texts, key=lambda x: (x[0] or -1, len(words(x[1]))))):
         model.check(r, t)
     assert kneser_ney.score(empty(spark)).count() == 0
