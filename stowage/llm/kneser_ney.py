@@ -12,7 +12,7 @@ over as many ranges as their share asks for, and a context of none but such word
 parts say about it is added up by the next shuffle.
 
 A range of an order is one file in the shared folder: hashes in order, cut into buckets by their high bits of which the
-next 32 are kept (an n-gram that doesn't occur is taken for one that does with about 2e-9 a look-up, at any size), counts,
+next 32 are kept (an n-gram that doesn't occur is taken for one that does with about 4e-9 a look-up, at any size), counts,
 and the same for contexts with what follows them. A file's name is one that an attempt which succeeded reports. Scoring
 tasks map the files, so that a host holds one copy where the folder is mounted; from another store a worker fetches those
 it needs, once.
@@ -58,25 +58,25 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of equal length of 4 or 8 bytes a value; bytes of equal place together, since the high ones hardly vary."""
+    """Unsigned arrays of equal length; bytes of equal place together, since the high ones hardly vary."""
     n, widths = len(arrays[0]), bytes(a.dtype.itemsize for a in arrays)
     body = b"".join(np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(n, w).T).tobytes() for a, w in zip(arrays, widths, strict=True))
     return n.to_bytes(8, "little") + bytes([len(widths)]) + widths + zstandard.compress(body, 1)
 
 
 def _unpack(packed: bytes) -> list[np.ndarray]:
-    """The arrays, those of 4 bytes as numbers of words, those of 8 as counts."""
     n, k = int.from_bytes(packed[:8], "little"), packed[8]
     body, at, found = np.frombuffer(zstandard.decompress(packed[9 + k :]), np.uint8), 0, []
     for w in packed[9 : 9 + k]:
         own = np.ascontiguousarray(body[at : at + n * w].reshape(w, n).T)
-        found.append(own.view(N if w == 4 else np.int64).reshape(n))
+        found.append(own.view(f"u{w}").reshape(n))
         at += n * w
     return found
 
 
 def _totals(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct keys in order, and the sums of the values of each."""
+    values = tuple(v.astype(np.int64) for v in values)
     if not len(keys):
         return keys, *values
     order = np.argsort(keys, kind="stable")
@@ -89,6 +89,11 @@ def _range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
     return ((hashes >> U(32)) * U(ranges)) >> U(32)
 
 
+def _in_order(ranges: np.ndarray) -> np.ndarray:
+    """The stable order of small numbers, by counting where 16 bits hold them."""
+    return np.argsort(ranges.astype(np.uint16) if len(ranges) and ranges.max() < 1 << 16 else ranges, kind="stable")
+
+
 def _by_range(ranges: np.ndarray) -> Iterator[tuple[int, slice]]:
     """Runs of equal numbers in an ascending array."""
     edges = np.flatnonzero(np.concatenate([[True], ranges[1:] != ranges[:-1], [True]])) if len(ranges) else []
@@ -101,6 +106,20 @@ def _narrow(counts: np.ndarray) -> np.ndarray:
     return counts.astype(np.min_scalar_type(int(counts.max()) if len(counts) else 0))
 
 
+def _bytes(values: np.ndarray) -> list[np.ndarray]:
+    """Values in a byte each, and the places and values of those for which 255 stands."""
+    far = np.flatnonzero(values >= 255)
+    return [np.minimum(values, 255).astype(np.uint8), far.astype(N), _narrow(values[far])]
+
+
+def _values(own: np.ndarray, far: np.ndarray, more: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """What ``_bytes`` keeps at places."""
+    found = own[at].astype(np.int64)
+    wide = np.flatnonzero(found == 255)
+    found[wide] = more[np.searchsorted(far, at[wide])]
+    return found
+
+
 def _save(folder: str, *arrays: np.ndarray) -> str:
     """Writes unsigned arrays as a file of a new name in the shared folder; returns the name."""
     fs, path = pa.fs.FileSystem.from_uri(folder)
@@ -136,7 +155,7 @@ def _mapped(folder: str, name: str) -> list[np.ndarray]:
 
 def _table(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The order of distinct hashes, where each bucket of their high bits begins, and the 32 bits after these."""
-    bits = max(0, len(hashes).bit_length() - 3)
+    bits = max(0, len(hashes).bit_length() - 4)
     kept = hashes >> U(32 - bits)
     order = np.argsort(kept)
     kept = kept[order]
@@ -253,12 +272,12 @@ def count_words(texts: DataFrame, folder: str, ranges: int) -> Words:
         for _, chunk in _chunks(batches):
             words, counts = np.unique(np.append(chunk.tokens, START), return_counts=True)
             counts[words == START] = 0
-            rows = [(r, _pack(words[own].view(np.int64), counts[own])) for r, own in _by_range(_range_of(words, ranges).astype(np.int64))]
+            rows = [(r, _pack(words[own], _narrow(counts[own]))) for r, own in _by_range(_range_of(words, ranges).astype(np.int64))]
             yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows]), pa.array([p for _, p in rows], pa.binary())], ["range", "packed"])
 
     def merge(table: pa.Table) -> pa.Table:
         parts = [_unpack(p.as_py()) for p in table.column("packed")]
-        words, counts = _totals(np.concatenate([p[0] for p in parts]).view(U), np.concatenate([p[1] for p in parts]))
+        words, counts = _totals(*(np.concatenate(x) for x in zip(*parts, strict=True)))
         top = np.argsort(-counts)[:32]
         return pa.table(
             {
@@ -314,10 +333,10 @@ def _kinds(counts: np.ndarray) -> list[np.ndarray]:
 
 def _parted(gram: list[np.ndarray], counts: np.ndarray, ranges: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """N-grams packed by range; the nearest word of the context, first in order, as differences."""
-    order = np.argsort(ranges, kind="stable")
+    order = _in_order(ranges)
     for r, own in _by_range(ranges[order]):
         near, *more = (c[order[own]] for c in gram)
-        yield r, _pack(np.diff(near, prepend=N(0)), *more, counts[order[own]])
+        yield r, _pack(np.diff(near, prepend=N(0)), *more, _narrow(counts[order[own]]))
 
 
 def _whole(packed: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
@@ -325,7 +344,7 @@ def _whole(packed: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
     parts = [_unpack(p) for p in packed]
     near = [np.cumsum(p[0], dtype=N) for p in parts]
     gram = [np.concatenate(near), *(np.concatenate([p[i] for p in parts]) for i in range(1, len(parts[0]) - 1))]
-    return gram, np.concatenate([p[-1] for p in parts])
+    return gram, np.concatenate([p[-1].astype(np.int64) for p in parts])
 
 
 def _discounts(n: np.ndarray) -> np.ndarray:
@@ -384,28 +403,30 @@ class Model:
     def _of_order(self, k: int, gram: list[np.ndarray], lower: np.ndarray) -> np.ndarray:
         """Probabilities of the last words of n-grams, given those of one order lower."""
         about = _hash(gram[:-1])
-        hashes, first, at = np.unique(_hash(gram[-1:], about), return_index=True, return_inverse=True)
-        about, gram = about[first], [c[first] for c in gram]
+        hashes, at = _hash(gram[-1:], about), slice(None)
+        if k == 2:  # longer ones hardly repeat within a chunk
+            hashes, first, at = np.unique(hashes, return_index=True, return_inverse=True)
+            about, gram = about[first], [c[first] for c in gram]
         ranges, over = self.words.deal(gram, about, self.ranges)
         counts, total, loose = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64), np.zeros(len(hashes))
 
-        def follow(which: np.ndarray, begins: np.ndarray, low: np.ndarray, row: np.ndarray, known: np.ndarray) -> None:
+        def follow(which: np.ndarray, begins: np.ndarray, low: np.ndarray, *rows: np.ndarray) -> None:
             found = _find(begins, low, about[which])
-            which, found = which[found >= 0], known.reshape(-1, 4)[row[found[found >= 0]]]
+            which, found = which[found >= 0], rows[3].reshape(-1, 4)[_values(*rows[:3], found[found >= 0])]
             total[which], loose[which] = found[:, 0], found[:, 1:] @ self.discounts[k][1:]
 
         names, split = (self.names.get((i, k), {}) for i in (0, 1))
-        order = np.argsort(ranges, kind="stable")
+        order = _in_order(ranges)
         for r, own in _by_range(ranges[order]):
             if r in names:
-                begins, low, n, *contexts = _cached(self.words.folder, names[r])
+                begins, low, *n = _cached(self.words.folder, names[r])
                 mine = order[own]
                 found = _find(begins, low, hashes[mine])
-                counts[mine] = np.where(found >= 0, n[np.maximum(found, 0)], 0)
-                follow(mine[over[mine] == 1], *contexts)
+                counts[mine[found >= 0]] = _values(*n[:3], found[found >= 0])
+                follow(mine[over[mine] == 1], *n[3:])
         wide = np.flatnonzero(over > 1)
         ranges = (about[wide] % U(self.ranges)).astype(np.int64)
-        order = np.argsort(ranges, kind="stable")
+        order = _in_order(ranges)
         for r, own in _by_range(ranges[order]):
             if r in split:
                 follow(wide[order[own]], *_cached(self.words.folder, split[r]))
@@ -414,10 +435,13 @@ class Model:
 
 
 def _contexts(hashes: np.ndarray, followers: list[np.ndarray]) -> list[np.ndarray]:
-    """A table of contexts: hashes, for each the row of what follows it, and the distinct rows."""
+    """A table of contexts: hashes, for each the row of what follows it, and the distinct rows, frequent ones first."""
     order, begins, low = _table(hashes)
-    rows, at = np.unique(np.stack(followers, 1)[order], axis=0, return_inverse=True) if len(hashes) else (np.zeros((0, 4), np.int64), np.zeros(0, np.int64))
-    return [begins, low, _narrow(at.reshape(-1)), rows.astype(U).reshape(-1)]
+    if not len(hashes):
+        return [begins, low, *_bytes(np.zeros(0, np.int64)), np.zeros(0, U)]
+    _, first, at, n = np.unique(_hash(followers)[order], return_index=True, return_inverse=True, return_counts=True)
+    by = np.argsort(-n, kind="stable")
+    return [begins, low, *_bytes(np.argsort(by)[at]), np.stack(followers, 1)[order[first[by]]].astype(U).reshape(-1)]
 
 
 def _adder(words: Words, k: int, ranges: int) -> Callable[[pa.Table], pa.Table]:
@@ -435,7 +459,7 @@ def _adder(words: Words, k: int, ranges: int) -> Callable[[pa.Table], pa.Table]:
         if r >= ranges:
             parts = [_unpack(p) for p in packed]
             keys, *followers = _totals(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-            return _rows([report(1, k + 1, r - ranges, _save(words.folder, *_contexts(keys.view(U), followers)), followers[0][:0])])
+            return _rows([report(1, k + 1, r - ranges, _save(words.folder, *_contexts(keys, followers)), followers[0][:0])])
         gram, counts = _summed(*_whole(packed))
         if k == 1:
             before = np.zeros(int(words.begins[r + 1] - words.begins[r]), np.int64)
@@ -447,11 +471,11 @@ def _adder(words: Words, k: int, ranges: int) -> Callable[[pa.Table], pa.Table]:
         contexts, over = about[edge], np.minimum.reduce([words.dealt_over(c[edge]) for c in gram[:-1]])
         order, begins, low = _table(_hash(gram[-1:], about))
         own = over == 1
-        rows = [report(0, k, r, _save(words.folder, begins, low, _narrow(counts[order]), *_contexts(contexts[own], [x[own] for x in followers])), counts)]
+        rows = [report(0, k, r, _save(words.folder, begins, low, *_bytes(counts[order]), *_contexts(contexts[own], [x[own] for x in followers])), counts)]
         wide = np.flatnonzero(~own)
         to = (contexts[wide] % U(ranges)).astype(np.int64)
-        by = np.argsort(to, kind="stable")
-        rows += [(ranges + i, _pack(contexts[wide[by[s]]].view(np.int64), *(x[wide[by[s]]] for x in followers)), None) for i, s in _by_range(to[by])]
+        by = _in_order(to)
+        rows += [(ranges + i, _pack(contexts[wide[by[s]]], *(_narrow(x[wide[by[s]]]) for x in followers)), None) for i, s in _by_range(to[by])]
         # an n-gram one shorter has a word before it for each of these, or begins a text and keeps its count
         shorter, begin = [*gram[: k - 2], gram[-1]], words.numbers(np.array([START]))[0]
         shorter, before = _summed(shorter, np.where(shorter[-2] == begin, counts, 1) if k > 2 else np.ones(len(counts), np.int64))
