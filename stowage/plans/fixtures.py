@@ -56,9 +56,35 @@ VIEWS = {
                CASE WHEN event_id % 4 = 0 THEN 'failed' ELSE 'stored' END AS state, CASE WHEN event_id % 4 = 0 THEN 0 ELSE event_id % 1000 END AS stored_bytes,
                event_id % 5 < 3 AS size_verified, ts AS happened_at
         FROM events""",
+    # how the transfers of a pass end; sources that couldn't be read have no row
+    "transfer": """
+        SELECT o.external_id, t.target, (o.size + t.ti) % 10 <> 0 AS ok, o.size AS stored_bytes, o.size % 37 = 0 AS gone, t.target = 'c' AND o.size % 4 = 0 AS down
+        FROM led_object o CROSS JOIN tgt t WHERE o.size % 29 <> 0""",
+    # copies that decode to their hash
+    "readable": "SELECT external_id, target FROM led_status WHERE state = 'stored' AND stored_bytes % 3 <> 1",
+    # manifests as text: lines that are empty, without an id, in other cases, or corrupt
+    "manifest_text": """
+        SELECT target, CASE size % 9 WHEN 0 THEN '' WHEN 1 THEN chr(123) || '"ExternalID":"' || external_id || '"' || chr(125) WHEN 2 THEN external_id WHEN 3 THEN chr(123) || '"size":1' || chr(125)
+               WHEN 4 THEN 'null' WHEN 5 THEN chr(123) || '"externalID":5' || chr(125) ELSE chr(123) || '"externalID":"' || external_id || '","size":' || size || chr(125) END AS value
+        FROM manifest""",
+    # names in targets' manifest folders, strays among them
+    "manifest_name": """
+        SELECT target, '2024' || lpad(CAST(1 + seq % 12 AS varchar(20)), 2, '0') || lpad(CAST(1 + seq % 28 AS varchar(20)), 2, '0') || 'T' || lpad(CAST(seq % 24 AS varchar(20)), 2, '0') || '5900.'
+               || lpad(CAST(seq AS varchar(20)), 9, '0') || CASE WHEN seq % 7 = 0 THEN 'Z.jsonl.tmp' ELSE 'Z.jsonl' END AS name
+        FROM attempt""",
+    # what a pass reports of an object, as JSON
+    "outcome_record": """
+        SELECT external_id, CASE WHEN seq % 13 = 0 THEN NULL WHEN seq % 11 = 0 THEN '[]'
+               ELSE '[' || chr(123) || '"target":"' || target || '","state":"' || state || '","bytes":' || stored_bytes || ',"more":1' || chr(125) || ',' || chr(123) || '"target":"d","state":"failed"' || chr(125) || ']' END AS statuses
+        FROM attempt""",
+    "rule_input": """
+        SELECT doc_id AS id, source AS name, coalesce(source, 's') || '/x/' || doc_id || '.jsonl' AS path, CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'none' WHEN 2 THEN 'zstd' WHEN 4 THEN 'gzip' END AS codec,
+               CASE WHEN doc_id % 2 = 0 THEN '28B52FFD00' ELSE '28B52FFE' END AS head
+        FROM documents""",
 }
-NEEDS = {"led_object": ["corpus_file"], "led_status": ["led_object", "tgt"], "manifest": ["led_status"], "listing": ["led_status"], "manifest_file": ["manifest"]}
-_TABLES = {"corpus_file": "documents", "outbox": "events", "attempt": "events", "claim_event": "events"}
+NEEDS = {"led_object": ["corpus_file"], "led_status": ["led_object", "tgt"], "manifest": ["led_status"], "listing": ["led_status"], "manifest_file": ["manifest"], "transfer": ["led_object", "tgt"], "readable": ["led_status"], "manifest_text": ["manifest"],
+         "manifest_name": ["attempt"], "outcome_record": ["attempt"]}
+_TABLES = {"corpus_file": "documents", "outbox": "events", "attempt": "events", "claim_event": "events", "rule_input": "documents"}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import metrics, scalars
-from ..operators import inventory, ledger, queue
+from ..operators import inventory, ledger, passes, queue
 from .fixtures import AS_OF, TARGETS, oracle, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -490,6 +490,168 @@ def stream_circuit(attempts):
     return run.finished(outcomes, lambda s: circuit.circuits(s, threshold=4)).where("open").groupBy("target").agg(F.min("seq").alias("tripped_at"))
 
 
+_BACKUP = f"""WITH item AS (SELECT external_id, count(*) AS files FROM corpus_file WHERE temporary_location IS NOT TRUE AND external_id <> '' GROUP BY ALL),
+     every AS (
+       SELECT i.external_id, i.files, t.target, s.target IS NOT NULL AS held, s.target IS NULL AND t.target = 'b' AS skipped, s.target IS NULL AND t.target <> 'b' AS pending, x.ok, x.stored_bytes, x.gone, x.down
+       FROM item i CROSS JOIN (VALUES {_T}) t(target) LEFT JOIN led_status s ON s.external_id = i.external_id AND s.target = t.target AND s.state = 'stored'
+       LEFT JOIN transfer x ON x.external_id = i.external_id AND x.target = t.target),
+     ended AS (
+       SELECT external_id, any_value(files) AS files, coalesce(bool_or(gone), false) OR count(*) FILTER (pending AND ok IS NULL) > 0 AS silent,
+              coalesce(string_agg(target, ',' ORDER BY target) FILTER (pending), '') AS pending, CAST(count(*) FILTER (held) AS INT) AS deduplicated,
+              CASE WHEN NOT bool_or(pending) THEN CASE WHEN bool_or(skipped) THEN 'deferred' ELSE 'backed' END WHEN coalesce(bool_or(gone), false) THEN 'skipped'
+                   WHEN count(*) FILTER (pending AND (ok IS NULL OR NOT ok AND NOT down)) > 0 THEN 'failed' WHEN count(*) FILTER (pending AND NOT ok) = 0 AND NOT bool_or(skipped) THEN 'backed' ELSE 'deferred' END AS outcome
+       FROM every GROUP BY external_id),
+     noted AS (SELECT e.external_id, e.target, e.ok, e.stored_bytes FROM every e JOIN ended USING (external_id) WHERE e.pending AND NOT silent AND (e.ok OR NOT e.down))"""
+_BACKUP_VIEWS = ("corpus_file", "led_status", "transfer")
+
+
+def _backup(files, status, transfers):
+    return passes.backup_outcomes(files, status, transfers, TARGETS, DOWN)
+
+
+@query(
+    f"""{_BACKUP} SELECT e.external_id, e.files, e.pending, e.deduplicated, e.outcome,
+                        coalesce(string_agg(n.target || ':' || CASE WHEN n.ok THEN 'stored:' || n.stored_bytes ELSE 'failed:0' END, ',' ORDER BY n.target), '') AS statuses
+                 FROM ended e LEFT JOIN noted n ON n.external_id = e.external_id GROUP BY ALL""",
+    *_BACKUP_VIEWS,
+)
+def backup_outcomes(files, status, transfers):
+    found = _joined(_backup(files, status, transfers), "pending")
+    return found.withColumn("statuses", F.concat_ws(",", F.transform("statuses", lambda s: F.concat_ws(":", s["target"], s["state"], s["bytes"].cast("string")))))
+
+
+@query(f"{_BACKUP} SELECT outcome, count(*) AS objects, CAST(sum(files) AS BIGINT) AS files FROM ended GROUP BY outcome", *_BACKUP_VIEWS)
+def backup_tally(files, status, transfers):
+    return _backup(files, status, transfers).groupBy("outcome").agg(F.count(F.lit(1)).alias("objects"), F.sum("files").alias("files"))
+
+
+@query(f"{_BACKUP} SELECT count(*) AS objects, count(*) FILTER (outcome = 'failed') AS failed, count(*) FILTER (outcome = 'failed') = 0 AS passed FROM ended", *_BACKUP_VIEWS)
+def backup_result(files, status, transfers):
+    return passes.run_result(_backup(files, status, transfers), "backup")
+
+
+@query(
+    f"""{_BACKUP} SELECT coalesce(n.external_id, s.external_id) AS external_id, coalesce(n.target, s.target) AS target, CASE WHEN n.ok THEN 'stored' ELSE coalesce(s.state, 'failed') END AS state,
+                        CASE WHEN n.ok THEN n.stored_bytes ELSE coalesce(s.stored_bytes, 0) END AS stored_bytes, CASE WHEN n.ok THEN {_NOW} ELSE s.verified_at END AS verified_at
+                 FROM noted n FULL JOIN led_status s ON s.external_id = n.external_id AND s.target = n.target""",
+    *_BACKUP_VIEWS,
+)
+def backup_recorded(files, status, transfers):
+    return passes.recorded(_backup(files, status, transfers), status, as_of())
+
+
+@query(
+    f"""{_BACKUP} SELECT target, CAST(sum(stored) AS BIGINT) AS stored, CAST(sum(failed) AS BIGINT) AS failed, CAST(sum(held) AS BIGINT) AS deduplicated, CAST(sum(bytes) AS BIGINT) AS bytes FROM (
+                   SELECT target, CAST(ok AS INT) AS stored, CAST(NOT ok AS INT) AS failed, 0 AS held, CASE WHEN ok THEN stored_bytes ELSE 0 END AS bytes FROM noted
+                   UNION ALL SELECT target, 0, 0, CAST(held AS INT), 0 FROM every) GROUP BY target""",
+    *_BACKUP_VIEWS,
+)
+def backup_target_counts(files, status, transfers):
+    return passes.target_counts(_backup(files, status, transfers), status, TARGETS)
+
+
+_REPAIR = f"""SELECT external_id, arg_min(target, CASE WHEN target = 'b' THEN 'z' ELSE target END) FILTER (held AND readable) AS source, coalesce(string_agg(target, ',' ORDER BY target) FILTER (pending), '') AS pending,
+           CASE WHEN NOT bool_or(held) THEN 'skipped' WHEN bool_or(held AND readable) AND count(*) FILTER (pending AND coalesce(NOT ok, true) OR NOT held AND target = 'b') = 0 AND NOT coalesce(bool_or(gone), false) THEN 'repaired'
+                ELSE 'failed' END AS outcome
+    FROM (SELECT o.external_id, t.target, s.target IS NOT NULL AS held, r.target IS NOT NULL AS readable, s.target IS NULL AND t.target <> 'b' AS pending, x.ok, x.gone
+          FROM led_object o CROSS JOIN (VALUES {_T}) t(target) LEFT JOIN led_status s ON s.external_id = o.external_id AND s.target = t.target AND s.state = 'stored'
+          LEFT JOIN readable r ON r.external_id = o.external_id AND r.target = t.target LEFT JOIN transfer x ON x.external_id = o.external_id AND x.target = t.target)
+    GROUP BY external_id HAVING count(*) FILTER (held) < 3"""
+_REPAIR_VIEWS = ("led_object", "led_status", "readable", "transfer")
+
+
+def _repair(objects, status, readable, transfers):
+    gaps = ledger.repair_sources(ledger.replication_gaps(objects, status, TARGETS), DOWN)
+    return passes.repair_outcomes(gaps, readable, transfers, TARGETS, DOWN)
+
+
+@query(_REPAIR, *_REPAIR_VIEWS)
+def repair_outcomes(objects, status, readable, transfers):
+    return _joined(_repair(objects, status, readable, transfers), "pending").drop("statuses")
+
+
+@query(f"SELECT count(*) AS objects, count(*) FILTER (outcome <> 'repaired') AS failed, count(*) FILTER (outcome <> 'repaired') = 0 AS passed FROM ({_REPAIR})", *_REPAIR_VIEWS)
+def repair_result(objects, status, readable, transfers):
+    return passes.run_result(_repair(objects, status, readable, transfers), "repair")
+
+
+@query(
+    """SELECT external_id, bool_and(state = 'stored') AS all_stored, bool_or(state = 'failed' AND target <> 'b') AS healthy_failed,
+              coalesce(string_agg(target || ':' || state, ',' ORDER BY target) FILTER (state = 'stored' OR target <> 'b' AND external_id >= '8'), '') AS statuses
+       FROM led_status GROUP BY external_id""",
+    "led_status",
+)
+def fanout_aborted(status):
+    # transfers of hashes below 8 were aborted: what failed in them is not recorded
+    results = status.select("external_id", "target", (F.col("state") == "stored").alias("ok"), F.col("target").isin(*DOWN).alias("down"))
+    found = ledger.classify_fanout(results, F.col("external_id") < "8")
+    return found.withColumn("statuses", F.concat_ws(",", F.transform("statuses", lambda s: F.concat_ws(":", s["target"], s["state"]))))
+
+
+@query(
+    """WITH said AS (SELECT * FROM attempt WHERE seq % 13 <> 0 AND seq % 11 <> 0)
+       SELECT external_id, target, state, stored_bytes AS bytes FROM said UNION ALL SELECT external_id, 'd', 'failed', NULL FROM said""",
+    "attempt", "outcome_record",
+)
+def record_set(attempts, records):
+    return passes.record_set(records)
+
+
+@query(
+    """SELECT target, CASE WHEN size % 9 NOT IN (2, 5) THEN external_id END AS external_id, size % 9 IN (2, 5) AS corrupt FROM manifest WHERE size % 9 NOT IN (0, 3, 4)""",
+    "manifest", "manifest_text",
+)
+def manifest_scan(manifest, lines):
+    from ..sources.manifests import scan_lines
+
+    return scan_lines(lines)
+
+
+@query(
+    """SELECT target, max(name) AS name FROM manifest_name WHERE regexp_full_match(name, '[0-9]{8}T[0-9]{6}[.][0-9]{9}Z[.]jsonl') AND name NOT LIKE '202412%' GROUP BY target""",
+    "manifest_name",
+)
+def manifest_newest(names):
+    from ..sources.manifests import newest
+
+    return newest(names, names.where("name like '202412%'"))
+
+
+@query(
+    """SELECT id, CASE id % 5 WHEN 2 THEN 'zstd' WHEN 4 THEN NULL ELSE 'none' END AS codec, regexp_replace(upper(name), '[^A-Z0-9]', '_', 'g') AS token, '_manifest/' || id || '.jsonl' AS place, id % 2 = 0 AS packed
+       FROM rule_input""",
+    "rule_input",
+)
+def scalar_rules(rows):
+    return rows.select(
+        "id", scalars.codec_of(F.col("codec")).alias("codec"), scalars.env_token(F.col("name")).alias("token"), scalars.manifest_key(F.col("path")).alias("place"),
+        scalars.has_zstd_magic(F.unhex("head")).alias("packed"),
+    )
+
+
+_DRAINED = f"""id AS seq, CAST(file_id AS varchar(20)) AS external_id, 'a' AS target, CASE WHEN id % 4 = 0 THEN 'failed' ELSE 'stored' END AS state,
+    CASE WHEN id % 4 = 0 THEN 0 ELSE id % 1000 END AS stored_bytes, coalesce(created_date, {_NOW}) AS happened_at"""
+
+
+@query(
+    f"""WITH done AS (SELECT {_DRAINED} FROM outbox WHERE status = 'pending')
+       SELECT external_id, target, CASE WHEN bool_or(state = 'stored') THEN 'stored' ELSE 'failed' END AS state,
+              CASE WHEN bool_or(state = 'stored') THEN max_by(stored_bytes, seq) FILTER (state = 'stored') ELSE min_by(stored_bytes, seq) END AS stored_bytes,
+              max_by(happened_at, seq) FILTER (state = 'stored') AS verified_at
+       FROM done GROUP BY external_id, target""",
+    "outbox",
+)
+def stream_drain(outbox):
+    from ..streaming import consumer
+
+    failed = F.col("id") % 4 == 0
+    work = lambda rows: rows.select(
+        F.col("id").alias("seq"), F.col("file_id").cast("string").alias("external_id"), F.lit("a").alias("target"), F.when(failed, "failed").otherwise("stored").alias("state"),
+        F.when(failed, 0).otherwise(F.col("id") % 1000).alias("stored_bytes"), F.coalesce("created_date", as_of()).alias("happened_at"),
+    )
+    return consumer.statuses(consumer.drained(outbox, work))
+
+
 def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SHA3-256 of every document; neither engine has it built in."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

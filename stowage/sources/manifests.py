@@ -8,10 +8,11 @@ from collections.abc import Iterator
 from datetime import datetime, timezone
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import MANIFEST_NAME, manifest_line
+from ..functions.scalars import MANIFEST_DIR, MANIFEST_NAME, MANIFEST_POINTER, is_manifest_name, manifest_line
 
 #: A longer line counts as corrupt.
 LINE_BYTES = 1 << 20
@@ -29,36 +30,55 @@ def latest(names: list[str], pointer: str | None = None) -> str | None:
     return max(valid, default=None)
 
 
+def _no_number(name: str) -> None:
+    raise ValueError(f"{name} is no JSON")
+
+
 def _line_id(line: str) -> tuple[str | None, bool]:
-    """The id, and whether the line is corrupt. Blank lines and lines without an id have neither; keys match in any case."""
-    if not line.strip():
+    """The id, and whether the line is corrupt. Empty lines and lines without an id have neither; keys match in any case, and the last that says something counts."""
+    if not line:
         return None, False
     if len(line.encode()) > LINE_BYTES:
         return None, True
     try:
-        found = json.loads(line)
-    except ValueError:
+        found = json.loads(line, parse_constant=_no_number)
+    except (ValueError, RecursionError):
         return None, True
     if found is None:
         return None, False
     if not isinstance(found, dict):
         return None, True
-    value = next((v for k, v in found.items() if k.lower() == "externalid"), None)
-    if value is not None and not isinstance(value, str):
+    said = [v for k, v in found.items() if k.lower() == "externalid" and v is not None]
+    if not all(isinstance(v, str) for v in said):
         return None, True
-    return value or None, False
+    return (said[-1] if said else None) or None, False
 
 
-def read_manifest(spark: SparkSession, path: str, target: str) -> DataFrame:
-    """target, external_id, corrupt of every line that says something."""
+def scan_lines(lines: DataFrame) -> DataFrame:
+    """target, external_id, corrupt of every line (target, value) that says something; a null line says nothing."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [_line_id(line) for line in batch["value"]]
-            kept = [(target, i, bad) for i, bad in rows if i is not None or bad]
-            yield pd.DataFrame(kept, columns=["target", "external_id", "corrupt"])
+            rows = [(t, *_line_id(line or "")) for t, line in zip(batch["target"], batch["value"], strict=True)]
+            yield pd.DataFrame([r for r in rows if r[1] is not None or r[2]], columns=["target", "external_id", "corrupt"])
+
+    return lines.select("target", "value").mapInPandas(run, "target string, external_id string, corrupt boolean")
+
+
+def read_manifest(spark: SparkSession, path: str, target: str) -> DataFrame:
+    """``scan_lines`` of a target's manifest."""
+    return scan_lines(spark.read.text(path).select(F.lit(target).alias("target"), "value"))
 
-    return spark.read.text(path).mapInPandas(run, "target string, external_id string, corrupt boolean")
+
+def newest(names: DataFrame, gone: DataFrame | None = None) -> DataFrame:
+    """target, name of every target's newest manifest, from listed names and pointers alike (target, name).
+
+    Only valid names count, and of those only what is not in ``gone`` (target, name); a target without any has no row.
+    """
+    valid = names.where(is_manifest_name(F.col("name")))
+    if gone is not None:
+        valid = valid.join(gone.select("target", "name"), ["target", "name"], "left_anti")
+    return valid.groupBy("target").agg(F.max("name").alias("name"))
 
 
 def manifest_lines(objects: DataFrame) -> DataFrame:
@@ -71,3 +91,22 @@ def manifest_lines(objects: DataFrame) -> DataFrame:
 def write_manifest(objects: DataFrame, folder: str) -> None:
     """Writes the lines as range-sorted part files: in name order they are one ascending manifest, and no task writes all of it."""
     manifest_lines(objects).write.mode("overwrite").text(folder)
+
+
+def export(objects: DataFrame, root: str, when: datetime, nanoseconds: int = 0) -> str:
+    """Writes a target's manifest below its root under the name of ``when``, then the pointer to it; returns the name.
+
+    A pointer that can't be written is no fault: the newest listed name wins over it.
+    """
+    spark, name = objects.sparkSession, manifest_name(when, nanoseconds)
+    write_manifest(objects, f"{root}/{MANIFEST_DIR}/{name}")
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{MANIFEST_POINTER}")
+        out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+        try:
+            out.write(bytearray(name.encode()))
+        finally:
+            out.close()
+    except Py4JJavaError:
+        pass
+    return name

@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import ledger, queue
+from . import run
 
 
 def drain(stream: DataFrame, work: Callable[[DataFrame], DataFrame], folder: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
@@ -32,6 +33,18 @@ def drain(stream: DataFrame, work: Callable[[DataFrame], DataFrame], folder: str
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+def drained(table: DataFrame, work: Callable[[DataFrame], DataFrame], files: int | None = None) -> DataFrame:
+    """The attempts that ``work`` returned when a queue that is staged from ``table`` has been drained, ``files`` files a micro-batch."""
+    spark, folder = table.sparkSession, run.shared_folder(table.sparkSession)
+    table.write.parquet(f"{folder}/queue")
+    reader = spark.readStream.schema(table.schema)
+    stream = (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(f"{folder}/queue")
+    drain(stream, work, folder, f"{folder}/checkpoint").awaitTermination()
+    shape = work(table.limit(0))
+    shape.limit(0).write.parquet(f"{folder}/attempts/batch=-1")
+    return spark.read.schema(shape.schema).parquet(f"{folder}/attempts/batch=*")
+
+
 def statuses(attempts: DataFrame) -> DataFrame:
     """The ledger's status after the attempts of all batches, in the order of batch and seq."""
     return ledger.fold_status(attempts)
