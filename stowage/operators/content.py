@@ -13,6 +13,7 @@ import urllib.request
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from typing import BinaryIO
 
 import pandas as pd
 import zstandard
@@ -84,12 +85,17 @@ def circuit_counts(aborted: bool, stream_verified: bool, deadline: bool) -> bool
     return not aborted or (stream_verified and deadline)
 
 
-def _decompressed(path: str) -> Iterator[bytes]:
-    with open(path, "rb") as f, zstandard.ZstdDecompressor().stream_reader(f, read_across_frames=True) as reader:
+def unpacked(f: BinaryIO) -> Iterator[bytes]:
+    with zstandard.ZstdDecompressor().stream_reader(f, read_across_frames=True) as reader:
         while block := reader.read(BLOCK):
             yield block
 
 
+def _decompressed(path: str) -> Iterator[bytes]:
+    with open(path, "rb") as f:
+        yield from unpacked(f)
+
+
 def decoded(path: str, digest: str, sink: Callable[[Iterator[bytes]], None], most: int = MOST_BYTES) -> str:
     """Feeds the content to ``sink`` and returns the codec that the hash confirms.
 
@@ -204,10 +210,9 @@ def backup(items: DataFrame, stores: Sequence[Store]) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
             for digest, path, pending in zip(batch["external_id"], batch["path"], batch["pending"], strict=True):
-                rows += [(digest, *r) for r in fan_out(digest, blocks_from(path), [by_name[p] for p in pending])]
-            yield pd.DataFrame(rows, columns=["external_id", "target", "state", "stored_bytes", "error"])
+                rows = [(digest, *r) for r in fan_out(digest, blocks_from(path), [by_name[p] for p in pending])]
+                yield pd.DataFrame(rows, columns=["external_id", "target", "state", "stored_bytes", "error"])
 
     return items.select("external_id", "path", "pending").mapInPandas(run, "external_id string, target string, state string, stored_bytes long, error string")
 
@@ -263,7 +268,6 @@ def repair(gaps: DataFrame, stores: Sequence[Store]) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
             for digest, held, sources in zip(batch["external_id"], batch["stored_on"], batch["sources"], strict=True):
                 absent, error, found = [s for s in stores if s.name not in set(held)], "no source", None
                 for name in sources:
@@ -272,8 +276,8 @@ def repair(gaps: DataFrame, stores: Sequence[Store]) -> DataFrame:
                         break
                     except (OSError, Corrupt, zstandard.ZstdError) as e:
                         error = f"{name}: {e}"
-                rows += [(digest, *r) for r in fan_out(digest, found, absent)] if found is not None else [(digest, s.name, "failed", 0, error) for s in absent]
-            yield pd.DataFrame(rows, columns=["external_id", "target", "state", "stored_bytes", "error"])
+                rows = [(digest, *r) for r in fan_out(digest, found, absent)] if found is not None else [(digest, s.name, "failed", 0, error) for s in absent]
+                yield pd.DataFrame(rows, columns=["external_id", "target", "state", "stored_bytes", "error"])
 
     return gaps.select("external_id", "stored_on", "sources").mapInPandas(run, "external_id string, target string, state string, stored_bytes long, error string")
 

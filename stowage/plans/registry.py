@@ -659,3 +659,45 @@ def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["content_hashes"] = content_hashes
+
+
+def _stored_texts(docs: DataFrame) -> DataFrame:
+    """doc_id and what a store tells of its text: by id plain, packed, damaged, or (packed text as the object) plain again."""
+    from ..functions import payloads
+
+    text, kind = F.encode(F.coalesce("text", F.lit("")), "UTF-8"), F.col("doc_id") % 4
+    put = docs.select("doc_id", text.alias("content"), payloads.packed(text, F.when(kind.isin(1, 3), "zstd").otherwise("none")).alias("packed"))
+    item = F.when(kind == 3, F.col("packed")).otherwise(F.col("content"))
+    held = put.select("doc_id", scalars.sha3_256_hex(item).alias("digest"), F.when(kind == 2, F.concat("content", F.unhex(F.lit("00")))).otherwise(F.col("packed")).alias("payload"))
+    return held.select("doc_id", payloads.told(F.col("payload"), F.col("digest")).alias("found")).select("doc_id", "found.*")
+
+
+def object_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as a store holds it, told by its hash."""
+    found = _stored_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.select("doc_id", "codec", "ok", F.when(F.col("doc_id") % 4 < 2, F.col("size")).alias("size"))
+
+
+def restore_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether restoring all objects passes."""
+    found = _stored_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return passes.run_result(found.select(F.when(F.col("ok"), "restored").otherwise("failed").alias("outcome")), "restore")
+
+
+def drill_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a drill on a rotating sample passes; the sample is the feature."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    keyed = docs.withColumn("key", F.sha2(F.concat(F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))), 256))
+    found = _stored_texts(inventory.rotating_sample(keyed, "key", SAMPLE_START, 100))
+    return passes.run_result(found.select(F.when(F.col("ok"), "restored").otherwise("failed").alias("outcome")), "drill")
+
+
+_FAILED = "count(*) FILTER (doc_id % 4 = 2)"
+QUERIES |= {f.__name__: f for f in (object_verify, restore_result, drill_result)}
+ORACLE_SQL |= {
+    "object_verify": """SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN 'zstd' WHEN 2 THEN NULL ELSE 'none' END AS codec, doc_id % 4 <> 2 AS ok,
+        CASE WHEN doc_id % 4 < 2 THEN CAST(strlen(coalesce(text, '')) AS BIGINT) END AS size FROM documents""",
+    "restore_result": f"SELECT count(*) AS objects, {_FAILED} AS failed, {_FAILED} = 0 AND count(*) > 0 AS passed FROM documents",
+    "drill_result": f"""SELECT count(*) AS objects, {_FAILED} AS failed, {_FAILED} = 0 AND count(*) > 0 AS passed
+        FROM (SELECT doc_id, sha256(CAST(doc_id AS VARCHAR) || coalesce(text, '')) AS key FROM documents ORDER BY key < '{SAMPLE_START}', key LIMIT 100)""",
+}

@@ -82,3 +82,26 @@ def test_manifest_lines_of_odd_kinds(spark):
     lines = [" ", '{"externalID":NaN}', '{"externalID":"x","EXTERNALID":"y"}', '{"externalID":"x","externalid":null}', '{"externalID":""}', "[" * 100_000, None]
     found = manifests.scan_lines(spark.createDataFrame([("t", v) for v in lines], "target string, value string").coalesce(1)).collect()
     assert [(r.external_id, r.corrupt) for r in found] == [(None, True), (None, True), ("y", False), ("x", False), (None, True)]
+
+
+def test_payloads_told_by_their_hash(spark):
+    import hashlib
+
+    import zstandard
+
+    from stowage.functions import payloads
+
+    pack, sha = zstandard.compress, lambda b: hashlib.sha3_256(b).hexdigest()
+    rows = [
+        (0, b"text", sha(b"text")), (1, pack(b"text"), sha(b"text")), (2, pack(b"text"), sha(pack(b"text"))), (3, pack(b"text") + pack(b" more"), sha(b"text more")), (4, b"", sha(b"")),
+        (5, pack(b"x" * 5000)[:-3], sha(b"x" * 5000)), (6, b"\x28\xb5\x2f\xfd no", sha(b"\x28\xb5\x2f\xfd no")), (7, b"other", sha(b"text")), (8, None, sha(b"")), (9, pack(b"y" * 5000), sha(b"y" * 5000)), (10, b"text", None),
+    ]
+    table = spark.createDataFrame(rows, "n int, payload binary, digest string")
+    got = {r.n: (r.found.codec, r.found.ok, r.found.size) for r in table.select("n", payloads.told(F.col("payload"), F.col("digest"), 4000).alias("found")).collect()}
+    bad = (None, False, None)
+    assert got == {0: ("none", True, 4), 1: ("zstd", True, 4), 2: ("none", True, len(pack(b"text"))), 3: ("zstd", True, 9), 4: ("none", True, 0), 5: bad, 6: ("none", True, 7), 7: bad, 8: bad, 9: bad, 10: bad}
+    put = table.select("n", *(payloads.packed(F.col("payload"), F.lit(c)).alias(f"c{i}") for i, c in enumerate(["", "none", "zstd", "gzip", None])))
+    for r in put.collect():
+        raw = rows[r.n][1]
+        assert r.c0 == r.c1 == r.c4 == raw and r.c3 is None and (r.c2 is None if raw is None else zstandard.ZstdDecompressor().decompress(r.c2, max_output_size=10_000) == raw)
+    assert table.limit(0).select(payloads.told(F.col("payload"), F.col("digest")).alias("found")).count() == 0
