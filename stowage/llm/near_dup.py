@@ -377,3 +377,22 @@ def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
 
 def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+
+
+#: The rows of near_dup(documents, k=4, percent=80), ids being distinct and not null: all pairs that share a shingle,
+#: and labels carried along links, so its cost grows with the square of a group and it is meant for small tables.
+ORACLE_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')))
+                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS shingles
+  FROM words),
+sizes AS (SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles FROM sets),
+member AS (SELECT doc_id, unnest(shingles) AS shingle FROM sets),
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM member x JOIN member y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n_shingles + y.n_shingles - k)),
+steps AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (SELECT doc_id, doc_id AS label FROM sizes UNION SELECT b, label FROM reached JOIN steps ON a = doc_id WHERE label < b)
+SELECT doc_id, n_shingles, min(label) AS component_id, doc_id = min(label) AS kept FROM sizes JOIN reached USING (doc_id) GROUP BY doc_id, n_shingles
+"""

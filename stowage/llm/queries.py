@@ -64,6 +64,7 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op6_secret_scan": secret_scan.ORACLE_SQL,
+    "op8_minmax_near_dup": near_dup.ORACLE_SQL,
     "op9_mix_sources": mixing.ORACLE_SQL,
     "op10_exact_dedup": exact_dedup.ORACLE_SQL,
 }
