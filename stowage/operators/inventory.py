@@ -62,11 +62,20 @@ def ascending(lines: DataFrame, block: int = 10_000) -> DataFrame:
     return joined.groupBy("target").agg(F.bool_and("good").alias("ascending"))
 
 
-def sweep(status: DataFrame, stored: DataFrame) -> DataFrame:
-    """target, external_id, present of every stored row, against one listing of the stores (target, external_id)."""
+def sweep(status: DataFrame, stored: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """target, external_id, present of every stored row, against one listing of the stores (target, external_id).
+
+    ``roots`` names the targets (target) whose root was seen to be there: what the others don't list is not missing but
+    unknown (null), for an unmounted store lists nothing.
+    """
     seen = stored.select("target", "external_id", F.lit(True).alias("present")).distinct()
     held = status.where("state = 'stored'").select("target", "external_id")
-    return held.join(seen, ["target", "external_id"], "left").withColumn("present", F.coalesce("present", F.lit(False)))
+    found = held.join(seen, ["target", "external_id"], "left")
+    if roots is None:
+        return found.withColumn("present", F.coalesce("present", F.lit(False)))
+    # one row a target
+    found = found.join(roots.select("target", F.lit(True).alias("there")).distinct(), "target", "left")
+    return found.select("target", "external_id", F.coalesce("present", F.when(F.col("there"), False)).alias("present"))
 
 
 def existence_verdict() -> Column:

@@ -364,6 +364,18 @@ def existence_sweep(status, manifest):
     return inventory.sweep(status, manifest)
 
 
+@query(
+    """SELECT *, CASE WHEN missing > 0 THEN 'Drift' WHEN errored > 0 THEN 'Unverifiable' ELSE 'Verified' END AS verdict FROM (
+         SELECT s.target, count(*) AS checked, count(*) FILTER (m.external_id IS NULL AND s.target <> 'c') AS missing, count(*) FILTER (m.external_id IS NULL AND s.target = 'c') AS errored
+         FROM led_status s LEFT JOIN (SELECT DISTINCT target, external_id FROM manifest) m ON m.target = s.target AND m.external_id = s.external_id WHERE s.state = 'stored' GROUP BY s.target)""",
+    "led_status", "manifest",
+)
+def existence_unmounted(status, manifest):
+    # c's root is not there
+    found = inventory.sweep(status, manifest, ledger.target_rows(status, ["a", "b"]))
+    return inventory.existence_tally(found).withColumn("verdict", inventory.existence_verdict()).select("target", "checked", "missing", "errored", "verdict")
+
+
 @query(
     """SELECT external_id, target, CASE WHEN size % 5 = 0 THEN 'NoData' WHEN size % 7 = 0 THEN 'Unverifiable' WHEN size % 2 = 0 AND size % 3 <> 0 THEN 'Verified' ELSE 'Drift' END AS verdict
        FROM (SELECT *, stored_bytes AS size FROM led_status)""",
