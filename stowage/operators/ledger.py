@@ -81,7 +81,7 @@ def stored_targets(status: DataFrame) -> DataFrame:
 
 
 def pending_targets(items: DataFrame, status: DataFrame, targets: Sequence[str], down: Sequence[str] = ()) -> DataFrame:
-    """Of every item the targets to write, those skipped for being down, and how many already hold it.
+    """Of every item the targets to write, whether some were skipped for being down, and which and how many already hold it.
 
     ok is false for items that are refused before any transfer: a hash that isn't one, or no targets at all.
     """
@@ -92,6 +92,7 @@ def pending_targets(items: DataFrame, status: DataFrame, targets: Sequence[str],
         *items.columns,
         F.array_except(absent, is_down).alias("pending"),
         (F.size(F.array_intersect(absent, is_down)) > 0).alias("skipped_down"),
+        F.array_intersect(every, held).alias("held"),
         F.size(F.array_intersect(every, held)).alias("deduplicated"),
         (is_content_hash(F.col("external_id")) & F.lit(bool(targets))).alias("ok"),
     )

@@ -47,7 +47,7 @@ def _judged(found: DataFrame) -> DataFrame:
 
 
 def backup_outcomes(files: DataFrame, status: DataFrame, transfers: DataFrame, targets: Sequence[str], down: Sequence[str] = ()) -> DataFrame:
-    """How the backup of every object of the corpus ends: external_id, files, pending, deduplicated, outcome, statuses to record.
+    """How the backup of every object of the corpus ends: external_id, files, pending, held, deduplicated, outcome, statuses to record.
 
     transfers: external_id, target, ok, stored_bytes, gone (the source says that it has no such object), down (the
     target was found to be down meanwhile); one row a hash and target, null flags count as false. What isn't pending
@@ -61,7 +61,7 @@ def backup_outcomes(files: DataFrame, status: DataFrame, transfers: DataFrame, t
         F.when(~F.col("ok"), "failed").when(F.size("pending") == 0, F.when(F.col("skipped_down"), "deferred").otherwise("backed"))
         .when(F.col("gone"), "skipped").when(F.col("unread") | F.col("healthy_failed"), "failed").when(F.col("all_stored") & ~F.col("skipped_down"), "backed").otherwise("deferred")
     )
-    return found.select("external_id", "files", "pending", "deduplicated", outcome.alias("outcome"), "statuses")
+    return found.select("external_id", "files", "pending", "held", "deduplicated", outcome.alias("outcome"), "statuses")
 
 
 def repair_outcomes(gaps: DataFrame, readable: DataFrame, transfers: DataFrame, targets: Sequence[str], down: Sequence[str] = ()) -> DataFrame:
@@ -101,11 +101,11 @@ def run_result(outcomes: DataFrame, kind: str) -> DataFrame:
     return outcomes.agg(n.alias("objects"), fails.alias("failed"), ((fails == 0) & ((n > 0) if kind in NEEDS_WORK else F.lit(True))).alias("passed"))
 
 
-def target_counts(outcomes: DataFrame, status: DataFrame, targets: Sequence[str]) -> DataFrame:
+def target_counts(outcomes: DataFrame, targets: Sequence[str]) -> DataFrame:
     """Of every configured target, in one backup pass: objects stored, failed and already there, and bytes stored."""
-    there = outcomes.select("external_id").join(status.where(ledger.on_targets(targets)).select("external_id", "target").distinct(), "external_id").select("target", F.lit("there").alias("state"), F.lit(0).cast("long").alias("bytes"))
-    rows = outcomes.select(F.inline("statuses")).unionByName(there)
+    there = F.transform("held", lambda t: F.struct(t.alias("target"), F.lit("there").alias("state"), F.lit(0).cast("long").alias("bytes")))
+    rows = outcomes.select(F.inline(F.concat("statuses", there)))
     count = lambda s: F.count(F.when(F.col("state") == s, 1))
     found = rows.groupBy("target").agg(count("stored").alias("stored"), count("failed").alias("failed"), count("there").alias("deduplicated"), F.sum("bytes").alias("bytes"))
-    every = ledger.target_rows(status, targets).join(found, "target", "left")
+    every = ledger.target_rows(outcomes, targets).join(found, "target", "left")
     return every.select("target", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("stored", "failed", "deduplicated", "bytes")))

@@ -118,7 +118,7 @@ def dedup_lookup(status):
     "led_object", "led_status",
 )
 def pending_targets(objects, status):
-    return _joined(ledger.pending_targets(objects, status, TARGETS, DOWN), "pending")
+    return _joined(ledger.pending_targets(objects, status, TARGETS, DOWN), "pending").drop("held")
 
 
 @query(
@@ -528,7 +528,7 @@ def _backup(files, status, transfers):
     *_BACKUP_VIEWS,
 )
 def backup_outcomes(files, status, transfers):
-    found = _joined(_backup(files, status, transfers), "pending")
+    found = _joined(_backup(files, status, transfers), "pending").drop("held")
     return found.withColumn("statuses", F.concat_ws(",", F.transform("statuses", lambda s: F.concat_ws(":", s["target"], s["state"], s["bytes"].cast("string")))))
 
 
@@ -559,7 +559,7 @@ def backup_recorded(files, status, transfers):
     *_BACKUP_VIEWS,
 )
 def backup_target_counts(files, status, transfers):
-    return passes.target_counts(_backup(files, status, transfers), status, TARGETS)
+    return passes.target_counts(_backup(files, status, transfers), TARGETS)
 
 
 _REPAIR = f"""SELECT external_id, arg_min(target, CASE WHEN target = 'b' THEN 'z' ELSE target END) FILTER (held AND readable) AS source, coalesce(string_agg(target, ',' ORDER BY target) FILTER (pending), '') AS pending,

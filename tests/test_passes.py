@@ -33,7 +33,7 @@ def test_backup_case_by_case(spark):
     # the same pass again finds what it recorded
     again = passes.backup_outcomes(files, passes.recorded(found, status, F.lit(AT)), transfers, ["a"])
     assert {r.external_id: r.outcome for r in again.collect()} == {k: v[0] for k, v in got.items()}
-    counts = {r.target: tuple(r)[1:] for r in passes.target_counts(found, status, ["a", "z"]).collect()}
+    counts = {r.target: tuple(r)[1:] for r in passes.target_counts(found, ["a", "z"]).collect()}
     assert counts == {"a": (1, 1, 2, 7), "z": (0, 0, 0, 0)}
     down = passes.backup_outcomes(files, status, transfers, ["a", "b"], ["b"])
     assert {r.external_id: r.outcome for r in down.collect() if r.external_id in H[:3]} == {H[0]: "backed", H[1]: "deferred", H[2]: "deferred"}
