@@ -115,7 +115,7 @@ def some(rng, convs, most):
 
 def test_weights_find_the_best_of_all_edits(spark):
     rng = random.Random(5)
-    rows = some(rng, 60, 3)
+    rows = some(rng, 40, 3)
     assert expected(rows, every) == expected(rows) == found(conversations.repair_damaged(spark.createDataFrame(rows, SCHEMA)))
 
 
