@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, conversations, exact_dedup, kneser_ney, language_id, media, mixing, near_dup, quality, secret_scan, toxicity
+from . import bpe, conversations, exact_dedup, kneser_ney, language_id, media, mixing, near_dup, quality, secret_scan, substrings, toxicity
 from ._common import table
 
 
@@ -54,6 +54,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeats(table(spark, sf_dir, "documents"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair_damaged(table(spark, sf_dir, "conversations"))
 
@@ -62,7 +66,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id, op2_kneser_ney, op3_toxicity_chain, op4_byte_bpe, op5_quality, op6_secret_scan, op7_media_columns, op8_minmax_near_dup, op9_mix_sources,
-        op10_exact_dedup, op12_conversation_repair,
+        op10_exact_dedup, op11_repeated_substrings, op12_conversation_repair,
     )
 }
 
@@ -71,4 +75,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_minmax_near_dup": near_dup.ORACLE_SQL,
     "op9_mix_sources": mixing.ORACLE_SQL,
     "op10_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op11_repeated_substrings": substrings.ORACLE_SQL,
 }
