@@ -2,7 +2,7 @@
 
 A chunk is one row of a written table. It asks about sorted codes, each once: the high bits of a code are the range in
 which it is answered, its low 40 bits tell it from others there. Packed arrays of codes, with what comes along, are
-shuffled by range; a range's task sorts what it got and gives every code of every chunk one byte in return. The bytes are
+shuffled by range; a range's task sorts what it got and gives every code of every chunk a number in return. These are
 shuffled back by the chunks' partition and saved as one file for each, under a name that follows from the partition, so
 that an attempt that is run again writes the same file. Whoever reads the chunks next opens the file of their partition.
 """
@@ -65,36 +65,38 @@ def reduced(ufunc: np.ufunc, values: np.ndarray, order: np.ndarray, first: np.nd
 class Replies:
     folder: str
     label: str
+    kind: str
 
     def of(self, chunk: int) -> np.ndarray:
-        """The bytes for a chunk's codes, in their order."""
+        """The numbers for a chunk's codes, in their order."""
         part = chunk >> PART
         if _READ.get("at") != (self.folder, part):
             _READ.clear()
             _READ["at"] = self.folder, part
         if self.label not in _READ:
             _READ[self.label] = _load(self.folder, f"{self.label}-{part}")
-        return _READ[self.label].get(chunk, np.zeros(0, np.uint8))
+        packed = _READ[self.label].get(chunk)
+        return np.zeros(0, self.kind) if packed is None else np.frombuffer(zstandard.decompress(packed), self.kind)
 
 
 #: What a worker has read for the partition it is at, by label.
 _READ: dict[str, Any] = {}
 
 
-def _save(folder: str, name: str, chunks: list[int], replies: list[np.ndarray]) -> None:
+def _save(folder: str, name: str, chunks: list[int], replies: list[bytes]) -> None:
     fs, path = pa.fs.FileSystem.from_uri(folder)
     fs.create_dir(path, recursive=True)
     own = f"{path}/{name}-{uuid.uuid4().hex}"
     with fs.open_output_stream(own) as out:
         out.write(np.array([len(chunks), *chunks, *map(len, replies)], np.int64).tobytes())
-        out.write(zstandard.compress(b"".join(r.tobytes() for r in replies), 1))
+        out.writelines(replies)
     if fs.get_file_info(f"{path}/{name}").type == pa.fs.FileType.NotFound:
         fs.move(own, f"{path}/{name}")
     else:  # another attempt's, which is the same
         fs.delete_file(own)
 
 
-def _load(folder: str, name: str) -> dict[int, np.ndarray]:
+def _load(folder: str, name: str) -> dict[int, bytes]:
     fs, path = pa.fs.FileSystem.from_uri(folder)
     if fs.get_file_info(f"{path}/{name}").type == pa.fs.FileType.NotFound:
         return {}
@@ -102,18 +104,17 @@ def _load(folder: str, name: str) -> dict[int, np.ndarray]:
         body = f.read()
     n = int(np.frombuffer(body, np.int64, 1)[0])
     chunks, sizes = np.frombuffer(body, np.int64, 2 * n, 8).reshape(2, n)
-    ends = np.cumsum(sizes)
-    found = np.frombuffer(zstandard.decompress(body[8 + 16 * n :]), np.uint8)
-    return {c: found[e - s : e] for c, s, e in zip(chunks.tolist(), sizes.tolist(), ends.tolist(), strict=True)}
+    ends = np.cumsum(sizes) + 8 + 16 * n
+    return {c: body[e - s : e] for c, s, e in zip(chunks.tolist(), sizes.tolist(), ends.tolist(), strict=True)}
 
 
 def asked(
-    chunks: DataFrame, folder: str, label: str, ranges: int, question: Callable[[dict], tuple[np.ndarray, ...]], answer: Callable[..., np.ndarray]
+    chunks: DataFrame, folder: str, label: str, ranges: int, question: Callable[[dict], tuple[np.ndarray, ...]], answer: Callable[..., np.ndarray], kind: str = "u1"
 ) -> tuple[Replies, int]:
     """Replies to the codes of all chunks (a column chunk and what ``question`` reads), and how many are not 0.
 
     question: a chunk's row to ascending distinct codes and unsigned arrays that come along; answer: the chunk of each
-    (by number), low bits of the codes and the arrays, of one range, to a byte each.
+    (by number), low bits of the codes and the arrays, of one range, to a number of this kind each.
     """
 
     def send(batches):
@@ -131,7 +132,7 @@ def asked(
         parts = [_unpack(p.as_py()) for p in table.column("packed")]
         sizes = [len(p[0]) for p in parts]
         own = [np.concatenate(x) for x in zip(*([np.cumsum(p[0], dtype=U), *p[1:]] for p in parts), strict=True)]
-        said = answer(np.repeat(np.arange(len(sizes)), sizes), *own)
+        said = answer(np.repeat(np.arange(len(sizes)), sizes), *own).astype(kind)
         ends = np.cumsum(sizes)
         chunk = table.column("chunk").to_numpy()
         packed = [zstandard.compress(said[e - s : e].tobytes(), 1) for s, e in zip(sizes, ends, strict=True)]
@@ -139,15 +140,18 @@ def asked(
 
     def keep(table: pa.Table) -> pa.Table:
         table = table.sort_by([("chunk", "ascending"), ("range", "ascending")])
-        chunk, replies = table.column("chunk").to_numpy(), [np.frombuffer(zstandard.decompress(r.as_py()), np.uint8) for r in table.column("reply")]
+        chunk, replies, whole, yes = table.column("chunk").to_numpy(), table.column("reply"), [], 0
         begins = np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1])).tolist()
-        whole = [np.concatenate(replies[a:b]) for a, b in zip(begins, [*begins[1:], len(replies)], strict=True)]
+        for a, b in zip(begins, [*begins[1:], len(chunk)], strict=True):
+            own = b"".join(zstandard.decompress(r.as_py()) for r in replies[a:b])
+            yes += int(np.count_nonzero(np.frombuffer(own, kind)))
+            whole.append(zstandard.compress(own, 1))
         part = table.column("part")[0].as_py()
         _save(folder, f"{label}-{part}", chunk[begins].tolist(), whole)
-        return pa.table({"part": [part], "yes": [int(sum(np.count_nonzero(w) for w in whole))]})
+        return pa.table({"part": [part], "yes": [yes]})
 
     with settings(chunks.sparkSession, CONF):
         packed = chunks.mapInArrow(lean(send), "range long, chunk long, packed binary")
         replies = packed.groupBy("range").applyInArrow(reply, "part long, chunk long, range long, reply binary")
         yes = replies.groupBy("part").applyInArrow(keep, "part long, yes long").agg(F.sum("yes")).first()[0] or 0
-    return Replies(folder, label), yes
+    return Replies(folder, label, kind), yes

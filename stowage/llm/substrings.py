@@ -112,7 +112,8 @@ class Segments:
         chosen, doc = (least[inside] & U(0xFFFFFFFF)).astype(np.int64), doc[inside]
         fresh = np.flatnonzero(np.append(True, (chosen[1:] != chosen[:-1]) | (doc[1:] != doc[:-1])))
         last = np.append(fresh[1:], len(inside)) - 1
-        return inside[fresh] + x, inside[last] + x, doc[fresh], names[chosen[fresh]]
+        # chosen names are small ones: mixed again, so that they are dealt evenly
+        return inside[fresh] + x, inside[last] + x, doc[fresh], mix(names[chosen[fresh]] ^ _SEED)
 
     def __getitem__(self, which: np.ndarray) -> tuple[np.ndarray, ...]:
         return self.lo[which], self.hi[which], self.doc[which], self.name[which]
