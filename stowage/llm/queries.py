@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, conversations, exact_dedup, kneser_ney, language_id, media, mixing, near_dup, quality, secret_scan, substrings, toxicity
+from . import bpe, collocations, conversations, exact_dedup, kneser_ney, language_id, media, mixing, near_dup, quality, secret_scan, substrings, toxicity
 from ._common import table
 
 
@@ -62,11 +62,15 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair_damaged(table(spark, sf_dir, "conversations"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id, op2_kneser_ney, op3_toxicity_chain, op4_byte_bpe, op5_quality, op6_secret_scan, op7_media_columns, op8_minmax_near_dup, op9_mix_sources,
-        op10_exact_dedup, op11_repeated_substrings, op12_conversation_repair,
+        op10_exact_dedup, op11_repeated_substrings, op12_conversation_repair, op13_collocations,
     )
 }
 
@@ -76,4 +80,5 @@ ORACLE_SQL: dict[str, str] = {
     "op9_mix_sources": mixing.ORACLE_SQL,
     "op10_exact_dedup": exact_dedup.ORACLE_SQL,
     "op11_repeated_substrings": substrings.ORACLE_SQL,
+    "op13_collocations": collocations.ORACLE_SQL,
 }
