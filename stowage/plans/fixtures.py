@@ -111,4 +111,6 @@ def oracle(query: str, *names: str) -> str:
     """DuckDB text of ``query`` over the views ``names``."""
     parts = [f"{n} AS ({VIEWS[n].replace('{sha}', 'sha256(text)')})" for n in _ordered(list(names))]
     own = query.strip()
+    if own.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {', '.join(parts)}, {own.removeprefix('WITH RECURSIVE ')}"
     return f"WITH {', '.join(parts)}" + (f", {own.removeprefix('WITH ')}" if own.startswith("WITH ") else f"\n{own}")

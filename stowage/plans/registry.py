@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import metrics, scalars
-from ..operators import inventory, ledger, passes, queue
+from ..operators import circuits, inventory, ledger, passes, queue
 from .fixtures import AS_OF, TARGETS, oracle, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -490,16 +490,32 @@ def stream_redelivery(events):
     return run.finished(events, consumer.redeliver).select("id", "seq")
 
 
-@query(
-    """WITH w AS (SELECT target, seq, sum(CASE WHEN CAST(external_id AS INT) % 3 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY target ORDER BY seq ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS n FROM attempt)
-       SELECT target, min(seq) AS tripped_at FROM w WHERE n >= 4 GROUP BY target""",
-    "attempt",
-)
+# one outcome of every target a step: its last 8 results as text (0 failed), whether it is open, and trips so far
+_CIRCUIT = """WITH RECURSIVE o AS (
+         SELECT target, seq, happened_at, CAST(external_id AS INT) % 3 <> 0 AND seq % 50 < 40 AS ok, row_number() OVER (PARTITION BY target ORDER BY seq) AS i FROM attempt),
+       s AS (
+         SELECT DISTINCT target, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS TIMESTAMP) AS happened_at, '' AS w, false AS open, CAST(0 AS BIGINT) AS trips FROM o
+         UNION ALL
+         SELECT target, i, seq, happened_at, CASE WHEN open AND ok THEN '' ELSE v END, CASE WHEN open AND ok THEN false ELSE f >= 4 END, trips + CASE WHEN NOT open AND f >= 4 THEN 1 ELSE 0 END
+         FROM (SELECT *, length(v) - length(replace(v, '0', '')) AS f
+               FROM (SELECT s.target, o.i, o.seq, o.happened_at, s.open, o.ok, s.trips, right(s.w || CASE WHEN o.ok THEN '1' ELSE '0' END, 8) AS v FROM s JOIN o ON o.target = s.target AND o.i = s.i + 1)))
+       SELECT target, seq, open, trips{} FROM s WHERE i > 0"""
+
+
+def _outcomes(attempts):
+    return attempts.select("target", "seq", F.col("happened_at").alias("at"), ((F.col("external_id").cast("int") % 3 != 0) & (F.col("seq") % 50 < 40)).alias("ok"))
+
+
+@query(_CIRCUIT.format(", CASE WHEN open THEN happened_at + INTERVAL '60' SECOND END AS until"), "attempt")
+def circuit_states(attempts):
+    return circuits.states(_outcomes(attempts), 4, 60)
+
+
+@query(_CIRCUIT.format(""), "attempt")
 def stream_circuit(attempts):
     from ..streaming import circuit, run
 
-    outcomes = attempts.select("target", "seq", F.col("happened_at").alias("at"), (F.col("external_id").cast("int") % 3 != 0).alias("ok"))
-    return run.finished(outcomes, lambda s: circuit.circuits(s, threshold=4)).where("open").groupBy("target").agg(F.min("seq").alias("tripped_at"))
+    return run.finished(_outcomes(attempts), lambda s: circuit.circuits(s, threshold=4), by="seq", slices=5)
 
 
 _BACKUP = f"""WITH item AS (SELECT external_id, count(*) AS files FROM corpus_file WHERE temporary_location IS NOT TRUE AND external_id <> '' GROUP BY ALL),

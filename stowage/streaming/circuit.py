@@ -1,8 +1,8 @@
-"""A circuit breaker per target, as keyed state of a stream of outcomes.
+"""A circuit breaker per target, as keyed state of a stream of outcomes; ``operators.circuits`` has it for whole histories.
 
 A circuit opens when ``threshold`` of the last 2 * threshold outcomes failed. After the cooldown one probe is let
-through: if it succeeds the window is cleared and the circuit closes, if it fails the cooldown starts again. Time is
-the outcome's own, never the clock, so a replay gives the same states.
+through. Any success while it is open closes the circuit and clears the window, any failure while it is open starts
+the cooldown again. Time is the outcome's own, never the clock, so a replay gives the same states.
 """
 
 from __future__ import annotations
@@ -31,21 +31,17 @@ class Circuit:
         return self.opened_at is not None and now < self.opened_at + self.cooldown_s
 
     def record(self, ok: bool, now: float) -> None:
-        if self.opened_at is not None:
-            if self.down(now):
-                return  # an outcome from before it opened
-            if ok:
-                self.window, self.opened_at = [], None
-            else:
-                self.opened_at = now
+        if ok and self.opened_at is not None:
+            self.window, self.opened_at = [], None
             return
         self.window = [*self.window, ok][-2 * self.threshold :]
         if self.window.count(False) >= self.threshold:
-            self.opened_at, self.trips = now, self.trips + 1
+            self.trips += self.opened_at is None
+            self.opened_at = now
 
 
 def circuits(outcomes: DataFrame, threshold: int = 5, cooldown_s: float = 60.0) -> DataFrame:
-    """From a stream of target, seq, at (timestamp), ok: after every outcome whether the target's circuit is open, and its trips so far.
+    """From a stream of target, seq, at, ok: after every outcome whether the target's circuit is open, and its trips so far.
 
     Within a micro-batch a target's outcomes are taken in the order of seq. A circuit is one sequence of states, so a
     target's part of a micro-batch is one group: bound it by what a trigger reads (maxFilesPerTrigger, maxBytesPerTrigger).

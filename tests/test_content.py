@@ -117,16 +117,16 @@ def test_run_success_rules():
 
 
 def test_circuit_half_open():
-    c = circuit.Circuit(3, 60)
-    for at in (0, 1, 2):
-        c.record(False, at)
-    assert c.down(3) and c.trips == 1
-    c.record(True, 10)  # late news doesn't close it
-    assert c.down(61) and not c.down(62)
-    c.record(False, 62)
-    assert c.down(100)
-    c.record(True, 130)
+    c = circuit.Circuit(2, 60)
+    c.record(False, 0)
+    c.record(False, 1)
+    assert c.down(2) and c.trips == 1
+    c.record(False, 50)  # a failure while open starts the cooldown again
+    assert c.down(109) and not c.down(110) and c.trips == 1
+    c.record(True, 51)  # a success closes it, whatever the cooldown says
     assert c.opened_at is None and c.window == []
+    c.record(False, 52)
+    assert not c.down(53)
     flaky = circuit.Circuit(5, 60)
     for i in range(10):
         flaky.record(i == 4 or i > 5, i)
@@ -142,7 +142,7 @@ def test_circuit_stream(spark, tmp_path):
     q = circuit.circuits(stream, threshold=3).writeStream.format("memory").queryName("circuits").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination()
     found = {(r.target, r.seq): (r.open, r.trips) for r in spark.table("circuits").collect()}
-    assert found["t", 1] == (False, 0) and found["t", 2] == (True, 1) and found["t", 5] == (True, 1) and found["u", 2] == (False, 0)
+    assert found["t", 1] == (False, 0) and found["t", 2] == (True, 1) and found["t", 3] == (True, 1) and found["t", 5] == (False, 1) and found["u", 2] == (False, 0)
 
 
 def test_drain_and_replay(spark, tmp_path):
