@@ -473,21 +473,43 @@ def manifest_order(lines):
 def stream_backlog(outbox):
     from ..streaming import consumer, run
 
-    windows = run.finished(outbox, lambda s: consumer.backlog_by_window(s).select(F.col("window.start").alias("starts"), "status", "rows", "attempts"))
-    return windows
+    return run.finished(outbox, lambda s: consumer.backlog_by_window(s).select(F.col("window.start").alias("starts"), "status", "rows", "attempts"), by="created_date", slices=5)
 
 
 @query(
     """WITH placed AS (
-         SELECT id, seq, event, "at", lead("at") OVER (PARTITION BY id ORDER BY seq) AS next_at, lag(event) OVER (PARTITION BY id ORDER BY seq) AS before, (SELECT max("at") FROM claim_event) AS ended
-         FROM claim_event)
-       SELECT id, seq FROM placed WHERE event = 'claimed' AND epoch_us(coalesce(next_at, ended)) - epoch_us("at") > 3600000000""",
+         SELECT id, seq, event, "at", lead("at") OVER (PARTITION BY id ORDER BY "at", seq) AS next_at, (SELECT date_trunc('milliseconds', max("at")) FROM claim_event) AS ended
+         FROM claim_event),
+       up AS (SELECT id, seq, row_number() OVER (PARTITION BY id ORDER BY "at", seq) AS deliveries FROM placed WHERE event = 'claimed' AND epoch_us(coalesce(next_at, ended)) - epoch_us("at") > 3600000000)
+       SELECT id, seq, deliveries, CASE WHEN deliveries >= 20 THEN 'dead_letter' ELSE 'pending' END AS status FROM up""",
     "claim_event",
 )
 def stream_redelivery(events):
     from ..streaming import consumer, run
 
-    return run.finished(events, consumer.redeliver).select("id", "seq")
+    return run.finished(events, lambda s: consumer.redeliver(s, most=20), by="at", slices=5)
+
+
+_WAIT = "to_seconds(CAST(least(5 * pow(2, least(attempt - 1, 20)), 600) AS BIGINT))"
+
+
+@query(
+    f"""WITH RECURSIVE q AS (SELECT id, CAST(coalesce(attempts, 0) AS BIGINT) AS attempts, coalesce(visible_at, created_date, {_NOW}) AS due FROM outbox WHERE status = 'pending'),
+       w AS (SELECT max(due) AS ended FROM q),
+       r AS (
+         SELECT id, attempts + 1 AS attempt, due AS "at" FROM q
+         UNION ALL
+         SELECT id, attempt + 1, "at" + {_WAIT} FROM r, w WHERE (id * 7 + attempt) % 5 <> 0 AND attempt < 10 AND "at" + {_WAIT} <= ended)
+       SELECT id, attempt, "at", CASE WHEN (id * 7 + attempt) % 5 = 0 THEN 'done' WHEN attempt >= 10 THEN 'dead_letter' ELSE 'pending' END AS status,
+              CASE WHEN (id * 7 + attempt) % 5 <> 0 AND attempt < 10 THEN "at" + {_WAIT} END AS visible_at
+       FROM r""",
+    "outbox",
+)
+def stream_retries(outbox):
+    from ..streaming import consumer, run
+
+    rows = outbox.where("status = 'pending'").select("id", "attempts", F.coalesce("visible_at", "created_date", as_of()).alias("due"))
+    return run.finished(rows, lambda s: consumer.retried(s, lambda i, attempt: (i * 7 + attempt) % 5 == 0), by="due", slices=5)
 
 
 # one outcome of every target a step: its last 8 results as text (0 failed), whether it is open, and trips so far

@@ -13,8 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from ..functions.scalars import BACKOFF_BASE_S, BACKOFF_MOST_POWER, BACKOFF_MOST_S
 from ..operators import ledger, queue
 from . import run
 
@@ -58,51 +59,141 @@ def backlog_by_window(stream: DataFrame, late: str = "1 hour", width: str = "15
     )
 
 
-def redeliver(stream: DataFrame, ttl_s: int = queue.STALE_S, most: int = queue.MAX_DELIVERIES) -> DataFrame:
+class _Held(StatefulProcessor):
+    """Keeps a key's rows until the watermark has passed their time, then takes them in the order of time and seq, whatever file they came in."""
+
+    fields: tuple[str, ...]
+    held_schema: str
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", self.held_schema)
+
+    def take(self, key: int, row: tuple, rows: list[tuple]) -> None:
+        """One row; what it gives goes to rows."""
+
+    def passed(self, key: int, now_us: int, rows: list[tuple]) -> int | None:
+        """The watermark is at ``now_us``; returns when to be asked again."""
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for batch in rows:
+            # rows are held as they come, a batch at a time
+            self.held.appendList(list(batch[list(self.fields)].itertuples(index=False, name=None)))
+            first = min(x for x in (first, int(batch["at_us"].min())) if x is not None)
+        if first is not None:
+            self.handle.registerTimer(first // 1000)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, out = timerValues.getCurrentWatermarkInMs() * 1000, []
+        at = self.fields.index("at_us")
+        held = sorted((tuple(r) for r in self.held.get()), key=lambda r: (r[at], r))
+        ready = [r for r in held if r[at] // 1000 * 1000 <= now]
+        if ready:
+            rest = held[len(ready) :]
+            self.held.clear()
+            if rest:
+                self.held.put(rest)
+                self.handle.registerTimer(rest[0][at] // 1000)
+        for r in ready:
+            self.take(key[0], r, out)
+        again = self.passed(key[0], now, out)
+        if again is not None:
+            self.handle.registerTimer(max(again // 1000, now // 1000) + 1)
+        yield pd.DataFrame(out, columns=self.out)
+
+    def close(self) -> None:
+        pass
+
+
+class _Claims(_Held):
+    fields, held_schema = ("at_us", "seq", "event"), "at_us long, seq long, event string"
+    out = ("id", "seq", "deliveries", "status")
+
+    def __init__(self, ttl_us: int, most: int) -> None:
+        self.ttl_us, self.most = ttl_us, most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.claim = handle.getValueState("claim", "deliveries long, seq long, since long")
+
+    def _expired(self, key: int, now_us: int, rows: list[tuple]) -> None:
+        deliveries, seq, since = self.claim.get() or (0, -1, -1)
+        if seq >= 0 and now_us - since > self.ttl_us:
+            rows.append((key, seq, deliveries + 1, "dead_letter" if deliveries + 1 >= self.most else "pending"))
+            self.claim.update((deliveries + 1, -1, -1))
+
+    def take(self, key: int, row: tuple, rows: list[tuple]) -> None:
+        at, seq, event = row
+        self._expired(key, at, rows)
+        deliveries = (self.claim.get() or (0,))[0]
+        self.claim.update((deliveries, seq, at) if event == "claimed" else (deliveries, -1, -1))
+
+    def passed(self, key: int, now_us: int, rows: list[tuple]) -> int | None:
+        self._expired(key, now_us, rows)
+        _, seq, since = self.claim.get() or (0, -1, -1)
+        return since + self.ttl_us if seq >= 0 else None
+
+
+def redeliver(stream: DataFrame, ttl_s: int = queue.STALE_S, most: int = queue.MAX_DELIVERIES, late: str = "0 seconds") -> DataFrame:
     """From a stream of id, seq, event ('claimed' or 'settled') and at: every claim that had no outcome within ``ttl_s`` of its own time.
 
-    id, seq (of the claim), deliveries, status: pending to be delivered again, or dead_letter. Events of one id count
-    in the order of seq, whatever micro-batch they come in together; an outcome that comes after the time is up, or a
-    new claim, doesn't undo that it was. A claim that nothing follows is up when the watermark has passed its time.
-    After an outcome in time, and after dead_letter, deliveries start from 0.
+    id, seq (of the claim), deliveries, status: pending to be delivered again, or dead_letter. Only such a claim adds to
+    deliveries, and nothing resets them. An id's events count in the order of at and seq. They may come in any order by
+    ``late`` of event time: they are held until the watermark has passed them, and what comes later than that is left
+    out. An outcome after the time is up, or a new claim, doesn't undo that it was; a claim that nothing follows is up
+    when the watermark has passed its time.
     """
+    events = stream.withWatermark("at", late).select("id", "seq", "event", F.unix_micros("at").alias("at_us"), "at")
+    return events.groupBy("id").transformWithStateInPandas(_Claims(ttl_s * 1_000_000, most), "id long, seq long, deliveries long, status string", "append", "eventtime")
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        deliveries, claim, since = state.get if state.exists else (0, -1, -1)
-        up = []
-
-        def expire() -> None:
-            nonlocal deliveries, claim
-            deliveries += 1
-            up.append((key[0], claim, deliveries, "dead_letter" if deliveries >= most else "pending"))
-            deliveries, claim = (0 if deliveries >= most else deliveries), -1
-
-        if state.hasTimedOut:
-            if claim >= 0:
-                expire()
-        else:
-            events = pd.concat(list(batches)).sort_values("seq")
-            for seq, event, at in zip(events["seq"].tolist(), events["event"].tolist(), events["at_us"].tolist(), strict=True):
-                late = claim >= 0 and at - since > ttl_s * 1_000_000
-                if late:
-                    expire()
-                if event == "claimed":
-                    claim, since = seq, at
-                elif claim >= 0:
-                    deliveries, claim = 0, -1
-        if claim >= 0:
-            state.update((deliveries, claim, since))
-            state.setTimeoutTimestamp(max(since // 1000 + ttl_s * 1000, state.getCurrentWatermarkMs()) + 1)
-        elif deliveries:
-            state.update((deliveries, -1, -1))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(up, columns=["id", "seq", "deliveries", "status"])
-
-    events = stream.withWatermark("at", "0 seconds").select("id", "seq", "event", F.unix_micros("at").alias("at_us"), "at")
-    return events.groupBy("id").applyInPandasWithState(
-        step, "id long, seq long, deliveries long, status string", "deliveries long, claim long, since long", "append", GroupStateTimeout.EventTimeTimeout
-    )
+
+class _Retries(_Held):
+    fields, held_schema = ("at_us", "attempts"), "at_us long, attempts long"
+    out = ("id", "attempt", "at_us", "status", "due_us")
+
+    def __init__(self, work: Callable[[int, int], bool], most: int) -> None:
+        self.work, self.most = work, most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.row = handle.getValueState("row", "attempts long, due long")  # due -1: done or given up
+
+    def take(self, key: int, row: tuple, rows: list[tuple]) -> None:
+        if not self.row.exists():  # a row that comes again is known
+            self.row.update((row[1], row[0]))
+
+    def passed(self, key: int, now_us: int, rows: list[tuple]) -> int | None:
+        if not self.row.exists():
+            return None
+        attempts, due = self.row.get()
+        while 0 <= due // 1000 * 1000 <= now_us and due >= 0:
+            ok, at = self.work(key, attempts + 1), due
+            status = "done" if ok else "dead_letter" if attempts + 1 >= self.most else "pending"
+            due = at + backoff_us(attempts) if status == "pending" else -1
+            attempts += 1
+            rows.append((key, attempts, at, status, None if due < 0 else due))
+        self.row.update((attempts, due))
+        return None if due < 0 else due
+
+
+def backoff_us(attempts: int) -> int:
+    """The wait after a failure, by the attempts before it, as ``functions.scalars.backoff_s`` says."""
+    return min(BACKOFF_BASE_S << min(attempts, BACKOFF_MOST_POWER), BACKOFF_MOST_S) * 1_000_000
+
+
+def retried(stream: DataFrame, work: Callable[[int, int], bool], most: int = queue.MAX_ATTEMPTS, late: str = "0 seconds") -> DataFrame:
+    """From a stream of queue rows (id, attempts, due, a time that none of them may lack): every attempt until a row is done or given up.
+
+    id, attempt, at, status after it, visible_at (when it is due again). ``work`` tells from id and number of the attempt
+    whether it succeeds, inside the task that holds the row's state. A row is tried when the watermark has passed its
+    time, and after each failure again when its backoff is over, by a timer. Rows may come in any order by ``late`` of
+    event time, and a row that comes twice is one.
+    """
+    rows = stream.withWatermark("due", late).select("id", F.coalesce("attempts", F.lit(0)).cast("long").alias("attempts"), F.unix_micros("due").alias("at_us"), "due")
+    found = rows.groupBy("id").transformWithStateInPandas(_Retries(work, most), "id long, attempt long, at_us long, status string, due_us long", "append", "eventtime")
+    return found.select("id", "attempt", F.timestamp_micros("at_us").alias("at"), "status", F.timestamp_micros("due_us").alias("visible_at"))
 
 
 def due(as_of: Column) -> Column:

@@ -38,6 +38,8 @@ def finished(table: DataFrame, query: Callable[[DataFrame], DataFrame], mode: st
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
 
+    # keyed state with timers needs this store, and a query keeps the one it began with
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     for part in _slices(table, by, slices):
         part.write.mode("append").parquet(f"{folder}/in")
         writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(keep)

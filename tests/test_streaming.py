@@ -3,13 +3,15 @@
 import datetime
 import random
 
+from pyspark.sql import functions as F
+
 from stowage.streaming import circuit, consumer, run
 
 AT = datetime.datetime(2024, 1, 15)
 
 
 def restated_redeliveries(events, ttl_s, most):
-    """events (id, seq, event, seconds); what is up at the end is told by the latest event of all."""
+    """events (id, seq, event, seconds); what is up at the end is told by the latest event of all. Nothing resets deliveries."""
     found, ended = [], max((e[3] for e in events), default=0)
     for i in {e[0] for e in events}:
         deliveries, claim = 0, None
@@ -17,11 +19,11 @@ def restated_redeliveries(events, ttl_s, most):
             if claim and at - claim[1] > ttl_s:
                 deliveries += 1
                 found.append((i, claim[0], deliveries, "dead_letter" if deliveries >= most else "pending"))
-                deliveries, claim = 0 if deliveries >= most else deliveries, None
+                claim = None
             if event == "claimed":
                 claim = (seq, at)
-            elif event == "settled" and claim:
-                deliveries, claim = 0, None
+            elif event == "settled":
+                claim = None
     return sorted(found)
 
 
@@ -35,14 +37,49 @@ def test_redelivery_in_the_order_of_events(spark):
     events = [(rng.randrange(12), n, rng.choice(["claimed", "claimed", "settled"]), 40 * n) for n in range(150)]
     want = restated_redeliveries(events, 600, 3)
     table = claims(spark, events)
-    assert want and {s for *_, s in want} == {"pending", "dead_letter"}
-    assert sorted(map(tuple, run.finished(table.repartition(3), lambda s: consumer.redeliver(s, 600, 3)).collect())) == want
-    # an outcome and a new claim in one micro-batch: the new claim has its own time
-    found = run.finished(claims(spark, [(1, 1, "claimed", 0), (1, 2, "settled", 10), (1, 3, "claimed", 20), (2, 4, "settled", 5000)]).repartition(2), lambda s: consumer.redeliver(s, 600, 3))
-    assert list(map(tuple, found.collect())) == [(1, 3, 1, "pending")]
+    assert want and {s for *_, s in want} == {"pending", "dead_letter"} and max(d for _, _, d, _ in want) > 3
+    assert sorted(map(tuple, run.finished(table.repartition(3), lambda s: consumer.redeliver(s, 600, 3), by="at", slices=5).collect())) == want
+    # times out, claimed again, outcome in time, claimed, times out: deliveries go on
+    one = [(1, 1, "claimed", 0), (1, 2, "claimed", 700), (1, 3, "settled", 710), (1, 4, "claimed", 720), (2, 5, "settled", 5000)]
+    found = run.finished(claims(spark, one).repartition(2), lambda s: consumer.redeliver(s, 600, 3))
+    assert sorted(map(tuple, found.collect())) == [(1, 1, 1, "pending"), (1, 4, 2, "pending")]
     assert run.finished(claims(spark, []), consumer.redeliver).count() == 0
 
 
+def test_redelivery_of_files_in_any_order(spark):
+    rng = random.Random(3)
+    events = [(rng.randrange(12), n, rng.choice(["claimed", "claimed", "settled"]), 40 * n) for n in range(150)]
+    shuffled = claims(spark, events).withColumn("file", F.col("seq") * 7 % 5)
+    # all events are within the lateness; one far later lets the watermark pass them
+    ended = claims(spark, [(99, 1000, "settled", 20_000)]).withColumn("file", F.lit(9))
+    found = run.finished(shuffled.unionByName(ended), lambda s: consumer.redeliver(s, 600, 3, "14000 seconds"), by="file", slices=5).collect()
+    assert sorted(map(tuple, found)) == restated_redeliveries([*events, (99, 1000, "settled", 6000)], 600, 3)
+
+
+def test_retries_until_done_or_given_up(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.choice([None, 0, 3, 8]), AT + datetime.timedelta(seconds=rng.randrange(4000))) for i in range(40)] + [(99, 0, AT + datetime.timedelta(seconds=6000))]
+    work = lambda i, attempt: (i * 7 + attempt) % 5 == 0
+    want, ended = [], max(r[2] for r in rows)
+    for i, attempts, at in rows:
+        attempts = attempts or 0
+        while at is not None and at <= ended:
+            ok = work(i, attempts + 1)
+            status = "done" if ok else "dead_letter" if attempts + 1 >= 10 else "pending"
+            again = at + datetime.timedelta(seconds=min(5 * 2**attempts, 600)) if status == "pending" else None
+            attempts += 1
+            want.append((i, attempts, at, status, again))
+            at = again
+    assert {r[3] for r in want} == {"done", "pending", "dead_letter"}
+    table = spark.createDataFrame(rows, "id long, attempts int, due timestamp").repartition(3)
+    found = run.finished(table.unionByName(table.where("id < 10")), lambda s: consumer.retried(s, work), by="due", slices=5)
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    # files in any order, within the lateness
+    mixed = table.withColumn("file", F.when(F.col("id") == 99, 9).otherwise(F.col("id") % 5))
+    found = run.finished(mixed.unionByName(spark.createDataFrame([(98, 9, AT + datetime.timedelta(seconds=11_000), 9)], mixed.schema)), lambda s: consumer.retried(s, work, late="5000 seconds"), by="file", slices=5)
+    assert sorted(map(tuple, found.where("id < 98").collect())) == sorted(r for r in want if r[0] < 98)
+
+
 def test_circuits_step_as_one_by_one(spark):
     rng = random.Random(2)
     rows = [(rng.choice("ab"), n, AT + datetime.timedelta(seconds=5 * n), rng.random() < 0.55) for n in range(200)]
