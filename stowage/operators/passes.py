@@ -31,18 +31,23 @@ def corpus_items(files: DataFrame) -> DataFrame:
 def _with_transfers(planned: DataFrame, transfers: DataFrame) -> DataFrame:
     """planned with tried, the transfers to pending targets, and gone; an object has a row a target, so no group is large."""
     result = F.struct("target", F.coalesce("ok", F.lit(False)).alias("ok"), F.coalesce("stored_bytes", F.lit(0)).cast("long").alias("bytes"), F.coalesce("down", F.lit(False)).alias("down"))
-    sent = transfers.groupBy("external_id").agg(F.sort_array(F.collect_set(result)).alias("results"), F.bool_or(F.coalesce("gone", F.lit(False))).alias("gone"))
+    flag = lambda c: F.bool_or(F.coalesce(c, F.lit(False))).alias(c) if c in transfers.columns else F.lit(False).alias(c)
+    sent = transfers.groupBy("external_id").agg(F.sort_array(F.collect_set(result)).alias("results"), flag("gone"), flag("aborted"))
     found = planned.join(sent, "external_id", "left")
-    return found.withColumns({"tried": F.coalesce(F.filter("results", lambda r: F.array_contains("pending", r["target"])), F.array().cast("array<struct<target: string, ok: boolean, bytes: bigint, down: boolean>>")), "gone": F.coalesce("gone", F.lit(False))})
+    return found.withColumns({"tried": F.coalesce(F.filter("results", lambda r: F.array_contains("pending", r["target"])), F.array().cast("array<struct<target: string, ok: boolean, bytes: bigint, down: boolean>>")), "gone": F.coalesce("gone", F.lit(False)), "aborted": F.coalesce("aborted", F.lit(False))})
 
 
 def _judged(found: DataFrame) -> DataFrame:
-    """healthy_failed, all_stored, unread (the source gave no transfer for a pending target) and the statuses to record."""
-    unread = F.size("tried") < F.size("pending")
-    noted = F.filter("tried", lambda r: r["ok"] | ~r["down"])
+    """healthy_failed, all_stored, unread (the source gave no transfer to some pending target, or the transfer was aborted) and the statuses to record.
+
+    What was stored is recorded even if the transfer was aborted or told of some targets only; failures of an aborted
+    transfer are not.
+    """
+    unread = (F.size("tried") < F.size("pending")) | F.col("aborted")
+    noted = F.filter("tried", lambda r: r["ok"] | (~r["down"] & ~F.col("aborted")))
     statuses = F.transform(noted, lambda r: F.struct(r["target"].alias("target"), F.when(r["ok"], "stored").otherwise("failed").alias("state"), F.when(r["ok"], r["bytes"]).otherwise(0).alias("bytes")))
     return found.withColumns(
-        {"unread": unread, "healthy_failed": F.exists("tried", lambda r: ~r["ok"] & ~r["down"]), "all_stored": F.forall("tried", lambda r: r["ok"]), "statuses": F.when(F.col("ok") & ~F.col("gone") & ~unread, statuses).otherwise(F.array().cast(RECORD))}
+        {"unread": unread, "healthy_failed": F.exists("tried", lambda r: ~r["ok"] & ~r["down"]), "all_stored": F.forall("tried", lambda r: r["ok"]), "statuses": F.when(F.col("ok") & ~F.col("gone"), statuses).otherwise(F.array().cast(RECORD))}
     )
 
 
@@ -50,9 +55,9 @@ def backup_outcomes(files: DataFrame, status: DataFrame, transfers: DataFrame, t
     """How the backup of every object of the corpus ends: external_id, files, pending, held, deduplicated, outcome, statuses to record.
 
     transfers: external_id, target, ok, stored_bytes, gone (the source says that it has no such object), down (the
-    target was found to be down meanwhile); one row a hash and target, null flags count as false. What isn't pending
-    is not looked at. Refused hashes, sources that couldn't be read and failures of healthy targets are failed;
-    sources that are gone are skipped; what only lacks targets that are down is deferred; everything else is backed.
+    target was found to be down meanwhile), aborted (the object's time was up or the run ends; may be absent); one row a
+    hash and target, null flags count as false. What isn't pending is not looked at. Refused hashes, sources that
+    couldn't be read, aborted transfers and failures of healthy targets are failed; sources that are gone are skipped; what only lacks targets that are down is deferred; everything else is backed.
     An empty corpus gives no rows.
     """
     planned = ledger.pending_targets(corpus_items(files), status, targets, down)

@@ -56,10 +56,10 @@ VIEWS = {
                CASE WHEN event_id % 4 = 0 THEN 'failed' ELSE 'stored' END AS state, CASE WHEN event_id % 4 = 0 THEN 0 ELSE event_id % 1000 END AS stored_bytes,
                event_id % 5 < 3 AS size_verified, ts AS happened_at
         FROM events""",
-    # how the transfers of a pass end; sources that couldn't be read have no row
+    # how the transfers of a pass end; sources that couldn't be read have no row, some that were aborted have none for c
     "transfer": """
-        SELECT o.external_id, t.target, (o.size + t.ti) % 10 <> 0 AS ok, o.size AS stored_bytes, o.size % 37 = 0 AS gone, t.target = 'c' AND o.size % 4 = 0 AS down
-        FROM led_object o CROSS JOIN tgt t WHERE o.size % 29 <> 0""",
+        SELECT o.external_id, t.target, (o.size + t.ti) % 10 <> 0 AS ok, o.size AS stored_bytes, o.size % 37 = 0 AS gone, t.target = 'c' AND o.size % 4 = 0 AS down, o.size % 7 = 5 AS aborted
+        FROM led_object o CROSS JOIN tgt t WHERE o.size % 29 <> 0 AND NOT (o.size % 14 = 5 AND t.target = 'c')""",
     # copies that decode to their hash
     "readable": "SELECT external_id, target FROM led_status WHERE state = 'stored' AND stored_bytes % 3 <> 1",
     # manifests as text: lines that are empty, without an id, in other cases, or corrupt

@@ -542,16 +542,16 @@ def stream_circuit(attempts):
 
 _BACKUP = f"""WITH item AS (SELECT external_id, count(*) AS files FROM corpus_file WHERE temporary_location IS NOT TRUE AND external_id <> '' GROUP BY ALL),
      every AS (
-       SELECT i.external_id, i.files, t.target, s.target IS NOT NULL AS held, s.target IS NULL AND t.target = 'b' AS skipped, s.target IS NULL AND t.target <> 'b' AS pending, x.ok, x.stored_bytes, x.gone, x.down
+       SELECT i.external_id, i.files, t.target, s.target IS NOT NULL AS held, s.target IS NULL AND t.target = 'b' AS skipped, s.target IS NULL AND t.target <> 'b' AS pending, x.ok, x.stored_bytes, x.gone, x.down, x.aborted
        FROM item i CROSS JOIN (VALUES {_T}) t(target) LEFT JOIN led_status s ON s.external_id = i.external_id AND s.target = t.target AND s.state = 'stored'
        LEFT JOIN transfer x ON x.external_id = i.external_id AND x.target = t.target),
      ended AS (
-       SELECT external_id, any_value(files) AS files, coalesce(bool_or(gone), false) OR count(*) FILTER (pending AND ok IS NULL) > 0 AS silent,
+       SELECT external_id, any_value(files) AS files, coalesce(bool_or(gone), false) AS silent, coalesce(bool_or(aborted), false) AS aborted,
               coalesce(string_agg(target, ',' ORDER BY target) FILTER (pending), '') AS pending, CAST(count(*) FILTER (held) AS INT) AS deduplicated,
               CASE WHEN NOT bool_or(pending) THEN CASE WHEN bool_or(skipped) THEN 'deferred' ELSE 'backed' END WHEN coalesce(bool_or(gone), false) THEN 'skipped'
-                   WHEN count(*) FILTER (pending AND (ok IS NULL OR NOT ok AND NOT down)) > 0 THEN 'failed' WHEN count(*) FILTER (pending AND NOT ok) = 0 AND NOT bool_or(skipped) THEN 'backed' ELSE 'deferred' END AS outcome
+                   WHEN coalesce(bool_or(aborted), false) THEN 'failed' WHEN count(*) FILTER (pending AND (ok IS NULL OR NOT ok AND NOT down)) > 0 THEN 'failed' WHEN count(*) FILTER (pending AND NOT ok) = 0 AND NOT bool_or(skipped) THEN 'backed' ELSE 'deferred' END AS outcome
        FROM every GROUP BY external_id),
-     noted AS (SELECT e.external_id, e.target, e.ok, e.stored_bytes FROM every e JOIN ended USING (external_id) WHERE e.pending AND NOT silent AND (e.ok OR NOT e.down))"""
+     noted AS (SELECT e.external_id, e.target, e.ok, e.stored_bytes FROM every e JOIN ended USING (external_id) WHERE e.pending AND NOT silent AND (e.ok OR NOT e.ok AND NOT e.down AND NOT ended.aborted))"""
 _BACKUP_VIEWS = ("corpus_file", "led_status", "transfer")
 
 
@@ -601,9 +601,9 @@ def backup_target_counts(files, status, transfers):
 
 
 _REPAIR = f"""SELECT external_id, arg_min(target, CASE WHEN target = 'b' THEN 'z' ELSE target END) FILTER (held AND readable) AS source, coalesce(string_agg(target, ',' ORDER BY target) FILTER (pending), '') AS pending,
-           CASE WHEN NOT bool_or(held) THEN 'skipped' WHEN bool_or(held AND readable) AND count(*) FILTER (pending AND coalesce(NOT ok, true) OR NOT held AND target = 'b') = 0 AND NOT coalesce(bool_or(gone), false) THEN 'repaired'
+           CASE WHEN NOT bool_or(held) THEN 'skipped' WHEN bool_or(held AND readable) AND count(*) FILTER (pending AND coalesce(NOT ok, true) OR NOT held AND target = 'b') = 0 AND NOT coalesce(bool_or(gone), false) AND NOT coalesce(bool_or(aborted), false) THEN 'repaired'
                 ELSE 'failed' END AS outcome
-    FROM (SELECT o.external_id, t.target, s.target IS NOT NULL AS held, r.target IS NOT NULL AS readable, s.target IS NULL AND t.target <> 'b' AS pending, x.ok, x.gone
+    FROM (SELECT o.external_id, t.target, s.target IS NOT NULL AS held, r.target IS NOT NULL AS readable, s.target IS NULL AND t.target <> 'b' AS pending, x.ok, x.gone, x.aborted
           FROM led_object o CROSS JOIN (VALUES {_T}) t(target) LEFT JOIN led_status s ON s.external_id = o.external_id AND s.target = t.target AND s.state = 'stored'
           LEFT JOIN readable r ON r.external_id = o.external_id AND r.target = t.target LEFT JOIN transfer x ON x.external_id = o.external_id AND x.target = t.target)
     GROUP BY external_id HAVING count(*) FILTER (held) < 3"""
