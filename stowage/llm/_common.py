@@ -123,6 +123,11 @@ def text_of(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 
+def quoted(name: str) -> str:
+    """A column's name as it is, dots included."""
+    return f"`{name.replace('`', '``')}`"
+
+
 def local_path(uri: str) -> str | None:
     """The local path of a file: URI or a plain path; None for other stores."""
     if uri.startswith("file:"):

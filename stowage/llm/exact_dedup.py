@@ -139,7 +139,7 @@ def distinct_rows(docs: DataFrame) -> DataFrame:
     if n_again:
         once = rows.join(small(again, n_again), key, "left_semi").dropDuplicates([key])
         rows = rows.join(small(again, n_again), key, "left_anti").unionByName(once)
-    return rows.select(*docs.columns)
+    return rows.drop(key)
 
 
 ORACLE_SQL = """

@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import keyed, written
+from ._common import keyed, quoted, written
 
 #: Rows of one source that one bucket holds, about; buckets, not sources, are the unit of sorting.
 ROWS_PER_BUCKET = 4_000
@@ -22,6 +22,8 @@ MOST_EPOCHS = 3
 KEY_BITS = 52
 #: Buckets of one source that are summed up in one task; their sums are summed up in another.
 BUCKETS_PER_RUN = 2_000
+#: Rows alike in source, id and size that one task writes.
+ALIKE = 10_000
 #: Sources up to which one task orders them; beyond, ranges of them are ordered apart and joined by prefix sums.
 SOURCES_AT_ONCE = 100_000
 
@@ -87,7 +89,13 @@ def mix(docs: DataFrame, seed: int = 0, rows_per_bucket: int = ROWS_PER_BUCKET)
     where their place is inside the budget. Rows of one id sort by size; rows alike in both are interchangeable. An
     empty table gives no rows; a table without words takes nothing (targets 0). Other columns are not looked at.
     """
-    return _placed(docs, seed, rows_per_bucket).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    placed = _placed(docs, seed, rows_per_bucket)
+    taken = lambda rows: rows.withColumn("copies", _copies(F.col("k"))).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    few = placed.where(F.col("m") <= ALIKE).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("k"))
+    many = placed.where(F.col("m") > ALIKE).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1, F.lit(ALIKE).cast("long"))).alias("k0"))
+    # rows alike beyond a number are dealt anew, so that no task writes them all
+    many = many.repartition("at", "k0").select("*", F.explode(F.sequence("k0", F.least(F.col("k0") + ALIKE, F.col("m")) - 1)).alias("k"))
+    return taken(few).unionByName(taken(many))
 
 
 def mixed(docs: DataFrame, seed: int = 0, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
@@ -97,12 +105,12 @@ def mixed(docs: DataFrame, seed: int = 0, rows_per_bucket: int = ROWS_PER_BUCKET
     alike in id and size at the very cut are taken together.
     """
     placed = _placed(docs, seed, rows_per_bucket)
-    cut = F.max(F.when(F.col("copies") > F.col("epochs"), F.struct("at", "doc_id", "size"))).alias("cut")
-    cuts = written(placed.groupBy(*_NAMED).agg(F.max("epochs").alias("epochs"), cut, F.count(F.lit(1)).alias("n")), "mix-cuts")
+    cut = F.max(F.when(_copies(F.lit(0)) > F.col("epochs"), F.struct("at", "doc_id", "size"))).alias("cut")
+    cuts = written(placed.groupBy(*_NAMED).agg(F.max("epochs").alias("epochs"), cut, F.sum("m").alias("n")), "mix-cuts")
     total = cuts.agg(F.sum("n")).first()[0] or 0
     # the row itself is one column, so that no name of its columns can clash
     own = F.struct(random_key(F.col("d.doc_id").cast("long"), seed).alias("at"), F.col("d.doc_id").cast("long").alias("doc_id"), n_words(F.col("d.text")).alias("size"))
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("d")).select("d", *_named(F.col("d.source")))
+    rows = docs.select(F.struct(*(docs[quoted(c)] for c in docs.columns)).alias("d")).select("d", *_named(F.col("d.source")))
     joined = keyed(rows, cuts, _NAMED, "n", total)
     copies = F.col("epochs") + F.coalesce(own <= F.col("cut"), F.lit(False)).cast("long")
     return joined.select("d", F.explode(F.array_repeat(F.lit(0), copies.cast("int"))).alias("copy")).select("d.*")
@@ -116,10 +124,22 @@ def _named(source: Column) -> list[Column]:
     return [source.isNull().alias("nameless"), F.coalesce(source.cast("string"), F.lit("")).alias("name")]
 
 
+def _copies(k: Column) -> Column:
+    """Copies of the k-th of the rows alike of ``_placed``."""
+    middle = (F.col("start") + k * F.col("size")).cast("double") + F.col("size") / F.lit(2.0)
+    more = (F.col("epochs") < MOST_EPOCHS) & (F.col("source_size") > 0) & (middle <= F.col("rest"))
+    return F.col("epochs") + more.cast("long")
+
+
 def _placed(docs: DataFrame, seed: int, rows_per_bucket: int) -> DataFrame:
+    """Rows alike in source, id and size once, with their number m and the words of the source before the first of them (start).
+
+    Of one id, or of no id, there are as many as there are sizes, whatever share of the rows it has.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_named(F.col("source")), n_words(F.col("text")).alias("size"))
-    rows = written(rows.withColumn("at", random_key(F.col("doc_id"), seed)), "mix-rows")
-    sources = rows.groupBy(*_NAMED).agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
+    rows = written(rows.groupBy(*_NAMED, "doc_id", "size").agg(F.count(F.lit(1)).alias("m")).withColumn("at", random_key(F.col("doc_id"), seed)), "mix-rows")
+    words = F.sum(F.col("size") * F.col("m"))
+    sources = rows.groupBy(*_NAMED).agg(words.alias("source_size"), F.count(F.lit(1)).alias("n"))
     sources = written(sources.withColumn("source", F.when(~F.col("nameless"), F.col("name"))), "mix-sources")
     total = sources.agg(F.sum("n")).first()[0] or 0
     buckets = F.greatest(F.lit(1), F.ceil(F.col("n") / rows_per_bucket)).cast("long").alias("buckets")
@@ -128,7 +148,7 @@ def _placed(docs: DataFrame, seed: int, rows_per_bucket: int) -> DataFrame:
     bucket = F.least(F.floor(F.col("at").cast("double") * F.col("buckets").cast("double") / F.lit(float(1 << KEY_BITS))).cast("long"), F.col("buckets") - 1)
     placed = keyed(rows, plan, _NAMED, "n", total).withColumn("bucket", bucket)
     where = [*_NAMED, "bucket"]
-    sums = placed.groupBy(*where).agg(F.sum("size").alias("bucket_size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
+    sums = placed.groupBy(*where).agg(words.alias("bucket_size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
     sums = written(sums.withColumn("run", F.floor(F.col("bucket") / BUCKETS_PER_RUN)), "mix-buckets")
     earlier = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
     runs = sums.groupBy(*_NAMED, "run").agg(F.sum("bucket_size").alias("run_size"))
@@ -136,12 +156,10 @@ def _placed(docs: DataFrame, seed: int, rows_per_bucket: int) -> DataFrame:
     sums = sums.withColumn("inside", F.coalesce(F.sum("bucket_size").over(earlier(*_NAMED, "run", "bucket")), F.lit(0))).join(runs, [*_NAMED, "run"])
     sums = sums.select(*where, "source_size", "target", (F.col("run_start") + F.col("inside")).alias("bucket_start"))
     within = Window.partitionBy(*where).orderBy("at", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    found = placed.select("doc_id", "size", "at", *where).withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0))).join(sums, where)
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    rest = F.col("target") - F.col("epochs") * F.col("source_size")
-    middle = (F.col("bucket_start") + F.col("before")).cast("double") + F.col("size") / F.lit(2.0)
-    more = (F.col("epochs") < MOST_EPOCHS) & (F.col("source_size") > 0) & (middle <= rest)
-    return found.withColumn("epochs", epochs.cast("long")).withColumn("copies", F.col("epochs") + more.cast("long"))
+    found = placed.select("doc_id", "size", "m", "at", *where).withColumn("before", F.coalesce(words.over(within), F.lit(0))).join(sums, where)
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    found = found.withColumns({"epochs": epochs, "start": F.col("bucket_start") + F.col("before")})
+    return found.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
 
 
 #: The same rows from plain windows over whole sources.

@@ -274,7 +274,7 @@ def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     judged = score(docs.select("doc_id", "text", row_key(F.col("doc_id"), F.col("text")).alias(key)), fit(docs, labels), REJECT, key)
     gone = written(judged.where("toxic").select(key).distinct(), "toxic-gone")
     kept = docs.withColumn(key, row_key(F.col("doc_id"), F.col("text"))).join(small(gone, gone.count()), key, "left_anti")
-    return kept.select(*docs.columns)
+    return kept.drop(key)
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import re
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, digest string, row_id long"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, digest string, row_id long, `a.b` string, `at``x` string"
 LONG = "lorem ipsum dolor sit amet " * 20_000
 
 
@@ -10,7 +10,7 @@ def awkward(spark, *more):
     """Nulls in every column, empty and very long texts, ties, repeated rows, and columns with names of results."""
     base = "one two three four five six seven eight nine ten eleven twelve"
     texts = [(1, base), (2, base), (2, base), (3, None), (4, ""), (None, base), (5, " \t\n"), (6, LONG), (7, "Ünïcödé 日本語 \U0001f600 x"), (7, "another text under one id"), (None, None), *more]
-    rows = [(i, t, None if n % 3 == 0 else "en", None if n % 4 == 0 else f"s{n % 2}", None, "x", "y", 0) for n, (i, t) in enumerate(texts)]
+    rows = [(i, t, None if n % 3 == 0 else "en", None if n % 4 == 0 else f"s{n % 2}", None, "x", "y", 0, "z", None) for n, (i, t) in enumerate(texts)]
     return spark.createDataFrame(rows, SCHEMA)
 
 

@@ -73,7 +73,7 @@ def test_bpe_long_pieces(library):
 
 
 def test_bpe_over_tables(spark, library):
-    docs = awkward(spark).union(spark.read.parquet(f"{DATA}/documents.parquet").selectExpr("doc_id + 1000", "text", "lang", "source", "n_chars", "'x'", "'y'", "0"))
+    docs = awkward(spark).union(spark.read.parquet(f"{DATA}/documents.parquet").selectExpr("doc_id + 1000", "text", "lang", "source", "n_chars", "'x'", "'y'", "0", "'z'", "null"))
     want = collections.Counter()
     for r in docs.collect():
         ids = library.encode_ordinary(r.text or "")
@@ -288,6 +288,22 @@ def test_targets_of_many_sources(spark, n):
     assert {r.source: r.target for r in mixing.source_targets(sources).collect()} == pytest.approx(want)
 
 
+def test_mixing_of_a_third_without_id(spark, monkeypatch):
+    import duckdb
+
+    monkeypatch.setattr(mixing, "ALIKE", 100)
+    rng = random.Random(8)
+    rows = [(None if n % 3 == 0 else 7 if n % 7 == 0 else n, "w " * rng.randrange(9), f"s{n % 4}" if n % 5 else None) for n in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas().astype({"doc_id": "Int64"}))
+    names = ["doc_id", "size", "source_size", "target", "taken", "copies"]
+    same = lambda found: collections.Counter((*(r[:3]), round(r[3], 6), *r[4:]) for r in found)
+    assert same(map(tuple, mixing.mix(docs, rows_per_bucket=50).select(*names).collect())) == same(con.execute(f"SELECT {', '.join(names)} FROM ({mixing.ORACLE_SQL})").fetchall())
+    # rows of one id are few groups, however many they are
+    assert mixing._placed(docs, 0, 50).where("doc_id is null").count() <= 9 * 5
+
+
 def test_mixing_awkward(spark):
     docs = awkward(spark)
     found = mixing.mix(docs).collect()
