@@ -111,9 +111,9 @@ def exempt(worm: Column, readable: Column) -> Column:
 
 
 def gauges(verdict: Column) -> tuple[Column, Column]:
-    """Whether a target is known to be fine (1, 0, null where nothing is known), and whether the probe worked."""
+    """Whether a target is known to be fine (1, 0, null where nothing is known), and whether the probe worked; one that found no data did."""
     fine = F.when(verdict == VERIFIED, 1).when(verdict.isin(DRIFT, CORRUPT), 0)
-    return fine, F.when(verdict.isin(VERIFIED, DRIFT, CORRUPT), 1).otherwise(0)
+    return fine, F.when(verdict.isin(VERIFIED, DRIFT, CORRUPT, NO_DATA), 1).otherwise(0)
 
 
 def keyset_page(rows: DataFrame, key: str, after: str, n: int) -> DataFrame:

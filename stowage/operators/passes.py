@@ -88,10 +88,14 @@ def repair_outcomes(gaps: DataFrame, readable: DataFrame, transfers: DataFrame,
     return found.select("external_id", "source", "pending", outcome.alias("outcome"), "statuses")
 
 
+def attempts(outcomes: DataFrame, at: Column) -> DataFrame:
+    """What a pass recorded, as attempts for ``ledger.fold_status``."""
+    return outcomes.select("external_id", F.inline("statuses")).select("external_id", "target", "state", F.col("bytes").alias("stored_bytes"), at.alias("happened_at"), F.lit(1).cast("long").alias("seq"))
+
+
 def recorded(outcomes: DataFrame, before: DataFrame, at: Column) -> DataFrame:
     """The ledger's status after a pass: what it recorded, folded over what was there."""
-    attempts = outcomes.select("external_id", F.inline("statuses")).select("external_id", "target", "state", F.col("bytes").alias("stored_bytes"), at.alias("happened_at"), F.lit(1).cast("long").alias("seq"))
-    return ledger.fold_status(attempts, before)
+    return ledger.fold_status(attempts(outcomes, at), before)
 
 
 def record_set(records: DataFrame) -> DataFrame:

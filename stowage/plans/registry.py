@@ -36,7 +36,7 @@ def query(sql: str | None, *views: str):
 
         QUERIES[f.__name__] = run
         if sql is not None:
-            ORACLE_SQL[f.__name__] = oracle(sql, *views)
+            ORACLE_SQL[f.__name__] = sql if sql in ORACLE_SQL.values() else oracle(sql, *views)
         return f
 
     return keep
@@ -121,6 +121,13 @@ def pending_targets(objects, status):
     return _joined(ledger.pending_targets(objects, status, TARGETS, DOWN), "pending").drop("held")
 
 
+@query(ORACLE_SQL["pending_targets"], "led_object", "led_status")
+def ledger_lookup(objects, status):
+    from ..sources import ledger_table
+
+    return _joined(ledger_table.stored(status, 8, 2).pending(objects, TARGETS, DOWN), "pending").drop("held")
+
+
 @query(
     """SELECT external_id, bool_and(state = 'stored') AS all_stored, bool_or(state = 'failed' AND target <> 'b') AS healthy_failed,
               coalesce(string_agg(target || ':' || state, ',' ORDER BY target) FILTER (state = 'stored' OR target <> 'b'), '') AS statuses
@@ -377,13 +384,16 @@ def existence_unmounted(status, manifest):
 
 
 @query(
-    """SELECT external_id, target, CASE WHEN size % 5 = 0 THEN 'NoData' WHEN size % 7 = 0 THEN 'Unverifiable' WHEN size % 2 = 0 AND size % 3 <> 0 THEN 'Verified' ELSE 'Drift' END AS verdict
-       FROM (SELECT *, stored_bytes AS size FROM led_status)""",
+    """SELECT external_id, target, verdict, CASE verdict WHEN 'Verified' THEN 1 WHEN 'Drift' THEN 0 END AS fine, CASE WHEN verdict = 'Unverifiable' THEN 0 ELSE 1 END AS probe_worked
+       FROM (SELECT external_id, target, CASE WHEN size % 5 = 0 THEN 'NoData' WHEN size % 7 = 0 THEN 'Unverifiable' WHEN size % 2 = 0 AND size % 3 <> 0 THEN 'Verified' ELSE 'Drift' END AS verdict
+             FROM (SELECT *, stored_bytes AS size FROM led_status))""",
     "led_status",
 )
 def immutability_verdicts(status):
     has = lambda n: F.col("stored_bytes") % n == 0
-    return status.select("external_id", "target", inventory.immutability_verdict(~has(5), ~has(7), has(2), ~has(3)).alias("verdict"))
+    judged = status.select("external_id", "target", inventory.immutability_verdict(~has(5), ~has(7), has(2), ~has(3)).alias("verdict"))
+    fine, worked = inventory.gauges(F.col("verdict"))
+    return judged.withColumns({"fine": fine, "probe_worked": worked})
 
 
 @query(f"SELECT external_id, size FROM led_object WHERE external_id > '{SAMPLE_START}' ORDER BY external_id LIMIT 100", "led_object")
@@ -590,6 +600,18 @@ def backup_recorded(files, status, transfers):
     return passes.recorded(_backup(files, status, transfers), status, as_of())
 
 
+@query(ORACLE_SQL["backup_recorded"], *_BACKUP_VIEWS)
+def ledger_upsert(files, status, transfers):
+    from ..sources import ledger_table
+
+    # into a stored ledger, in two batches, of which the first comes again
+    table, done = ledger_table.stored(status, 8, 2), passes.attempts(_backup(files, status, transfers), as_of())
+    low = F.col("external_id") < "8"
+    for number, part in ((0, done.where(low)), (1, done.where(~low)), (0, done.where(low))):
+        table.upsert(part, number)
+    return table.status()
+
+
 @query(
     f"""{_BACKUP} SELECT target, CAST(sum(stored) AS BIGINT) AS stored, CAST(sum(failed) AS BIGINT) AS failed, CAST(sum(held) AS BIGINT) AS deduplicated, CAST(sum(bytes) AS BIGINT) AS bytes FROM (
                    SELECT target, CAST(ok AS INT) AS stored, CAST(NOT ok AS INT) AS failed, 0 AS held, CASE WHEN ok THEN stored_bytes ELSE 0 END AS bytes FROM noted

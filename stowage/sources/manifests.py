@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import json
 import re
-from collections.abc import Iterator
 from datetime import datetime, timezone
 
-import pandas as pd
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,39 +27,30 @@ def latest(names: list[str], pointer: str | None = None) -> str | None:
     return max(valid, default=None)
 
 
-def _no_number(name: str) -> None:
-    raise ValueError(f"{name} is no JSON")
-
-
-def _line_id(line: str) -> tuple[str | None, bool]:
-    """The id, and whether the line is corrupt. Empty lines and lines without an id have neither; keys match in any case, and the last that says something counts."""
-    if not line:
-        return None, False
-    if len(line.encode()) > LINE_BYTES:
-        return None, True
-    try:
-        found = json.loads(line, parse_constant=_no_number)
-    except (ValueError, RecursionError):
-        return None, True
-    if found is None:
-        return None, False
-    if not isinstance(found, dict):
-        return None, True
-    said = [v for k, v in found.items() if k.lower() == "externalid" and v is not None]
-    if not all(isinstance(v, str) for v in said):
-        return None, True
-    return (said[-1] if said else None) or None, False
+#: A line is read as one JSON object and nothing else: no quotes or numbers but JSON's own.
+_STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+_JSON_SPACE = " \t\r\n"
 
 
 def scan_lines(lines: DataFrame) -> DataFrame:
-    """target, external_id, corrupt of every line (target, value) that says something; a null line says nothing."""
+    """target, external_id, corrupt of every line (target, value) that says something; a null line says nothing.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(t, *_line_id(line or "")) for t, line in zip(batch["target"], batch["value"], strict=True)]
-            yield pd.DataFrame([r for r in rows if r[1] is not None or r[2]], columns=["target", "external_id", "corrupt"])
-
-    return lines.select("target", "value").mapInPandas(run, "target string, external_id string, corrupt boolean")
+    Empty lines, null and lines without an id say nothing; keys match in any case, and the last that isn't null counts.
+    Corrupt is what isn't one object, has an id that is no string, or is longer than LINE_BYTES.
+    """
+    # in an array, so that what follows the object shows, with an end of its own; a map keeps the order of keys, a variant their values' types
+    parsed = F.from_json(F.concat(F.lit("["), "value", F.lit(",{}]")), "array<map<string,variant>>", _STRICT)
+    fields = F.map_entries(F.try_element_at("parsed", F.lit(1)))
+    said = F.filter(fields, lambda e: (F.lower(e["key"]) == "externalid") & ~F.coalesce(F.is_variant_null(e["value"]), F.lit(True)))
+    silent = F.coalesce(F.btrim("value", F.lit(_JSON_SPACE)) == "null", F.lit(True)) | (F.col("value") == "")
+    whole = (F.size("parsed") == 2) & F.try_element_at("parsed", F.lit(1)).isNotNull() & (F.octet_length("value") <= LINE_BYTES)
+    # a long line isn't parsed at all
+    short = lines.select("target", "value", F.when(F.octet_length("value") <= LINE_BYTES, parsed).alias("parsed")).where(~silent)
+    found = short.select("target", F.coalesce(whole, F.lit(False)).alias("whole"), said.alias("said"))
+    good = F.col("whole") & F.forall("said", lambda e: F.schema_of_variant(e["value"]) == "STRING")
+    last = F.try_variant_get(F.try_element_at("said", F.lit(-1))["value"], "$", "string")
+    read = found.select("target", F.when(good & (last != ""), last).alias("external_id"), (~good).alias("corrupt"))
+    return read.where("external_id is not null or corrupt")
 
 
 def read_manifest(spark: SparkSession, path: str, target: str) -> DataFrame:

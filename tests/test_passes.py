@@ -105,3 +105,22 @@ def test_payloads_told_by_their_hash(spark):
         raw = rows[r.n][1]
         assert r.c0 == r.c1 == r.c4 == raw and r.c3 is None and (r.c2 is None if raw is None else zstandard.ZstdDecompressor().decompress(r.c2, max_output_size=10_000) == raw)
     assert table.limit(0).select(payloads.told(F.col("payload"), F.col("digest")).alias("found")).count() == 0
+
+
+def test_lines_are_one_object_each_and_stay_in_the_jvm(spark):
+    from stowage.sources.manifests import LINE_BYTES, scan_lines
+
+    nothing, corrupt = (None, False), (None, True)
+    lines = {
+        "": nothing, "null": nothing, " null ": nothing, "{}": nothing, '{"externalID":"a"}': ("a", False), '{"ExternalID":"b","size":1}': ("b", False), '{"externalID":"a","EXTERNALID":"c"}': ("c", False),
+        '{"EXTERNALID":"c","externalID":"a"}': ("a", False), '{"externalID":"a","externalID":"z"}': ("z", False), '{"externalID":5}': corrupt, '{"externalID":null}': nothing, '{"externalID":"a","ExternalId":null}': ("a", False),
+        '{"externalID":""}': nothing, "[]": corrupt, '[{"externalID":"a"}]': corrupt, "1": corrupt, '"x"': corrupt, '{"externalID":"a"} x': corrupt, '{"externalID":"a"},{"externalID":"b"}': corrupt, '{"externalID":"a"}]': corrupt,
+        "{'externalID':'a'}": corrupt, '{"externalID":"a","n":NaN}': corrupt, '{"externalID":"a","n":[1,{"externalID":"q"}]}': ("a", False), '{"externalID":{"externalID":"q"}}': corrupt, '{"externalID":true}': corrupt, '{"externalID":"a"': corrupt,
+        "garbage": corrupt, '{"externalID":"\\u00e9"}': ("é", False), '{"n":01}': corrupt, '{"externalID":"a",}': corrupt, '  {"externalID":"a"}  ': ("a", False), '{"externalID":"5"}': ("5", False), '{"\\u0065xternalID":"esc"}': ("esc", False),
+        '{"externalID":"a","n":"' + "x" * LINE_BYTES + '"}': corrupt, '{"externalID":["a"]}': corrupt, "nullx": corrupt, "  ": corrupt,
+    }
+    df = spark.createDataFrame([(str(i), v) for i, v in enumerate(lines)] + [("none", None)], "target string, value string")
+    scanned = scan_lines(df)
+    found = {int(r.target): (r.external_id, r.corrupt) for r in scanned.collect()}
+    assert {line: found.get(i, nothing) for i, line in enumerate(lines)} == lines
+    assert "Python" not in scanned._jdf.queryExecution().executedPlan().toString()
