@@ -58,3 +58,26 @@ def told(payload: Column, digest: Column, most: int = MOST_BYTES) -> Column:
             yield pd.DataFrame({"codec": [r[0] for r in rows], "ok": [r[1] for r in rows], "size": pd.array([r[2] for r in rows], dtype="Int64"), "error": [r[3] for r in rows]})
 
     return F.pandas_udf(run, "codec string, ok boolean, size long, error string")(payload, digest)
+
+
+def content_of(payload: Column, digest: Column, most: int = MOST_BYTES) -> Column:
+    """The object of this SHA3-256 that a payload holds, plain or packed; null where it holds none."""
+
+    def opened(payload: bytes | None, digest: str | None) -> bytes | None:
+        if payload is None:
+            return None
+        tries = [lambda: b"".join(verified(iter([payload]), digest, most))]
+        if payload[:4] == bytes.fromhex(ZSTD_MAGIC):
+            tries.insert(0, lambda: b"".join(verified(unpacked(io.BytesIO(payload)), digest, most)))
+        for t in tries:
+            try:
+                return t()
+            except (zstandard.ZstdError, Corrupt):
+                continue
+        return None
+
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for payloads, digests in batches:
+            yield pd.Series([opened(p, d) for p, d in zip(payloads, digests, strict=True)], dtype=object)
+
+    return F.pandas_udf(run, "binary")(payload, digest)

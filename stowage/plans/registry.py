@@ -750,26 +750,78 @@ def object_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "codec", "ok", F.when(F.col("doc_id") % 4 < 2, F.col("size")).alias("size"))
 
 
+def _objects(docs: DataFrame) -> DataFrame:
+    """Every distinct text as an object: its hash, its bytes, and their number."""
+    text = docs.select(F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content")).distinct()
+    return text.select(scalars.sha3_256_hex(F.col("content")).alias("external_id"), "content", F.octet_length("content").alias("n"))
+
+
+def _restorable(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """Objects, a store that holds most of them (by size packed, damaged, or not at all), and one to restore to, with some intact and some damaged."""
+    from ..sources import objects as store
+    from ..sources.shared import shared_folder, written
+
+    spark = docs.sparkSession
+    own, kind = written(_objects(docs), "objects"), F.col("n") % 5
+    folder = shared_folder(spark, "stores")
+    for name, codec, rows, damaged in (
+        ("from", "none", kind.isin(0, 2), kind == 2), ("from", "zstd", kind.isin(1, 4), F.lit(False)), ("to", "none", (kind == 4) | (F.col("n") % 7 == 0), kind != 4),
+    ):
+        content = F.when(damaged, F.concat("content", F.unhex(F.lit("00")))).otherwise(F.col("content"))
+        store.stored(own.where(rows).select("external_id", content.alias("content")), [store.Place(name, f"{folder}/{name}", codec)])
+    return own, f"{folder}/from", f"{folder}/to"
+
+
+def store_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects written to three stores at once, of which one can't be written, and what a sweep of them finds that should be there."""
+    from ..sources import objects as store
+    from ..sources.shared import shared_folder, written
+
+    own, folder = written(_objects(spark.read.parquet(f"{sf_dir}/documents.parquet")), "objects"), shared_folder(spark, "stores")
+    places = [store.Place("a", f"{folder}/a"), store.Place("b", f"{folder}/b", "zstd"), store.Place("c", "/proc/no store here")]
+    done = written(store.stored(own, places), "stored")
+    # the ledger also knows of texts that were never sent to a
+    ledger_rows = done.unionByName(own.where("n % 3 = 0").select(F.sha2("content", 256).alias("external_id"), F.lit("a").alias("target"), F.lit(True).alias("ok"), F.lit(0).cast("long").alias("stored_bytes")))
+    status = ledger_rows.select("external_id", "target", F.when(F.col("ok"), "stored").otherwise("failed").alias("state"))
+    listing = store.objects(spark, f"{folder}/a", payload=False).select(F.lit("a").alias("target"), "external_id").unionByName(store.objects(spark, f"{folder}/b", payload=False).select(F.lit("b").alias("target"), "external_id"))
+    found = inventory.existence_tally(inventory.sweep(status, listing)).select("target", "checked", "missing")
+    counts = done.groupBy("target").agg(F.count(F.when(F.col("ok"), 1)).alias("stored"), F.count(F.when(~F.col("ok"), 1)).alias("failed"), F.sum(F.when(F.col("target") == "a", F.col("stored_bytes")).otherwise(0)).alias("plain_bytes"))
+    return counts.join(found, "target", "left").select("target", "stored", "failed", "plain_bytes", F.coalesce("checked", F.lit(0)).cast("long").alias("checked"), F.coalesce("missing", F.lit(0)).cast("long").alias("missing"))
+
+
 def restore_result(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether restoring all objects passes."""
-    found = _stored_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return passes.run_result(found.select(F.when(F.col("ok"), "restored").otherwise("failed").alias("outcome")), "restore")
+    """How restoring every object into a store ends, and how many of them read back intact afterwards."""
+    from ..functions import payloads
+    from ..sources import objects as store
+    from ..sources.shared import written
+
+    own, source, target = _restorable(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    done = written(store.restored(own, source, target), "restored")
+    told = store.objects(spark, target).select("external_id", payloads.told(F.col("payload"), F.col("external_id")).alias("t")).where("t.ok").select("external_id", F.lit(True).alias("intact"))
+    return done.join(told, "external_id", "left").groupBy("outcome").agg(F.count(F.lit(1)).alias("objects"), F.sum("bytes").alias("bytes"), F.count("intact").alias("intact"))
 
 
 def drill_result(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a drill on a rotating sample passes; the sample is the feature."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    keyed = docs.withColumn("key", F.sha2(F.concat(F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))), 256))
-    found = _stored_texts(inventory.rotating_sample(keyed, "key", SAMPLE_START, 100))
-    return passes.run_result(found.select(F.when(F.col("ok"), "restored").otherwise("failed").alias("outcome")), "drill")
+    """Whether a drill passes: a rotating sample, which is the feature, restored into an empty store."""
+    from ..sources import objects as store
+    from ..sources.shared import shared_folder
+
+    own, source, _ = _restorable(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    sample = inventory.rotating_sample(own.withColumn("key", F.sha2("content", 256)), "key", SAMPLE_START, 100)
+    return passes.run_result(store.restored(sample, source, shared_folder(spark, "drill")), "drill")
 
 
-_FAILED = "count(*) FILTER (doc_id % 4 = 2)"
-QUERIES |= {f.__name__: f for f in (object_verify, restore_result, drill_result)}
+_OBJECTS = "SELECT t, CAST(strlen(t) AS BIGINT) AS n FROM (SELECT DISTINCT coalesce(text, '') AS t FROM documents)"
+QUERIES |= {f.__name__: f for f in (object_verify, store_sweep, restore_result, drill_result)}
 ORACLE_SQL |= {
     "object_verify": """SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN 'zstd' WHEN 2 THEN NULL ELSE 'none' END AS codec, doc_id % 4 <> 2 AS ok,
         CASE WHEN doc_id % 4 < 2 THEN CAST(strlen(coalesce(text, '')) AS BIGINT) END AS size FROM documents""",
-    "restore_result": f"SELECT count(*) AS objects, {_FAILED} AS failed, {_FAILED} = 0 AND count(*) > 0 AS passed FROM documents",
-    "drill_result": f"""SELECT count(*) AS objects, {_FAILED} AS failed, {_FAILED} = 0 AND count(*) > 0 AS passed
-        FROM (SELECT doc_id, sha256(CAST(doc_id AS VARCHAR) || coalesce(text, '')) AS key FROM documents ORDER BY key < '{SAMPLE_START}', key LIMIT 100)""",
+    "store_sweep": f"""WITH o AS ({_OBJECTS})
+        SELECT target, count(*) FILTER (target <> 'c') AS stored, count(*) FILTER (target = 'c') AS failed, CAST(sum(CASE WHEN target = 'a' THEN n ELSE 0 END) AS BIGINT) AS plain_bytes,
+               count(*) FILTER (target <> 'c') + count(*) FILTER (target = 'a' AND n % 3 = 0) AS checked, count(*) FILTER (target = 'a' AND n % 3 = 0) AS missing
+        FROM o CROSS JOIN (VALUES ('a'), ('b'), ('c')) v(target) GROUP BY target""",
+    "restore_result": f"""SELECT outcome, count(*) AS objects, CAST(sum(CASE WHEN outcome IN ('restored', 'skipped') THEN n ELSE 0 END) AS BIGINT) AS bytes, count(*) FILTER (outcome IN ('restored', 'skipped')) AS intact
+        FROM (SELECT n, CASE n % 5 WHEN 4 THEN 'skipped' WHEN 3 THEN 'missing' WHEN 2 THEN 'failed' ELSE 'restored' END AS outcome FROM ({_OBJECTS})) GROUP BY outcome""",
+    "drill_result": f"""SELECT count(*) AS objects, count(*) FILTER (n % 5 IN (2, 3)) AS failed, count(*) FILTER (n % 5 IN (2, 3)) = 0 AND count(*) > 0 AS passed
+        FROM (SELECT n, sha256(t) AS key FROM ({_OBJECTS}) ORDER BY key < '{SAMPLE_START}', key LIMIT 100)""",
 }
