@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import metrics, scalars
-from ..operators import circuits, inventory, ledger, passes, queue
+from ..operators import circuits, inventory, ledger, passes, queue, sampler
 from .fixtures import AS_OF, TARGETS, oracle, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -522,6 +522,38 @@ def stream_retries(outbox):
     return run.finished(rows, lambda s: consumer.retried(s, lambda i, attempt: (i * 7 + attempt) % 5 == 0), by="due", slices=5)
 
 
+_OPENED = "SELECT created_date AS opened, CASE WHEN status IN ('done', 'skipped', 'dead_letter') THEN coalesce(claimed_at, created_date + INTERVAL '3' HOUR) END AS closed FROM outbox"
+
+
+@query(
+    f"""WITH q AS ({_OPENED}),
+       tick AS (SELECT TIMESTAMP '2024-01-01 00:00:00' + to_seconds(900 * i) AS "at" FROM range(2976) r(i)),
+       b AS (SELECT "at", count(*) AS pending, min(opened) AS oldest FROM tick JOIN q ON coalesce(opened <= "at", true) AND coalesce(closed > "at", true) GROUP BY "at"),
+       v AS (SELECT "at", target, max(happened_at) AS last FROM tick JOIN attempt ON happened_at <= "at" AND state = 'stored' GROUP BY ALL),
+       s AS (SELECT "at", min(last) AS stalest, count(*) AS known FROM v GROUP BY "at")
+       SELECT "at", coalesce(pending, 0) AS pending, coalesce((epoch_us("at") - epoch_us(oldest)) / 1e6, 0.0)::DOUBLE AS oldest_s, 4 - coalesce(known, 0) AS never_verified,
+              coalesce((epoch_us("at") - epoch_us(stalest)) / 1e6, 0.0)::DOUBLE AS stalest_s, coalesce(known, 0) > 0 AS ok
+       FROM tick LEFT JOIN b USING ("at") LEFT JOIN s USING ("at")""",
+    "outbox", "attempt",
+)
+def sampler_history(outbox, attempts):
+    closed = F.when(F.col("status").isin("done", "skipped", "dead_letter"), F.coalesce("claimed_at", F.col("created_date") + F.expr("INTERVAL '3' HOUR")))
+    rows = outbox.select(F.col("created_date").alias("opened"), closed.alias("closed"))
+    verified = attempts.where("state = 'stored'").select("target", F.col("happened_at").alias("verified_at"))
+    return sampler.history(rows, verified, (*TARGETS, "d"), F.expr("timestamp '2024-01-01 00:00:00'"), 900, 2976)
+
+
+@query(
+    """WITH s AS (SELECT external_id, target, state, seq // 100 AS batch FROM attempt),
+       b AS (SELECT DISTINCT batch FROM s),
+       held AS (SELECT b.batch, s.external_id, count(DISTINCT s.target) FILTER (s.state = 'stored') AS n FROM b JOIN s ON s.batch <= b.batch GROUP BY ALL)
+       SELECT batch, count(*) AS objects, count(*) FILTER (n = 3) AS covered, count(*) FILTER (n < 3) AS gaps FROM held GROUP BY batch""",
+    "attempt",
+)
+def coverage_history(attempts):
+    return sampler.coverage_by_batch(attempts.withColumn("batch", F.floor(F.col("seq") / 100)), "batch", TARGETS)
+
+
 # one outcome of every target a step: its last 8 results as text (0 failed), whether it is open, and trips so far
 _CIRCUIT = """WITH RECURSIVE o AS (
          SELECT target, seq, happened_at, CAST(external_id AS INT) % 3 <> 0 AND seq % 50 < 40 AS ok, row_number() OVER (PARTITION BY target ORDER BY seq) AS i FROM attempt),
