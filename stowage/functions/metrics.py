@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 import re
 import time
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -17,6 +18,34 @@ def by_target(attempts: DataFrame) -> DataFrame:
     )
 
 
+_COUNTED = ("stored", "failed", "deduplicated", "bytes")
+
+
+class Counted:
+    """Counters of a backup pass, filled in while its outcomes are written, without a pass of their own.
+
+    ``observed`` is what to write, once; the counts are there when that is done. A task that is run again counts once.
+    """
+
+    def __init__(self, outcomes: DataFrame, targets: Sequence[str]) -> None:
+        self.spark, self.targets, self._seen = outcomes.sparkSession, list(targets), Observation()
+        statuses = lambda t, state: F.filter("statuses", lambda s: (s["target"] == t) & (s["state"] == state))
+        there = lambda t: F.filter("held", lambda h: h == t)
+        size = lambda c: F.coalesce(F.sum(F.size(c).cast("long")), F.lit(0).cast("long"))
+        added = lambda rows: F.aggregate(rows, F.lit(0).cast("long"), lambda n, s: n + s["bytes"])
+        counts = []
+        for i, t in enumerate(self.targets):
+            of = (size(statuses(t, "stored")), size(statuses(t, "failed")), size(there(t)), F.coalesce(F.sum(added(statuses(t, "stored"))), F.lit(0).cast("long")))
+            counts += [c.alias(f"{name}_{i}") for name, c in zip(_COUNTED, of, strict=True)]
+        self.observed = outcomes.observe(self._seen, *counts) if counts else outcomes
+
+    def by_target(self) -> DataFrame:
+        """target, stored, failed, deduplicated, bytes."""
+        seen = self._seen.get if self.targets else {}
+        rows = [(t, *(int(seen[f"{name}_{i}"]) for name in _COUNTED)) for i, t in enumerate(self.targets)]
+        return self.spark.createDataFrame(rows, "target string, " + ", ".join(f"{n} long" for n in _COUNTED))
+
+
 def prior_success(path: str, name: str) -> float:
     """The last success that the file tells of; 0 without one."""
     if not os.path.exists(path):

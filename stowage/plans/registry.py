@@ -654,6 +654,15 @@ def backup_target_counts(files, status, transfers):
     return passes.target_counts(_backup(files, status, transfers), TARGETS)
 
 
+@query(ORACLE_SQL["backup_target_counts"], *_BACKUP_VIEWS)
+def observed_counts(files, status, transfers):
+    from ..sources.shared import written
+
+    counted = metrics.Counted(_backup(files, status, transfers), TARGETS)
+    written(counted.observed, "outcomes")
+    return counted.by_target()
+
+
 _REPAIR = f"""SELECT external_id, arg_min(target, CASE WHEN target = 'b' THEN 'z' ELSE target END) FILTER (held AND readable) AS source, coalesce(string_agg(target, ',' ORDER BY target) FILTER (pending), '') AS pending,
            CASE WHEN NOT bool_or(held) THEN 'skipped' WHEN bool_or(held AND readable) AND count(*) FILTER (pending AND coalesce(NOT ok, true) OR NOT held AND target = 'b') = 0 AND NOT coalesce(bool_or(gone), false) AND NOT coalesce(bool_or(aborted), false) THEN 'repaired'
                 ELSE 'failed' END AS outcome

@@ -124,3 +124,16 @@ def test_lines_are_one_object_each_and_stay_in_the_jvm(spark):
     found = {int(r.target): (r.external_id, r.corrupt) for r in scanned.collect()}
     assert {line: found.get(i, nothing) for i, line in enumerate(lines)} == lines
     assert "Python" not in scanned._jdf.queryExecution().executedPlan().toString()
+
+
+def test_counters_are_filled_while_outcomes_are_written(spark, tmp_path):
+    from stowage.functions.metrics import Counted
+
+    schema = "external_id string, statuses array<struct<target: string, state: string, bytes: bigint>>, held array<string>"
+    rows = [("x", [("a", "stored", 5), ("b", "failed", 0)], ["c"]), ("y", [("a", "stored", 7)], ["b", "c"]), ("z", [], [])]
+    counted = Counted(spark.createDataFrame(rows, schema).repartition(3), "abcd")
+    counted.observed.write.parquet(str(tmp_path / "outcomes"))
+    assert sorted(map(tuple, counted.by_target().collect())) == [("a", 2, 0, 0, 12), ("b", 0, 1, 1, 0), ("c", 0, 0, 2, 0), ("d", 0, 0, 0, 0)]
+    empty = Counted(spark.createDataFrame([], schema), "a")
+    empty.observed.write.parquet(str(tmp_path / "none"))
+    assert list(map(tuple, empty.by_target().collect())) == [("a", 0, 0, 0, 0)]
