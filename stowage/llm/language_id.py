@@ -36,6 +36,8 @@ _LOWER[[b for b in range(0x80) if not chr(b).isalpha()]] = 0x20
 _HIDING = re.compile(r"<(script|style)\b", re.IGNORECASE)
 _ENDS = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in ("script", "style")}
 DECLARED = r"(?i)<html[^<>]*\blang\s*=\s*[\"']?([a-z]+)"
+#: Languages that are told apart; what else is declared, in a column that holds anything, counts as OTHER.
+MOST_LANGUAGES, OTHER = 256, "und"
 
 
 def visible(page: str) -> str:
@@ -93,12 +95,21 @@ def count_runs(docs: DataFrame) -> DataFrame:
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(own[at])], ["lang", "bucket", "n"])
 
-    known = docs.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    known = _named(docs.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")))
     return known.mapInArrow(lean(run), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
+def _named(known: DataFrame) -> DataFrame:
+    """``known`` with at most MOST_LANGUAGES languages: those with the most texts stay, all others are one, OTHER."""
+    most = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES + 1).collect()
+    if len(most) <= MOST_LANGUAGES:
+        return known
+    own = [r.lang for r in most[: MOST_LANGUAGES - 1]]
+    return known.withColumn("lang", F.when(F.col("lang").isin(own), F.col("lang")).otherwise(OTHER))
+
+
 def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages by code point and their log likelihoods by bucket; as large as the languages are many, whatever the input."""
+    """Languages by code point and their log likelihoods by bucket; as large as the languages are many, MOST_LANGUAGES at most, whatever the input."""
     rows = count_runs(docs).toPandas()
     langs = sorted(rows["lang"].unique().tolist()) or ["und"]
     counts = np.full((len(langs), BUCKETS), 0.5)
@@ -147,7 +158,7 @@ def _smoothed(counts: Column, prior: Column, rows: float) -> Column:
 def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     """One row per row of ``pages``: page_id, lang, confidence, text_lang, declared, host.
 
-    lang is the language (of those that ``docs`` declare in lang) with the largest posterior, confidence its
+    lang is the language (of those that ``docs`` declare in lang, up to MOST_LANGUAGES) with the largest posterior, confidence its
     probability; ties go to the first by code point. text_lang goes by the text alone. Null pages have no text, null
     addresses no host (''); such pages are told by the other evidence, at last by the prior. Rows are scored one by one,
     so repeated rows and null ids come out as they are, though they count as evidence each; an empty table gives no

@@ -353,3 +353,12 @@ def test_pipeline_keeps_one_of_every_component_and_mixes_by_source(spark, tmp_pa
     assert sorted(r.doc_id for r in after) == sorted(i for i, root in roots.items() if i == root) and len(after) < len(before)
     mixed = collections.Counter((r.doc_id, r.source) for r in stages["mixing"](spark, docs, DATA).collect())
     assert mixed == restated_copies([(r.doc_id, r.text, r.source) for r in after])
+
+
+def test_languages_beyond_the_most_frequent_are_one(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 3)
+    rows = [(n, "le chat est la", "fr") for n in range(5)] + [(n, "the cat is here", "en") for n in range(4)] + [(n, f"junk {n} zzz", f"x{n}") for n in range(9)]
+    langs, logs = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert langs == ["en", "fr", "und"] and logs.shape == (3, language_id.BUCKETS)
+    pages = spark.createDataFrame([(1, "", "<p>le chat est la"), (2, "", "the cat is here")], "page_id long, url string, html string")
+    assert {r.page_id: r.text_lang for r in language_id.identify(pages, spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()} == {1: "fr", 2: "en"}
