@@ -720,6 +720,22 @@ def manifest_scan(manifest, lines):
     return scan_lines(lines)
 
 
+@query(
+    f"""WITH held AS (SELECT external_id FROM led_object JOIN led_status USING (external_id) WHERE target = 'a' AND state = 'stored')
+        SELECT 'range' AS part, external_id FROM held WHERE external_id > '4' AND external_id <= '{SAMPLE_START}'
+        UNION ALL SELECT * FROM (SELECT 'page', external_id FROM held WHERE external_id > '{SAMPLE_START}' ORDER BY external_id LIMIT 100)""",
+    "led_object", "led_status",
+)
+def manifest_ranges(objects, status):
+    from ..sources import manifest_index
+    from ..sources.shared import shared_folder
+
+    spark, folder = objects.sparkSession, shared_folder(objects.sparkSession, "manifest")
+    manifest_index.write(ledger.stored_objects(objects, status, "a").select("external_id", "size"), folder, lines=50)
+    of = lambda name, rows: rows.select(F.lit(name).alias("part"), "external_id")
+    return of("range", manifest_index.read_range(spark, folder, "a", "4", SAMPLE_START)).unionByName(of("page", manifest_index.read_page(spark, folder, "a", SAMPLE_START, 100)))
+
+
 @query(
     """SELECT target, max(name) AS name FROM manifest_name WHERE regexp_full_match(name, '[0-9]{8}T[0-9]{6}[.][0-9]{9}Z[.]jsonl') AND name NOT LIKE '202412%' GROUP BY target""",
     "manifest_name",
