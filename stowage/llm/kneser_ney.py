@@ -4,7 +4,7 @@ Words are 64-bit hashes. A first shuffle adds up the words by ranges of hashes:
 with counts, and a word's number is its place among all ranges. A second shuffle adds up the n-grams of the highest
 order, as numbers of words. Whoever adds up the n-grams of an order knows how many different words come before each
 n-gram one shorter, which is what the next shuffle adds up, down to single words; n-grams that begin a text have no word
-before them and keep their counts. All of this is one job; only names and counts of counts reach the driver.
+before them and keep their counts. All of this is one job; only sizes and counts of counts reach the driver.
 
 N-grams are dealt by the last word of their context, so that those of one context, and most that share all but the first
 word, meet in one task. Words with more than half a range's share of all tokens have theirs dealt by the whole context,
@@ -13,9 +13,9 @@ parts say about it is added up by the next shuffle.
 
 A range of an order is one file in the shared folder: hashes in order, cut into buckets by their high bits of which the
 next 32 are kept (an n-gram that doesn't occur is taken for one that does with about 4e-9 a look-up, at any size), counts,
-and the same for contexts with what follows them. A file's name is one that an attempt which succeeded reports. Scoring
-tasks map the files, so that a host holds one copy where the folder is mounted; from another store a worker fetches those
-it needs, once.
+and the same for contexts with what follows them. A file's name follows from order and range, and whichever attempt is
+first to write it whole writes what the others would, so tasks need no list of names. Scoring tasks map the files, so that
+a host holds one copy where the folder is mounted; from another store a worker fetches those it needs, once.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ END, START = U(1), U(2)
 #: Numbers of words, and the low half of a hash.
 N, LOW = np.uint32, U(0xFFFFFFFF)
 ADDED = 0.1
-#: A word's number has 32 bits, of which the highest stands for unknown words; with more words fitting stops with an error.
+#: A word's number has 32 bits up to so many words, 64 beyond; the highest stands for unknown words.
 MOST_WORDS = (1 << 32) - 1
 #: Words of an n-gram of the highest order.
 ORDER = 3
@@ -120,15 +120,19 @@ def _values(own: np.ndarray, far: np.ndarray, more: np.ndarray, at: np.ndarray)
     return found
 
 
-def _save(folder: str, *arrays: np.ndarray) -> str:
-    """Writes unsigned arrays as a file of a new name in the shared folder; returns the name."""
+def _save(folder: str, name: str, *arrays: np.ndarray) -> None:
+    """Writes unsigned arrays as a file of this name in the shared folder, whole or not at all; another attempt writes the same."""
     fs, path = pa.fs.FileSystem.from_uri(folder)
     fs.create_dir(path, recursive=True)
-    name = uuid.uuid4().hex
-    with fs.open_output_stream(f"{path}/{name}") as out:
+    own = f"{path}/{name}.{uuid.uuid4().hex}"
+    with fs.open_output_stream(own) as out:
         out.write(np.array([len(arrays), *(x for a in arrays for x in (a.dtype.itemsize, len(a)))], np.int64).tobytes())
         for a in arrays:
             out.write(np.ascontiguousarray(a).tobytes() + bytes(-a.nbytes % 8))
+    if fs.get_file_info(f"{path}/{name}").type == pa.fs.FileType.NotFound:
+        fs.move(own, f"{path}/{name}")
+    else:
+        fs.delete_file(own)
     return name
 
 
@@ -210,35 +214,50 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.RecordB
 
 @dataclass
 class Words:
-    """The vocabulary: ranges of sorted hashes with counts, and the number at which each begins."""
+    """The vocabulary: ranges of sorted hashes with counts, and the number at which each begins. All that grows with it lies in files."""
 
     folder: str
-    names: dict[int, str]
-    begins: np.ndarray  #: by range, and the end
     size: int  #: distinct tokens, START aside
     tokens: int
-    frequent: np.ndarray  #: numbers of words with a large share of all tokens, ascending
-    over: np.ndarray  #: of each, the ranges over which its n-grams are dealt
+    kind: type  #: of words' numbers, wider where there are more than MOST_WORDS; its highest stands for unknown words
+
+    def _part(self, i: int) -> np.ndarray:
+        return _cached(self.folder, "vocabulary")[i]
+
+    @property
+    def begins(self) -> np.ndarray:
+        """By range, and the end."""
+        return self._part(0).view(np.int64)
+
+    @property
+    def frequent(self) -> np.ndarray:
+        """Numbers of words with a large share of all tokens, ascending."""
+        return self._part(1)
+
+    @property
+    def over(self) -> np.ndarray:
+        """Of each of these, the ranges over which its n-grams are dealt."""
+        return self._part(2)
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """Numbers of ascending hashes, -1 where unknown."""
         found = np.full(len(hashes), -1, np.int64)
         for r, own in _by_range(_range_of(hashes, len(self.begins) - 1).astype(np.int64)):
-            if r in self.names:
-                known = _cached(self.folder, self.names[r])[0]
+            if (file := _cached(self.folder, f"words-{r}")) is not None:
+                known = file[0]
                 at = np.minimum(np.searchsorted(known, hashes[own]), len(known) - 1)
                 found[own] = np.where(known[at] == hashes[own], at + self.begins[r], -1)
         return found
 
     def ranges_of(self, numbers: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.begins, numbers, side="right") - 1
+        return np.searchsorted(self.begins, numbers.astype(np.int64), side="right") - 1
 
-    def of_numbers(self, names: dict[int, str], i: int, numbers: np.ndarray) -> np.ndarray:
-        """Values saved for ranges, of numbers in ascending order; 0 for -1."""
+    def of_numbers(self, label: str, i: int, numbers: np.ndarray) -> np.ndarray:
+        """Values saved for ranges under a label, of numbers in ascending order; 0 for -1."""
         values = np.zeros(len(numbers), np.int64)
         for r, own in _by_range(self.ranges_of(numbers)):
-            if r >= 0 and r in names:
-                values[own] = _cached(self.folder, names[r])[i][numbers[own] - self.begins[r]]
+            if r >= 0 and (file := _cached(self.folder, f"{label}-{r}")) is not None:
+                values[own] = file[i][numbers[own] - self.begins[r]]
         return values
 
     def dealt_over(self, numbers: np.ndarray) -> np.ndarray:
@@ -255,16 +274,19 @@ class Words:
         return (_hash([gram[0], about % over[0], mix(gram[-1].astype(U)) % whole]) % U(ranges)).astype(np.int64), whole
 
 
-_OPEN: dict[tuple[str, str], list[np.ndarray]] = {}
+_OPEN: dict[tuple[str, str], list[np.ndarray] | None] = {}
 
 
-def _cached(folder: str, name: str) -> list[np.ndarray]:
-    """Maps stay open for the worker's model, up to a number; another model's are let go."""
+def _cached(folder: str, name: str) -> list[np.ndarray] | None:
+    """A file's arrays, None where a range has none. Maps stay open for the worker's model, up to a number; another model's are let go."""
     if _OPEN and (len(_OPEN) >= MOST_MAPPED or next(iter(_OPEN))[0] != folder):
         _OPEN.clear()
-    if (arrays := _OPEN.get((folder, name))) is None:
-        arrays = _OPEN[folder, name] = _mapped(folder, name)
-    return arrays
+    if (folder, name) not in _OPEN:
+        try:
+            _OPEN[folder, name] = _mapped(folder, name)
+        except FileNotFoundError:
+            _OPEN[folder, name] = None
+    return _OPEN[folder, name]
 
 
 def count_words(texts: DataFrame, folder: str, ranges: int) -> Words:
@@ -279,28 +301,30 @@ def count_words(texts: DataFrame, folder: str, ranges: int) -> Words:
         parts = [_unpack(p.as_py()) for p in table.column("packed")]
         words, counts = _totals(*(np.concatenate(x) for x in zip(*parts, strict=True)))
         top = np.argsort(-counts)[:32]
+        r = table.column("range")[0].as_py()
+        _save(folder, f"words-{r}", words, counts.view(U))
         return pa.table(
             {
-                "range": table.column("range")[:1], "name": [_save(folder, words, counts.view(U))], "size": [len(words)], "tokens": [int(counts.sum())],
+                "range": [r], "size": [len(words)], "tokens": [int(counts.sum())],
                 "top": pa.array([top.tolist()], pa.list_(pa.int64())), "top_n": pa.array([counts[top].tolist()], pa.list_(pa.int64())),
             }
         )
 
-    schema = "range long, name string, size long, tokens long, top array<long>, top_n array<long>"
+    schema = "range long, size long, tokens long, top array<long>, top_n array<long>"
     found = sorted(texts.mapInArrow(lean(count), "range long, packed binary").groupBy("range").applyInArrow(merge, schema).collect(), key=lambda r: r["range"])
     sizes = np.zeros(ranges, np.int64)
     for r in found:
         sizes[r["range"]] = r["size"]
     begins, tokens = np.concatenate([[0], np.cumsum(sizes)]), sum(r["tokens"] for r in found)
-    if begins[-1] > MOST_WORDS:
-        raise OverflowError(f"{begins[-1]} distinct words; a pair's key has room for {MOST_WORDS}")
+    kind = N if begins[-1] <= MOST_WORDS else U
     # at most 2 * ranges words have such a share; START stands before as many words as END does
     top = {int(begins[r["range"]]) + at: n for r in found for at, n in zip(r["top"], r["top_n"], strict=True)}
     if found:
         end, start = (int(begins[0]) + at for at in (0, 1))
         top[start] = top.get(end, 0)
     frequent = sorted((at, 1 + n * 2 * ranges // tokens) for at, n in top.items() if n * 2 * ranges > tokens)
-    return Words(folder, {r["range"]: r["name"] for r in found}, begins, max(0, int(begins[-1]) - 1), tokens, np.array([a for a, _ in frequent], N), np.array([n for _, n in frequent], U))
+    _save(folder, "vocabulary", begins.view(U), np.array([a for a, _ in frequent], kind), np.array([n for _, n in frequent], U))
+    return Words(folder, max(0, int(begins[-1]) - 1), tokens, kind)
 
 
 def _hash(columns: list[np.ndarray], after: np.ndarray | None = None) -> np.ndarray:
@@ -315,7 +339,10 @@ def _summed(gram: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray
     """Distinct n-grams in order of their columns, and the sums of their counts."""
     if not len(counts):
         return gram, counts
-    keys = [(gram[i - 1].astype(U) << U(32) | gram[i]) if i else gram[0].astype(U) for i in range(len(gram) - 1, -1, -2)]
+    if gram[0].dtype == N:  # two numbers are one key
+        keys = [(gram[i - 1].astype(U) << U(32) | gram[i]) if i else gram[0].astype(U) for i in range(len(gram) - 1, -1, -2)]
+    else:
+        keys = gram[::-1]
     order = np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys)
     fresh = np.zeros(len(counts), bool)
     fresh[0] = True
@@ -336,13 +363,13 @@ def _parted(gram: list[np.ndarray], counts: np.ndarray, ranges: np.ndarray) -> I
     order = _in_order(ranges)
     for r, own in _by_range(ranges[order]):
         near, *more = (c[order[own]] for c in gram)
-        yield r, _pack(np.diff(near, prepend=N(0)), *more, _narrow(counts[order[own]]))
+        yield r, _pack(np.diff(near, prepend=near.dtype.type(0)), *more, _narrow(counts[order[own]]))
 
 
 def _whole(packed: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
     """What ``_parted`` packed, of several tasks."""
     parts = [_unpack(p) for p in packed]
-    near = [np.cumsum(p[0], dtype=N) for p in parts]
+    near = [np.cumsum(p[0], dtype=p[0].dtype) for p in parts]
     gram = [np.concatenate(near), *(np.concatenate([p[i] for p in parts]) for i in range(1, len(parts[0]) - 1))]
     return gram, np.concatenate([p[-1].astype(np.int64) for p in parts])
 
@@ -357,18 +384,17 @@ def _discounts(n: np.ndarray) -> np.ndarray:
 
 
 # what a range reports: 0 for n-grams or 1 for contexts dealt over several ranges; order; range; counts of counts 1, 2, 3, 4; 3 or more; kinds.
-ROW = "own long, packed binary, name string"
+ROW = "own long, packed binary"
 
 
-def _rows(rows: list[tuple[int, bytes, str | None]]) -> pa.Table:
-    return pa.table({"own": pa.array([r for r, _, _ in rows], pa.int64()), "packed": pa.array([p for _, p, _ in rows], pa.binary()), "name": pa.array([n for _, _, n in rows], pa.string())})
+def _rows(rows: list[tuple[int, bytes]]) -> pa.Table:
+    return pa.table({"own": pa.array([r for r, _ in rows], pa.int64()), "packed": pa.array([p for _, p in rows], pa.binary())})
 
 
 @dataclass
 class Model:
     order: int
     words: Words
-    names: dict[tuple[int, int], dict[int, str]]  #: files by range, of (0 or 1 as reported, order)
     ranges: int
     discounts: dict[int, np.ndarray]  #: by order, for counts 0, 1, 2 and 3 or more
     kinds: int  #: distinct n-grams of two words
@@ -382,16 +408,16 @@ class Model:
         numbers = words.numbers(kinds)
         order = np.argsort(numbers, kind="stable")
 
-        def of(names: dict[int, str], i: int) -> np.ndarray:
+        def of(label: str, i: int) -> np.ndarray:
             values = np.zeros(len(kinds), np.int64)
-            values[order] = words.of_numbers(names, i, numbers[order])
+            values[order] = words.of_numbers(label, i, numbers[order])
             return values.astype(float)
 
-        counts, before = of(words.names, 1), of(self.names.get((0, 1), {}), 0)
+        counts, before = of("words", 1), of("0-1", 0)
         uniform = 1 / (words.size + 1)
         low = np.maximum(before - self.discounts[1][np.clip(before, 0, 3).astype(np.int64)], 0) / max(1, self.kinds) + self.spare * uniform
         p = (low if self.kinds else np.full(len(kinds), uniform))[at]
-        own, first = numbers.astype(N), np.repeat(chunk.starts, np.diff(np.append(chunk.starts, len(at))))
+        own, first = numbers.astype(words.kind), np.repeat(chunk.starts, np.diff(np.append(chunk.starts, len(at))))
         token, place = own[at], np.arange(len(at))
         near = [np.where(place - j >= first, token[np.maximum(place - j, 0)], own[start]) for j in range(1, self.order)]
         for k in range(2, self.order + 1):
@@ -415,11 +441,10 @@ class Model:
             which, found = which[found >= 0], rows[3].reshape(-1, 4)[_values(*rows[:3], found[found >= 0])]
             total[which], loose[which] = found[:, 0], found[:, 1:] @ self.discounts[k][1:]
 
-        names, split = (self.names.get((i, k), {}) for i in (0, 1))
         order = _in_order(ranges)
         for r, own in _by_range(ranges[order]):
-            if r in names:
-                begins, low, *n = _cached(self.words.folder, names[r])
+            if (file := _cached(self.words.folder, f"0-{k}-{r}")) is not None:
+                begins, low, *n = file
                 mine = order[own]
                 found = _find(begins, low, hashes[mine])
                 counts[mine[found >= 0]] = _values(*n[:3], found[found >= 0])
@@ -428,8 +453,8 @@ class Model:
         ranges = (about[wide] % U(self.ranges)).astype(np.int64)
         order = _in_order(ranges)
         for r, own in _by_range(ranges[order]):
-            if r in split:
-                follow(wide[order[own]], *_cached(self.words.folder, split[r]))
+            if (file := _cached(self.words.folder, f"1-{k}-{r}")) is not None:
+                follow(wide[order[own]], *file)
         taken = np.maximum(counts - self.discounts[k][np.minimum(counts, 3)], 0) / np.maximum(total, 1)
         return taken[at] + np.where(total > 0, loose / np.maximum(total, 1), 1.0)[at] * lower
 
@@ -447,40 +472,41 @@ def _contexts(hashes: np.ndarray, followers: list[np.ndarray]) -> list[np.ndarra
 def _adder(words: Words, k: int, ranges: int) -> Callable[[pa.Table], pa.Table]:
     """Adds up one group: n-grams of order k, contexts of order k + 1, or reports, which only pass."""
 
-    def report(which: int, order: int, r: int, name: str, counts: np.ndarray) -> tuple[int, bytes, str]:
+    def report(which: int, order: int, r: int, counts: np.ndarray, *arrays: np.ndarray) -> tuple[int, bytes]:
+        _save(words.folder, f"{which}-{order}-{r}", *arrays)
         n = [*(int((counts == c).sum()) for c in (1, 2, 3, 4)), int((counts >= 3).sum()), len(counts)]
-        return 2 * ranges + r, np.array([which, order, r, *n], np.int64).tobytes(), name
+        return 2 * ranges + r, np.array([which, order, r, *n], np.int64).tobytes()
 
     def add(table: pa.Table) -> pa.Table:
         r = table.column("own")[0].as_py()
         if r >= 2 * ranges:
-            return table.select(["own", "packed", "name"])
+            return table.select(["own", "packed"])
         packed = [p.as_py() for p in table.column("packed")]
         if r >= ranges:
             parts = [_unpack(p) for p in packed]
             keys, *followers = _totals(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-            return _rows([report(1, k + 1, r - ranges, _save(words.folder, *_contexts(keys, followers)), followers[0][:0])])
+            return _rows([report(1, k + 1, r - ranges, followers[0][:0], *_contexts(keys, followers))])
         gram, counts = _summed(*_whole(packed))
         if k == 1:
             before = np.zeros(int(words.begins[r + 1] - words.begins[r]), np.int64)
-            before[gram[0] - words.begins[r]] = counts
-            return _rows([report(0, 1, r, _save(words.folder, _narrow(before)), counts)])
+            before[gram[0].astype(np.int64) - words.begins[r]] = counts
+            return _rows([report(0, 1, r, counts, _narrow(before))])
         about = _hash(gram[:-1])
         edge = np.flatnonzero(np.append(True, about[1:] != about[:-1]))
         followers = [np.add.reduceat(x, edge) for x in (counts, *_kinds(counts))]
         contexts, over = about[edge], np.minimum.reduce([words.dealt_over(c[edge]) for c in gram[:-1]])
         order, begins, low = _table(_hash(gram[-1:], about))
         own = over == 1
-        rows = [report(0, k, r, _save(words.folder, begins, low, *_bytes(counts[order]), *_contexts(contexts[own], [x[own] for x in followers])), counts)]
+        rows = [report(0, k, r, counts, begins, low, *_bytes(counts[order]), *_contexts(contexts[own], [x[own] for x in followers]))]
         wide = np.flatnonzero(~own)
         to = (contexts[wide] % U(ranges)).astype(np.int64)
         by = _in_order(to)
-        rows += [(ranges + i, _pack(contexts[wide[by[s]]], *(_narrow(x[wide[by[s]]]) for x in followers)), None) for i, s in _by_range(to[by])]
+        rows += [(ranges + i, _pack(contexts[wide[by[s]]], *(_narrow(x[wide[by[s]]]) for x in followers))) for i, s in _by_range(to[by])]
         # an n-gram one shorter has a word before it for each of these, or begins a text and keeps its count
         shorter, begin = [*gram[: k - 2], gram[-1]], words.numbers(np.array([START]))[0]
         shorter, before = _summed(shorter, np.where(shorter[-2] == begin, counts, 1) if k > 2 else np.ones(len(counts), np.int64))
         to = words.deal(shorter, _hash(shorter[:-1]), ranges)[0] if k > 2 else words.ranges_of(shorter[0])
-        return _rows(rows + [(i, p, None) for i, p in _parted(shorter, before, to)])
+        return _rows(rows + list(_parted(shorter, before, to)))
 
     return add
 
@@ -490,7 +516,7 @@ def fit(texts: DataFrame, folder: str | None = None, order: int = ORDER) -> Mode
     if order < 2:
         raise ValueError("the order of a model is 2 at least")
     spark = texts.sparkSession
-    folder = folder or scratch(spark, "kneser-ney")
+    folder = f"{folder}/model-{uuid.uuid4().hex}" if folder else scratch(spark, "kneser-ney")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(RANGES * max(4, int(spark.conf.get("spark.sql.shuffle.partitions"))), -(-size // RANGE_BYTES))
     words = count_words(texts, folder, ranges)
@@ -498,27 +524,25 @@ def fit(texts: DataFrame, folder: str | None = None, order: int = ORDER) -> Mode
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, chunk in _chunks(batches):
             kinds, at = np.unique(np.append(chunk.tokens, START), return_inverse=True)
-            numbers = words.numbers(kinds)[at].astype(N)
+            numbers = words.numbers(kinds)[at].astype(words.kind)
             token, place = numbers[:-1], np.arange(len(numbers) - 1)
             first = np.repeat(chunk.starts, np.diff(np.append(chunk.starts, len(token))))
             near = [np.where(place - j >= first, token[np.maximum(place - j, 0)], numbers[-1]) for j in range(1, order)]
             gram, counts = _summed([*near, token], np.ones(len(token), np.int64))
             rows = list(_parted(gram, counts, words.deal(gram, _hash(gram[:-1]), ranges)[0]))
-            yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.int64()), pa.array([p for _, p in rows], pa.binary()), pa.nulls(len(rows), pa.string())], ["own", "packed", "name"])
+            yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.int64()), pa.array([p for _, p in rows], pa.binary())], ["own", "packed"])
 
     rows = texts.mapInArrow(lean(count), ROW)
     for k in range(order, 0, -1):
         rows = rows.groupBy("own").applyInArrow(_adder(words, k, ranges), ROW)
-    names: dict[tuple[int, int], dict[int, str]] = {}
     n = np.zeros((order + 1, 6), np.int64)
-    for row in rows.collect():
-        which, k, r, *own = np.frombuffer(bytes(row["packed"]), np.int64).tolist()
-        names.setdefault((which, k), {})[r] = row["name"]
+    for row in rows.toLocalIterator():
+        _, k, _, *own = np.frombuffer(bytes(row["packed"]), np.int64).tolist()
         n[k] += own
     discounts = {k: np.append(0, _discounts(n[k, :4])) for k in range(1, order + 1)}
     kinds = int(n[2, 5])
     spare = float((discounts[1][1:] * n[1, [0, 1, 4]]).sum() / max(1, kinds))
-    return Model(order, words, names, ranges, discounts, kinds, spare)
+    return Model(order, words, ranges, discounts, kinds, spare)
 
 
 def score(docs: DataFrame, folder: str | None = None, order: int = ORDER) -> DataFrame:

@@ -150,6 +150,26 @@ def test_language_model(spark, order):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_language_model_with_more_words_than_32_bits_tell_apart(spark, monkeypatch):
+    docs = awkward(spark)
+    narrow = sorted(map(tuple, kneser_ney.score(docs).collect()), key=str)
+    monkeypatch.setattr(kneser_ney, "MOST_WORDS", 3)
+    model = kneser_ney.fit(docs.selectExpr("coalesce(text, '') as text"))
+    assert model.words.kind is np.uint64 and model.words.size > 3
+    assert sorted(map(tuple, kneser_ney.score(docs).collect()), key=str) == narrow
+
+
+def test_language_model_of_many_ranges_has_a_small_closure(spark, monkeypatch):
+    from pyspark import cloudpickle
+
+    sizes = []
+    for ranges in (2, 200):
+        monkeypatch.setattr(kneser_ney, "RANGES", ranges)
+        model = kneser_ney.fit(awkward(spark).selectExpr("coalesce(text, '') as text"))
+        sizes.append(len(cloudpickle.dumps(model)))
+    assert model.ranges >= 800 and abs(sizes[0] - sizes[1]) < 50
+
+
 @pytest.mark.parametrize("order", [2, 3, 4])
 def test_language_model_awkward(spark, order):
     docs = awkward(spark)
