@@ -247,7 +247,10 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFra
     within = longer.select("lang", some(F.col("at"), F.col("k")).alias("phrase"), "more").groupBy("lang", "phrase").agg(F.max("more").alias("more"))
     kept = scored.join(within, ["lang", "phrase"], "left").where(F.col("more").isNull() | (100 * wide("more") < SHARE * wide("a")))
     order = [F.desc("cut.score"), F.desc("a"), F.col("phrase")]
-    ranked = kept.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
+    # a language's candidates are first ranked in as many parts as there are tasks, of which no more than the first go on
+    salted = kept.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+    first = salted.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= top)
+    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     return ranked.join(n, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), "n", F.col("cut.score").alias("score"))
 
 
