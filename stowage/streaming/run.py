@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import shared_folder
 
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+
 
 def _slices(table: DataFrame, by: str | None, slices: int) -> list[DataFrame]:
     """The table cut by quantiles of a column, nulls first; every row is in one slice."""
@@ -39,9 +41,13 @@ def finished(table: DataFrame, query: Callable[[DataFrame], DataFrame], mode: st
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
 
     # keyed state with timers needs this store, and a query keeps the one it began with
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    for part in _slices(table, by, slices):
-        part.write.mode("append").parquet(f"{folder}/in")
-        writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(keep)
-        writer.trigger(availableNow=True).start().awaitTermination()
+    before = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for part in _slices(table, by, slices):
+            part.write.mode("append").parquet(f"{folder}/in")
+            writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(keep)
+            writer.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(_STORE) if before is None else spark.conf.set(_STORE, before)
     return spark.read.schema(stream.schema).parquet(f"{folder}/out/batch=*")
