@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stowage.llm import bpe, exact_dedup, mixing, near_dup, toxicity
-from stowage.llm._common import scratch, table
+from stowage.llm._common import dropped, table, written
 from stowage.llm.queries import byte_vocabulary
 
 
@@ -56,9 +56,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        path = scratch(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        # nothing reads the stage before any more
+        dropped(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir).select(F.col("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes")
