@@ -1,11 +1,11 @@
 """Toxicity by a classifier chain.
 
 Terms (words, beginnings of words and runs of bytes inside words, so that endings and compounds don't hide a stem)
-that tell toxic labelled documents are found by a grouped count over the labelled sample, and dealt into as many
-groups as there are links. Logistic models then predict the categories one after the other, each from the terms of
-its own group and the probabilities of the earlier categories, so that what an earlier link knows reaches a later one
-by its probability alone. These are out of fold in training: for the rows of a fold, terms and models come from the
-other folds. Scoring takes the models of all folds.
+that tell toxic labelled documents are found by a grouped count over the labelled sample, and clustered by the toxic
+documents they share. Logistic models then predict the categories one after the other: toxic with a term of the first
+cluster, of the second, and toxic at all. The earlier links see the terms of their cluster, the last one all terms,
+and each the probabilities of the earlier categories. These are out of fold in training: for the rows of a fold,
+terms, clusters and models come from the other folds. Scoring takes the models of all folds.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +23,11 @@ from pyspark.sql import functions as F
 from ._common import dropped, row_key, small, text_of, written
 from ._words import FOLDED, U, buffers, lean, mix, slices, word_hashes
 
-#: In this order. The labels hold one flag, so the earlier categories are toxic documents with a term of the first
-#: group, and of the second; the last is the flag itself. No link is given the terms of another.
-CATEGORIES = ("insult", "slur", "toxic")
+#: In this order. The labels hold one flag, so the earlier categories are groups that the data show: toxic documents
+#: with a term of one cluster of the telling terms; the last is the flag itself.
+CATEGORIES = ("group_1", "group_2", "toxic")
+#: Rounds of clustering, if it doesn't settle before.
+ROUNDS = 20
 #: Labelled rows that the models are fitted on, about; a hash of doc_id chooses them where there are more.
 LABELLED_ROWS = 12_000
 TERMS = 300
@@ -177,12 +180,39 @@ def _telling(stats: DataFrame, totals: list[tuple[int, int]], variant: int) -> D
     return best.select(F.lit(variant).alias("variant"), "score", "term", ((t >= MARK_ROWS) & (t >= MARK_SHARE * (t + c))).alias("marks"))
 
 
-def _links_of(found: list, terms: np.ndarray) -> Links:
-    """The terms that one variant chose, dealt in turn over the links."""
+def clusters(seen: np.ndarray, n: int) -> np.ndarray:
+    """Of each column of a table of documents by terms, best terms first, the number of its cluster, by the rows it shares.
+
+    Similarity is the cosine, over terms, of the rows they are in. The first term starts a cluster, then each time the
+    one least like all that have started; a term then goes to the cluster that it is most like on average, the first
+    of several, until none moves.
+    """
+    x = seen / np.maximum(1.0, np.sqrt(seen.sum(axis=0, dtype=float)))
+    alike = np.round(x.T @ x, 9)
+    starts = [0]
+    for _ in range(n - 1):
+        starts.append(int(alike[starts].max(axis=0).argmin()))
+    own = alike[starts].argmax(axis=0)
+    for _ in range(ROUNDS):
+        member = np.eye(n)[own]
+        mean = np.round(alike @ member / np.maximum(1, member.sum(axis=0)), 9)
+        moved = mean.argmax(axis=1)
+        if (moved == own).all():
+            break
+        own = moved
+    return own
+
+
+def _links_of(found: list, terms: np.ndarray, seen: np.ndarray, like: Links | None = None) -> Links:
+    """The links by the terms that one variant chose and the toxic rows it knows; clusters in the order of ``like``'s, which they share most terms with."""
     found = sorted(found, key=lambda r: (-r["score"], r["term"]))
     at = np.searchsorted(terms, np.array([r["term"] for r in found], np.int64).view(U))
-    marks, n = np.array([r["marks"] for r in found], bool), len(CATEGORIES)
-    return Links([at[k::n] for k in range(n)], [marks[k::n] for k in range(n)])
+    marks, n = np.array([r["marks"] for r in found], bool), len(CATEGORIES) - 1
+    own = clusters(seen[:, at], n) if len(at) else np.zeros(0, int)
+    order = range(n)
+    if like is not None:
+        order = max(permutations(order), key=lambda o: sum(np.isin(at[own == k], g).sum() for k, g in zip(o, like.groups, strict=False)))
+    return Links([*(at[own == k] for k in order), at], [*(marks[own == k] for k in order), marks])
 
 
 def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS) -> Chain:
@@ -222,8 +252,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS)
     if not len(terms):
         # nothing tells toxic rows, so none is taken for toxic
         dropped(sample)
-        return Chain(terms, _links_of([], terms), [np.array([*[0.0] * (2 + k), np.log(1e-6)]) for k in range(len(CATEGORIES))])
-    every, *without = [_links_of([r for r in top if r["variant"] == v], terms) for v in (FOLDS, *range(FOLDS))]
+        return Chain(terms, _links_of([], terms, np.zeros((0, 0), bool)), [np.array([*[0.0] * (2 + k), np.log(1e-6)]) for k in range(len(CATEGORIES))])
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,7 +268,11 @@ def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS)
     counts = np.zeros((len(rows), len(terms)))
     for own, at, n in zip(counts, rows["at"], rows["n"], strict=True):
         own[at] = n
-    return fit_chain(counts, rows["toxic"].to_numpy(int) == 1, rows["fold"].to_numpy(int), terms, every, without)
+    toxic, fold = rows["toxic"].to_numpy(int) == 1, rows["fold"].to_numpy(int)
+    chosen = [[r for r in top if r["variant"] == v] for v in range(FOLDS + 1)]
+    every = _links_of(chosen[FOLDS], terms, counts[toxic] > 0)
+    without = [_links_of(chosen[v], terms, counts[toxic & (fold != v)] > 0, every) for v in range(FOLDS)]
+    return fit_chain(counts, toxic, fold, terms, every, without)
 
 
 def score(docs: DataFrame, chain: Chain, reject: float = REJECT, *more: str) -> DataFrame:

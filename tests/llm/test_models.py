@@ -143,13 +143,28 @@ def restated_chain(rows, names):
                 cells = [(bad, n[0], bad + good), (good, n[1], bad + good), (n[0] - bad, n[0], sum(n) - bad - good), (n[1] - good, n[1], sum(n) - bad - good)]
                 scores.append((-sum(a * math.log(a / (b * c / sum(n))) for a, b, c in cells if a), names[t], t, bad >= 5 and bad >= 0.9 * (bad + good)))
         best = sorted(scores)[:300]
-        return [[(t, m) for _, _, t, m in best[k::3]] for k in range(3)]
+        rows = [{i for i, y in own if y == 1 and terms[i][t]} for _, _, t, _ in best]
+        alike = [[round(len(a & b) / math.sqrt(len(a) * len(b)), 9) for b in rows] for a in rows]
+        other = min(range(len(best)), key=lambda j: (alike[0][j], j))
+        part = [int(alike[other][j] > alike[0][j]) for j in range(len(best))]
+        for _ in range(20):
+            like = lambda j, g: round(sum(alike[j][i] for i in range(len(best)) if part[i] == g) / max(1, part.count(g)), 9)  # noqa: B023, E731
+            if part == (moved := [int(like(j, 1) > like(j, 0)) for j in range(len(best))]):
+                break
+            part = moved
+        return [*([(t, m) for (_, _, t, m), g in zip(best, part, strict=True) if g == k] for k in range(2)), [(t, m) for _, _, t, m in best]]
+
+    def ordered(gs, like):
+        common = lambda a, b: len({t for t, _ in a} & {t for t, _ in b})
+        swap = common(gs[1], like[0]) + common(gs[0], like[1]) > common(gs[0], like[0]) + common(gs[1], like[1])
+        return [gs[1], gs[0], gs[2]] if swap else gs
 
     def see(i, group):
         marks = sum(terms[i][t] for t, m in group if m)
         return [*(math.log1p(terms[i][t]) for t, _ in group), math.log1p(marks), float(marks > 0)]
 
-    every, without = groups(None), [groups(f) for f in range(5)]
+    every = groups(None)
+    without = [ordered(groups(f), every) for f in range(5)]
     wanted = lambda gs, k, i, y: float(y == 1 and (k == 2 or any(terms[i][t] for t, _ in gs[k])))
     unseen, said = {i: [] for i, _, _ in known}, {i: [] for i in terms}
     for k in range(3):
@@ -181,11 +196,19 @@ def test_toxicity_equals_a_chain_of_dictionaries(spark):
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
     found = toxicity.judge(docs, spark.createDataFrame([(i, y) for i, _, y in rows if y is not None], "doc_id long, toxic int")).collect()
     for r in found:
-        assert [r.p_insult, r.p_slur, r.p_toxic] == pytest.approx(want[r.doc_id], abs=1e-4)
+        assert [r.p_group_1, r.p_group_2, r.p_toxic] == pytest.approx(want[r.doc_id], abs=1e-4)
         assert r.toxic == (r.p_toxic >= 0.5)
     assert sum(r.toxic for r in found) > 30
 
 
+def test_clusters_of_terms():
+    # rows 0 to 3 hold terms 0 and 2, rows 4 to 7 terms 1 and 3, row 8 all of them
+    seen = np.array([[1, 0, 1, 0]] * 4 + [[0, 1, 0, 1]] * 4 + [[1, 1, 1, 1]], bool)
+    assert toxicity.clusters(seen, 2).tolist() == [0, 1, 0, 1]
+    assert toxicity.clusters(seen[:, :1], 2).tolist() == [0]
+    assert toxicity.clusters(np.zeros((0, 3), bool), 2).tolist() == [0, 0, 0]
+
+
 def test_rows_of_one_id_are_told_apart(spark):
     docs, labels = table(spark, "documents").select("doc_id", "text"), table(spark, "labels")
     marked = toxicity.judge(docs, labels)
