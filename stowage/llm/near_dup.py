@@ -1,12 +1,18 @@
 """Near-duplicate components by min-max hashing over word shingles.
 
 One Arrow pass gives every document the digest of its shingle set and, from 128 permutations, 128 minima and 128
-maxima; these are banded, the minima first, so that a band never holds both of one permutation. Documents with one set are one class, named by its smallest doc_id. Classes
-that share a band are candidates. Each class is first compared with one other, the smallest class of a band, which
-joins most groups of copies at a linear cost. The classes of a band that are still apart are then compared in blocks
-of bounded size: a block's task compares signatures, across components only, and keeps for every class its likely
-partners; a second task confirms these on the full sets of 64-bit shingle hashes and returns the links that join
-something, so no list of pairs is written or shuffled. A pair is compared in the first band that it shares.
+maxima; these are banded, the minima first, so that a band never holds both of one permutation. Documents with one set
+are one class, named by its smallest doc_id. Classes that share a band are candidates. Each class is first compared
+with one other, the smallest class of a band, which joins most groups of copies at a linear cost. The classes of a band
+that are still apart are then compared in blocks of bounded size: a block's task compares signatures, across components
+only, and keeps for every class its likely partners; a second task confirms these on the full sets of 64-bit shingle
+hashes and returns the links that join something, so no list of pairs is written or shuffled. A pair is compared in the
+first band that it shares.
+
+A band in which more than POPULAR classes stay apart, boilerplate as a rule, is not compared each with each. Its classes
+are grouped instead by the rarest of their shingles, as many as linked sets can't all miss: two sets that share percent
+of their union share one of them, whatever the order. These groups take the same two steps as bands do, so no link is
+lost and the cost follows what documents share besides the boilerplate.
 """
 
 from __future__ import annotations
@@ -33,6 +39,8 @@ CHUNK_SHINGLES = 1 << 20
 #: Pairs that one copy of a head's set is compared in.
 PAIRS_PER_SALT = 500
 VALUES = BANDS * ROWS
+#: Classes of a band outside its largest component, from which on the band is grouped by rare shingles.
+POPULAR = 4 * CHUNK
 #: Deviations of a signature's agreement that a linked pair may be below its mean.
 DEVIATIONS = 5
 
@@ -187,12 +195,15 @@ def _blocks(state: DataFrame) -> DataFrame:
 
 
 def _likely(blocks: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
-    """band, l, c, cls, partners: of each block the classes with a likely partner there; a pair is listed with one of its two."""
+    """band, l, c, cls, partners: of each block the classes with a likely partner there; a pair is listed with one of its two.
+
+    Of pairs in groups by rare shingles (at is -1) all are compared, whatever bands they share.
+    """
     least = _least(percent)
 
     def pairs_of(group: pa.Table) -> pa.RecordBatch | None:
         get = lambda c: group.column(c).to_numpy()
-        cls, n, root, role, at = get("cls"), get("n"), get("root"), get("role"), int(group.column("at")[0].as_py())
+        cls, n, root, role, at = get("cls"), get("n"), get("root"), get("role"), get("at")
         raw = np.frombuffer(b"".join(group.column("bytes").to_pylist()), np.uint8).reshape(len(cls), -1)
         sig, shared = np.ascontiguousarray(raw[:, :VALUES]), np.ascontiguousarray(raw[:, VALUES:]).view(np.uint32)
         lines, columns = np.flatnonzero(role > 0), np.flatnonzero(role != 1)
@@ -208,7 +219,8 @@ def _likely(blocks: DataFrame, signatures: DataFrame, percent: int) -> DataFrame
                 good = (sig[a] == sig[b]).sum(axis=1) >= least
                 a, b = a[good], b[good]
                 # a band is shared if its hashes agree in 32 bits and all its values in a byte each
-                good = ((shared[a] == shared[b]) & (sig[a] == sig[b]).reshape(-1, BANDS, ROWS).all(axis=2)).argmax(axis=1) == at
+                first = ((shared[a] == shared[b]) & (sig[a] == sig[b]).reshape(-1, BANDS, ROWS).all(axis=2)).argmax(axis=1)
+                good = (at[a] == at[b]) & ((at[a] < 0) | (first == at[a]))
                 a, b = a[good], b[good]
                 for own in np.unique(a).tolist():
                     partners[own] = np.concatenate([partners.get(own, np.zeros(0, np.int64)), cls[b[a == own]]])
@@ -274,10 +286,36 @@ def _links(likely: DataFrame, docs: DataFrame, k: int, percent: int, n: int) ->
 
 
 def _wanted_sets(docs: DataFrame, ids: DataFrame, k: int, n: int) -> DataFrame:
-    """cls, shingles of the documents with these ids (doc_id), each set of an id once."""
+    """cls, hi, lo, shingles of the documents with these ids (doc_id), each set of an id once."""
     wanted = written(sized(ids.distinct(), n), "near-wanted")
     sets = written(_sets(text_of(docs).join(small(wanted, wanted.count()), "doc_id", "left_semi"), k), "near-sets")
-    return _once(sets, "cls", "hi", "lo").select("cls", "shingles")
+    return _once(sets, "cls", "hi", "lo")
+
+
+def _popular(state: DataFrame, n: int) -> DataFrame | None:
+    """band of those in which more than POPULAR classes are outside the largest component; None if there is none."""
+    by_root = state.groupBy("band", "root").agg(F.count(F.lit(1)).alias("k"))
+    over = by_root.groupBy("band").agg((F.sum("k") - F.max("k")).alias("rest")).where(F.col("rest") > POPULAR).select("band")
+    over = written(sized(over, n), "near-popular")
+    return None if over.isEmpty() else over
+
+
+def _by_rare_shingles(crowd: DataFrame, docs: DataFrame, k: int, percent: int, n: int) -> DataFrame:
+    """The rows (cls, n) of crowd by rare shingles, as rows of bands are: cls, n, at (-1), band (the shingle).
+
+    Shingles are in the order of how many sets of the crowd hold them, then of their hash. Of n shingles the first
+    n - ceil(n * percent / 100) + 1 go: sets that miss each other in these can't share enough of the rest. A shingle
+    that one class only has is left out.
+    """
+    sets = _wanted_sets(docs, crowd.select(F.col("cls").alias("doc_id")), k, n)
+    flat = sets.select("cls", "hi", "lo", F.explode("shingles").alias("band"))
+    total = sets.agg(F.coalesce(F.sum(F.size("shingles")), F.lit(0))).first()[0]
+    held = written(flat.groupBy("band").agg(F.count(F.lit(1)).alias("held")), "near-held")
+    ranked = keyed(flat, held, ["band"], "held", total).groupBy("cls", "hi", "lo").agg(F.sort_array(F.collect_list(F.struct("held", "band"))).alias("x"))
+    size = F.size("x")
+    first = F.slice("x", 1, (size - F.ceil(size * percent / 100) + 1).cast("int"))
+    rare = ranked.select("cls", F.explode(F.transform(F.filter(first, lambda y: y["held"] > 1), lambda y: y["band"])).alias("band")).distinct()
+    return written(crowd.select("cls", "n").distinct().join(rare, "cls").select("cls", "n", F.lit(-1).alias("at"), "band"), "near-rare")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -295,6 +333,15 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataF
     return both.where(F.lit(100) * shared >= F.lit(percent) * (F.size("sa") + F.size("sb") - shared)).select("a", "b").distinct()
 
 
+def _headed(live: DataFrame, roots: DataFrame | None, docs: DataFrame, k: int, percent: int, n: int) -> DataFrame:
+    """Roots after each class is compared with one other only: of the heads of its bands the one it meets in most."""
+    top = written(sized(live.groupBy("band").agg(F.min(F.struct("cls", "n")).alias("top")).select("band", F.col("top.cls").alias("head"), F.col("top.n").alias("head_n")), n), "near-heads")
+    below = live.join(top, "band").where("cls <> head").where(_sizes_fit("n", "head_n", percent))
+    met = below.groupBy("cls", "head").agg(F.count(F.lit(1)).alias("k")).groupBy(F.col("cls").alias("b")).agg(F.max(F.struct("k", (-F.col("head")).alias("head"))).alias("most"))
+    pairs = written(sized(met.select((-F.col("most.head")).alias("a"), "b"), n), "near-pairs")
+    return _joined(roots, written(sized(_confirmed(pairs, docs, k, percent), n), "near-links"))
+
+
 def near_dup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
@@ -328,14 +375,18 @@ def near_dup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     roots = None if edges.isEmpty() else written(components(edges), "near-roots")
     n_live = live.count()
     if n_live:
-        # each class with one other only: of the heads of its bands the one it meets in most
-        top = written(sized(live.groupBy("band").agg(F.min(F.struct("cls", "n")).alias("top")).select("band", F.col("top.cls").alias("head"), F.col("top.n").alias("head_n")), n_live), "near-heads")
-        below = live.join(top, "band").where("cls <> head").where(_sizes_fit("n", "head_n", percent))
-        met = below.groupBy("cls", "head").agg(F.count(F.lit(1)).alias("k")).groupBy(F.col("cls").alias("b")).agg(F.max(F.struct("k", (-F.col("head")).alias("head"))).alias("most"))
-        pairs = written(sized(met.select((-F.col("most.head")).alias("a"), "b"), n_live), "near-pairs")
-        roots = _joined(roots, written(sized(_confirmed(pairs, docs, k, percent), n_live), "near-links"))
+        roots = _headed(live, roots, docs, k, percent, n_live)
         # then, by blocks, all that share a band and are apart
         state = written(sized(_rooted(live, roots), n_live), "near-state")
+        if (popular := _popular(state, n_live)) is not None:
+            crowd = written(sized(state.join(popular, "band", "left_semi").select("cls", "n").distinct(), n_live), "near-crowd")
+            rare = _by_rare_shingles(crowd, docs, k, percent, crowd.count())
+            n_rare = rare.count()
+            if n_rare:
+                roots = _headed(rare, roots, docs, k, percent, n_rare)
+            rest = state.join(popular, "band", "left_anti").select("cls", "n", "at", "band").unionByName(rare)
+            n_live += n_rare
+            state = written(sized(_rooted(rest, roots), n_live), "near-state")
         likely = written(sized(_likely(_blocks(state), signatures, percent), n_live, 10_000), "near-likely")
         roots = _joined(roots, written(sized(_links(likely, docs, k, percent, n_live), n_live), "near-links"))
 

@@ -118,6 +118,49 @@ def test_near_chains_and_large_groups(spark):
     assert {r.doc_id: r.component_id for r in near_dup.near_dup(docs, 4).collect()} == brute_near(rows, 4, 80)
 
 
+def boilerplate(n, rng):
+    """Texts of which three quarters are the same; every tenth has a near copy, and some of these one more."""
+    common, rows = [f"c{i}" for i in range(90)], []
+    for i in range(n):
+        own = [f"o{i}.{j}" for j in range(30)]
+        rows.append(common + own)
+        if i % 10 == 0:
+            for changes in range(1, 2 + (i % 20 == 0)):
+                near = common + list(own)
+                for _ in range(changes):
+                    near[rng.randrange(len(near))] = f"x{rng.randrange(10**6)}"
+                rows.append(near)
+    rng.shuffle(rows)
+    return [(i, " ".join(w)) for i, w in enumerate(rows)]
+
+
+def test_near_popular_bands(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "POPULAR", 5)
+    crowds, grouped = [], near_dup._by_rare_shingles
+
+    def seen(crowd, *more):
+        found = grouped(crowd, *more)
+        crowds.append((crowd.count(), found.count(), found.groupBy("band").count().agg({"count": "max"}).first()[0]))
+        return found
+
+    monkeypatch.setattr(near_dup, "_by_rare_shingles", seen)
+    rows = boilerplate(200, random.Random(8))
+    # one id on two rows, an id of a repeated row, and classes apart from each other whose sets differ in size
+    rows += [(3, rows[40][1] + " tail"), rows[7], (900, " ".join(rows[9][1].split()[:100])), (901, rows[11][1] + " a b c d e f g h i j")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in near_dup.near_dup(docs, 4).collect()}
+    assert crowds and crowds[0][0] > 100 and crowds[0][2] < 20
+    sets = {}
+    for i, t in rows:
+        sets.setdefault(i, []).append(shingles(t, 4))
+    links = [(i, j) for i in sets for j in sets if i < j and any(100 * len(x & y) >= 80 * len(x | y) for x in sets[i] for y in sets[j])]
+    want = {i: i for i in sets}
+    while any(want[i] != want[j] for i, j in links):
+        for i, j in links:
+            want[i] = want[j] = min(want[i], want[j])
+    assert found == want and len(set(want.values())) < len(want)
+
+
 def test_near_awkward(spark):
     docs = awkward(spark)
     found = collections.Counter((r.doc_id, r.component_id, r.kept) for r in near_dup.near_dup(docs).collect())
