@@ -80,6 +80,22 @@ def test_retries_until_done_or_given_up(spark):
     assert sorted(map(tuple, found.where("id < 98").collect())) == sorted(r for r in want if r[0] < 98)
 
 
+def test_retries_keep_one_state_a_bucket(spark, tmp_path):
+    # as many ids as there are rows, far more than buckets
+    rows = spark.range(3000).select("id", F.lit(None).cast("int").alias("attempts"), F.timestamp_seconds(F.lit(1_705_276_800) + F.col("id") % 700).alias("due"))
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = consumer.retried(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), lambda i, attempt: attempt > i % 2, buckets=8)
+    q = stream.writeStream.format("memory").queryName("tried").option("checkpointLocation", str(tmp_path / "ck")).start()
+    try:
+        q.processAllAvailable()
+        assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 8
+    finally:
+        q.stop()
+    ended = 699
+    want = {(i, 1, "pending" if i % 2 else "done") for i in range(3000)} | {(i, 2, "done") for i in range(1, 3000, 2) if i % 700 + 5 <= ended}
+    assert {(r.id, r.attempt, r.status) for r in spark.table("tried").collect()} == want and spark.table("tried").count() == len(want)
+
+
 def test_circuits_step_as_one_by_one(spark):
     rng = random.Random(2)
     rows = [(rng.choice("ab"), n, AT + datetime.timedelta(seconds=5 * n), rng.random() < 0.55) for n in range(200)]
