@@ -803,23 +803,29 @@ def _stored_texts(docs: DataFrame) -> DataFrame:
 
 def object_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text as a store holds it, told by its hash."""
+    from ..sources.shared import small_batches, written
+
     found = _stored_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select("doc_id", "codec", "ok", F.when(F.col("doc_id") % 4 < 2, F.col("size")).alias("size"))
+    with small_batches(spark):
+        return written(found.select("doc_id", "codec", "ok", F.when(F.col("doc_id") % 4 < 2, F.col("size")).alias("size")), "verified")
 
 
 def _objects(docs: DataFrame) -> DataFrame:
     """Every distinct text as an object: its hash, its bytes, and their number."""
+    from ..sources.shared import small_batches, written
+
     text = docs.select(F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content")).distinct()
-    return text.select(scalars.sha3_256_hex(F.col("content")).alias("external_id"), "content", F.octet_length("content").alias("n"))
+    with small_batches(docs.sparkSession):
+        return written(text.select(scalars.sha3_256_hex(F.col("content")).alias("external_id"), "content", F.octet_length("content").alias("n")), "objects")
 
 
 def _restorable(docs: DataFrame) -> tuple[DataFrame, str, str]:
     """Objects, a store that holds most of them (by size packed, damaged, or not at all), and one to restore to, with some intact and some damaged."""
     from ..sources import objects as store
-    from ..sources.shared import shared_folder, written
+    from ..sources.shared import shared_folder
 
     spark = docs.sparkSession
-    own, kind = written(_objects(docs), "objects"), F.col("n") % 5
+    own, kind = _objects(docs), F.col("n") % 5
     folder = shared_folder(spark, "stores")
     for name, codec, rows, damaged in (
         ("from", "none", kind.isin(0, 2), kind == 2), ("from", "zstd", kind.isin(1, 4), F.lit(False)), ("to", "none", (kind == 4) | (F.col("n") % 7 == 0), kind != 4),
@@ -834,7 +840,7 @@ def store_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources import objects as store
     from ..sources.shared import shared_folder, written
 
-    own, folder = written(_objects(spark.read.parquet(f"{sf_dir}/documents.parquet")), "objects"), shared_folder(spark, "stores")
+    own, folder = _objects(spark.read.parquet(f"{sf_dir}/documents.parquet")), shared_folder(spark, "stores")
     places = [store.Place("a", f"{folder}/a"), store.Place("b", f"{folder}/b", "zstd"), store.Place("c", "/proc/no store here")]
     done = written(store.stored(own, places), "stored")
     # the ledger also knows of texts that were never sent to a
@@ -850,11 +856,13 @@ def restore_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How restoring every object into a store ends, and how many of them read back intact afterwards."""
     from ..functions import payloads
     from ..sources import objects as store
-    from ..sources.shared import written
+    from ..sources.shared import small_batches, written
 
     own, source, target = _restorable(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     done = written(store.restored(own, source, target), "restored")
     told = store.objects(spark, target).select("external_id", payloads.told(F.col("payload"), F.col("external_id")).alias("t")).where("t.ok").select("external_id", F.lit(True).alias("intact"))
+    with small_batches(spark):
+        told = written(told, "told")
     return done.join(told, "external_id", "left").groupBy("outcome").agg(F.count(F.lit(1)).alias("objects"), F.sum("bytes").alias("bytes"), F.count("intact").alias("intact"))
 
 

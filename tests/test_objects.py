@@ -3,6 +3,7 @@
 import hashlib
 import os
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,6 +42,21 @@ def test_written_to_all_stores_at_once_and_read_back(spark, tmp_path):
         store.objects(spark, str(tmp_path / "nowhere")).collect()
 
 
+def test_batches_are_bounded_by_bytes(spark, tmp_path):
+    for i in range(24):
+        (tmp_path / "a" / "00" / "00").mkdir(parents=True, exist_ok=True)
+        (tmp_path / "a" / "00" / "00" / f"{i:064x}").write_bytes(bytes([i]) * 500_000)
+    reader = store._Reader({"path": str(tmp_path / "a"), "runs": "1"})
+    batches = list(reader.read(reader.partitions()[0]))
+    assert sum(b.num_rows for b in batches) == 24 and max(b.nbytes for b in batches) <= store.BATCH_BYTES + 10_000
+    read = store.objects(spark, str(tmp_path / "a"), runs=1)
+    assert {r.external_id: bytes(r.payload) for r in read.collect()} == {f"{i:064x}": bytes([i]) * 500_000 for i in range(24)}
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    with store.small_batches(spark):
+        rows = read.select(F.pandas_udf(lambda v: pd.Series([sum(map(len, v))] * len(v)), "long")("payload").alias("n")).collect()
+    assert max(r.n for r in rows) <= store.BATCH_BYTES + 500_000 and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
 def test_a_task_that_fails_leaves_nothing(spark, tmp_path):
     place = [store.Place("a", str(tmp_path / "a"))]
     broken = F.when(F.col("i") == 17, F.raise_error(F.lit("half-way"))).otherwise(F.encode(F.col("i").cast("string"), "UTF-8"))
