@@ -56,6 +56,24 @@ def test_redelivery_of_files_in_any_order(spark):
     assert sorted(map(tuple, found)) == restated_redeliveries([*events, (99, 1000, "settled", 6000)], 600, 3)
 
 
+def test_redelivery_keeps_one_state_a_bucket(spark, tmp_path):
+    rng = random.Random(5)
+    events = [(rng.randrange(400), n, rng.choice(["claimed", "claimed", "settled"]), 4 * n) for n in range(3000)]
+    # no id is one id; without a time there is no event
+    table = claims(spark, events).unionByName(claims(spark, [(None, 5000, "claimed", 0), (None, 5001, "claimed", 900), (3, 5002, "settled", 0)]).withColumn("at", F.expr("CASE WHEN id IS NULL THEN at END")))
+    table.write.parquet(str(tmp_path / "in"))
+    stream = consumer.redeliver(spark.readStream.schema(table.schema).parquet(str(tmp_path / "in")), 600, 3, buckets=8)
+    q = stream.writeStream.format("memory").queryName("redelivered").option("checkpointLocation", str(tmp_path / "ck")).start()
+    try:
+        q.processAllAvailable()
+        assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 9
+    finally:
+        q.stop()
+    want = {*restated_redeliveries(events, 600, 3), (None, 5000, 1, "pending"), (None, 5001, 2, "pending")}
+    found = spark.table("redelivered").collect()
+    assert set(map(tuple, found)) == want and len(found) == len(want)
+
+
 def test_retries_until_done_or_given_up(spark):
     rng = random.Random(4)
     rows = [(i, rng.choice([None, 0, 3, 8]), AT + datetime.timedelta(seconds=rng.randrange(4000))) for i in range(40)] + [(99, 0, AT + datetime.timedelta(seconds=6000))]
