@@ -5,10 +5,11 @@ from one cut to the next and three words on; n-grams that begin before the next
 overlap belong to the next chunk, so each is assigned once. The distinct chunks of a language are the dictionary and how
 often each occurs is its frequency in the parse: n-grams are counted inside the dictionary, weighted by it.
 
-Counting goes from one word to four. A phrase can't occur often unless both phrases one word shorter do, so each round
-asks only about such; words and phrases are hashes, told by 88 bits and the range they are dealt to, and what a packed
-row of the dictionary asks about it asks once. Of each frequent phrase one row is told the count, and gives the phrase
-itself; whatever follows (parts, scores, containment, ranks) are joins and groupings of these few.
+Text is read as words once: a packed row of the dictionary holds its words as numbers, and each number's hash and
+spelling. Counting goes from one word to four. A phrase can't occur often unless both phrases one word shorter do, so
+each round asks only about such. Inside a row phrases are told by the numbers of their words and asked about once; among
+rows they are hashes, told by 88 bits and the range they are dealt to. Of each frequent phrase one row is told the count,
+and gives the phrase itself; whatever follows (parts, scores, containment, ranks) are joins and groupings of these few.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 
 from ._ask import CONF, asked, codes_of, grouped, reduced
 from ._common import scratch, settings, written
-from ._words import FOLDED, U, buffers, lean, mix, slices, word_hashes
+from ._words import FOLDED, U, buffers, lean, mix, places, slices, word_hashes
+from .kneser_ney import _pack, _unpack
 
 LONGEST, LEAST, TOP = 4, 30, 2000
 SHARE, SCALE = 80, 2_000_000
@@ -83,17 +85,36 @@ def dictionary(docs: DataFrame) -> DataFrame:
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The dictionary in rows of about PACK bytes: langs, and of every chunk its language's number, frequency, own words, end, and all bytes."""
+    """The dictionary in rows of about PACK bytes: langs; of every chunk its language's number, frequency, own words and words; of every word its number in the row and how many words follow it; of every number its hash, length and spelling."""
     waiting, size = [], 0
 
     def row() -> pa.RecordBatch:
         table = pa.Table.from_batches(waiting)
         langs = table.column("lang").combine_chunks().dictionary_encode()
-        data = [buffers_of(b.column("body")) for b in waiting]
-        ends = np.cumsum(np.concatenate([np.diff(at) for _, at in data]))
-        own = [langs.indices.to_pylist(), table.column("freq").to_pylist(), table.column("own").to_pylist(), ends.tolist()]
-        body = zstandard.compress(b"".join(d[at[0] : at[-1]].tobytes() for d, at in data), 1)
-        return pa.RecordBatch.from_arrays([pa.array([langs.dictionary.to_pylist()], pa.list_(pa.string())), *(pa.array([x], pa.list_(pa.int64())) for x in own), pa.array([body], pa.binary())], ["langs", "lang", "freq", "own", "ends", "data"])
+        lang, freq, own = (x.to_numpy().astype(np.int64) for x in (langs.indices, table.column("freq"), table.column("own")))
+        bodies = [buffers_of(b.column("body")) for b in waiting]
+        data = np.concatenate([d[at[0] : at[-1]] for d, at in bodies])
+        rows = np.append(0, np.cumsum(np.concatenate([np.diff(at) for _, at in bodies])))
+        begin, end, piece = _word_bounds(data, rows)
+        hashes, first = word_hashes(data, rows, SEPS, np.arange(256))
+        count = np.diff(first)
+        chunk = np.repeat(np.arange(len(count)), count)
+        seeds = np.array([int.from_bytes(hashlib.sha256(x.encode()).digest()[:8], "little") for x in langs.dictionary.to_pylist()], U)
+        numbers = pa.array(mix(hashes + seeds[lang[chunk]])).dictionary_encode()
+        ids, n = numbers.indices.to_numpy(), len(hashes)
+        # of every word, how many words follow it in its piece of the chunk, itself included; more than LONGEST + 1 are as many
+        edge = np.flatnonzero(np.append((piece[1:] != piece[:-1]) | (chunk[1:] != chunk[:-1]), True)) + 1
+        left = np.minimum(np.repeat(edge, np.diff(np.append(0, edge))) - np.arange(n), LONGEST + 1)
+        at = _first_places(ids, len(numbers.dictionary))
+        lengths = (end - begin)[at]
+        spelled = data[np.repeat(begin[at], lengths) + places(lengths)]
+        packed = [
+            _pack(*(x.astype(U) for x in (lang, freq, own, count))), _pack(ids.astype(np.uint32), left.astype(np.uint8)),
+            _pack(numbers.dictionary.to_numpy(), lengths.astype(np.uint32)), zstandard.compress(spelled.tobytes(), 1),
+        ]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([langs.dictionary.to_pylist()], pa.list_(pa.string())), *(pa.array([x], pa.binary()) for x in packed), pa.array([len(data)], pa.int64())], ["langs", "chunks", "words", "hashes", "spelled", "size"]
+        )
 
     for batch in batches:
         if batch.num_rows:
@@ -106,6 +127,29 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row()
 
 
+def _first_places(numbers: np.ndarray, n: int) -> np.ndarray:
+    """Where each of the numbers below n comes first; all do."""
+    at = np.empty(n, np.int64)
+    at[numbers[::-1]] = np.arange(len(numbers))[::-1]
+    return at
+
+
+def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct key comes first, and every place's number of its key, in the order of keys."""
+    n, bits = len(keys), U(len(keys).bit_length())
+    if int(keys.max(initial=0)).bit_length() + int(bits) > 64:
+        order, first, group = grouped(keys)
+        return order[first], group
+    # a sort of keys with their places below them takes a fraction of an argsort's time
+    both = np.sort(keys << bits | np.arange(n, dtype=U))
+    order, keys = (both & ((U(1) << bits) - U(1))).astype(np.int64), both >> bits
+    fresh = np.ones(n, bool)
+    fresh[1:] = keys[1:] != keys[:-1]
+    group = np.empty(n, np.int64)
+    group[order] = np.cumsum(fresh) - 1
+    return order[fresh], group
+
+
 def buffers_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets of a binary column."""
     column = column.cast(pa.large_binary())
@@ -115,29 +159,19 @@ def buffers_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """Words of a packed row of the dictionary: where they lie, their hashes with the language, weights, and which n-grams begin at them."""
+    """Words of a packed row of the dictionary: their numbers, the numbers' hashes with the language, how many words follow, and weights (0 in an overlap)."""
 
     def __init__(self, row: dict) -> None:
-        self.row, self.data = row, np.frombuffer(zstandard.decompress(row["data"]), np.uint8)
-        rows = np.append(0, np.array(row["ends"], np.int64))
-        self.begin, self.end, piece = _word_bounds(self.data, rows)
-        hashes, first = word_hashes(self.data, rows, SEPS, np.arange(256))
-        chunk = np.repeat(np.arange(len(rows) - 1), np.diff(first))
-        self.lang = np.array(row["lang"], np.int64)[chunk]
-        seeds = np.array([int.from_bytes(hashlib.sha256(lang.encode()).digest()[:8], "little") for lang in row["langs"]], U)
-        self.hashes = mix(hashes + seeds[self.lang])
-        self.own = np.arange(len(chunk)) - first[chunk] < np.array(row["own"], np.int64)[chunk]
-        self.freq = np.array(row["freq"], np.int64)[chunk]
-        #: of every word, how many words follow it in its piece of the chunk, itself included
-        n = len(chunk)
-        edge = np.flatnonzero(np.append((piece[1:] != piece[:-1]) | (chunk[1:] != chunk[:-1]), True)) + 1 if n else np.zeros(0, np.int64)
-        self.left = np.repeat(edge, np.diff(np.append(0, edge))) - np.arange(n) if n else edge
+        self.lang, self.freq, self.own, self.count = (x.astype(np.int64) for x in _unpack(row["chunks"]))
+        self.ids, self.left = _unpack(row["words"])
+        self.hashes, self.lengths = _unpack(row["hashes"])
+        self.weight = np.repeat(self.freq, self.count) * (places(self.count) < np.repeat(self.own, self.count))
 
     def grams(self, n: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Two hashes of the n words from positions on."""
         a = b = np.full(len(at), U(n))
         for k in range(n):
-            h = self.hashes[at + k]
+            h = self.hashes[self.ids[at + k]]
             a, b = mix(a * _ODD + h), mix((b ^ h) * _ODD + U(k + 1))
         return a, b & MORE
 
@@ -148,33 +182,39 @@ class Counting:
     def __init__(self, ranges: int, least: int) -> None:
         self.ranges, self.least, self.replies = ranges, least, []
 
-    def _asks(self, words: Words, n: int, at: np.ndarray):
-        """Distinct n-grams at positions: codes, more, order of positions, first of each, and the n-gram of each position."""
+    def _asks(self, words: Words, n: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the n-grams at positions, each once: codes and more in order, and that order."""
         a, b = words.grams(n, at)
         codes = codes_of(a, self.ranges)
-        order, first, group = grouped(codes, b)
-        return codes[order[first]], b[order[first]], order, first, group
+        order = np.argsort(codes)
+        if len(order) and (np.diff(codes[order]) == 0).any():  # which the order of equal ones must not depend on
+            order = np.lexsort((b, codes))
+        return codes[order], b[order], order
 
-    def _upto(self, row: dict, n: int):
-        """Words of a row and the positions at which n-grams begin that may be frequent, own or in an overlap, with replies of each shorter round."""
+    def _upto(self, row: dict, n: int) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, list]:
+        """Words of a row, the positions at which n-grams begin that may be frequent, own or in an overlap, where among them each n-gram comes first, and their numbers; of each shorter round first positions and replies."""
         words, told = Words(row), []
-        may = np.ones(len(words.left), bool)
+        at, grams, first = np.arange(len(words.ids)), words.ids, _first_places(words.ids, len(words.hashes))
         for k in range(1, n):
-            at = np.flatnonzero(may)
-            *_, order, first, group = self._asks(words, k, at)
-            said = self.replies[k - 1].of(row["chunk"])
-            told.append((at, order, first, said))
-            often = np.zeros(len(may), bool)
-            often[at] = said[group] != 0 if len(at) else False
-            may = often & np.append(often[1:], False) & (words.left > k)
-        return words, np.flatnonzero(may), told
+            *_, order = self._asks(words, k, at[first])
+            said = np.empty(len(order), np.int64)
+            said[order] = self.replies[k - 1].of(row["chunk"])
+            told.append((at[first], said))
+            # a number of every position's k words, and whether they are frequent
+            number, often = np.zeros(len(words.ids), U), np.zeros(len(words.ids) + 1, bool)
+            number[at], often[at] = grams, (said != 0)[grams]
+            at = at[often[at] & often[at + 1] & (words.left[at] > k)]
+            first, grams = _numbered(number[at] * U(len(words.hashes)) + words.ids[at + k])
+        return words, at, first, grams, told
 
     def question(self, n: int):
         def ask(row: dict) -> tuple[np.ndarray, ...]:
-            words, at, _ = self._upto(row, n)
-            codes, more, order, first, _ = self._asks(words, n, at)
+            words, at, first, grams, _ = self._upto(row, n)
+            codes, more, order = self._asks(words, n, at[first])
             # n-grams that begin in an overlap are asked about, since longer ones need to know, but count nothing here
-            return codes, more, reduced(np.add, words.freq[at] * words.own[at], order, first).astype(U)
+            counts = np.zeros(len(order), np.int64)
+            np.add.at(counts, grams, words.weight[at])
+            return codes, more, counts[order].astype(U)
 
         return ask
 
@@ -190,16 +230,17 @@ class Counting:
         """Frequent phrases with their counts: lang, phrase, size in words, a. Of every row and language the number of words, with size 0."""
         for batch in batches:
             for row in batch.to_pylist():
-                words, _, told = self._upto(row, LONGEST + 1)
-                langs = row["langs"]
-                n = np.zeros(len(langs), np.int64)
+                words, *_, told = self._upto(row, LONGEST + 1)
+                langs, spelled = row["langs"], zstandard.decompress(row["spelled"])
+                n, ends, stops = np.zeros(len(langs), np.int64), np.cumsum(words.count), np.cumsum(words.lengths, dtype=np.int64)
                 np.add.at(n, words.lang, words.own * words.freq)
                 out = [(lang, "", 0, c) for lang, c in zip(langs, n.tolist(), strict=True)]
-                for k, (at, order, first, said) in enumerate(told, 1):
-                    for i in np.flatnonzero(said > 0).tolist():
-                        p = int(at[order[first[i]]])
-                        spoken = b" ".join(words.data[words.begin[p + j] : words.end[p + j]].tobytes() for j in range(k))
-                        out.append((langs[words.lang[p]], spoken.decode(), k, int(said[i])))
+                for k, (at, said) in enumerate(told, 1):
+                    at, said = at[said > 0], said[said > 0]
+                    chunk = np.searchsorted(ends, at, side="right")
+                    for p, lang, c in zip(at.tolist(), words.lang[chunk].tolist(), said.tolist(), strict=True):
+                        spoken = b" ".join(spelled[stops[i] - words.lengths[i] : stops[i]] for i in words.ids[p : p + k].tolist())
+                        out.append((langs[lang], spoken.decode(), k, c))
                 lang, phrase, size, a = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(phrase), pa.array(size, pa.int64()), pa.array(a, pa.int64())], ["lang", "phrase", "size", "a"])
 
@@ -208,13 +249,13 @@ def frequent(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """lang, phrase (words joined by a space), size, a of every phrase of up to LONGEST words that occurs ``least`` times in its language; and of each language its words, with size 0 and phrase empty."""
     spark = docs.sparkSession
     with settings(spark, CONF | {"spark.sql.execution.arrow.maxRecordsPerBatch": "10000"}):
-        packed = dictionary(docs).mapInArrow(lean(_packed), "langs array<string>, lang array<long>, freq array<long>, own array<long>, ends array<long>, data binary")
+        packed = dictionary(docs).mapInArrow(lean(_packed), "langs array<string>, chunks binary, words binary, hashes binary, spelled binary, size long")
         chunks = written(packed.withColumn("chunk", F.monotonically_increasing_id()), "phrase-dictionary")
     folder = scratch(spark, "phrase-replies")
-    size = chunks.agg(F.sum(F.element_at("ends", -1))).first()[0] or 0
+    size = chunks.agg(F.sum("size")).first()[0] or 0
     counting = Counting(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES)), least)
     for n in range(1, LONGEST + 1):
-        replies, _ = asked(chunks, folder, f"words-{n}", counting.ranges, counting.question(n), counting.answer, "i8")
+        replies, _ = asked(chunks.drop("langs", "spelled"), folder, f"words-{n}", counting.ranges, counting.question(n), counting.answer, "i8")
         counting.replies.append(replies)
     with settings(spark, CONF):
         return written(chunks.mapInArrow(lean(counting.phrases), "lang string, phrase string, size long, a long"), "phrases")

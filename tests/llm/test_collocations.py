@@ -4,9 +4,12 @@ import collections
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from stowage.llm import collocations
+from stowage.llm._ask import LOW
 from tests.llm.plain import awkward, empty
 
 
@@ -69,3 +72,40 @@ def test_awkward(spark):
 def test_counts_past_64_bits(spark):
     found = spark.sql("select (2000000 * cast(9000000000000000000 as decimal(19,0))) div (cast(9000000000000000000 as decimal(19,0)) + cast(9000000000000000001 as decimal(19,0))) as s").first()
     assert found.s == 2_000_000 * 9_000_000_000_000_000_000 // 18_000_000_000_000_000_001
+
+
+def test_rounds_parse_no_text_again(monkeypatch):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcd") + rng.choice([" ", " ", " ", ", "]) for _ in range(200)) for _ in range(40)]
+    parsed = pa.Table.from_batches(collocations._parsed([pa.record_batch({"lang": ["en"] * 40, "text": texts})]))
+    chunks = parsed.group_by(["lang", "body", "own"]).aggregate([([], "count_all")]).rename_columns(["lang", "body", "own", "freq"]).combine_chunks()
+    (row,) = [r for batch in collocations._packed(chunks.to_batches()) for r in batch.to_pylist()]
+    row["chunk"] = 0
+    again = []
+    for name in ("word_hashes", "_word_bounds"):
+        monkeypatch.setattr(collocations, name, lambda *_, real=getattr(collocations, name), name=name: again.append(name) or real(*_))
+    counting, said = collocations.Counting(1, 30), {}
+    for n in range(1, 5):
+        codes, more, counts = counting.question(n)(row)
+        said[n] = counting.answer(np.zeros(len(codes), np.int64), codes & LOW, more, counts)
+        counting.replies.append(type("Told", (), {"of": lambda self, chunk, n=n: said[n]})())
+    found = {(phrase, a) for _, phrase, size, a in zip(*pa.Table.from_batches(counting.phrases([pa.RecordBatch.from_pylist([row])])).to_pydict().values(), strict=True) if size}
+    count = collections.Counter()
+    for text in texts:
+        for piece in text.split(","):
+            w = piece.split()
+            count.update(" ".join(w[i : i + n]) for n in range(1, 5) for i in range(len(w) - n + 1))
+    assert found == {(p, a) for p, a in count.items() if a >= 30}
+    assert any(p.count(" ") == 2 for p, _ in found)
+    assert again == []
+
+
+@pytest.mark.parametrize("most", [3, 1000, (1 << 64) - 1])
+def test_numbered(most):
+    rng = np.random.default_rng(most % 7)
+    keys = rng.integers(0, most, 500, np.uint64, endpoint=True)
+    keys[100:200] = keys[:100]
+    first, group = collocations._numbered(keys)
+    own, at, inverse = np.unique(keys, return_index=True, return_inverse=True)
+    assert (first == at).all() and (group == inverse).all() and (keys[first] == own).all()
+    assert [len(x) for x in collocations._numbered(keys[:0])] == [0, 0]
