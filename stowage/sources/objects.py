@@ -3,8 +3,9 @@
 An object lies at aa/bb/<hash> below a store's root. Tasks of a write put every object they hold into all its stores,
 below <root>/_staged/<job>/<attempt>, with an index of what they wrote; a store that fails leaves the others alone. The
 commit notes the attempts that succeeded, one name a task, and nothing else; the files of these are then moved to their
-places by tasks, which may be run again, since a move that was made is found made. An abort removes what was staged. So a
-task that fails half-way leaves nothing, and of several attempts at one task one counts.
+places by tasks, which may be run again, since a move that was made is found made. An abort takes the job's folder, which
+no task makes, out of the way of tasks that still run, and removes it. So a task that fails half-way leaves nothing, and
+of several attempts at one task one counts.
 """
 
 from __future__ import annotations
@@ -55,7 +56,6 @@ def place_of(external_id: str) -> str:
 
 
 def _put(path: str, body: bytes) -> None:
-    os.makedirs(os.path.dirname(path), exist_ok=True)
     with open(path, "wb") as f:
         f.write(body)
         f.flush()
@@ -76,6 +76,11 @@ class _Writer(DataSourceWriter):
         context = TaskContext.get()
         name = f"{context.partitionId()}-{context.taskAttemptId()}"
         packer, index, broken = zstandard.ZstdCompressor(), {p: [] for p in self.places}, set()
+        for p in self.places:
+            try:
+                os.mkdir(f"{local(p.root)}/_staged/{self.job}/{name}")
+            except OSError:  # this store's trouble, not the task's; or the job was aborted
+                broken.add(p)
         for row in iterator:
             for p in self.places:
                 if p in broken:
@@ -83,7 +88,7 @@ class _Writer(DataSourceWriter):
                 body = packer.compress(bytes(row.content)) if p.codec == "zstd" else bytes(row.content)
                 try:
                     _put(f"{local(p.root)}/_staged/{self.job}/{name}/{row.external_id}", body)
-                except OSError:  # this store's trouble, not the task's
+                except OSError:
                     broken.add(p)
                     continue
                 index[p].append((row.external_id, len(body)))
@@ -105,7 +110,12 @@ class _Writer(DataSourceWriter):
 
     def abort(self, messages: list[Attempt | None]) -> None:
         for p in self.places:
-            shutil.rmtree(f"{local(p.root)}/_staged/{self.job}", ignore_errors=True)
+            folder = f"{local(p.root)}/_staged/{self.job}"
+            try:
+                os.rename(folder, f"{folder}-aborted")
+            except OSError:
+                continue
+            shutil.rmtree(f"{folder}-aborted", ignore_errors=True)
 
 
 @dataclass
@@ -198,6 +208,11 @@ def objects(spark: SparkSession, root: str, payload: bool = True, runs: int = RU
 def staged(content: DataFrame, places: Sequence[Place]) -> str:
     """Phase one: puts content (external_id, content) below all places and commits it; returns the job. What isn't a content hash is left out."""
     job = uuid.uuid4().hex
+    for p in places:
+        try:
+            os.makedirs(f"{local(p.root)}/_staged/{job}")
+        except OSError:
+            pass
     content.sparkSession.dataSource.register(ObjectStore)
     rows = content.select("external_id", "content").where(is_content_hash(F.col("external_id")) & F.col("content").isNotNull())
     with small_batches(content.sparkSession):

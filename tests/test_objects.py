@@ -1,10 +1,13 @@
 """The object store as a data source: two phases, failures, reads by runs of folders, restore."""
 
 import hashlib
+import json
 import os
+import types
 
 import pandas as pd
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from stowage.sources import objects as store
@@ -66,6 +69,24 @@ def test_a_task_that_fails_leaves_nothing(spark, tmp_path):
     assert files(tmp_path / "a") == []
 
 
+def test_a_task_that_ends_after_the_abort_leaves_nothing(tmp_path, monkeypatch):
+    # Spark aborts a write when a task has failed, while others still run
+    place = store.Place("a", str(tmp_path / "a"))
+    (tmp_path / "a" / "_staged" / "job").mkdir(parents=True)
+    writer = store._Writer({"job": "job", "places": json.dumps([place])})
+    monkeypatch.setattr(store.TaskContext, "get", lambda: types.SimpleNamespace(partitionId=lambda: 0, taskAttemptId=lambda: 7))
+
+    def rows():
+        yield Row(external_id=sha3(b"early"), content=b"early")
+        assert len(files(tmp_path / "a")) == 1
+        writer.abort([])
+        yield Row(external_id=sha3(b"late"), content=b"late")
+
+    writer.write(rows())
+    writer.write(iter([Row(external_id=sha3(b"later"), content=b"later")]))
+    assert files(tmp_path / "a") == []
+
+
 def test_publishing_again_changes_nothing_and_only_committed_attempts_count(spark, tmp_path):
     place, bodies = [store.Place("a", str(tmp_path / "a"))], [b"one", b"two", b"three"]
     job = store.staged(content(spark, bodies), place)
